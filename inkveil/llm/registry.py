@@ -1,7 +1,7 @@
 """The queries of the training-data operators, and their SQL equivalents."""
 
-from . import licenses, quality
+from . import langid, licenses, quality
 
-_MODULES = (licenses, quality)
+_MODULES = (licenses, langid, quality)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}

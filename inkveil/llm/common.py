@@ -163,3 +163,34 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of true flags."""
     edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+class TokenPool:
+    """The ids of numbered pieces, for gathering many pieces' ids at once; forgets all beyond a number of pieces."""
+
+    def __init__(self, most: int):
+        self.most, self.known = most, {}
+        self._ids, self._ends, self._fresh = np.zeros(0, np.int32), np.zeros(1, np.int64), []
+
+    def add(self, piece, ids: list[int], keep: bool = True) -> int:
+        number = len(self._ends) - 1 + len(self._fresh)
+        self._fresh.append(ids)
+        if keep:
+            self.known[piece] = number
+        return number
+
+    def trim(self) -> None:
+        """Between batches."""
+        if len(self._ends) > self.most:
+            self.__init__(self.most)
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces one after another, and the number of ids before each piece (len + 1)."""
+        if self._fresh:
+            sizes = np.fromiter(map(len, self._fresh), np.int64, len(self._fresh))
+            flat_ids = np.fromiter((i for ids in self._fresh for i in ids), np.int32, int(sizes.sum()))
+            self._ends = np.concatenate([self._ends, self._ends[-1] + np.cumsum(sizes)])
+            self._ids, self._fresh = np.concatenate([self._ids, flat_ids]), []
+        n = self._ends[numbers + 1] - self._ends[numbers]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return self._ids[np.repeat(self._ends[numbers] - ends[:-1], n) + np.arange(ends[-1])], ends

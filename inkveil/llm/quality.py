@@ -26,6 +26,7 @@ from .common import SPACE, byte_hashes, chunks, codes_of, flat, mixed, repeats,
 ORDER = 4
 #: Rows of the model that may be broadcast: 16 bytes each.
 MODEL_ENTRIES = 3_000_000
+MAX_BROADCAST_LANGUAGES = 10_000
 #: A document leaves if its mean log-probability lies more than WIDTH interquartile ranges (MIN_RANGE at least) outside its language's quartiles.
 WIDTH, MIN_RANGE = 4.0, 0.05
 #: Log-perplexities are counted in steps of 1 / STEPS for the quartiles.
@@ -149,12 +150,14 @@ def kneser_ney(docs: DataFrame) -> DataFrame:
     levels = [top]
     for k in range(ORDER - 1, 0, -1):
         levels.append(levels[-1].groupBy("l", F.expr(f"g & {(1 << 8 * k) - 1}").alias("g")).agg(F.count("*").alias("n")))
+    # a row of discounts for each language goes to all executors, unless there are very many
+    few = top.select("l").distinct().count() <= MAX_BROADCAST_LANGUAGES
     lower = None
     for level in reversed(levels):
         kinds = [F.sum((F.col("n") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)]
         y = F.coalesce(F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2")), F.lit(0.0))
         discounts = level.groupBy("l").agg(*kinds).select("l", *(_discount(k, y) for k in (1, 2, 3)))
-        own = level.join(discounts, "l").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
+        own = level.join(F.broadcast(discounts) if few else discounts, "l").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
         context = Window.partitionBy("l", F.expr("shiftrightunsigned(g, 8)"))
         own = own.withColumn("all_n", F.sum("n").over(context)).withColumn("all_d", F.sum("d").over(context))
         if lower is None:

@@ -1,7 +1,7 @@
 """The queries of the training-data operators, and their SQL equivalents."""
 
-from . import bytebpe, langid, licenses, packing, quality
+from . import bytebpe, jaccard, langid, licenses, packing, quality
 
-_MODULES = (packing, licenses, langid, bytebpe, quality)
+_MODULES = (packing, licenses, langid, bytebpe, quality, jaccard)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}

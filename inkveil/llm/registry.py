@@ -1,7 +1,7 @@
 """The queries of the training-data operators, and their SQL equivalents."""
 
-from . import bytebpe, jaccard, langid, licenses, packing, quality, suffixes
+from . import bytebpe, fmindex, jaccard, langid, licenses, packing, quality, suffixes
 
-_MODULES = (packing, licenses, langid, bytebpe, suffixes, quality, jaccard)
+_MODULES = (packing, licenses, langid, bytebpe, fmindex, suffixes, quality, jaccard)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}

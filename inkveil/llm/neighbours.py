@@ -4,7 +4,7 @@ Centroids and the residuals' codebooks are fitted on the SAMPLE vectors of least
 list (nearest centroid) and the codes of its residual. A query goes to the lists of largest inner product with its
 centroid, the share PROBED of them and more until these hold ENOUGH vectors. Lists are split into parts of about PART
 vectors, and a query goes to each part, so that a list of any length is spread. In a part the query's asymmetric
-distance tables rank all codes, its best RERANKED are scored exactly on the original vectors, in double precision, and
+distance tables rank all codes, the best of them (RERANKED, RERANKED_SHARE) are scored exactly on the original vectors, in double precision, and
 the nearest of all parts are merged. Ties go to the smaller vec_id at each step.
 
 Vectors that are null, all zero, of another than the commonest length, or that hold null or non-finite components take no
@@ -18,14 +18,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE, PART, ENOUGH = 16_384, 32_768, 4_096
-#: The share of lists that a query goes to: vectors without clusters need as many for a recall of 0.95.
-MOST_LISTS, PROBED = 4_096, 0.65
-PIECES, RERANKED, NEAREST, EVERY = 16, 100, 20, 20
+#: The share of lists that a query goes to: vectors without clusters need as many for a recall of 0.95
+MOST_LISTS, PROBED = 4_096, 0.7
+#: Of a part's vectors, so many and this share at least are scored exactly: near copies have codes that hardly tell them apart.
+PIECES, RERANKED, RERANKED_SHARE, NEAREST, EVERY = 16, 200, 0.5, 20, 20
 
 
 def kmeans(points: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
@@ -124,9 +126,15 @@ def best(ids: np.ndarray, scores: np.ndarray, n: int) -> np.ndarray:
     return chosen[np.lexsort((ids[chosen], -scores[chosen]))]
 
 
+def distinct_enough(vectors: np.ndarray, n: int) -> np.ndarray:
+    """The places of the first n of each group of equal vectors: the others of a group can't be among any query's n - 1 nearest, as ties go by place."""
+    rows = pd.Series(np.ascontiguousarray(vectors).view(f"V{vectors.shape[1] * 4}").ravel().tolist())
+    return np.flatnonzero(rows.groupby(rows, sort=False).cumcount().to_numpy() < n)
+
+
 def _searched(batches: Iterator[pa.RecordBatch], quantiser: Quantiser, n: int) -> Iterator[pa.RecordBatch]:
     """From rows in order of list, part and kind (vectors, then queries): each query's nearest of each part."""
-    key, ids, codes, vectors = None, [], [], []
+    key, ids, codes, vectors, whole = None, [], [], [], None
     for batch in batches:
         where = batch.column("list").to_numpy().astype(np.int64) << 33 | batch.column("part").to_numpy().astype(np.int64) << 1 | batch.column("query").to_numpy(zero_copy_only=False)
         cuts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1], [True]])) if len(where) else np.zeros(1, np.int64)
@@ -139,9 +147,11 @@ def _searched(batches: Iterator[pa.RecordBatch], quantiser: Quantiser, n: int) -
                 codes.append(np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(b - a, -1))
                 vectors.append(_matrix(rows.column("vector")))
             elif ids:
-                if len(ids) > 1:
-                    ids, codes, vectors = [np.concatenate(ids)], [np.concatenate(codes)], [np.concatenate(vectors)]
-                yield _nearest_in(rows, int(key >> 32), ids[0], codes[0], vectors[0], quantiser, n)
+                if vectors[0] is not None:  # the part's first queries
+                    merged = np.concatenate(ids), np.concatenate(codes), np.concatenate(vectors)
+                    kept = distinct_enough(merged[2], n + 1)
+                    ids, codes, vectors, whole = [merged[0][kept]], [merged[1][kept]], [None], merged[2][kept]
+                yield _nearest_in(rows, int(key >> 32), ids[0], codes[0], whole, quantiser, n)
 
 
 def _nearest_in(rows: pa.RecordBatch, home: int, ids: np.ndarray, codes: np.ndarray, vectors: np.ndarray, quantiser: Quantiser, n: int) -> pa.RecordBatch:
@@ -151,9 +161,9 @@ def _nearest_in(rows: pa.RecordBatch, home: int, ids: np.ndarray, codes: np.ndar
     for i, (name, query) in enumerate(zip(names, queries, strict=True)):
         estimate = sum(tables[i, p][codes[:, p]] for p in range(codes.shape[1]))  # and the centroid's product, equal for all
         estimate = np.where(ids == name, -np.inf, estimate)
-        near = best(ids, estimate, RERANKED)
+        near = best(ids, estimate, max(RERANKED, int(RERANKED_SHARE * len(ids))))
         near = near[ids[near] != name]
-        exact = vectors[near].astype(np.float64) @ query.astype(np.float64)
+        exact = (vectors[near].astype(np.float64) * query.astype(np.float64)).sum(1)  # by row: equal vectors have equal scores
         top = best(ids[near], exact, n)
         of.append(np.full(len(top), name))
         found.append(ids[near][top])

@@ -172,7 +172,7 @@ def _identified(batches: Iterator[pa.RecordBatch], languages: Languages, carried
     names = pa.array([*languages.names, "und"])
     for batch in chunks(batches):
         body, offsets = normalised(*flat(batch.column("text")))
-        known = batch.column("has_letter").to_numpy(zero_copy_only=False) & bool(languages.names)
+        known = batch.column("__has_letter").to_numpy(zero_copy_only=False) & bool(languages.names)
         best, score, bits = np.full(batch.num_rows, len(languages.names)), np.zeros(batch.num_rows), np.full(batch.num_rows, np.nan)
         if known.any():
             cost = languages.phrases(body, offsets) * languages.weight[:, None]
@@ -187,7 +187,7 @@ def identify(docs: DataFrame, languages: Languages, carried: tuple[str, ...] = (
     """The carried columns of each row, with __lang_pred, __score (0 to 1: how far the best is from the next) and __bits (entropy a byte; null for und)."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
     sent = docs.sparkSession.sparkContext.broadcast(languages)
-    rows = docs.select(*dict.fromkeys([*carried, "text"]), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter"))
+    rows = docs.select(*dict.fromkeys([*carried, "text"]), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__has_letter"))
     kept = list(carried)
     schema = rows.select(*kept).withColumns({"__lang_pred": F.lit(""), "__score": F.lit(0.0), "__bits": F.lit(0.0)}).schema
     for field in schema:

@@ -133,9 +133,15 @@ def _cut(block: Block, removed: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def remove_passages(docs: DataFrame) -> DataFrame:
+def _cut_characters(block: Block, removed: np.ndarray) -> pa.RecordBatch:
+    """As _cut, but a character (a byte and the continuation bytes after it) goes if any byte of it does."""
+    character = np.cumsum((block.body & 0xC0) != 0x80)
+    return _cut(block, np.bincount(character, weights=removed, minlength=1)[character] > 0 if len(removed) else removed)
+
+
+def remove_passages(docs: DataFrame, whole_characters: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary) of each row."""
-    return without_repeats(docs, Shape(WINDOW, GRAM, False), least_ids, _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return without_repeats(docs, Shape(WINDOW, GRAM, False), least_ids, _cut_characters if whole_characters else _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def _digest(block: Block, removed: np.ndarray) -> pa.RecordBatch:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkveil.functions import patterns
+from inkveil.functions.tables import written
 from inkveil.functions.text import PIECE, accepted, empty, label, let, md5_8, overlaps, spans, spliced, token
 
 from . import dates, entities
@@ -123,7 +124,8 @@ def mask(df: DataFrame, key: str, text: str = "text", session: Column | None = N
     key: a column with another value in each row; order: columns by which rows come in their session (default: key);
     session: whose labels a row shares (default: one for all). mapping: what earlier runs have labelled.
     """
-    found = detect(df.withColumn("__session", session if session is not None else F.lit("")), text, **detection)
+    # read three times: written once
+    found = written(detect(df.withColumn("__session", session if session is not None else F.lit("")), text, **detection).drop(_RAW), "found")
     some = found.where(F.size("__events") > 0)
     where = F.struct(*[F.col(c) for c in order or [key]], F.col("__i").alias("__i"))
     events = some.select("*", F.posexplode("__events").alias("__i", "__event")).select(F.col("__session").alias("session"), F.col("__event.cat").alias("category"), F.col("__event.raw").alias("original"), where.alias("ord"))
@@ -131,7 +133,7 @@ def mask(df: DataFrame, key: str, text: str = "text", session: Column | None = N
     pairs = some.select(F.col(key).alias("__key"), F.col("__session").alias("session"), F.explode(F.array_distinct(F.transform("__events", lambda e: F.struct(e["cat"].alias("category"), md5_8(e["raw"]).alias("md5"))))).alias("x")).select("__key", "session", "x.*")
     short = labels.groupBy("session", "category", "md5").agg(F.max("label").alias("label"))
     maps = pairs.join(short, ["session", "category", "md5"]).groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("category", F.lit("\0"), "md5"), F.col("label")))).alias("__labels"))
-    joined = found.join(maps, found[key] == maps["__key"], "left").drop("__key")
+    joined = found.join(maps, found[key] == maps["__key"], "left").drop("__key").withColumn(_RAW, F.coalesce(F.col(text), F.lit("")))
     nothing = F.expr("map_from_entries(cast(array() as array<struct<key:string,value:string>>))")
     masked = F.when(F.col(text).isNotNull(), _rewritten(F.coalesce("__labels", nothing)))
     return joined.withColumn("masked", masked).drop("__labels", "__pieces", "__events", "__session", _RAW), labels

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that an Arrow function works on at once; a longer text comes alone.
 CHUNK_BYTES = 2 << 20
+STRETCH = 1 << 19
 #: `[\x20\x09-\x0D]`, the separators of words.
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -134,8 +135,15 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def byte_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of slices of bytes."""
-    return span_hashes(prefix_sums(_BYTES[body]), starts, ends)
+    """Hashes of slices of bytes, whose starts are in order; a stretch of body at a time, as the sums are eight times as large."""
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        base = starts[at]
+        stop = int(np.searchsorted(starts, base + STRETCH, "left"))
+        sums = prefix_sums(_BYTES[body[base : ends[at:stop].max()]])
+        out[at:stop] = span_hashes(sums, starts[at:stop] - base, ends[at:stop] - base)
+        at = stop
+    return out
 
 
 def repeats(hashes: np.ndarray) -> np.ndarray:

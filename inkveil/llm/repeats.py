@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import byte_hashes, chunks, flat, joined_slices, mixed, prefix_sums, repeats, span_hashes, texts, word_bounds, written
 from .sketches import summed
 
-BLOCK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 8 << 20, 24
+BLOCK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 2 << 20, 4 << 20, 24
 SKETCH_BITS = 20
 #: An anchor of more units than that is dealt out by window.
 COMMON = 2000

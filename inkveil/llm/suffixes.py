@@ -23,7 +23,7 @@ from .repeats import NO_ID, Block, Shape, byte_grams, shared_windows, together,
 WINDOW, GRAM = 50, 8
 NO_HASH = np.uint64(2**64 - 1)
 #: Bytes that are sorted together.
-SORTED_BYTES = 4 << 20
+SORTED_BYTES = 2 << 20
 
 
 def packed(text: np.ndarray, more: int) -> np.ndarray:

@@ -165,4 +165,8 @@ SELECT d.doc_id, count(c.s)::BIGINT AS n, coalesce(sum(c.s), 0)::BIGINT AS start
     "html_nodes": """WITH s AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '%%SKIP%%', 'g'), '(?is)<style[^>]*>.*?</style>', '%%SKIP%%', 'g') AS h FROM pages),
 n AS (SELECT page_id, regexp_extract_all(h, '>([^<]+)<', 1) AS nodes FROM s)
 SELECT page_id, unnest(range(0, len(nodes)))::BIGINT AS n, unnest(nodes) AS node FROM n""",
+    # in a common year, the 29th of February alone is no date
+    "made_dates": """SELECT o_orderkey, year(o_orderdate) || '年' || month(o_orderdate) || '月' || day(o_orderdate) || '日'
+|| CASE WHEN month(o_orderdate) = 2 AND day(o_orderdate) = 29 THEN '' ELSE '|' || month(o_orderdate) || '/' || day(o_orderdate) END AS dates FROM orders""",
+    "made_names": "SELECT o_orderkey, '人物:田中太郎|組織:株式会社' || o_orderkey || '商事' AS names FROM orders",
 } | {f"rule_{rule}": f"SELECT {key}, {masked} AS masked FROM {table}" for rule, table, key, _, masked in _MADE}

@@ -7,10 +7,10 @@ o = ceil(t n) with any partner has a prefix of n - o + m shingles, and two partn
 m. Each class takes the m for which the estimated cost (postings, and candidates by the sketch, of which m must meet)
 is least.
 
-Postings come together by shingle. First each class is tried with the first and with the nearest of its group (sizes
-permitting), which joins groups of near copies with few trials. Then all pairs of a group that aren't yet in one
-component and that share enough prefix shingles are tried: no link between components is lost, and none is tried
-within one. Candidates are verified on whole sets.
+Postings come together by shingle. First each class is tried with a leading one of its group (sizes
+permitting), in a few rounds, which joins groups of near copies with few trials. Then all pairs of a group that aren't
+yet in one component, that share enough prefix shingles and that could still be alike by the places of these are tried:
+no link between components is lost, and none is tried within one. Candidates are verified on whole sets.
 
 Nulls: a null or empty text has an empty set and is linked with nothing. Rows of one doc_id count as linked; a row with a
 null doc_id gets its n_shingles and a null component_id. Other columns are not read.
@@ -19,6 +19,7 @@ null doc_id gets its n_shingles and a null component_id. Other columns are not r
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ WORDS, PERCENT = 5, 80
 #: The sketch has 2 ** SKETCH_BITS counts, the filter of sets to fetch 2 ** FILTER_BITS.
 SKETCH_BITS, FILTER_BITS = 20, 22
 MOST_MATCHES = 4
+#: The rounds of trials: which of a group's classes leads (from 0, by fewest rare shingles).
+TURNS = (0, 1, 4)
 #: What a posting costs, in candidates.
 POSTING_COST = 0.25
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -87,7 +90,7 @@ def prefix(values: np.ndarray, counts: np.ndarray, noise: float, percent: int) -
 def _postings(batches: Iterator[pa.RecordBatch], words: int, percent: int, counts: np.ndarray, noise: float) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
         done: set[int] = set()
-        parts, cls, n, m = [], [], [], []
+        parts, cls, n, m, at, rare = [], [], [], [], [], []
         for s in sets(batch, words):
             key = _keys(s)[0]
             if len(s) and key not in done:
@@ -97,9 +100,11 @@ def _postings(batches: Iterator[pa.RecordBatch], words: int, percent: int, count
                 cls.append(key)
                 n.append(len(s))
                 m.append(matches)
+                at.append(np.arange(len(shingles), dtype=np.int32))
+                rare.append(int((counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] <= 4 * noise + 4).sum()))
         sizes = [len(p) for p in parts]
         spread = lambda values, kind: pa.array(np.repeat(np.array(values, kind), sizes))
-        yield pa.RecordBatch.from_arrays([_signed(np.concatenate([*parts, np.zeros(0, np.uint64)])), spread(cls, np.int64), spread(n, np.int32), spread(m, np.int8)], ["shingle", "cls", "n", "m"])
+        yield pa.RecordBatch.from_arrays([_signed(np.concatenate([*parts, np.zeros(0, np.uint64)])), spread(cls, np.int64), spread(n, np.int32), spread(m, np.int8), pa.array(np.concatenate([*at, np.zeros(0, np.int32)])), spread(rare, np.int32)], ["shingle", "cls", "n", "m", "at", "rare"])
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -118,66 +123,116 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield held
 
 
-def _meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """From postings in order of shingle, n, cls: those of shingles of two classes or more (b null), and first trials a, b."""
-    for shingle, cls, n, m in _grouped(batches):
+def _could(n: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether classes i and j could be alike by their sizes and by the places (at, in their order) of a shingle they share."""
+    most = np.minimum(at[i], at[j]) + 1 + np.minimum(n[i] - at[i], n[j] - at[j]) - 1
+    return (100 + percent) * most >= percent * (n[i] + n[j])
+
+
+def _pairs(i: np.ndarray, j: np.ndarray, cls: np.ndarray, n: np.ndarray, m: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """a < b by class, and for both: the sizes' sum, the fewest shingles to share, and how many follow the shared one."""
+    rest = np.minimum(n[i] - at[i], n[j] - at[j]) - 1
+    columns = [np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]), (n[i] + n[j]), np.minimum(m[i], m[j]), rest]
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(columns, (np.int64, np.int64, np.int32, np.int8, np.int32), strict=True)], ["a", "b", "sizes", "m", "rest"])
+
+
+PAIRS = "a long, b long, sizes int, m byte, rest int"
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From postings in order of shingle, n, cls: those of shingles that two classes or more have, each class once."""
+    for columns in _grouped(batches):
+        shingle, _, cls = columns[:3]
         fresh = np.ones(len(shingle), bool)
         fresh[1:] = (shingle[1:] != shingle[:-1]) | (cls[1:] != cls[:-1])
-        shingle, cls, n, m = shingle[fresh], cls[fresh], n[fresh], m[fresh]
-        same = shingle[1:] == shingle[:-1]
-        many = np.zeros(len(shingle), bool)
-        many[1:] |= same
-        many[:-1] |= same
-        shingle, cls, n, m = shingle[many], cls[many], n[many], m[many]
-        if not len(shingle):
-            continue
-        lead = np.ones(len(shingle), bool)
-        lead[1:] = shingle[1:] != shingle[:-1]
-        first = np.maximum.accumulate(np.where(lead, np.arange(len(lead)), 0))
-        # where the first is too small, the first of those that are large enough
-        order = np.arange(len(lead))
-        key = np.searchsorted(np.flatnonzero(lead), order, "right").astype(np.int64) << 32 | n
-        near = np.searchsorted(key, (key & ~np.int64(0xFFFFFFFF)) | (-(-percent * n.astype(np.int64) // 100)), "left")
-        first = np.maximum(first, near)
-        trial = [(first[first < order], order[first < order])]
-        chain = np.flatnonzero(~lead & (100 * n[np.maximum(order - 1, 0)].astype(np.int64) >= percent * n))
-        trial.append((chain - 1, chain))
-        a, b = (np.concatenate(x) for x in zip(*trial, strict=True))
-        none = pa.nulls(len(cls), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(shingle), pa.array(cls), none, pa.array(n), pa.array(m)], ["shingle", "a", "b", "n", "m"])
-        lo, hi = np.minimum(cls[a], cls[b]), np.maximum(cls[a], cls[b])
-        yield pa.RecordBatch.from_arrays([pa.array(shingle[a]), pa.array(lo), pa.array(hi), pa.nulls(len(a), pa.int32()), pa.array(np.minimum(m[a], m[b]))], ["shingle", "a", "b", "n", "m"])
-
-
-def _across(batches: Iterator[pa.RecordBatch], percent: int, block: int = 1024) -> Iterator[pa.RecordBatch]:
-    """From postings with components, in order of shingle and n: the pairs of a group that are in two components, sizes permitting."""
-    for shingle, n, cls, m, comp in _grouped(batches):
+        columns = [x[fresh] for x in columns]
+        same = columns[0][1:] == columns[0][:-1]
+        many = np.append(False, same) | np.append(same, False)
+        yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in columns], ["shingle", "n", "cls", "m", "at", "rare"])
+
+
+def _trials(batches: Iterator[pa.RecordBatch], percent: int, turn: int) -> Iterator[pa.RecordBatch]:
+    """From postings with components, in order of shingle, n, cls: of each group a few pairs of two components, in proportion to its size.
+
+    Each class is tried with the group's leading one, which has the fewest rare shingles in all (in later turns the next ones);
+    those of the leading one's component with the leading one of the others.
+    """
+    for shingle, n, cls, m, at, rare, comp in _grouped(batches):
+        n, at = n.astype(np.int64), at.astype(np.int64)
+        lead = np.append(True, shingle[1:] != shingle[:-1])
+        first = np.flatnonzero(lead)
+        group = np.cumsum(lead) - 1
+        ranked = np.lexsort((cls, rare, group))
+        size = np.diff(np.append(first, len(shingle)))
+        head = ranked[first + np.minimum(turn, size - 1)][group]
+        other = ranked[comp[ranked] != comp[head][ranked]]
+        second = np.full(len(first), -1)
+        second[group[other[::-1]]] = other[::-1]
+        target = np.where(comp[head] != comp, head, second[group])
+        i = np.flatnonzero(target >= 0)
+        j = target[i]
+        fit = _could(n, at, i, j, percent)
+        yield _pairs(i[fit], j[fit], cls, n, m, at)
+
+
+def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """From postings with components, in order of shingle, n, cls: all pairs of a group that are in two components and could be alike."""
+    for shingle, n, cls, m, at, _, comp in _grouped(batches):
+        n, at = n.astype(np.int64), at.astype(np.int64)
         bounds = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1], [True]]))
-        for at, end in zip(bounds[:-1], bounds[1:], strict=True):
-            if comp[at:end].min() == comp[at:end].max():
-                continue
-            for i in range(at, end, block):
-                stop = min(i + block, end)
-                for j in range(i, end, block):
-                    last = min(j + block, end)
-                    if 100 * int(n[stop - 1]) < percent * int(n[j]):
-                        break
-                    two = (comp[i:stop, None] != comp[None, j:last]) & (100 * n[i:stop, None].astype(np.int64) >= percent * n[None, j:last])
-                    if i == j:
-                        two = np.triu(two, 1)
-                    x, y = np.nonzero(two)
-                    x, y = x + i, y + j
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[x], cls[y])), pa.array(np.maximum(cls[x], cls[y])), pa.array(np.minimum(m[x], m[y]))], ["a", "b", "m"])
+        stop = np.repeat(bounds[1:], np.diff(bounds))
+        i, step = np.arange(len(shingle)), 0
+        while len(i):
+            step += 1
+            i = i[i + step < stop[i]]
+            i = i[100 * n[i] >= percent * n[i + step]]  # sizes only grow from here
+            j = i + step
+            two = comp[i] != comp[j]
+            a, b = i[two], j[two]
+            fit = _could(n, at, a, b, percent)
+            if fit.any():
+                yield _pairs(a[fit], b[fit], cls, n, m, at)
+
+
+def _candidates(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b that share as many prefix shingles as they must, and could share enough in all."""
+    sums = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("m").alias("m"), F.min("rest").alias("rest"), F.first("sizes").alias("sizes"))
+    return sums.where((F.col("shared") >= F.col("m")) & ((100 + percent) * (F.col("shared") + F.col("rest")) >= percent * F.col("sizes"))).select("a", "b")
 
 
 def _wanted(batches: Iterator[pa.RecordBatch], words: int, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Class and compressed text of the documents whose class the filter lets through, each class once a batch."""
     for batch in chunks(batches):
-        got: dict[int, np.ndarray] = {}
-        for s in sets(batch, words):
-            if len(s) and wanted[(key := _keys(s)[0]) & ((1 << FILTER_BITS) - 1)]:
-                got[key] = s
-        ends = np.concatenate([[0], np.cumsum([len(s) for s in got.values()])]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.ListArray.from_arrays(pa.array(ends), _signed(np.concatenate([*got.values(), np.zeros(0, np.uint64)])))], ["cls", "shingles"])
+        got: dict[int, bytes] = {}
+        column = batch.column("text")
+        for i, s in enumerate(sets(batch, words)):
+            if len(s) and wanted[(key := _keys(s)[0]) & ((1 << FILTER_BITS) - 1)] and key not in got:
+                text = column[i].as_py().encode()
+                got[key] = len(text).to_bytes(8, "little") + pa.compress(text, "zstd", asbytes=True)
+        yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.binary())], ["cls", "packed"])
+
+
+def _alike(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Of pairs with their texts, those whose sets are alike enough."""
+    for batch in batches:
+        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+        place, packed = {}, []
+        for keys, column in ((a, "pa"), (b, "pb")):
+            for i, key in enumerate(keys):
+                if key not in place:
+                    place[key] = len(packed)
+                    packed.append(batch.column(column)[i].as_py())
+        held: list[np.ndarray] = []
+        for x in packed:
+            held.extend(sets(pa.RecordBatch.from_arrays([pa.array([pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True).decode()])], ["text"]), words))
+        keep = []
+        for x, y in zip(a, b, strict=True):
+            one, two = held[place[x]], held[place[y]]
+            both = np.concatenate([one, two])
+            both.sort()
+            shared = int((both[1:] == both[:-1]).sum())
+            keep.append(100 * shared >= percent * (len(one) + len(two) - shared))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -185,12 +240,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
     ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     wanted = summed(ends, lambda batch: batch.column("cls").to_numpy() & ((1 << FILTER_BITS) - 1), FILTER_BITS) > 0
     sent = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
-    fetched = texts(docs).mapInArrow(lambda batches: _wanted(batches, words, np.unpackbits(sent.value)), "cls long, shingles array<long>")
-    fetched = fetched.join(ends, "cls", "left_semi").groupBy("cls").agg(F.first("shingles").alias("shingles"))
-    fetched = written(fetched, "sets")
-    both = pairs.join(fetched.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a").join(fetched.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    fetched = texts(docs).mapInArrow(lambda batches: _wanted(batches, words, np.unpackbits(sent.value)), "cls long, packed binary")
+    fetched = written(fetched.groupBy("cls").agg(F.first("packed").alias("packed")), "sets")
+    both = pairs.join(fetched.select(F.col("cls").alias("a"), F.col("packed").alias("pa")), "a").join(fetched.select(F.col("cls").alias("b"), F.col("packed").alias("pb")), "b")
+    return both.mapInArrow(lambda batches: _alike(batches, words, percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -207,21 +260,20 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     counts = summed(texts(docs), adds, SKETCH_BITS)
     noise = float(np.median(counts))
     sent = spark.sparkContext.broadcast(counts)
-    posted = texts(docs).mapInArrow(lambda batches: _postings(batches, words, percent, sent.value, noise), "shingle long, cls long, n int, m byte")
-    met = posted.repartition("shingle").sortWithinPartitions("shingle", "n", "cls").mapInArrow(lambda batches: _meet(batches, percent), "shingle long, a long, b long, n int, m byte")
-    met = written(met, "met")
-    trials = met.where("b is not null").groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("m").alias("m")).where("shared >= m").select("a", "b")
-    links = written(_verified(docs, written(trials, "trials"), words, percent), "near")
-    of = components(links).select(F.col("a").alias("cls"), "component")
-    placed = met.where("b is null").select("shingle", "n", F.col("a").alias("cls"), "m").join(of, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    # groups all of one component need no trial
-    mixed_groups = placed.groupBy("shingle").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("shingle")
-    left = placed.join(mixed_groups, "shingle", "left_semi").select("shingle", "n", "cls", "m", "component")
-    across = left.repartition("shingle").sortWithinPartitions("shingle", "n").mapInArrow(lambda batches: _across(batches, percent), "a long, b long, m byte")
-    across = across.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("m").alias("m")).where("shared >= m").select("a", "b")
-    more = _verified(docs, written(across, "across"), words, percent)
+    posted = texts(docs).mapInArrow(lambda batches: _postings(batches, words, percent, sent.value, noise), "shingle long, cls long, n int, m byte, at int, rare int").select("shingle", "n", "cls", "m", "at", "rare")
+    met = written(posted.repartition("shingle").sortWithinPartitions("shingle", "n", "cls").mapInArrow(_met, posted.schema), "met")
+    links = spark.createDataFrame([], "a long, b long")
+    for turn, pick in enumerate((*[partial(_trials, turn=k) for k in TURNS], _across)):
+        of = components(links).select(F.col("a").alias("cls"), "component")
+        placed = met.join(of, "cls", "left").withColumn("component", F.coalesce("component", "cls")).select("shingle", "n", "cls", "m", "at", "rare", "component")
+        # groups all of one component need no trial; what is left is written, as it is read twice
+        open_ = placed.groupBy("shingle").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("shingle")
+        left = placed.join(open_, "shingle", "left_semi") if turn else placed
+        pairs = left.repartition("shingle").sortWithinPartitions("shingle", "n", "cls").mapInArrow(partial(pick, percent=percent), PAIRS)
+        found = _verified(docs, written(_candidates(pairs, percent), "candidates"), words, percent)
+        links = written(links.unionByName(found), "near")
     nodes = named.select("cls", "node")
-    edges = links.unionByName(more).join(nodes.select(F.col("cls").alias("a"), F.col("node").alias("na")), "a").join(nodes.select(F.col("cls").alias("b"), F.col("node").alias("nb")), "b")
+    edges = links.join(nodes.select(F.col("cls").alias("a"), F.col("node").alias("na")), "a").join(nodes.select(F.col("cls").alias("b"), F.col("node").alias("nb")), "b")
     parts = components(edges.select(F.col("na").alias("a"), F.col("nb").alias("b")))
     final = named.join(parts.withColumnRenamed("a", "node"), "node", "left").select("cls", "check", F.coalesce("component", "node").alias("component"))
     out = every.join(final, ["cls", "check"], "left")

@@ -22,7 +22,7 @@ from .repeats import NO_ID, Block, Shape, shared_windows, together, without_repe
 
 WINDOW, GRAM = 35, 6
 #: Words in one index.
-INDEX_WORDS = 400_000
+INDEX_WORDS = 250_000
 
 
 class BitVector:
@@ -161,7 +161,7 @@ def _cut(block: Block, removed: np.ndarray) -> pa.RecordBatch:
 
 def remove_windows(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words left, one blank between) of each row."""
-    return without_repeats(docs, Shape(WINDOW, GRAM, True), repeated, _cut, "doc_id long, n_words long, n_removed long, kept binary")
+    return without_repeats(docs, Shape(WINDOW, GRAM, True, 2), repeated, _cut, "doc_id long, n_words long, n_removed long, kept binary")
 
 
 def _digest(block: Block, removed: np.ndarray) -> pa.RecordBatch:
@@ -171,7 +171,7 @@ def _digest(block: Block, removed: np.ndarray) -> pa.RecordBatch:
 
 def op7_fmindex(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return without_repeats(docs, Shape(WINDOW, GRAM, True), repeated, _digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return without_repeats(docs, Shape(WINDOW, GRAM, True, 2), repeated, _digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 QUERIES = {"op7_fmindex": op7_fmindex}

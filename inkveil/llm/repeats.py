@@ -27,7 +27,10 @@ from pyspark.sql import functions as F
 from .common import byte_hashes, chunks, flat, joined_slices, mixed, prefix_sums, repeats, span_hashes, texts, word_bounds, written
 from .sketches import summed
 
-BLOCK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 2 << 20, 4 << 20, 24
+BLOCK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 3 << 20, 8 << 20, 24
+#: Units are hashed in stretches of documents of so many symbols.
+STRETCH = 1 << 18
+LEVEL = 6
 SKETCH_BITS = 20
 #: An anchor of more units than that is dealt out by window.
 COMMON = 2000
@@ -38,11 +41,15 @@ NO_ID = np.iinfo(np.int64).max
 
 @dataclass(frozen=True)
 class Shape:
-    """window and gram in symbols: words, or else bytes."""
+    """window and gram in symbols: words, or else bytes. A bucket is judged in so many parts, one after another."""
 
     window: int
     gram: int
     words: bool
+    parts: int
+
+
+_CODEC = pa.Codec("zstd", compression_level=LEVEL)
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -50,7 +57,7 @@ def _pack(values: np.ndarray) -> bytes:
     if not len(values):
         return b""
     plain = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
-    return len(plain).to_bytes(8, "little") + pa.compress(plain, "zstd", asbytes=True)
+    return len(plain).to_bytes(8, "little") + _CODEC.compress(plain, asbytes=True)
 
 
 def _unpack(data: bytes, kind: type) -> np.ndarray:
@@ -108,32 +115,43 @@ class Block:
             self.sums = None
         self._units()
 
-    def _gram_hashes(self) -> np.ndarray:
-        n = int(self.first[-1]) - self.shape.gram + 1
+    def _gram_hashes(self, a: int, b: int) -> np.ndarray:
+        """Of the symbols from a to b."""
+        n = b - a - self.shape.gram + 1
         if n <= 0:
             return np.zeros(0, np.uint64)
         if self.shape.words:
-            at = np.arange(n)
+            at = np.arange(a, a + n)
             return span_hashes(self.sums, at, at + self.shape.gram)
-        return byte_grams(self.body, self.shape.gram)
+        return byte_grams(self.body[a:b], self.shape.gram)
 
     def _units(self) -> None:
+        """Stretch by stretch: whole documents, as many as fit."""
+        found, doc = [], 0
+        while doc < len(self.ids):
+            stop = max(doc + 1, int(np.searchsorted(self.first, self.first[doc] + STRETCH, "right")) - 1)
+            found.append(self._units_of(doc, stop))
+            doc = stop
+        kinds = (np.int64, np.int64, np.int64, np.uint64)
+        self.at, self.windows, self.doc, self.anchor = (np.concatenate([*(f[k] for f in found), np.zeros(0, kind)]) for k, kind in enumerate(kinds))
+
+    def _units_of(self, doc: int, stop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        a, first = int(self.first[doc]), self.first[doc : stop + 1] - self.first[doc]
         span, window = self.shape.window - self.shape.gram + 1, self.shape.window
-        low, size = self._gram_hashes(), 1
-        n = max(0, int(self.first[-1]) - window + 1)  # places where a window could start
+        low, size = self._gram_hashes(a, a + int(first[-1])), 1
+        n = max(0, int(first[-1]) - window + 1)  # places where a window could start
         while 2 * size <= span and len(low) > size:
             low, size = np.minimum(low[:-size], low[size:]), 2 * size
         low = np.minimum(low[:n], low[span - size : span - size + n]) if n else np.zeros(0, np.uint64)
-        doc = np.repeat(np.arange(len(self.ids)), np.diff(self.first))[:n]
-        whole = np.flatnonzero(self.first[doc + 1] - np.arange(n) >= window)
-        low, doc = low[whole], doc[whole]
+        owner = np.repeat(np.arange(stop - doc), np.diff(first))[:n]
+        whole = np.flatnonzero(first[owner + 1] - np.arange(n) >= window)
+        low, owner = low[whole], owner[whole]
         lead = np.ones(len(whole), bool)
-        lead[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
+        lead[1:] = (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])
         begin = np.flatnonzero(lead)
         since = np.arange(len(whole)) - np.repeat(begin, np.diff(np.append(begin, len(whole))))
         begin = np.flatnonzero(since % LONGEST == 0)
-        self.at, self.windows = whole[begin], np.diff(np.append(begin, len(whole)))
-        self.doc, self.anchor = doc[begin], low[begin]
+        return a + whole[begin], np.diff(np.append(begin, len(whole))), doc + owner[begin], low[begin]
 
     def by_window(self, common: np.ndarray) -> None:
         """Units of common anchors become units of one window, with its hash as anchor."""
@@ -156,9 +174,9 @@ class Block:
         return self.at, last
 
     def distinct(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the distinct units, in order of bucket: one unit's number, and its bucket; of all units, their distinct one's number; which distinct ones more documents (words: more places) have."""
+        """Of the distinct units, in order of bucket and part: one unit's number, and its bucket times the number of parts plus its part; of all units, their distinct one's number; which distinct ones more documents (words: more places) have."""
         start, end = self.spans()
-        bucket = (self.anchor % np.uint64(buckets)).astype(np.int64)
+        bucket = (self.anchor % np.uint64(buckets * self.shape.parts)).astype(np.int64)
         code, _ = pd.factorize(byte_hashes(self.body, start, end))
         one = np.full(int(code.max(initial=-1)) + 1, -1)
         one[code[::-1]] = np.arange(len(code))[::-1]  # the first of each
@@ -183,7 +201,8 @@ def _sent(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int, common:
         for row in batch.to_pylist():
             block = Block(row, shape)
             block.by_window(common)
-            one, bucket, of, many = block.distinct(buckets)
+            one, part, of, many = block.distinct(buckets)
+            bucket, part = np.divmod(part, shape.parts)
             least = block.least(of, len(one))
             start, end = block.spans()
             start, end = start[one], end[one]
@@ -193,9 +212,9 @@ def _sent(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int, common:
                 size = end[a:b] - start[a:b]
                 ends = np.cumsum(size)
                 text = block.body[np.repeat(start[a:b] - ends + size, size) + np.arange(ends[-1])]
-                rows.append((int(bucket[a]), row["block"], _pack(text), _pack(size.astype(np.uint32)), _pack(block.windows[one[a:b]].astype(np.uint8)), _pack(least[a:b]), _pack(many[a:b])))
-            names = ["bucket", "block", "text", "sizes", "windows", "least", "many"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int64(), *[pa.binary()] * 5))], names)
+                rows.append((int(bucket[a]), row["block"], _pack(text), _pack(size.astype(np.uint32)), _pack(block.windows[one[a:b]].astype(np.uint8)), _pack(least[a:b]), _pack(many[a:b]), _pack(np.bincount(part[a:b], minlength=shape.parts).astype(np.uint32))))
+            names = ["bucket", "block", "text", "sizes", "windows", "least", "many", "parts"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int64(), *[pa.binary()] * 6))], names)
 
 
 #: Of distinct units: their text, offsets in it, windows, least doc_ids and which are repeated as a whole -> a value for each window (NO_ID: none).
@@ -216,32 +235,56 @@ def _answers(batches: Iterator[pa.RecordBatch], judge: Judge) -> Iterator[pa.Rec
 
 
 def _judged(rows: list[dict], judge: Judge) -> Iterator[pa.RecordBatch]:
-    text = np.concatenate([_unpack(r["text"], np.uint8) for r in rows])
-    sizes = [_unpack(r["sizes"], np.uint32).astype(np.int64) for r in rows]
-    size, windows = np.concatenate(sizes), np.concatenate([_unpack(r["windows"], np.uint8) for r in rows]).astype(np.int64)
-    least, many = np.concatenate([_unpack(r["least"], np.int64) for r in rows]), np.concatenate([_unpack(r["many"], np.bool_) for r in rows])
+    """The answers to a bucket's rows, judged part by part."""
+    held = []
+    for row in rows:
+        size = _unpack(row["sizes"], np.uint32).astype(np.int64)
+        columns = [_unpack(row["windows"], np.uint8).astype(np.int64), _unpack(row["least"], np.int64), _unpack(row["many"], np.bool_)]
+        cuts = np.concatenate([[0], np.cumsum(_unpack(row["parts"], np.uint32).astype(np.int64))])
+        held.append((_unpack(row["text"], np.uint8), np.concatenate([[0], np.cumsum(size)]), *columns, cuts))
+    answers: list[list[tuple]] = [[] for _ in rows]
+    for part in range(len(held[0][5]) - 1):
+        pieces = []
+        for text, ends, windows, least, many, cuts in held:
+            a, b = cuts[part], cuts[part + 1]
+            pieces.append((text[ends[a] : ends[b]], np.diff(ends[a : b + 1]), windows[a:b], least[a:b], many[a:b]))
+        for answer, found, at in zip(answers, _judged_part(pieces, judge), (h[5][part] for h in held), strict=True):
+            if len(found[0]):
+                answer.append((found[0] + at, *found[1:]))
+    for row, answer in zip(rows, answers, strict=True):
+        if answer:
+            unit, a, b, value = (np.concatenate(x) for x in zip(*answer, strict=True))
+            columns = (unit.astype(np.uint32), a.astype(np.uint8), b.astype(np.uint8), value)
+            yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([row["bucket"]], pa.int32()), *(pa.array([_pack(x)], pa.binary()) for x in columns)], ["block", "bucket", "unit", "a", "b", "value"])
+
+
+def _judged_part(pieces: list[tuple], judge: Judge) -> list[tuple]:
+    """For each block's units (text, sizes, windows, least doc_ids, which are in more documents): units, runs of windows from a to b, and their values."""
+    text, size, windows, least, many = (np.concatenate(x) for x in zip(*pieces, strict=True))
+    none = (np.zeros(0, np.int64),) * 4
+    if not len(size):
+        return [none] * len(pieces)
     end = np.cumsum(size)
     code, _ = pd.factorize(byte_hashes(text, end - size, end))
-    n = int(code.max(initial=-1)) + 1
+    n = int(code.max()) + 1
     one = np.full(n, -1)
     one[code[::-1]] = np.arange(len(code))[::-1]
     low, whole = np.full(n, NO_ID), np.bincount(code, weights=many, minlength=n) + np.bincount(code, minlength=n) > 1
     np.minimum.at(low, code, least)
     body, offsets = joined_slices(text, (end - size)[one], end[one])
-    del text
     value = judge(body, offsets, windows[one], low, whole)
     # runs of equal values within a unit
     unit = np.repeat(np.arange(n), windows[one])
     first = np.cumsum(windows[one]) - windows[one]
-    lead = np.flatnonzero(np.concatenate([[True], (unit[1:] != unit[:-1]) | (value[1:] != value[:-1])])) if len(unit) else np.zeros(0, np.int64)
+    lead = np.flatnonzero(np.concatenate([[True], (unit[1:] != unit[:-1]) | (value[1:] != value[:-1])]))
     stop = np.append(lead[1:], len(unit))
     keep = value[lead] != NO_ID
     lead, stop = lead[keep], stop[keep]
     run_unit, run_a, run_b, run_value = unit[lead], lead - first[unit[lead]], stop - first[unit[lead]], value[lead]
     per = np.bincount(run_unit, minlength=n)
     at = np.cumsum(per) - per
-    base = 0
-    for row, own in zip(rows, sizes, strict=True):
+    base, out = 0, []
+    for _, own, _, _, _ in pieces:
         mine = code[base : base + len(own)]
         k = per[mine]
         which = np.repeat(np.arange(len(own)), k)
@@ -250,11 +293,8 @@ def _judged(rows: list[dict], judge: Judge) -> Iterator[pa.RecordBatch]:
         needed = (run_value[run] < least[base : base + len(own)][which]) | many[base : base + len(own)][which]
         which, run = which[needed], run[needed]
         base += len(own)
-        if len(which):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([row["block"]]), pa.array([row["bucket"]], pa.int32()), *(pa.array([_pack(x)], pa.binary()) for x in (which.astype(np.uint32), run_a[run].astype(np.uint8), run_b[run].astype(np.uint8), run_value[run]))],
-                ["block", "bucket", "unit", "a", "b", "value"],
-            )
+        out.append((which, run_a[run], run_b[run], run_value[run]))
+    return out
 
 
 def _marked(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int, common: np.ndarray, output: Callable[[Block, np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +305,7 @@ def _marked(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int, commo
             removed = np.zeros(int(block.first[-1]) + 1, np.int32)
             if row["answers"]:
                 one, bucket, of, _ = block.distinct(buckets)
-                base = np.searchsorted(bucket, np.arange(buckets))
+                base = np.searchsorted(bucket, np.arange(buckets) * shape.parts)
                 unit = np.concatenate([_unpack(x["unit"], np.uint32).astype(np.int64) + base[x["bucket"]] for x in row["answers"]])
                 a, b = (np.concatenate([_unpack(x[k], np.uint8) for x in row["answers"]]).astype(np.int64) for k in "ab")
                 value = np.concatenate([_unpack(x["value"], np.int64) for x in row["answers"]])
@@ -295,7 +335,7 @@ def without_repeats(docs: DataFrame, shape: Shape, judge: Judge, output: Callabl
 
     counts = summed(blocks, anchors, SKETCH_BITS)
     common = counts > COMMON + int(np.median(counts))
-    sent = blocks.mapInArrow(lambda batches: _sent(batches, shape, buckets, common), "bucket int, block long, text binary, sizes binary, windows binary, least binary, many binary")
+    sent = blocks.mapInArrow(lambda batches: _sent(batches, shape, buckets, common), "bucket int, block long, text binary, sizes binary, windows binary, least binary, many binary, parts binary")
     found = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _answers(batches, judge), "block long, bucket int, unit binary, a binary, b binary, value binary")
     answers = found.groupBy("block").agg(F.collect_list(F.struct("bucket", "unit", "a", "b", "value")).alias("answers"))
     return blocks.join(answers, "block", "left").mapInArrow(lambda batches: _marked(batches, shape, buckets, common, output), schema)

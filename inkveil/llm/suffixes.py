@@ -141,7 +141,7 @@ def _cut_characters(block: Block, removed: np.ndarray) -> pa.RecordBatch:
 
 def remove_passages(docs: DataFrame, whole_characters: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary) of each row."""
-    return without_repeats(docs, Shape(WINDOW, GRAM, False), least_ids, _cut_characters if whole_characters else _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return without_repeats(docs, Shape(WINDOW, GRAM, False, 16), least_ids, _cut_characters if whole_characters else _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def _digest(block: Block, removed: np.ndarray) -> pa.RecordBatch:
@@ -151,7 +151,7 @@ def _digest(block: Block, removed: np.ndarray) -> pa.RecordBatch:
 
 def op8_suffixes(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return without_repeats(docs, Shape(WINDOW, GRAM, False), least_ids, _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return without_repeats(docs, Shape(WINDOW, GRAM, False, 16), least_ids, _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 QUERIES = {"op8_suffixes": op8_suffixes}

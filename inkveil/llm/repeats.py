@@ -32,8 +32,8 @@ BLOCK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 3 << 20, 8 << 20, 24
 STRETCH = 1 << 18
 LEVEL = 6
 SKETCH_BITS = 20
-#: An anchor of more units than that is dealt out by window.
-COMMON = 2000
+#: An anchor of more units than that is dealt out by window: a bucket holds some ten times as many.
+COMMON = 20_000
 #: The most windows in a unit.
 LONGEST = 128
 NO_ID = np.iinfo(np.int64).max
@@ -90,13 +90,12 @@ def _normal_words(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return out, (at + np.arange(n + 1))[before]
 
 
-def byte_grams(body: np.ndarray, gram: int) -> np.ndarray:
-    """A hash of each gram (a power of two, 8 at most) of bytes; equal grams only have equal ones."""
-    out, size = body.astype(np.uint64), 1
-    while size < gram:
-        out = out[:-size] | out[size:] << np.uint64(8 * size)
-        size *= 2
-    return mixed(out)
+def byte_grams(body: np.ndarray) -> np.ndarray:
+    """A hash of each 16 bytes."""
+    eight = body.astype(np.uint64)
+    for size in (1, 2, 4):
+        eight = eight[:-size] | eight[size:] << np.uint64(8 * size)
+    return mixed(mixed(eight[:-8]) + eight[8:])
 
 
 class Block:
@@ -123,7 +122,7 @@ class Block:
         if self.shape.words:
             at = np.arange(a, a + n)
             return span_hashes(self.sums, at, at + self.shape.gram)
-        return byte_grams(self.body[a:b], self.shape.gram)
+        return byte_grams(self.body[a:b])
 
     def _units(self) -> None:
         """Stretch by stretch: whole documents, as many as fit."""

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from .common import byte_hashes, runs
 from .repeats import NO_ID, Block, Shape, byte_grams, shared_windows, together, without_repeats
 
-WINDOW, GRAM = 50, 8
+WINDOW, GRAM = 50, 16  # byte_grams has 16
 NO_HASH = np.uint64(2**64 - 1)
 #: Bytes that are sorted together.
 SORTED_BYTES = 2 << 20
@@ -106,7 +106,7 @@ def least_ids(text: np.ndarray, offsets: np.ndarray, windows: np.ndarray, least:
         return value
     # units that share a window have its anchor in common: they are sorted together
     begin = offsets[shared]
-    anchor = np.minimum.reduceat(np.append(byte_grams(text, GRAM), NO_HASH), np.stack([begin, begin + window - GRAM + 1], 1).ravel())[::2]
+    anchor = np.minimum.reduceat(np.append(byte_grams(text), NO_HASH), np.stack([begin, begin + window - GRAM + 1], 1).ravel())[::2]
     for part in together(shared, anchor, offsets[shared + 1] - begin, SORTED_BYTES):
         size = offsets[part + 1] - offsets[part]
         ends = np.cumsum(size)

@@ -30,7 +30,7 @@ from .common import chunks, flat, shared_folder, texts
 
 BLOCK, EPOCH, END_ID = 4096, 64, 2
 SEGMENT_BYTES, PART_BYTES = 12 << 20, 24 << 20
-SLOTS, LANES = 12, 2048
+SLOTS, LANES = 11, 2048
 _U = np.uint64
 _LOW32 = _U(0xFFFFFFFF)
 
@@ -51,6 +51,9 @@ class Model:
         """Order 0: the ids so far in order, under their lanes; an id's places are its share of all."""
         self.total = self.n
         self.keys = np.sort(self.past[:, : self.n], axis=1).ravel()
+        lead = np.flatnonzero(np.append(True, self.keys[1:] != self.keys[:-1])) if len(self.keys) else np.zeros(0, np.int64)
+        size = np.diff(np.append(lead, len(self.keys)))
+        self.run_begin, self.run_size = np.repeat(lead.astype(np.int32), size), np.repeat(size.astype(np.int32), size)
         self.next = self.n + max(EPOCH, self.n >> 2)
 
     def predict(self, live: int) -> None:
@@ -92,17 +95,18 @@ class Model:
         if self.n == self.next:
             self._count()
 
-    def share(self, lane: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where ids begin among the ordered ids of their lanes, and how many places they have."""
+    def shared(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For ids to come (a row for each lane): where they begin among the ordered ids of their lanes, and how many places they have."""
         if not self.total:
-            return np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-        key = (ids | lane << 16).astype(np.uint32)
-        begin = np.searchsorted(self.keys, key, "left")
-        end = np.searchsorted(self.keys, key, "right")
-        return begin - lane * self.total, end - begin
+            return np.zeros(ids.shape, np.int64), np.zeros(ids.shape, np.int64)
+        key = (ids | self.row[:, None] << 16).astype(np.uint32)
+        at = np.minimum(np.searchsorted(self.keys, key.ravel(), "left"), len(self.keys) - 1).reshape(key.shape)
+        return at - self.row[:, None] * self.total, np.where(self.keys[at] == key, self.run_size[at], 0)
 
-    def at_place(self, lane: np.ndarray, place: np.ndarray) -> np.ndarray:
-        return (self.keys[lane * self.total + place] & np.uint32(0xFFFF)).astype(np.int64)
+    def at_place(self, lane: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids at places among the ordered ids, where they begin there, and how many places they have."""
+        at = lane * self.total + place
+        return (self.keys[at] & np.uint32(0xFFFF)).astype(np.int64), self.run_begin[at] - lane * self.total, self.run_size[at]
 
 
 class Coder:
@@ -165,13 +169,17 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     for lane, i in enumerate(order):
         ids[: len(blocks[i]), lane] = blocks[i]
     model, coder = Model(len(order)), Coder(len(order))
+    known_of, since = -1, 0
     for t, row in enumerate(ids):
         live = int(np.searchsorted(-sizes, -t, "left"))
         model.predict(live)
         now = row[:live]
         case = np.where(model.guess2 >> 2 == now + 1, 0, np.where(model.guess1 >> 2 == now + 1, 1, 3))
         open_ = np.flatnonzero(case == 3)
-        begin, size = model.share(open_, now[open_])
+        if model.total != known_of:  # for all ids up to the next count at once
+            known_of, since = model.total, t
+            begins, counts = model.shared(ids[t : model.next].T)
+        begin, size = begins[open_, t - since], counts[open_, t - since]
         case[open_[size > 0]] = 2
         coder.narrow(slice(0, live), *model.shares(case), 65536)
         if len(known := np.flatnonzero(size > 0)):
@@ -206,8 +214,8 @@ def decode_blocks(payloads: list[bytes], lengths: list[int]) -> list[np.ndarray]
         coder.narrow(slice(0, live), *model.shares(case), 65536)
         now = np.where(case == 0, (model.guess2 >> 2) - 1, (model.guess1 >> 2) - 1).astype(np.int64)
         if len(known := np.flatnonzero(case == 2)):
-            now[known] = model.at_place(known, coder.place(known, model.total))
-            coder.narrow(known, *model.share(known, now[known]), model.total)
+            now[known], begin, size = model.at_place(known, coder.place(known, model.total))
+            coder.narrow(known, begin, size, model.total)
         if len(new := np.flatnonzero(case == 3)):
             now[new] = coder.place(new, 65536)
             coder.narrow(new, now[new], 1, 65536)

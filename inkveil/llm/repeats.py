@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import byte_hashes, chunks, flat, joined_slices, mixed, prefix_sums, repeats, span_hashes, texts, word_bounds, written
 from .sketches import summed
 
-BLOCK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 3 << 20, 8 << 20, 24
+BLOCK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 8 << 20, 24
 #: Units are hashed in stretches of documents of so many symbols.
 STRETCH = 1 << 18
 LEVEL = 6
@@ -91,11 +91,11 @@ def _normal_words(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 
 
 def byte_grams(body: np.ndarray) -> np.ndarray:
-    """A hash of each 16 bytes."""
+    """A hash of each 12 bytes."""
     eight = body.astype(np.uint64)
     for size in (1, 2, 4):
         eight = eight[:-size] | eight[size:] << np.uint64(8 * size)
-    return mixed(mixed(eight[:-8]) + eight[8:])
+    return mixed(mixed(eight[:-4]) + eight[4:])
 
 
 class Block:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from .common import byte_hashes, runs
 from .repeats import NO_ID, Block, Shape, byte_grams, shared_windows, together, without_repeats
 
-WINDOW, GRAM = 50, 16  # byte_grams has 16
+WINDOW, GRAM = 50, 12  # byte_grams has 12
 NO_HASH = np.uint64(2**64 - 1)
 #: Bytes that are sorted together.
 SORTED_BYTES = 2 << 20

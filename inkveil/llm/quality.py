@@ -1,10 +1,11 @@
 """Quality rules: word and line statistics, and perplexity bands under a modified Kneser-Ney model counted by Spark.
 
-The model is one of byte 4-grams for each language (the lang column; null is a language of its own), counted over
-all documents. Its probabilities are computed as DataFrames: for each order, discounts from the counts of counts,
-continuation counts for the lower orders, interpolation down to the uniform distribution. As every 4-gram of a
-document has been counted, the table of 4-grams holds all that scoring needs. Up to model_entries rows it is sent
-to the executors as sorted arrays of hashes, searched in batches; beyond, documents' own counts are joined with it.
+The model is one of word trigrams for each language (the lang column; null is a language of its own), counted over
+all documents: words `[^\\x20\\x09-\\x0D]+` in lower case, each digit as one sign, two marks before a text's first word.
+Its probabilities are computed as DataFrames: for each order, discounts from the counts of counts, continuation counts
+for the lower orders, interpolation down to the uniform distribution. It grows with the input. As every trigram of a
+document has been counted (the document's own are among the counts), the table of trigrams holds all that scoring needs. Up to model_entries rows it is sent
+to the executors as a sorted array of hashes, searched in batches; beyond, documents' own counts are joined with it.
 
 Nulls: a null text is empty (n_words 0, base_failed, no perplexity); a null lang is a language of its own. A null or
 repeated doc_id is returned as it is, a row for each input row. Other columns of the input are not read.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, byte_hashes, chunks, codes_of, flat, mixed, repeats, texts, word_bounds, written
 
-ORDER = 4
+ORDER = 3
 #: Rows of the model that may be broadcast: 16 bytes each.
 MODEL_ENTRIES = 3_000_000
 MAX_BROADCAST_LANGUAGES = 10_000
@@ -84,57 +85,50 @@ def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
         yield zlib.crc32(name.encode()) & 0xFFFFFF, batch.filter(pa.array(codes == k))
 
 
-def _grams(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Each byte of each text with the three bytes before it (before the first: marks), as 32 bits; the texts' offsets."""
+def _grams(batch: pa.RecordBatch, lang: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word of each text a row of ORDER hashes, of the words before it (before the first: marks) and its own; the rows' hashes; the number of words before each text (len + 1)."""
     body, offsets = flat(batch.column("text"))
-    pad, n = ORDER - 1, batch.num_rows
-    sizes = np.diff(offsets)
-    padded = np.full(len(body) + pad * n, 2, np.uint32)
-    inside = np.arange(len(body)) + np.repeat(pad * np.arange(1, n + 1), sizes)
-    padded[inside] = _LOWER[body]
-    key = padded.copy()
+    starts, ends, before = word_bounds(body, offsets)
+    odd, pad, n = np.uint64(0xD6E8FEB86659FD93), ORDER - 1, batch.num_rows
+    own = mixed(byte_hashes(_LOWER[body], starts, ends) + np.uint64(lang) * odd)
+    padded = np.full(len(own) + pad * n, np.uint64(lang) + np.uint64(1))
+    inside = np.arange(len(own)) + np.repeat(pad * np.arange(1, n + 1), np.diff(before))
+    padded[inside] = own
+    words = np.stack([padded[inside - k] for k in range(pad, -1, -1)], axis=1)
+    gram = words[:, 0].copy()
     for k in range(1, ORDER):
-        key[pad:] |= padded[pad - k : len(padded) - k] << np.uint32(8 * k)
-    return key[inside], offsets
+        gram = mixed(gram * odd + words[:, k])
+    return words.view(np.int64), gram.view(np.int64), before
 
 
 def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    ordered = np.sort(values)
+    """One place of each distinct value, in order of values, and how often each stands."""
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
-    return ordered[first], np.diff(np.concatenate([first, [len(ordered)]]))
+    return order[first], np.diff(np.concatenate([first, [len(ordered)]]))
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
         for lang, rows in _by_language(batch):
-            gram, n = _counted(_grams(rows)[0])
-            yield pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int64) | lang << 8 * ORDER), pa.array(n.astype(np.int64))], ["gram", "n"])
+            words, gram, _ = _grams(rows, lang)
+            one, n = _counted(gram)
+            columns = [pa.array(np.full(len(one), lang, np.int32)), pa.array(gram[one]), *(pa.array(words[one, k]) for k in range(ORDER)), pa.array(n.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["l", "gram", "a", "b", "c", "n"])
 
 
 class HashArrays:
-    """A language's model: hashes in order, their log-probabilities, and for each value of the hashes' first bits the place of its first."""
+    """The model: hashes of grams in order, and their log-probabilities."""
 
     def __init__(self, grams: np.ndarray, logp: np.ndarray):
-        hashes = self.hashed(grams.astype(np.uint32))
-        order = np.argsort(hashes)
-        self.bits = max(1, int(len(grams)).bit_length() + 1)
-        self.hashes, self.logp = np.append(hashes[order], 0), logp[order]
-        self.first = np.searchsorted(hashes[order], np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(32 - self.bits)).astype(np.int32)
-
-    @staticmethod
-    def hashed(grams: np.ndarray) -> np.ndarray:
-        """One to one, modulo 2 ** 32."""
-        return (grams ^ grams >> np.uint32(15)) * np.uint32(0x9E3779B1)
+        order = np.argsort(grams)
+        self.hashes, self.logp = grams[order], logp[order]
 
     def __call__(self, grams: np.ndarray) -> np.ndarray:
         """The log-probabilities of grams, all of which the model has."""
-        wanted = self.hashed(grams)
-        at = self.first[wanted >> np.uint32(32 - self.bits)]
-        open_ = np.flatnonzero(self.hashes[at] != wanted)
-        while len(open_):
-            at[open_] += 1
-            open_ = open_[self.hashes[at[open_]] != wanted[open_]]
-        return self.logp[at]
+        wanted, place = np.unique(grams, return_inverse=True)
+        return self.logp[np.searchsorted(self.hashes, wanted)][place]
 
 
 def _discount(k: int, y: Column) -> Column:
@@ -143,68 +137,69 @@ def _discount(k: int, y: Column) -> Column:
 
 
 def kneser_ney(docs: DataFrame) -> DataFrame:
-    """gram long (language key and four bytes), logp double: the natural logarithm of the last byte's probability after the others."""
-    bits = 8 * ORDER
-    counted = texts(docs, "lang").mapInArrow(_count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    top = written(counted.select(F.shiftrightunsigned("gram", bits).alias("l"), F.expr(f"gram & {(1 << bits) - 1}").alias("g"), "n"), "grams")
-    levels = [top]
-    for k in range(ORDER - 1, 0, -1):
-        levels.append(levels[-1].groupBy("l", F.expr(f"g & {(1 << 8 * k) - 1}").alias("g")).agg(F.count("*").alias("n")))
-    # a row of discounts for each language goes to all executors, unless there are very many
-    few = top.select("l").distinct().count() <= MAX_BROADCAST_LANGUAGES
-    lower = None
-    for level in reversed(levels):
+    """gram long (a trigram's hash), a, b, c long (its words' hashes, each with its language), logp double: the natural logarithm of the last word's probability after the others."""
+    counted = texts(docs, "lang").mapInArrow(_count_grams, "l int, gram long, a long, b long, c long, n int")
+    # equal hashes of grams are equal grams: the other columns are carried along
+    top = written(counted.groupBy("gram").agg(*(F.first(k).alias(k) for k in ("l", "a", "b", "c")), F.sum("n").alias("n")), "grams")
+    pairs = written(top.groupBy("b", "c").agg(F.first("l").alias("l"), F.count("*").alias("n")), "pairs")
+    single = written(pairs.groupBy("c").agg(F.first("l").alias("l"), F.count("*").alias("n")), "words")
+    # a row for each language goes to all executors, unless there are very many
+    few = single.select("l").distinct().count() <= MAX_BROADCAST_LANGUAGES
+    sent = F.broadcast if few else lambda df: df
+
+    def discounted(level: DataFrame) -> DataFrame:
         kinds = [F.sum((F.col("n") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)]
         y = F.coalesce(F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2")), F.lit(0.0))
         discounts = level.groupBy("l").agg(*kinds).select("l", *(_discount(k, y) for k in (1, 2, 3)))
-        own = level.join(F.broadcast(discounts) if few else discounts, "l").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
-        context = Window.partitionBy("l", F.expr("shiftrightunsigned(g, 8)"))
-        own = own.withColumn("all_n", F.sum("n").over(context)).withColumn("all_d", F.sum("d").over(context))
-        if lower is None:
-            below = own.withColumn("q", F.lit(1 / 256))
-        else:
-            mask = (1 << 8 * lower[1]) - 1
-            below = own.withColumn("s", F.expr(f"g & {mask}")).join(lower[0].withColumnRenamed("g", "s").withColumnRenamed("p", "q"), ["l", "s"])
-        p = (F.col("n") - F.col("d") + F.col("all_d") * F.col("q")) / F.col("all_n")
-        lower = (below.select("l", "g", p.alias("p")), 1 if lower is None else lower[1] + 1)
-    return lower[0].select((F.shiftleft("l", bits).bitwiseOR(F.col("g"))).alias("gram"), F.log("p").alias("logp"))
-
-
-def _stats(batches: Iterator[pa.RecordBatch], models: dict[int, HashArrays] | None) -> Iterator[pa.RecordBatch]:
+        return level.join(sent(discounts), "l").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))).drop("d1", "d2", "d3")
+
+    totals = (F.sum("n").alias("all_n"), F.sum("d").alias("all_d"))
+    p = ((F.col("n") - F.col("d") + F.col("all_d") * F.col("q")) / F.col("all_n")).alias("p")
+    # sums are joined with what they sum up, as a window would hold all rows of a common word or of a language in one task
+    own = discounted(single)
+    one = own.join(sent(own.groupBy("l").agg(*totals, (1 / (F.count("*") + 1)).alias("q"))), "l").select("c", p.alias("q"))
+    own = discounted(pairs)
+    two = own.join(own.groupBy("b").agg(*totals), "b").join(one, "c").select("b", "c", p.alias("q"))
+    own = discounted(top).drop("l")
+    return own.join(own.groupBy("a", "b").agg(*totals), ["a", "b"]).join(two, ["b", "c"]).select("gram", "a", "b", "c", F.log(p).alias("logp"))
+
+
+def _stats(batches: Iterator[pa.RecordBatch], model: HashArrays | None) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
         for lang, rows in _by_language(batch):
             columns = {c: rows.column(c) for c in rows.schema.names if c != "text"} | {k: pa.array(v.astype(np.int64)) for k, v in _text_stats(rows).items()}
-            if models is not None:
-                grams, offsets = _grams(rows)
-                sizes = np.diff(offsets)
-                logp = models[lang](grams) if len(grams) else np.zeros(0)
-                total = np.add.reduceat(np.append(logp, 0.0), offsets[:-1])
+            if model is not None:
+                _, gram, before = _grams(rows, lang)
+                sizes = np.diff(before)
+                total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=model(gram), minlength=len(sizes)) if len(gram) else np.zeros(len(sizes))
                 columns["log_perplexity"] = pa.array(-total / np.maximum(sizes, 1), mask=sizes == 0)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each row and each of its grams the number of times."""
     for batch in chunks(batches):
         for lang, rows in _by_language(batch):
-            grams, offsets = _grams(rows)
-            doc = np.repeat(np.arange(rows.num_rows, dtype=np.uint64), np.diff(offsets))
-            pairs, n = _counted(doc << np.uint64(8 * ORDER) | grams)
-            yield pa.RecordBatch.from_arrays([rows.column("row").take(pa.array((pairs >> np.uint64(8 * ORDER)).astype(np.int64))), pa.array((pairs & np.uint64(0xFFFFFFFF)).astype(np.int64) | lang << 8 * ORDER), pa.array(n.astype(np.int64))], ["row", "gram", "n"])
+            _, gram, before = _grams(rows, lang)
+            doc = np.repeat(np.arange(rows.num_rows), np.diff(before))
+            order = np.lexsort((gram, doc))
+            doc, gram = doc[order], gram[order]
+            first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1])])) if len(gram) else np.zeros(0, np.int64)
+            n = np.diff(np.append(first, len(gram)))
+            yield pa.RecordBatch.from_arrays([rows.column("row").take(pa.array(doc[first])), pa.array(gram[first]), pa.array(n.astype(np.int32))], ["row", "gram", "n"])
 
 
 def document_stats(docs: DataFrame, model_entries: int = MODEL_ENTRIES) -> DataFrame:
-    """For each row of docs: doc_id, lang, the five counts, and log_perplexity double (per byte; null for an empty text)."""
-    model = written(kneser_ney(docs), "model")
+    """For each row of docs: doc_id, lang, the five counts, and log_perplexity double (per word; null for a text without words)."""
+    model = written(kneser_ney(docs).select("gram", "logp"), "model")
     if model.count() <= model_entries:
         table = model.toArrow()
-        gram, logp = table["gram"].to_numpy(), table["logp"].to_numpy()
-        models = {int(k): HashArrays(gram[gram >> 8 * ORDER == k] & 0xFFFFFFFF, logp[gram >> 8 * ORDER == k]) for k in np.unique(gram >> 8 * ORDER)}
-        sent = docs.sparkSession.sparkContext.broadcast(models)
+        sent = docs.sparkSession.sparkContext.broadcast(HashArrays(table["gram"].to_numpy(), table["logp"].to_numpy()))
         return texts(docs, "lang").mapInArrow(lambda batches: _stats(batches, sent.value), f"{STATS}, log_perplexity double")
-    # each row has a key of its own, as doc_id may repeat; the written rows keep it
-    rows = written(docs.select("doc_id", "text", "lang").withColumn("row", F.expr("uuid()")), "rows")
-    scored = texts(rows, "lang", "row").mapInArrow(_gram_counts, "row string, gram long, n long").join(model, "gram").groupBy("row").agg((-F.sum(F.col("n") * F.col("logp")) / F.sum("n")).alias("log_perplexity"))
-    counted = texts(rows, "lang", "row").mapInArrow(lambda batches: _stats(batches, None), STATS.replace("lang string", "lang string, row string"))
+    # rows of one key are equal in doc_id, text and lang, and so in perplexity: their sums give the same mean
+    rows = docs.select("doc_id", "text", "lang", F.xxhash64("doc_id", "text", "lang").alias("row"))
+    scored = texts(rows, "lang", "row").mapInArrow(_gram_counts, "row long, gram long, n int").join(model, "gram").groupBy("row").agg((-F.sum(F.col("n") * F.col("logp")) / F.sum("n")).alias("log_perplexity"))
+    counted = texts(rows, "lang", "row").mapInArrow(lambda batches: _stats(batches, None), STATS.replace("lang string", "lang string, row long"))
     return counted.join(scored, "row", "left").drop("row")
 
 

@@ -4,6 +4,7 @@ Texts are cut, as flat bytes, where the tokenizer's own rules never look across:
 ASCII letters (or Latin-1 letters) and ASCII marks. Apostrophes and other non-ASCII bytes are never cut from their
 neighbours, as contractions, compositions and unknown letters may go across. ASCII letters are lower-cased first, as
 the tokenizer does. Pieces of one kind of ASCII go straight to the library's model, others through all of its steps.
+Texts that hold one of the tokenizer's added tokens (such as `<|endoftext|>`) go through the library whole.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ class WordBPE:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # looked for in ASCII lower case, as they may be matched after the tokenizer's own lower-casing
+        self.added = sorted({t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.pool = TokenPool(KEPT_PIECES)
 
     def _pieces(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,8 +50,36 @@ class WordBPE:
         before = np.concatenate([[0], np.cumsum(solid)])
         return _LOWER[body[solid]], np.append(before[starts], before[-1]), np.searchsorted(starts, offsets)
 
+    def _with_added(self, body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The numbers of the texts in which an added token may stand."""
+        lowered, found = _LOWER[body].tobytes(), []
+        for token in self.added:
+            at = lowered.find(token)
+            while at >= 0:
+                text = int(np.searchsorted(offsets, at, "right")) - 1
+                found.append(text)
+                # what begins in this text and ends in the next one is no token, but does no harm
+                at = lowered.find(token, max(at + 1, int(offsets[text + 1]) - len(token) + 1))
+        return np.unique(np.array(found, np.int64))
+
     def encode(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts body[offsets[i]:offsets[i + 1]] one after another, and the number of ids before each text (len + 1)."""
+        whole = self._with_added(body, offsets)
+        if not len(whole):
+            return self._encode(body, offsets)
+        rest, sizes = body.copy(), np.zeros(len(offsets) - 1, np.int64)
+        for i in whole:
+            rest[offsets[i] : offsets[i + 1]] = 32
+        ids, starts = self._encode(rest, offsets)
+        said = self.tokenizer.encode_batch_fast([body[offsets[i] : offsets[i + 1]].tobytes().decode() for i in whole], add_special_tokens=False)
+        sizes[whole] = [len(x.ids) for x in said]
+        own = np.repeat(np.isin(np.arange(len(sizes)), whole), sizes + np.diff(starts))
+        out = np.empty(len(own), ids.dtype)
+        out[~own], out[own] = ids, np.concatenate([np.array(x.ids, ids.dtype) for x in said])
+        return out, starts + np.concatenate([[0], np.cumsum(sizes)])
+
+    def _encode(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts without added tokens."""
         self.pool.trim()
         packed, at, before = self._pieces(body, offsets)
         codes, distinct = codes_of(binary_array(packed, at))

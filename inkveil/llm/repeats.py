@@ -8,8 +8,8 @@ units for one bucket travel together, compressed. An anchor that a count sketch
 common is dealt out window by window instead, by the window's hash: then only equal windows come together, once for
 each block, and no bucket grows with a common passage.
 
-A bucket's judge gets the distinct units and tells for each window the value it gives (the least doc_id, or -1 for
-repeated). Answers go back by block, and the blocks' documents are cut there.
+A bucket's judge gets the distinct units and tells for each window the value it gives (the least doc_id; of words -1 for
+repeated, whatever the doc_ids are). Answers go back by block, and the blocks' documents are cut there.
 """
 
 from __future__ import annotations
@@ -220,20 +220,20 @@ def _sent(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int, common:
 Judge = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
-def _answers(batches: Iterator[pa.RecordBatch], judge: Judge) -> Iterator[pa.RecordBatch]:
+def _answers(batches: Iterator[pa.RecordBatch], judge: Judge, by_id: bool) -> Iterator[pa.RecordBatch]:
     """From rows in order of bucket."""
     held: list[dict] = []
     for batch in batches:
         for row in batch.to_pylist():
             if held and row["bucket"] != held[0]["bucket"]:
-                yield from _judged(held, judge)
+                yield from _judged(held, judge, by_id)
                 held = []
             held.append(row)
     if held:
-        yield from _judged(held, judge)
+        yield from _judged(held, judge, by_id)
 
 
-def _judged(rows: list[dict], judge: Judge) -> Iterator[pa.RecordBatch]:
+def _judged(rows: list[dict], judge: Judge, by_id: bool) -> Iterator[pa.RecordBatch]:
     """The answers to a bucket's rows, judged part by part."""
     held = []
     for row in rows:
@@ -247,7 +247,7 @@ def _judged(rows: list[dict], judge: Judge) -> Iterator[pa.RecordBatch]:
         for text, ends, windows, least, many, cuts in held:
             a, b = cuts[part], cuts[part + 1]
             pieces.append((text[ends[a] : ends[b]], np.diff(ends[a : b + 1]), windows[a:b], least[a:b], many[a:b]))
-        for answer, found, at in zip(answers, _judged_part(pieces, judge), (h[5][part] for h in held), strict=True):
+        for answer, found, at in zip(answers, _judged_part(pieces, judge, by_id), (h[5][part] for h in held), strict=True):
             if len(found[0]):
                 answer.append((found[0] + at, *found[1:]))
     for row, answer in zip(rows, answers, strict=True):
@@ -257,7 +257,7 @@ def _judged(rows: list[dict], judge: Judge) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([row["bucket"]], pa.int32()), *(pa.array([_pack(x)], pa.binary()) for x in columns)], ["block", "bucket", "unit", "a", "b", "value"])
 
 
-def _judged_part(pieces: list[tuple], judge: Judge) -> list[tuple]:
+def _judged_part(pieces: list[tuple], judge: Judge, by_id: bool) -> list[tuple]:
     """For each block's units (text, sizes, windows, least doc_ids, which are in more documents): units, runs of windows from a to b, and their values."""
     text, size, windows, least, many = (np.concatenate(x) for x in zip(*pieces, strict=True))
     none = (np.zeros(0, np.int64),) * 4
@@ -288,9 +288,9 @@ def _judged_part(pieces: list[tuple], judge: Judge) -> list[tuple]:
         k = per[mine]
         which = np.repeat(np.arange(len(own)), k)
         run = np.repeat(at[mine] - (np.cumsum(k) - k), k) + np.arange(len(which))
-        # a unit of one document that has the least doc_id itself needs no answer
-        needed = (run_value[run] < least[base : base + len(own)][which]) | many[base : base + len(own)][which]
-        which, run = which[needed], run[needed]
+        if by_id:  # a unit of one document that has the least doc_id itself needs no answer
+            needed = (run_value[run] < least[base : base + len(own)][which]) | many[base : base + len(own)][which]
+            which, run = which[needed], run[needed]
         base += len(own)
         out.append((which, run_a[run], run_b[run], run_value[run]))
     return out
@@ -314,8 +314,9 @@ def _marked(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int, commo
                 at, k = np.cumsum(per) - per, per[of]
                 place = np.repeat(np.arange(len(of)), k)
                 run = np.repeat(at[of] - (np.cumsum(k) - k), k) + np.arange(len(place))
-                earlier = value[run] < block.ids[block.doc[place]]
-                place, run = place[earlier], run[earlier]
+                if not shape.words:
+                    earlier = value[run] < block.ids[block.doc[place]]
+                    place, run = place[earlier], run[earlier]
                 np.add.at(removed, block.at[place] + a[run], 1)
                 np.add.at(removed, block.at[place] + b[run] + shape.window - 1, -1)
             yield output(block, np.cumsum(removed[:-1]) > 0)
@@ -335,7 +336,7 @@ def without_repeats(docs: DataFrame, shape: Shape, judge: Judge, output: Callabl
     counts = summed(blocks, anchors, SKETCH_BITS)
     common = counts > COMMON + int(np.median(counts))
     sent = blocks.mapInArrow(lambda batches: _sent(batches, shape, buckets, common), "bucket int, block long, text binary, sizes binary, windows binary, least binary, many binary, parts binary")
-    found = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _answers(batches, judge), "block long, bucket int, unit binary, a binary, b binary, value binary")
+    found = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _answers(batches, judge, not shape.words), "block long, bucket int, unit binary, a binary, b binary, value binary")
     answers = found.groupBy("block").agg(F.collect_list(F.struct("bucket", "unit", "a", "b", "value")).alias("answers"))
     return blocks.join(answers, "block", "left").mapInArrow(lambda batches: _marked(batches, shape, buckets, common, output), schema)
 

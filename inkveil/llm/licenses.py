@@ -27,7 +27,7 @@ BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("c
 
 @dataclass(frozen=True)
 class Rule:
-    """pattern: a regex over words with one space between them; keyword: a word of each match; a higher priority wins."""
+    """pattern: a regex over words with one space between them (` ?`: two words or one); keyword: a word of each match; a higher priority wins."""
 
     label: str
     pattern: str
@@ -37,19 +37,21 @@ class Rule:
 
     @property
     def regex(self) -> str:
-        return f" {self.pattern.replace(' ', '  ')} "
+        parts = (part.replace(" ", "  ") for part in self.pattern.split(" ?"))
+        return f" {'(?:  )?'.join(parts)} "
 
 
 def _versioned(label: str, name: str, keyword: str, versions: tuple[str, ...], confidence: float = 0.95) -> list[Rule]:
-    """A license by name, and by name and version: `name`, `name version 2 0`, `name v2`, `name 2 0 only`."""
+    """A license by name, and by name and version: `name`, `name version 2 0`, `name v2`, `name 2 0 only`, `name label version 2 of the license or at your option any later version`."""
     found = [Rule(label, name, keyword, 1, confidence - 0.15)]
     for version in versions:
         digits = version.split(".")
         number = digits[0] + ("(?: 0)?" if digits[1:] == ["0"] else "".join(f" {d}" for d in digits[1:]))
-        lead = f"{name}(?: as published by the free software foundation)?(?: either)?"
+        lead = f"{name}(?: {label})?(?: as published by the free software foundation)?(?: either)?"
+        itself = "(?: of th(?:e|is) license)?"
         found.append(Rule(f"{label}-{version}", f"{lead}(?: version| v| ver)? v?{number}", keyword, 2, confidence))
-        found.append(Rule(f"{label}-{version}-only", f"{lead}(?: version| v| ver)? v?{number} only", keyword, 3, confidence))
-        found.append(Rule(f"{label}-{version}-or-later", f"{lead}(?: version| v| ver)? v?{number} or(?: at your option)?(?: any)? later(?: version)?", keyword, 3, confidence))
+        found.append(Rule(f"{label}-{version}-only", f"{lead}(?: version| v| ver)? v?{number}{itself} only", keyword, 3, confidence))
+        found.append(Rule(f"{label}-{version}-or-later", f"{lead}(?: version| v| ver)? v?{number}{itself} or(?: at your option)?(?: any)? later(?: version)?", keyword, 3, confidence))
     return found
 
 
@@ -73,7 +75,7 @@ def _rules() -> tuple[Rule, ...]:
     )]
     rules += [Rule("apache", "(?:licensed under the )?apache(?: software)? license", "apache", 1, 0.8), Rule("apache-2.0", "www apache org licenses license 2 0", "apache", 3, 0.95)]
     # Creative Commons: short and spelled-out names, with and without a version
-    spelled = {"by": "attribution", "nc": "non ?commercial", "sa": "share ?alike", "nd": "no ?deriv(?:ative)?s(?: works)?"}
+    spelled = {"by": "attribution", "nc": "non ?commercial", "sa": "share ?alike", "nd": "no ?deriv(?:s|atives?)(?: works)?"}
     parts = (("by",), ("by", "sa"), ("by", "nd"), ("by", "nc"), ("by", "nc", "sa"), ("by", "nc", "nd"))
     for part, version in product(parts, ("", "1.0", "2.0", "2.5", "3.0", "4.0")):
         label, end = "-".join(("cc", *part, *[version] * bool(version))), f" {version.replace('.', ' ')}" * bool(version)
@@ -118,8 +120,8 @@ def _rules() -> tuple[Rule, ...]:
         ("mpl", "mozilla public license", "mozilla", ("1.0", "1.1", "2.0")), ("mpl", "mpl", "mpl", ("1.1", "2.0")), ("epl", "eclipse public license", "eclipse", ("1.0", "2.0")),
         ("cddl", "common development and distribution license", "development", ("1.0", "1.1")), ("cpl", "common public license", "common", ("1.0",)), ("eupl", "european union public licen[cs]e", "european", ("1.1", "1.2")),
         ("osl", "open software license", "software", ("1.0", "2.1", "3.0")), ("afl", "academic free license", "academic", ("2.1", "3.0")), ("artistic", "artistic license", "artistic", ("1.0", "2.0")),
-        ("lppl", "latex project public license", "latex", ("1.2", "1.3")), ("qpl", "q public license", "q", ("1.0",)), ("npl", "netscape public license", "netscape", ("1.0", "1.1")),
-        ("cecill", "cecill(?: free software)? license", "cecill", ("1.0", "2.1")), ("apsl", "apple public source license", "apple", ("1.0", "2.0")), ("zpl", "zope public license", "zope", ("2.0", "2.1")),
+        ("lppl", "latex project public license", "latex", ("1.2", "1.3", "1.3c")), ("qpl", "q public license", "q", ("1.0",)), ("npl", "netscape public license", "netscape", ("1.0", "1.1")),
+        ("cecill", "cecill(?: free software)? license(?: agreement)?", "cecill", ("1.0", "2.1")), ("apsl", "apple public source license", "apple", ("1.0", "2.0")), ("zpl", "zope public license", "zope", ("2.0", "2.1")),
         ("openrail", "open rail m? ?license", "rail", ("1.0",)), ("llama", "llama(?: 2| 3)? community license", "llama", ()),
     ):
         rules += _versioned(label, name, keyword, versions)

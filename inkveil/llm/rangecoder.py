@@ -1,14 +1,16 @@
 """Files of token ids, packed by an adaptive context-mixing range coder, in blocks that reset and are checked on their own.
 
-In a block, the ids seen after the two last ids (order 2) and after the last one (order 1) give a prediction each, with a
-confidence; the counts of all ids so far (order 0, brought up to date as their number grows by a quarter) give the rest. For each id one
-of four cases is coded: the order-2 prediction, the order-1 prediction, an id that order 0 knows (then which, by its
-counts), or a new one (then its 16 bits). The cases' probabilities adapt in the context of both confidences, which is
-how the orders are mixed. The coder is a carryless range coder with 64 bits of state and 16-bit digits.
-
-All blocks of a segment are coded side by side, an id of each at a time, both ways. A file is a Parquet table of
+A block begins with its distinct ids; from there on an id is its rank among these. For each id three orders give a
+distribution: order 2 predicts what last followed the two last ids, order 1 what last followed the last one (each with
+a confidence that hits raise and misses lower), and order 0 has the counts of the block's ids so far, brought up to date
+at growing distances. The distributions are mixed: an id's probability is the weighted sum of the three, and after
+each id the weights, kept for each pair of confidences, move towards the orders' shares in its probability. The mixed
+probability drives a range coder with 48 bits of state and 16-bit digits, whose carries are settled at the end.
+
+All blocks of a segment are coded side by side, an id of each at a time, both ways, by the same arithmetic in whole numbers
+and single IEEE additions, products and quotients, so that it comes out alike on every machine. A file is a Parquet table of
 segments: part and seq (its place in the order), doc_ids, doc_tokens, and blocks of n, crc32 (of the ids as little-endian
-unsigned 32-bit integers) and payload. A reader that finds another checksum fails.
+unsigned 32-bit integers) and payload. A reader that finds another checksum fails. Ids from 2 ** 16 on are refused.
 
 Documents are written in ascending order of doc_id (null first, ties by text) and get their ids and one more, END_ID. Nulls:
 a null text is empty: the end id alone. Rows that repeat are documents of their own. Other columns are not read.
@@ -28,203 +30,259 @@ from pyspark.sql import functions as F
 from . import wordbpe
 from .common import chunks, flat, shared_folder, texts
 
-BLOCK, EPOCH, END_ID = 4096, 64, 2
-SEGMENT_BYTES, PART_BYTES = 12 << 20, 24 << 20
-SLOTS, LANES = 11, 2048
+BLOCK, END_ID = 4096, 2
+SEGMENT_BYTES, PART_BYTES = 32 << 20, 22 << 20
+#: Blocks that are coded side by side.
+LANES = 4096
+#: Order 0 has 2 ** SHARES shares, the mixture one less than 2 ** WHOLE; order 0 keeps a weight of LEAST at least, so that each rank has one.
+SHARES, WHOLE = 13, 19
+ALL, LEAST = (1 << WHOLE) - 1, 2 << SHARES
+#: Order 2's table has so many slots a block.
+SLOTS = 11
+#: Weights are whole numbers of which 2 ** 16 make one. They move by RATE at every EVERY-th id; none falls under FAINT.
+EVERY, RATE, FAINT = 4, np.float32(1 / 12), np.float32(128)
+FIRST_COUNT = 24
 _U = np.uint64
-_LOW32 = _U(0xFFFFFFFF)
+_DIGIT, _HALF, _LOW32, _STATE = _U(16), _U(32), _U(2**32 - 1), _U(2**48)
+_SIZE = (1 << SHARES) - 1
 
 
 class Model:
-    """What coder and decoder share: the predictions of each lane (block), and what they learn from each id."""
-
-    def __init__(self, lanes: int):
-        self.row = np.arange(lanes)
-        self.after2, self.after1 = np.zeros((lanes << SLOTS), np.int32), np.zeros((lanes << SLOTS), np.int32)  # id + 1 << 2 | confidence; 0: none
-        self.odds = np.full((3, lanes * 32), 1 << 15, np.int32)
-        self.past = np.repeat((self.row << 16).astype(np.uint32)[:, None], BLOCK, axis=1)  # lane << 16 | id
-        self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.n = 0
+    """What coder and decoder share: the weights and predictions of each lane (block), and what they learn from each id's rank.
+
+    Arrays of two rows hold order 2 and order 1.
+    """
+
+    def __init__(self, sizes: np.ndarray):
+        """sizes: the number of distinct ids of each lane, one at least."""
+        lanes = len(sizes)
+        self.sizes, self.base = sizes, np.cumsum(sizes) - sizes
+        self.cells = int(sizes.sum())
+        self.lane_of_cell = np.repeat(np.arange(lanes), sizes)
+        self.rank_of_cell = np.arange(self.cells) - self.base[self.lane_of_cell]
+        # slots of order 2, then a cell for each rank for order 1: the predicted rank << 2 | confidence
+        self.after = np.zeros((lanes << SLOTS) + self.cells, np.int16)
+        self.lane2, self.base1 = np.arange(lanes) << SLOTS, (lanes << SLOTS) + self.base
+        # by lane and context: 16 * (both predict the same) + 4 * confidence of order 2 + that of order 1
+        sure = np.stack([np.arange(32) >> 2 & 3, np.arange(32) & 3])
+        first = np.maximum(sure * 10000, int(FAINT)).astype(np.uint32)
+        self.weight = np.tile(first[0] << 16 | first[1], lanes)  # both orders' in one number
+        self.lane_context = np.arange(lanes) << 5
+        self.at, self.one, self.two = np.zeros((2, lanes), np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.counts = np.zeros(self.cells, np.int64)
+        self.n, self.held, self.next = 0, [], FIRST_COUNT
         self._count()
 
     def _count(self) -> None:
-        """Order 0: the ids so far in order, under their lanes; an id's places are its share of all."""
-        self.total = self.n
-        self.keys = np.sort(self.past[:, : self.n], axis=1).ravel()
-        lead = np.flatnonzero(np.append(True, self.keys[1:] != self.keys[:-1])) if len(self.keys) else np.zeros(0, np.int64)
-        size = np.diff(np.append(lead, len(self.keys)))
-        self.run_begin, self.run_size = np.repeat(lead.astype(np.int32), size), np.repeat(size.astype(np.int32), size)
-        self.next = self.n + max(EPOCH, self.n >> 2)
-
-    def predict(self, live: int) -> None:
-        row = self.row[:live]
-        one, two = self.one[:live], self.two[:live]
-        self.slot2 = (row << SLOTS) + ((one * 40503 + two * 30011 ^ one >> 7) & (1 << SLOTS) - 1)
-        self.slot1 = (row << SLOTS) + ((one ^ one >> 5) * 5 & (1 << SLOTS) - 1)
-        self.guess2, self.guess1 = self.after2[self.slot2], self.after1[self.slot1]
-        self.context = row * 32 + (self.guess2 & 3) * 8 + (self.guess1 & 3) * 2 + (self.guess2 >> 2 == self.guess1 >> 2)
-        a, b, c = self.odds[0][self.context], self.odds[1][self.context], self.odds[2][self.context]
-        # where the four cases' shares of 2 ** 16 end
-        self.end2 = a.astype(np.int64)
-        rest = 65536 - self.end2
-        first = np.maximum(1, rest * b >> 16)
-        self.end1 = self.end2 + first
-        self.end0 = self.end1 + np.maximum(1, (rest - first) * c >> 16)
-
-    def shares(self, case: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the cases begin, and their sizes."""
-        begin = np.where(case == 0, 0, np.where(case == 1, self.end2, np.where(case == 2, self.end1, self.end0)))
-        end = np.where(case == 0, self.end2, np.where(case == 1, self.end1, np.where(case == 2, self.end0, 65536)))
-        return begin, end - begin
-
-    def learn(self, ids: np.ndarray, case: np.ndarray, live: int) -> None:
-        at = self.context
-        for k, odds in enumerate(self.odds):
-            if k:
-                here = np.flatnonzero(case >= k)
-                at, case = at[here], case[here]
-            p = odds[at]
-            odds[at] = np.where(case == k, p + (65024 - p >> 4), p - (p - 512 >> 4))
-        for table, slot, guess in ((self.after2, self.slot2, self.guess2), (self.after1, self.slot1, self.guess1)):
-            sure = guess & 3
-            right = guess >> 2 == ids + 1
-            table[slot] = np.where(right, guess + (sure < 3), np.where(sure > 1, guess - 1, (ids + 1 << 2) + 1))
-        self.past[:live, self.n] = ids | self.row[:live] << 16
-        self.two[:live], self.one[:live] = self.one[:live], ids
+        """Order 0: of each rank the place where its shares begin << SHARES | their number less one."""
+        for cells in self.held:
+            self.counts[cells] += 1  # a lane has one in each
+        self.held = []
+        before = np.cumsum(self.counts) - self.counts
+        before -= before[self.base][self.lane_of_cell]
+        n, sizes = self.n, self.sizes[self.lane_of_cell]
+        begin = self.rank_of_cell + before * ((1 << SHARES) - sizes) // n if n else (self.rank_of_cell << SHARES) // sizes
+        end = np.append(begin[1:], 0)
+        end[self.base + self.sizes - 1] = 1 << SHARES
+        self.shares = (begin << SHARES | end - begin - 1).astype(np.uint32)
+        self.next = max(FIRST_COUNT, n + (n >> 1))
+
+    def places(self) -> np.ndarray:
+        """The rank that each of a lane's shares belongs to."""
+        return np.repeat(self.rank_of_cell.astype(np.uint16), (self.shares & _SIZE).astype(np.int64) + 1)
+
+    def predict(self) -> None:
+        at = self.at
+        np.add((self.one * 40503 + self.two * 30011 >> 3) & (1 << SLOTS) - 1, self.lane2, out=at[0])
+        np.add(self.one, self.base1, out=at[1])
+        self.guess = self.after.take(at)
+        self.rank, self.sure = self.guess >> 2, self.guess & 3
+        self.context = self.lane_context + (self.sure[0] * np.int16(4) + self.sure[1] + (self.rank[0] == self.rank[1]) * np.int16(16))
+        mix = self.weight.take(self.context)
+        self.share = np.empty((2, len(mix)), np.uint32)
+        np.right_shift(mix, np.uint32(16), out=self.share[0])
+        np.bitwise_and(mix, np.uint32(0xFFFF), out=self.share[1])
+        self.share *= np.uint32(1 << WHOLE - 16)
+        self.share0 = np.uint32(ALL) - self.share[0] - self.share[1]
+
+    def spans(self, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By order 0's part of the mixture, where cells begin, and their sizes."""
+        shares = self.shares.take(cell)
+        begin = shares >> np.uint32(SHARES)
+        low = self.share0 * begin >> np.uint32(SHARES)
+        return low, (self.share0 * (begin + (shares & np.uint32(_SIZE)) + np.uint32(1)) >> np.uint32(SHARES)) - low
+
+    def span(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the mixed shares of ranks (32-bit) begin, and their number."""
+        self.cell = self.base + rank
+        low, size = self.spans(self.cell)
+        self.hit = self.rank == rank
+        below = self.share * (self.rank < rank)
+        more = self.share * self.hit
+        return low + below[0] + below[1], size + more[0] + more[1]
+
+    def ranks(self, place: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The ranks whose mixed shares have the places: a prediction's if it is there, else what order 0 has when both predictions' weights are left out."""
+        low, size = self.spans(self.base + self.rank)
+        share, order = self.share, self.rank[0] < self.rank[1]
+        same = self.rank[0] == self.rank[1]
+        low[1] += share[0] * order
+        low[0] += share[1] * (self.rank[1] < self.rank[0])
+        size += share
+        size[0] += share[1] * same
+        past = place >= low
+        left = share * past
+        rest = place - left[0] - left[1]
+        # the least share of order 0 whose mixed place is past rest, and so the one before it; places are under 2 ** 19, so doubles are exact
+        near = ((rest.astype(np.float64) + 1) * (1 << SHARES) / self.share0).astype(np.uint32)
+        near -= self.share0 * near >> np.uint32(SHARES) > rest
+        found = places.take(self.lane_places + near, mode="clip").astype(np.int32)
+        inside = past & (place - low < size)
+        return np.where(inside[0], self.rank[0], np.where(inside[1], self.rank[1], found))
+
+    def learn(self, rank: np.ndarray, size: np.ndarray) -> None:
+        """size: of the rank's mixed share."""
+        sure = self.sure
+        if not self.n % EVERY:
+            mix = self.share.astype(np.float32) * np.float32(2.0 ** (16 - WHOLE))
+            due = self.hit * (np.float32(1 << WHOLE) / size.astype(np.float32))  # times the weight: the order's part in the rank's probability
+            new = np.maximum(mix + mix * (due - np.float32(1)) * RATE, FAINT)
+            new *= np.minimum(np.float32(65535 - (LEAST >> WHOLE - 16)) / (new[0] + new[1]), np.float32(1))
+            new = new.astype(np.uint32)
+            self.weight[self.context] = new[0] << np.uint32(16) | new[1]
+        self.after[self.at] = np.where(self.hit, self.guess + (sure < 3), np.where(sure > 1, self.guess - 1, ((rank << 2) + 1).astype(np.int16)))
+        self.held.append(self.cell)
+        self.two, self.one = self.one, rank.astype(np.int64)
         self.n += 1
         if self.n == self.next:
             self._count()
 
-    def shared(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For ids to come (a row for each lane): where they begin among the ordered ids of their lanes, and how many places they have."""
-        if not self.total:
-            return np.zeros(ids.shape, np.int64), np.zeros(ids.shape, np.int64)
-        key = (ids | self.row[:, None] << 16).astype(np.uint32)
-        at = np.minimum(np.searchsorted(self.keys, key.ravel(), "left"), len(self.keys) - 1).reshape(key.shape)
-        return at - self.row[:, None] * self.total, np.where(self.keys[at] == key, self.run_size[at], 0)
-
-    def at_place(self, lane: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The ids at places among the ordered ids, where they begin there, and how many places they have."""
-        at = lane * self.total + place
-        return (self.keys[at] & np.uint32(0xFFFF)).astype(np.int64), self.run_begin[at] - lane * self.total, self.run_size[at]
-
-
-class Coder:
-    """low and range of each lane; digits go out, or come in."""
-
-    def __init__(self, lanes: int, digits: np.ndarray | None = None):
-        self.low, self.range = np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U)
-        self.at = np.zeros(lanes, np.int64)
-        self.reading = digits is not None
-        self.digits = digits if self.reading else np.zeros((lanes, 2 * BLOCK + 8), np.uint16)
-        if self.reading:
-            self.code = np.zeros(lanes, _U)
-            for _ in range(4):
-                self.code = self.code << _U(16) | self.digits[np.arange(lanes), self.at].astype(_U)
-                self.at += 1
-
-    def narrow(self, lane: np.ndarray | slice, begin: np.ndarray, size: np.ndarray | int, total: int) -> None:
-        """lane: their numbers, or a slice of the first ones."""
-        span = self.range[lane]
-        unit = span >> _U(16) if total == 65536 else span // _U(total)
-        low, width = self.low[lane] + unit * begin.astype(_U), unit * (size.astype(_U) if isinstance(size, np.ndarray) else _U(size))
-        open_ = np.flatnonzero(((low ^ (low + width)) >> _U(48) == 0) | (width <= _LOW32))
-        while len(open_):
-            a, w = low[open_], width[open_]
-            small = ((a ^ (a + w)) >> _U(48) != 0) & (w <= _LOW32)
-            if small.any():
-                w = np.where(small, (~a + _U(1)) & _LOW32, w)
-            lanes = open_ if isinstance(lane, slice) else lane[open_]
-            at = self.at[lanes]
-            if self.reading:
-                self.code[lanes] = self.code[lanes] << _U(16) | self.digits[lanes, at].astype(_U)
-            else:
-                self.digits[lanes, at] = (a >> _U(48)).astype(np.uint16)
-            self.at[lanes] = at + 1
-            a, w = a << _U(16), w << _U(16)
-            low[open_], width[open_] = a, w
-            open_ = open_[((a ^ (a + w)) >> _U(48) == 0) | (w <= _LOW32)]
-        self.low[lane], self.range[lane] = low, width
-
-    def place(self, lane: np.ndarray | slice, total: int) -> np.ndarray:
-        span = self.range[lane]
-        unit = span >> _U(16) if total == 65536 else span // _U(total)
-        return np.minimum((self.code[lane] - self.low[lane]) // unit, _U(total - 1)).astype(np.int64)
-
-    def finish(self) -> list[bytes]:
-        for _ in range(4):
-            self.digits[np.arange(len(self.at)), self.at] = (self.low >> _U(48)).astype(np.uint16)
-            self.low <<= _U(16)
+
+class Encoder:
+    """low and range of each lane; a digit may have a carry, which goes to the digit before it in the end."""
+
+    def __init__(self, lanes: int, most: int):
+        self.low, self.range = np.zeros(lanes, _U), np.full(lanes, _STATE)
+        self.first = np.arange(lanes) * most
+        self.digits, self.at = np.zeros(lanes * most, np.uint32), self.first.copy()
+
+    def narrow(self, begin: np.ndarray, size: np.ndarray) -> None:
+        unit = self.range >> _U(WHOLE)
+        self.low += unit * begin
+        unit *= size
+        self.range = unit
+        short = np.flatnonzero(unit <= _LOW32)
+        low, at = self.low.take(short), self.at.take(short)
+        self.digits[at] = low >> _HALF
+        self.at[short] = at + 1
+        self.low[short] = (low & _LOW32) << _DIGIT
+        unit[short] <<= _DIGIT
+
+    def finish(self, ends: np.ndarray) -> list[bytes]:
+        """ends: where each lane's digits were when its ids had been coded; three more tell them from others."""
+        for _ in range(3):
+            self.digits[self.at] = self.low >> _HALF
+            self.low = (self.low & _LOW32) << _DIGIT
             self.at += 1
-        return [row[:n].astype("<u2").tobytes() for row, n in zip(self.digits, self.at, strict=True)]
+        while (over := np.flatnonzero(self.digits >> 16)).size:  # never at a lane's first digit: low stays under the whole range
+            self.digits[over] &= np.uint32(0xFFFF)
+            np.add.at(self.digits, over - 1, np.uint32(1))
+        return [self.digits[a : b + 3].astype("<u2").tobytes() for a, b in zip(self.first, ends, strict=True)]
+
+
+class Decoder:
+    def __init__(self, payloads: list[np.ndarray]):
+        lengths = np.array([len(p) for p in payloads], np.int64)
+        self.digits, self.at = np.concatenate([*payloads, np.zeros(8, np.uint16)]).astype(np.uint16), np.cumsum(lengths) - lengths
+        self.code, self.range = np.zeros(len(payloads), _U), np.full(len(payloads), _STATE)
+        for _ in range(3):
+            self.code = self.code << _DIGIT | self.digits[self.at]
+            self.at += 1
+
+    def place(self) -> np.ndarray:
+        self.unit = self.range >> _U(WHOLE)
+        # both have less than 53 bits, and no quotient of theirs is nearer to the next whole number than a double tells
+        return np.minimum(self.code.astype(np.float64) / self.unit.astype(np.float64), ALL - 1).astype(np.uint32)
+
+    def narrow(self, begin: np.ndarray, size: np.ndarray) -> None:
+        self.code -= self.unit * begin
+        self.range = self.unit * size
+        short = np.flatnonzero(self.range <= _LOW32)
+        at = self.at.take(short)
+        self.code[short] = self.code.take(short) << _DIGIT | self.digits.take(at, mode="clip")  # what comes after a lane's digits doesn't matter
+        self.range[short] <<= _DIGIT
+        self.at[short] = at + 1
+
+
+def _packed_alphabet(ids: np.ndarray) -> bytes:
+    """Ascending ids by their distances: a byte each, or 255 and two bytes."""
+    step = np.diff(ids, prepend=-1) - 1
+    far = step >= 255
+    out = np.minimum(step, 255).astype(np.uint8).tobytes() + step[far].astype("<u2").tobytes()
+    return len(ids).to_bytes(2, "little") + int(far.sum()).to_bytes(2, "little") + out
+
+
+def _alphabet(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a block, and its digits."""
+    n, n_far = (int.from_bytes(payload[k : k + 2], "little") for k in (0, 2))
+    step = np.frombuffer(payload, np.uint8, n, 4).astype(np.int64)
+    far = np.flatnonzero(step == 255)
+    if len(far) != n_far:
+        raise ValueError("a block's ids are damaged")
+    step[far] = np.frombuffer(payload, "<u2", n_far, 4 + n)
+    return np.cumsum(step + 1) - 1, np.frombuffer(payload, "<u2", offset=4 + n + 2 * n_far)
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """The payload of each block of at most BLOCK ids under 2 ** 16."""
+    """The payload of each block of at most BLOCK ids under 2 ** 16. Shorter blocks go on with their first id; what they end with is left out."""
     if len(blocks) > LANES:
         return [p for i in range(0, len(blocks), LANES) for p in encode_blocks(blocks[i : i + LANES])]
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    sizes = np.array([len(blocks[i]) for i in order])
-    ids = np.zeros((int(sizes.max(initial=0)), len(order)), np.int64)
-    for lane, i in enumerate(order):
-        ids[: len(blocks[i]), lane] = blocks[i]
-    model, coder = Model(len(order)), Coder(len(order))
-    known_of, since = -1, 0
-    for t, row in enumerate(ids):
-        live = int(np.searchsorted(-sizes, -t, "left"))
-        model.predict(live)
-        now = row[:live]
-        case = np.where(model.guess2 >> 2 == now + 1, 0, np.where(model.guess1 >> 2 == now + 1, 1, 3))
-        open_ = np.flatnonzero(case == 3)
-        if model.total != known_of:  # for all ids up to the next count at once
-            known_of, since = model.total, t
-            begins, counts = model.shared(ids[t : model.next].T)
-        begin, size = begins[open_, t - since], counts[open_, t - since]
-        case[open_[size > 0]] = 2
-        coder.narrow(slice(0, live), *model.shares(case), 65536)
-        if len(known := np.flatnonzero(size > 0)):
-            coder.narrow(open_[known], begin[known], size[known], model.total)
-        if len(new := open_[size == 0]):
-            coder.narrow(new, now[new], 1, 65536)
-        model.learn(now, case, live)
-    payloads = [b""] * len(blocks)
-    for i, payload in zip(order, coder.finish(), strict=True):
-        payloads[i] = payload
-    return payloads
+    lengths = np.array([len(b) for b in blocks], np.int64)
+    if not lengths.sum():
+        return [b""] * len(blocks)
+    ranks, alphabets = np.zeros((int(lengths.max()), len(blocks)), np.int32), []
+    place, said = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, bool)
+    for lane, block in enumerate(blocks):
+        block = np.asarray(block).astype(np.int64)
+        if len(block) and (block.min() < 0 or block.max() >= 1 << 16):
+            raise ValueError("ids of token files are under 65536")
+        said[block] = True
+        ids = np.flatnonzero(said)
+        said[ids] = False
+        place[ids] = np.arange(len(ids))
+        ranks[: len(block), lane] = place[block]
+        alphabets.append(ids)
+    model, coder = Model(np.array([max(1, len(a)) for a in alphabets])), Encoder(len(blocks), 2 * len(ranks) + 4)
+    ends, stops = coder.at.copy(), set(lengths.tolist())
+    for t, row in enumerate(ranks, 1):
+        model.predict()
+        begin, size = model.span(row)
+        coder.narrow(begin, size)
+        model.learn(row, size)
+        if t in stops:
+            ends[lengths == t] = coder.at[lengths == t]
+    return [_packed_alphabet(ids) + payload if len(ids) else b"" for ids, payload in zip(alphabets, coder.finish(ends), strict=True)]
 
 
 def decode_blocks(payloads: list[bytes], lengths: list[int]) -> list[np.ndarray]:
     if len(lengths) > LANES:
         return [ids for i in range(0, len(lengths), LANES) for ids in decode_blocks(payloads[i : i + LANES], lengths[i : i + LANES])]
-    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    sizes = np.array([lengths[i] for i in order])
-    width = max([len(payloads[i]) // 2 for i in order], default=0) + 8
-    digits = np.zeros((len(order), width), np.uint16)
-    for lane, i in enumerate(order):
-        row = np.frombuffer(payloads[i], "<u2")
-        digits[lane, : len(row)] = row
-    model, coder = Model(len(order)), Coder(len(order), digits)
-    n = int(sizes.max(initial=0))
-    ids = np.zeros((n, len(order)), np.int64)
-    for t in range(n):
-        live = int(np.searchsorted(-sizes, -t, "left"))
-        model.predict(live)
-        place = coder.place(slice(0, live), 65536)
-        case = (place >= model.end2).astype(np.int64) + (place >= model.end1) + (place >= model.end0)
-        coder.narrow(slice(0, live), *model.shares(case), 65536)
-        now = np.where(case == 0, (model.guess2 >> 2) - 1, (model.guess1 >> 2) - 1).astype(np.int64)
-        if len(known := np.flatnonzero(case == 2)):
-            now[known], begin, size = model.at_place(known, coder.place(known, model.total))
-            coder.narrow(known, begin, size, model.total)
-        if len(new := np.flatnonzero(case == 3)):
-            now[new] = coder.place(new, 65536)
-            coder.narrow(new, now[new], 1, 65536)
-        ids[t, :live] = now
-        model.learn(now, case, live)
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(lengths)
-    for lane, i in enumerate(order):
-        out[i] = ids[: lengths[i], lane].astype(np.uint32)
-    return out
+    if not sum(lengths):
+        return [np.zeros(0, np.uint32)] * len(lengths)
+    alphabets, digits = zip(*(_alphabet(p) if n else (np.zeros(1, np.int64), np.zeros(3, np.uint16)) for p, n in zip(payloads, lengths, strict=True)), strict=True)
+    model, coder = Model(np.array([len(a) for a in alphabets])), Decoder(list(digits))
+    model.lane_places = np.arange(len(lengths)) << SHARES
+    ranks = np.zeros((max(lengths), len(lengths)), np.int32)
+    counted, places = -1, np.zeros(0, np.uint16)
+    for row in ranks:
+        if counted != model.next:
+            counted, places = model.next, model.places()
+        model.predict()
+        row[:] = model.ranks(coder.place(), places)
+        begin, size = model.span(row)
+        coder.narrow(begin, size)
+        model.learn(row, size)
+    return [ids[ranks[:n, lane]].astype(np.uint32) for lane, (ids, n) in enumerate(zip(alphabets, lengths, strict=True))]
 
 
 SCHEMA = "part int, seq long, doc_ids array<long>, doc_tokens array<long>, blocks array<struct<n:int,crc32:long,payload:binary>>"

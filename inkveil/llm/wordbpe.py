@@ -9,9 +9,12 @@ Texts that hold one of the tokenizer's added tokens (such as `<|endoftext|>`) go
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
+import pyarrow as pa
 
-from .common import TokenPool, binary_array, codes_of
+from .common import TokenPool, binary_array, codes_of, flat
 
 VOCABULARY = "word_bpe_49k.json"
 KEPT_PIECES, KEPT_LENGTH = 400_000, 64
@@ -27,6 +30,17 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def split_values(values: pa.Array) -> list[bytes]:
+    """The values, none of which holds a blank or is empty."""
+    body, offsets = flat(values)
+    if len(offsets) < 2:
+        return []
+    out = np.full(len(body) + len(offsets) - 2, 32, np.uint8)
+    size = np.diff(offsets)
+    out[np.arange(len(body)) + np.repeat(np.arange(len(size)), size)] = body
+    return out.tobytes().split(b" ")
+
+
 class WordBPE:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -83,20 +97,20 @@ class WordBPE:
         self.pool.trim()
         packed, at, before = self._pieces(body, offsets)
         codes, distinct = codes_of(binary_array(packed, at))
-        pieces = distinct.to_pylist()
+        pieces = split_values(distinct)
         known, model = self.pool.known, self.tokenizer.model
-        numbers = [known.get(p, -1) for p in pieces]
+        numbers = np.fromiter(map(known.get, pieces, repeat(-1)), np.int64, len(pieces))
         hard = []
-        for i, (piece, number) in enumerate(zip(pieces, numbers, strict=True)):
-            if number < 0:
-                if piece.isascii() and b"'" not in piece and (text := piece.decode()).isprintable():
-                    numbers[i] = self.pool.add(piece, [t.id for t in model.tokenize(text)], len(piece) <= KEPT_LENGTH)
-                else:
-                    hard.append(i)
+        for i in np.flatnonzero(numbers < 0).tolist():
+            piece = pieces[i]
+            if piece.isascii() and b"'" not in piece and (text := piece.decode()).isprintable():
+                numbers[i] = self.pool.add(piece, [t.id for t in model.tokenize(text)], len(piece) <= KEPT_LENGTH)
+            else:
+                hard.append(i)
         if hard:
             for i, found in zip(hard, self.tokenizer.encode_batch_fast([pieces[i].decode() for i in hard], add_special_tokens=False), strict=True):
                 numbers[i] = self.pool.add(pieces[i], found.ids, len(pieces[i]) <= KEPT_LENGTH)
-        ids, ends = self.pool.gather(np.array(numbers, np.int64)[codes] if len(codes) else np.zeros(0, np.int64))
+        ids, ends = self.pool.gather(numbers[codes] if len(codes) else np.zeros(0, np.int64))
         return ids, ends[before]
 
 

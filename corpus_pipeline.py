@@ -39,9 +39,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without the bytes that windows of documents of smaller doc_id cover; a character of which a part goes, goes."""
-    cut = suffixes.remove_passages(docs, whole_characters=True).select("doc_id", F.col("kept").cast("string").alias("__text"))
-    joined = docs.drop("text").join(cut, "doc_id").withColumnRenamed("__text", "text")
-    return (joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else joined).select(docs.columns)
+    cut = suffixes.without_passages(docs)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

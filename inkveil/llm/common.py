@@ -80,6 +80,18 @@ def joined_slices(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
     return body[keep], np.concatenate([[0], np.cumsum(ends - starts)])
 
 
+def gather(body: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slices of body, which may overlap, one after another, and their offsets; indices for a stretch of bytes at a time."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    out, at = np.empty(int(offsets[-1]), body.dtype), 0
+    while at < len(starts):
+        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + STRETCH, "right")) - 1)
+        base = offsets[at]
+        out[base : offsets[stop]] = body[np.repeat(starts[at:stop] - offsets[at:stop] + base, sizes[at:stop]) + np.arange(offsets[stop] - base)]
+        at = stop
+    return out, offsets
+
+
 def word_bounds(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words `[^\\x20\\x09-\\x0D]+` of each text, and the number of words before each text (len + 1)."""
     inside = ~SPACE[body]

@@ -1,9 +1,9 @@
 """Substring dedup by FM-index: removes each word that a window of words covers which also starts anywhere else.
 
-Each bucket of units (the shard) has an FM-index of its distinct units that share a window by hash: the Burrows-Wheeler
-transform of their words, in a wavelet matrix of bit vectors with counts for each 64 bits. The units are then streamed
-against it: backward search from a window's end goes on while the match occurs twice or more. A match as long as the
-window reports it; a shorter one rules out all windows over it and one more word, and the search goes on after these.
+Each bucket of units (the shard) has an FM-index of its distinct units: the Burrows-Wheeler transform of their words, in a
+wavelet tree over prefix codes, whose bit vectors have counts for each 64 bits; frequent words have short codes, so that the
+tree is compressed to about the words' entropy. The units are then streamed against it: backward search gives their
+matching statistics, and each match as long as a window reports the interval that it covers.
 
 Nulls: a null or empty text has no words; nothing is removed. doc_id is only passed on, null or repeated: copies of a row
 repeat each other's windows. Other columns of the input are not read.
@@ -17,10 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import binary_array, byte_hashes, codes_of, prefix_sums, span_hashes
-from .repeats import NO_ID, Block, Shape, shared_windows, together, without_repeats
+from .blocks import NO_ID
+from .common import binary_array, byte_hashes, codes_of, gather, prefix_sums, span_hashes
+from .repeats import Block, Shape, together, without_repeats
 
-WINDOW, GRAM = 35, 6
+WINDOW, GRAM = 35, 8
+SHAPE = Shape(WINDOW, GRAM, True, 4)
+#: Anchors are told apart by the hash's leading bits, as the units are.
+ANCHOR_BITS = np.uint64(31)
 #: Words in one index.
 INDEX_WORDS = 250_000
 
@@ -42,25 +46,61 @@ class BitVector:
         return self.before[word] + np.bitwise_count(self.words[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
 
 
-class WaveletMatrix:
+class WaveletTree:
+    """A wavelet tree over prefix codes: a symbol that makes up the share p of all has a code of -log2 p bits, rounded up, so that the tree takes about a symbol's entropy.
+
+    Its levels are one bit vector each: level k has the bits k of all symbols whose code is longer than k, those with the same first k bits together.
+    """
+
     def __init__(self, symbols: np.ndarray, n_symbols: int):
-        self.levels, self.bits = [], max(1, int(n_symbols - 1).bit_length())
-        for k in reversed(range(self.bits)):
-            bit = (symbols >> k & 1).astype(bool)
-            self.levels.append((k, BitVector(bit)))
-            symbols = np.concatenate([symbols[~bit], symbols[bit]])
-        every = np.arange(n_symbols)
-        self.start = self._down(every, np.zeros(n_symbols, np.int64))
-
-    def _down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        for k, vector in self.levels:
-            ones = vector.ones(at)
-            at = np.where(symbol >> k & 1, vector.zeros + ones, at - ones)
-        return at
+        count = np.bincount(symbols, minlength=n_symbols)
+        length = np.maximum(1, np.ceil(np.log2(len(symbols) / np.maximum(count, 1))).astype(np.int64))
+        length[count == 0] = 0
+        deepest = int(length.max(initial=1))
+        # codes as numbers of so many bits, in order of length: each begins where the one before it ends
+        order = np.argsort(np.where(count > 0, length, deepest + 1), kind="stable")
+        room = np.where(count > 0, 1 << deepest - length, 0)[order]
+        code = np.empty(n_symbols, np.int64)
+        code[order] = np.cumsum(room) - room
+        self.length, self.levels, self.bit, self.base = length, [], [], []
+        own = code[symbols]
+        for k in range(deepest):
+            shift = deepest - k - 1
+            bit = (own >> shift & 1).astype(np.uint8)
+            vector = BitVector(bit)
+            # of all symbols: their bit, and where those with their first k bits begin
+            begin = np.searchsorted(own >> shift + 1, code >> shift + 1)
+            self.levels.append(vector)
+            self.bit.append((code >> shift & 1).astype(bool))
+            self.base.append((begin, vector.ones(begin)))
+            longer = length[symbols] > k + 1
+            # stable by the first k + 1 bits; what is in order by k bits needs each group parted only
+            group = begin[symbols]
+            ones = np.cumsum(bit, dtype=np.int64) - bit
+            before = ones - self.base[-1][1][symbols]
+            zeros = np.add.reduceat(1 - bit.astype(np.int64), np.flatnonzero(np.append(True, group[1:] != group[:-1]))) if len(group) else np.zeros(0, np.int64)
+            which = np.cumsum(np.append(False, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
+            place = group + np.where(bit, zeros[which] + before, np.arange(len(group)) - group - before)
+            moved = np.empty(len(symbols), np.int64)
+            moved[place] = np.where(longer, symbols, -1)
+            symbols = moved[moved >= 0]
+            own = code[symbols]
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol comes before each place."""
-        return self._down(symbol, at) - self.start[symbol]
+        at, length = at.copy(), self.length[symbol]
+        live = np.arange(len(symbol))
+        for k, vector in enumerate(self.levels):
+            keep = length[live] > k
+            if not keep.all():
+                live = live[keep]
+                if not len(live):
+                    break
+            mine, place = symbol[live], at[live]
+            begin, before = self.base[k]
+            ones = vector.ones(begin[mine] + place) - before[mine]
+            at[live] = np.where(self.bit[k][mine], ones, place - ones)
+        return at
 
 
 def sorted_suffixes(symbols: np.ndarray, depth: int) -> np.ndarray:
@@ -80,11 +120,11 @@ def sorted_suffixes(symbols: np.ndarray, depth: int) -> np.ndarray:
 
 
 class FMIndex:
-    """symbols: from 1 on, with a 0 after each unit."""
+    """symbols: from 1 on, with a 0 after each unit; depth: of the longest search."""
 
     def __init__(self, symbols: np.ndarray, n_symbols: int, depth: int):
         self.size = len(symbols)
-        self.transform = WaveletMatrix(symbols[sorted_suffixes(symbols, depth) - 1], n_symbols)
+        self.transform = WaveletTree(symbols[sorted_suffixes(symbols, depth) - 1], n_symbols)
         self.below = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=n_symbols))])
 
     def back(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,65 +133,67 @@ class FMIndex:
         return self.below[symbol] + both[: len(symbol)], self.below[symbol] + both[len(symbol) :]
 
 
-def repeated_windows(index: FMIndex, symbols: np.ndarray, begin: np.ndarray, length: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of units at begin in symbols: the units (by number) and places of the windows that the index has twice or more."""
-    unit, end = np.arange(len(begin)), np.full(len(begin), window - 1)
-    unit, end = unit[length >= window], end[length >= window]
+def repeated_windows(index: FMIndex, symbols: np.ndarray, begin: np.ndarray, length: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of units at begin in symbols: units (by number) and the places from a to b where windows start that the index has twice or more.
+
+    The matching statistic of a place, how far back from it the index goes on to have what stands there twice, is found by backward
+    search. One of a window or more reports an interval, whatever its length; the search then goes on at the last place that a
+    window over a symbol further back could end at, or, after a shorter match, one place back.
+    """
+    unit = np.flatnonzero(length >= window)
+    end = length[unit] - 1
     matched, low, high = np.zeros(len(unit), np.int64), np.zeros(len(unit), np.int64), np.full(len(unit), index.size)
-    units, places = [], []
+    found = []
     while len(unit):
         down, up = index.back(symbols[begin[unit] + end - matched], low, high)
         on = up - down > 1
         matched += on
-        full = on & (matched == window)
-        units.append(unit[full])
-        places.append(end[full] - window + 1)
-        end += np.where(full, 1, np.where(on, 0, window - matched))
-        again = full | ~on
-        matched[again] = 0
-        low, high = np.where(again, 0, down), np.where(again, index.size, up)
-        live = end < length[unit]
+        over = ~on | (matched > end)
+        if over.any():
+            full = over & (matched >= window)
+            first = end - matched + 1
+            found.append((unit[full], first[full], end[full] - window + 2))
+            end = np.where(over, np.where(full, first + window - 2, end - 1), end)
+            end[over & (first == 0)] = 0  # nothing further back
+            matched[over] = 0
+        low, high = np.where(over, 0, down), np.where(over, index.size, up)
+        live = end >= window - 1
         if not live.all():
             unit, end, matched, low, high = unit[live], end[live], matched[live], low[live], high[live]
-    return np.concatenate([*units, np.zeros(0, np.int64)]), np.concatenate([*places, np.zeros(0, np.int64)])
+    return tuple(np.concatenate([*(f[k] for f in found), np.zeros(0, np.int64)]) for k in range(3))
 
 
 def repeated(text: np.ndarray, offsets: np.ndarray, windows: np.ndarray, _: np.ndarray, whole: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
-    """For each window of each unit: -1 if it is repeated, else NO_ID."""
-    unit = np.repeat(np.arange(len(windows)), windows)
-    value = np.where(whole[unit], -1, NO_ID)
+    """For each window of each unit: -1 if it is repeated, else NO_ID. A unit that is repeated as a whole is in the index twice."""
     ends = np.flatnonzero(text == 32) + 1
     starts = np.append(0, ends)[: len(ends)]
     begin = np.searchsorted(starts, offsets[:-1])
     first = np.cumsum(windows) - windows
+    step = np.zeros(int(windows.sum()) + 1, np.int64)
     sums = prefix_sums(byte_hashes(text, starts, ends))
-    at = begin[unit] + np.arange(len(unit)) - first[unit]
-    shared = np.flatnonzero(shared_windows(span_hashes(sums, at, at + window), unit, len(windows)))
-    if not len(shared):
-        return value
     grams = np.arange(max(0, len(starts) - gram + 1))
-    hashes = np.append(span_hashes(sums, grams, grams + gram), np.uint64(2**64 - 1))
-    anchor = np.minimum.reduceat(hashes, np.stack([begin[shared], begin[shared] + window - gram + 1], 1).ravel())[::2]
+    hashes = np.append(span_hashes(sums, grams, grams + gram) >> ANCHOR_BITS, np.uint64(2**64 - 1))
+    anchor = np.minimum.reduceat(hashes, np.stack([begin, begin + window - gram + 1], 1).ravel())[::2]
     length = windows + window - 1
-    for part in together(shared, anchor, length[shared], INDEX_WORDS):
+    for part in together(anchor, length, INDEX_WORDS):
+        asked = len(part)
+        part = np.concatenate([part, part[whole[part]]])
         n = length[part]
         own = np.cumsum(n) - n
         word = np.repeat(begin[part] - own, n) + np.arange(int(n.sum()))
-        size = ends[word] - starts[word]
-        stop = np.cumsum(size)
-        body = text[np.repeat(starts[word] - stop + size, size) + np.arange(int(stop[-1]))]
-        codes, distinct = codes_of(binary_array(body, np.append(0, stop)))
+        body, stop = gather(text, starts[word], ends[word] - starts[word])
+        codes, distinct = codes_of(binary_array(body, stop))
         symbols = np.zeros(len(codes) + len(part), np.int64)
         place = own + np.arange(len(part))  # a separator after each unit
         symbols[np.arange(len(codes)) + np.repeat(np.arange(len(part)), n)] = codes + 1
-        index = FMIndex(symbols, len(distinct) + 1, window)
-        asked = np.flatnonzero(~whole[part])
-        found, where = repeated_windows(index, symbols, place[asked], n[asked], window)
-        value[first[part[asked[found]]] + where] = -1
-    return value
+        index = FMIndex(symbols, len(distinct) + 1, int(n.max()) + 1)
+        unit, a, b = repeated_windows(index, symbols, place[:asked], n[:asked], window)
+        np.add.at(step, first[part[unit]] + a, 1)
+        np.add.at(step, first[part[unit]] + b, -1)
+    return np.where(np.cumsum(step[:-1]) > 0, -1, NO_ID)
 
 
-def _cut(block: Block, removed: np.ndarray) -> pa.RecordBatch:
+def _cut(block: Block, removed: np.ndarray, _: dict) -> pa.RecordBatch:
     gone = np.repeat(removed, block.ends - block.starts)
     kept = [block.body[a:b][~gone[a:b]].tobytes()[:-1] for a, b in zip(block.offsets[:-1], block.offsets[1:], strict=True)]
     count = np.concatenate([[0], np.cumsum(removed)])[block.first]
@@ -161,17 +203,17 @@ def _cut(block: Block, removed: np.ndarray) -> pa.RecordBatch:
 
 def remove_windows(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words left, one blank between) of each row."""
-    return without_repeats(docs, Shape(WINDOW, GRAM, True, 2), repeated, _cut, "doc_id long, n_words long, n_removed long, kept binary")
+    return without_repeats(docs, SHAPE, repeated, _cut, "doc_id long, n_words long, n_removed long, kept binary")
 
 
-def _digest(block: Block, removed: np.ndarray) -> pa.RecordBatch:
-    cut = _cut(block, removed)
-    return cut.set_column(3, "kept_sha256", pa.array([hashlib.sha256(k.as_py()).hexdigest() for k in cut.column("kept")], pa.string()))
+def _digest(block: Block, removed: np.ndarray, row: dict) -> pa.RecordBatch:
+    cut = _cut(block, removed, row)
+    return cut.set_column(3, "kept_sha256", pa.array([hashlib.sha256(k.as_buffer()).hexdigest() for k in cut.column("kept")], pa.string()))
 
 
 def op7_fmindex(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return without_repeats(docs, Shape(WINDOW, GRAM, True, 2), repeated, _digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return without_repeats(docs, SHAPE, repeated, _digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 QUERIES = {"op7_fmindex": op7_fmindex}

@@ -1,42 +1,42 @@
 """Finding every repeated window of a corpus: what the two passage removers share.
 
-Documents are gathered into blocks, which are written once. A window (so many bytes or words) has an anchor: the least
-hash of the short grams in it. Runs of neighbouring windows with one anchor make a unit: the text from the first
-window's start to the last one's end. Equal windows have equal anchors, so units are dealt out by anchor, and all that
-could be equal comes together, at a cost in proportion to the text. Equal units of a block travel once; a block's
-units for one bucket travel together, compressed. An anchor that a count sketch of all anchors (of fixed size) shows to be
-common is dealt out window by window instead, by the window's hash: then only equal windows come together, once for
-each block, and no bucket grows with a common passage.
-
-A bucket's judge gets the distinct units and tells for each window the value it gives (the least doc_id; of words -1 for
-repeated, whatever the doc_ids are). Answers go back by block, and the blocks' documents are cut there.
+Documents are gathered into blocks, which are written once. A window (so many bytes or words) has an anchor: the first of
+the short grams in it whose hash is least. Runs of neighbouring windows with the same anchor make a unit: the text from
+the first window's start to the last one's end. Equal windows have equal anchors at equal places, which gives two steps.
+
+First only the hashes of anchors travel, sorted, by range: an anchor that stands once in the corpus (or, if only other documents
+count, in one document) tells that no window of its unit is repeated. Most text ends here, at a few bits for each byte.
+
+Then the texts of the other units are dealt out by anchor, so that all that could be equal comes together in a bucket. Equal
+units of a block travel once, compressed together with the block's others for the bucket. Units of an anchor that
+stands in more than COMMON places are dealt out window by window instead, by the window's hash: then only equal windows come
+together, once for each block that has them.
+
+A bucket's judge gets the distinct units (told apart by their bytes) and tells for each window the value it gives: the least
+doc_id, or of words -1 for repeated. Answers go back by block, and the blocks' documents are cut there.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_hashes, chunks, flat, joined_slices, mixed, prefix_sums, repeats, span_hashes, texts, word_bounds, written
-from .sketches import summed
+from .blocks import NO_ID, in_blocks, pack, pack_ascending, unpack, unpack_ascending
+from .common import binary_array, byte_hashes, codes_of, gather, joined_slices, mixed, prefix_sums, span_hashes, word_bounds, written
 
-BLOCK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 8 << 20, 24
-#: Units are hashed in stretches of documents of so many symbols.
+#: Bytes of text for each range of anchors and for each bucket.
+RANGE_BYTES, BUCKET_BYTES, LEAST = 128 << 20, 24 << 20, 24
+#: Units are found in stretches of documents of so many symbols.
 STRETCH = 1 << 18
-LEVEL = 6
-SKETCH_BITS = 20
-#: An anchor of more units than that is dealt out by window: a bucket holds some ten times as many.
+#: An anchor in more places than that is dealt out by window.
 COMMON = 20_000
-#: The most windows in a unit.
-LONGEST = 128
-NO_ID = np.iinfo(np.int64).max
+ALONE, MET, MANY = range(3)
+_PLACE = np.uint64(31)
 
 
 @dataclass(frozen=True)
@@ -47,38 +47,10 @@ class Shape:
     gram: int
     words: bool
     parts: int
+    common: int = COMMON
 
 
-_CODEC = pa.Codec("zstd", compression_level=LEVEL)
-
-
-def _pack(values: np.ndarray) -> bytes:
-    """Compressed, the bytes of equal weight together."""
-    if not len(values):
-        return b""
-    plain = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
-    return len(plain).to_bytes(8, "little") + _CODEC.compress(plain, asbytes=True)
-
-
-def _unpack(data: bytes, kind: type) -> np.ndarray:
-    if not data:
-        return np.zeros(0, kind)
-    plain = np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(plain.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], words: bool) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches, most=BLOCK_BYTES):
-        body, offsets = flat(batch.column("text"))
-        ids = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-        if words:
-            body, offsets = _normal_words(body, offsets)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([int.from_bytes(os.urandom(8), "little") >> 1]), *(pa.array([x], pa.binary()) for x in (_pack(ids), _pack(offsets), _pack(body)))], ["block", "ids", "offsets", "body"]
-        )
-
-
-def _normal_words(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def normal_words(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each text as its words, each with a blank after it."""
     starts, ends, before = word_bounds(body, offsets)
     packed, at = joined_slices(body, starts, ends)
@@ -91,19 +63,20 @@ def _normal_words(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 
 
 def byte_grams(body: np.ndarray) -> np.ndarray:
-    """A hash of each 12 bytes."""
+    """A hash of each 16 bytes."""
     eight = body.astype(np.uint64)
     for size in (1, 2, 4):
         eight = eight[:-size] | eight[size:] << np.uint64(8 * size)
-    return mixed(mixed(eight[:-4]) + eight[4:])
+    return mixed(mixed(eight[:-8]) + eight[8:])
 
 
 class Block:
     """A block's documents, their symbols, and the units of their windows."""
 
     def __init__(self, row: dict, shape: Shape):
-        self.ids, self.offsets, self.body, self.shape = _unpack(row["ids"], np.int64), _unpack(row["offsets"], np.int64), _unpack(row["body"], np.uint8), shape
+        self.ids, self.offsets, self.body, self.shape = unpack(row["ids"], np.int64), unpack(row["offsets"], np.int64), unpack(row["body"], np.uint8), shape
         if shape.words:
+            self.body, self.offsets = normal_words(self.body, self.offsets)
             blanks = np.flatnonzero(self.body == 32)
             self.ends = blanks + 1
             self.starts = np.append(0, self.ends)[: len(blanks)]
@@ -111,7 +84,6 @@ class Block:
             self.sums = prefix_sums(byte_hashes(self.body, self.starts, self.ends))
         else:
             self.first = self.offsets
-            self.sums = None
         self._units()
 
     def _gram_hashes(self, a: int, b: int) -> np.ndarray:
@@ -133,37 +105,48 @@ class Block:
             doc = stop
         kinds = (np.int64, np.int64, np.int64, np.uint64)
         self.at, self.windows, self.doc, self.anchor = (np.concatenate([*(f[k] for f in found), np.zeros(0, kind)]) for k, kind in enumerate(kinds))
+        self.anchors, self._of = np.unique(self.anchor, return_inverse=True)
 
     def _units_of(self, doc: int, stop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         a, first = int(self.first[doc]), self.first[doc : stop + 1] - self.first[doc]
         span, window = self.shape.window - self.shape.gram + 1, self.shape.window
-        low, size = self._gram_hashes(a, a + int(first[-1])), 1
+        hashes, size = self._gram_hashes(a, a + int(first[-1])), 1
         n = max(0, int(first[-1]) - window + 1)  # places where a window could start
+        # the least hash's leading bits, then its place: of equal ones the first
+        low = hashes >> _PLACE << _PLACE | np.arange(len(hashes), dtype=np.uint64)
         while 2 * size <= span and len(low) > size:
             low, size = np.minimum(low[:-size], low[size:]), 2 * size
         low = np.minimum(low[:n], low[span - size : span - size + n]) if n else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(stop - doc), np.diff(first))[:n]
         whole = np.flatnonzero(first[owner + 1] - np.arange(n) >= window)
-        low, owner = low[whole], owner[whole]
-        lead = np.ones(len(whole), bool)
-        lead[1:] = (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])
-        begin = np.flatnonzero(lead)
-        since = np.arange(len(whole)) - np.repeat(begin, np.diff(np.append(begin, len(whole))))
-        begin = np.flatnonzero(since % LONGEST == 0)
-        return a + whole[begin], np.diff(np.append(begin, len(whole))), doc + owner[begin], low[begin]
-
-    def by_window(self, common: np.ndarray) -> None:
-        """Units of common anchors become units of one window, with its hash as anchor."""
-        split = common[(self.anchor >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-        if not split.any():
-            return
-        n = np.where(split, self.windows, 1)
-        unit = np.repeat(np.arange(len(n)), n)
-        at = self.at[unit] + np.arange(len(unit)) - np.repeat(np.cumsum(n) - n, n)
-        one = split[unit]
-        self.at, self.doc, self.windows, self.anchor = at, self.doc[unit], np.where(one, 1, self.windows[unit]), self.anchor[unit]
-        start, end = self.spans()
-        self.anchor[one] = byte_hashes(self.body, start[one], end[one])
+        place, owner = (low[whole] & np.uint64((1 << int(_PLACE)) - 1)).astype(np.int64), owner[whole]
+        begin = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else np.zeros(0, np.int64)
+        return a + whole[begin], np.diff(np.append(begin, len(whole))), doc + owner[begin], hashes[place[begin]]
+
+    def asked(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of the distinct anchors: which stand in more documents than one (words: in more places), and in how many places."""
+        count = np.bincount(self._of, minlength=len(self.anchors))
+        if self.shape.words:
+            return count > 1, count
+        least, most = np.full(len(count), NO_ID), np.full(len(count), np.iinfo(np.int64).min)
+        np.minimum.at(least, self._of, self.ids[self.doc])
+        np.maximum.at(most, self._of, self.ids[self.doc])
+        return least != most, count
+
+    def keep(self, states: list[dict] | None) -> None:
+        """Leaves the units whose anchors are met elsewhere; those of common anchors become units of one window, with its hash as anchor."""
+        found = sorted(states or [], key=lambda x: x["range"])
+        state = np.concatenate([unpack(x["state"], np.uint8) for x in found] or [np.zeros(0, np.uint8)])[self._of]
+        kept = np.flatnonzero(state != ALONE)
+        one = state[kept] == MANY
+        n = np.where(one, self.windows[kept], 1)
+        unit = np.repeat(np.arange(len(kept)), n)
+        self.at = self.at[kept][unit] + np.arange(len(unit)) - np.repeat(np.cumsum(n) - n, n)
+        self.windows, self.doc, self.anchor = np.where(one, 1, self.windows[kept])[unit], self.doc[kept][unit], self.anchor[kept][unit]
+        one = one[unit]
+        if one.any():
+            start, end = self.spans()
+            self.anchor[one] = byte_hashes(self.body, start[one], end[one])
 
     def spans(self) -> tuple[np.ndarray, np.ndarray]:
         """The units' bytes."""
@@ -176,9 +159,7 @@ class Block:
         """Of the distinct units, in order of bucket and part: one unit's number, and its bucket times the number of parts plus its part; of all units, their distinct one's number; which distinct ones more documents (words: more places) have."""
         start, end = self.spans()
         bucket = (self.anchor % np.uint64(buckets * self.shape.parts)).astype(np.int64)
-        code, _ = pd.factorize(byte_hashes(self.body, start, end))
-        one = np.full(int(code.max(initial=-1)) + 1, -1)
-        one[code[::-1]] = np.arange(len(code))[::-1]  # the first of each
+        code, one = distinct_values(*gather(self.body, start, end - start))
         order = np.argsort(bucket[one], kind="stable")
         number = np.empty(len(order), np.int64)
         number[order] = np.arange(len(order))
@@ -195,11 +176,59 @@ class Block:
         return out
 
 
-def _sent(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
+def distinct_values(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each slice among the distinct ones, which are told apart by their bytes, and the place of the first of each."""
+    code, values = codes_of(binary_array(body, offsets))
+    one = np.full(len(values), -1)
+    one[code[::-1]] = np.arange(len(code))[::-1]
+    return code, one
+
+
+def _asked(batches: Iterator[pa.RecordBatch], shape: Shape, ranges: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            block = Block(row, shape)
+            many, count = block.asked()
+            cuts = np.searchsorted(block.anchors, _range_starts(ranges))
+            rows = [(k, row["block"], pack_ascending(block.anchors[a:b]), pack(many[a:b]), pack(np.minimum(count[a:b], 255).astype(np.uint8))) for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(many)], strict=True)) if b > a]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int64(), *[pa.binary()] * 3))], ["range", "block", "anchors", "many", "count"])
+
+
+def _range_starts(ranges: int) -> np.ndarray:
+    return np.array([(k << 64) // ranges for k in range(ranges)], np.uint64)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
+    """Rows in order of key, those of one key together."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and row[key] != held[0][key]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _states(batches: Iterator[pa.RecordBatch], common: int) -> Iterator[pa.RecordBatch]:
+    """For each block's anchors of a range whether they stand alone, in places that are a few, or in many."""
+    for rows in _grouped(batches, "range"):
+        anchors = [unpack_ascending(r["anchors"]) for r in rows]
+        code = np.unique(np.concatenate(anchors), return_inverse=True)[1]
+        met = np.bincount(code, weights=np.concatenate([unpack(r["many"], np.bool_) for r in rows])) + np.bincount(code) > 1
+        state = np.where(np.bincount(code, weights=np.concatenate([unpack(r["count"], np.uint8) for r in rows])) > common, MANY, MET)
+        state = np.where(met, state, ALONE).astype(np.uint8)[code]
+        ends = np.cumsum([len(a) for a in anchors])
+        for row, own in zip(rows, np.split(state, ends[:-1]), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([row["range"]], pa.int32()), pa.array([pack(own)], pa.binary())], ["block", "range", "state"])
+
+
+def _sent(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             block = Block(row, shape)
-            block.by_window(common)
+            block.keep(row["states"])
             one, part, of, many = block.distinct(buckets)
             bucket, part = np.divmod(part, shape.parts)
             least = block.least(of, len(one))
@@ -209,9 +238,8 @@ def _sent(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int, common:
             rows = []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 size = end[a:b] - start[a:b]
-                ends = np.cumsum(size)
-                text = block.body[np.repeat(start[a:b] - ends + size, size) + np.arange(ends[-1])]
-                rows.append((int(bucket[a]), row["block"], _pack(text), _pack(size.astype(np.uint32)), _pack(block.windows[one[a:b]].astype(np.uint8)), _pack(least[a:b]), _pack(many[a:b]), _pack(np.bincount(part[a:b], minlength=shape.parts).astype(np.uint32))))
+                text, _ = gather(block.body, start[a:b], size)
+                rows.append((int(bucket[a]), row["block"], pack(text), pack(size.astype(np.uint32)), pack(block.windows[one[a:b]].astype(np.uint8)), pack(least[a:b]), pack(many[a:b]), pack(np.bincount(part[a:b], minlength=shape.parts).astype(np.uint32))))
             names = ["bucket", "block", "text", "sizes", "windows", "least", "many", "parts"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int64(), *[pa.binary()] * 6))], names)
 
@@ -221,40 +249,28 @@ Judge = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], n
 
 
 def _answers(batches: Iterator[pa.RecordBatch], judge: Judge, by_id: bool) -> Iterator[pa.RecordBatch]:
-    """From rows in order of bucket."""
-    held: list[dict] = []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if held and row["bucket"] != held[0]["bucket"]:
-                yield from _judged(held, judge, by_id)
-                held = []
-            held.append(row)
-    if held:
-        yield from _judged(held, judge, by_id)
-
-
-def _judged(rows: list[dict], judge: Judge, by_id: bool) -> Iterator[pa.RecordBatch]:
-    """The answers to a bucket's rows, judged part by part."""
-    held = []
-    for row in rows:
-        size = _unpack(row["sizes"], np.uint32).astype(np.int64)
-        columns = [_unpack(row["windows"], np.uint8).astype(np.int64), _unpack(row["least"], np.int64), _unpack(row["many"], np.bool_)]
-        cuts = np.concatenate([[0], np.cumsum(_unpack(row["parts"], np.uint32).astype(np.int64))])
-        held.append((_unpack(row["text"], np.uint8), np.concatenate([[0], np.cumsum(size)]), *columns, cuts))
-    answers: list[list[tuple]] = [[] for _ in rows]
-    for part in range(len(held[0][5]) - 1):
-        pieces = []
-        for text, ends, windows, least, many, cuts in held:
-            a, b = cuts[part], cuts[part + 1]
-            pieces.append((text[ends[a] : ends[b]], np.diff(ends[a : b + 1]), windows[a:b], least[a:b], many[a:b]))
-        for answer, found, at in zip(answers, _judged_part(pieces, judge, by_id), (h[5][part] for h in held), strict=True):
-            if len(found[0]):
-                answer.append((found[0] + at, *found[1:]))
-    for row, answer in zip(rows, answers, strict=True):
-        if answer:
-            unit, a, b, value = (np.concatenate(x) for x in zip(*answer, strict=True))
-            columns = (unit.astype(np.uint32), a.astype(np.uint8), b.astype(np.uint8), value)
-            yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([row["bucket"]], pa.int32()), *(pa.array([_pack(x)], pa.binary()) for x in columns)], ["block", "bucket", "unit", "a", "b", "value"])
+    """The answers to the rows of each bucket, judged part by part."""
+    for rows in _grouped(batches, "bucket"):
+        held = []
+        for row in rows:
+            size = unpack(row["sizes"], np.uint32).astype(np.int64)
+            columns = [unpack(row["windows"], np.uint8).astype(np.int64), unpack(row["least"], np.int64), unpack(row["many"], np.bool_)]
+            cuts = np.concatenate([[0], np.cumsum(unpack(row["parts"], np.uint32).astype(np.int64))])
+            held.append((unpack(row["text"], np.uint8), np.concatenate([[0], np.cumsum(size)]), *columns, cuts))
+        answers: list[list[tuple]] = [[] for _ in rows]
+        for part in range(len(held[0][5]) - 1):
+            pieces = []
+            for text, ends, windows, least, many, cuts in held:
+                a, b = cuts[part], cuts[part + 1]
+                pieces.append((text[ends[a] : ends[b]], np.diff(ends[a : b + 1]), windows[a:b], least[a:b], many[a:b]))
+            for answer, found, at in zip(answers, _judged_part(pieces, judge, by_id), (h[5][part] for h in held), strict=True):
+                if len(found[0]):
+                    answer.append((found[0] + at, *found[1:]))
+        for row, answer in zip(rows, answers, strict=True):
+            if answer:
+                unit, a, b, value = (np.concatenate(x) for x in zip(*answer, strict=True))
+                columns = (unit.astype(np.uint32), a.astype(np.uint8), b.astype(np.uint8), value)
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([row["bucket"]], pa.int32()), *(pa.array([pack(x)], pa.binary()) for x in columns)], ["block", "bucket", "unit", "a", "b", "value"])
 
 
 def _judged_part(pieces: list[tuple], judge: Judge, by_id: bool) -> list[tuple]:
@@ -264,13 +280,11 @@ def _judged_part(pieces: list[tuple], judge: Judge, by_id: bool) -> list[tuple]:
     if not len(size):
         return [none] * len(pieces)
     end = np.cumsum(size)
-    code, _ = pd.factorize(byte_hashes(text, end - size, end))
-    n = int(code.max()) + 1
-    one = np.full(n, -1)
-    one[code[::-1]] = np.arange(len(code))[::-1]
+    code, one = distinct_values(text, np.append(0, end))
+    n = len(one)
     low, whole = np.full(n, NO_ID), np.bincount(code, weights=many, minlength=n) + np.bincount(code, minlength=n) > 1
     np.minimum.at(low, code, least)
-    body, offsets = joined_slices(text, (end - size)[one], end[one])
+    body, offsets = gather(text, (end - size)[one], size[one])
     value = judge(body, offsets, windows[one], low, whole)
     # runs of equal values within a unit
     unit = np.repeat(np.arange(n), windows[one])
@@ -296,18 +310,18 @@ def _judged_part(pieces: list[tuple], judge: Judge, by_id: bool) -> list[tuple]:
     return out
 
 
-def _marked(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int, common: np.ndarray, output: Callable[[Block, np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _marked(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int, output: Callable[[Block, np.ndarray, dict], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             block = Block(row, shape)
-            block.by_window(common)
+            block.keep(row["states"])
             removed = np.zeros(int(block.first[-1]) + 1, np.int32)
             if row["answers"]:
                 one, bucket, of, _ = block.distinct(buckets)
                 base = np.searchsorted(bucket, np.arange(buckets) * shape.parts)
-                unit = np.concatenate([_unpack(x["unit"], np.uint32).astype(np.int64) + base[x["bucket"]] for x in row["answers"]])
-                a, b = (np.concatenate([_unpack(x[k], np.uint8) for x in row["answers"]]).astype(np.int64) for k in "ab")
-                value = np.concatenate([_unpack(x["value"], np.int64) for x in row["answers"]])
+                unit = np.concatenate([unpack(x["unit"], np.uint32).astype(np.int64) + base[x["bucket"]] for x in row["answers"]])
+                a, b = (np.concatenate([unpack(x[k], np.uint8) for x in row["answers"]]).astype(np.int64) for k in "ab")
+                value = np.concatenate([unpack(x["value"], np.int64) for x in row["answers"]])
                 order = np.argsort(unit, kind="stable")
                 unit, a, b, value = unit[order], a[order], b[order], value[order]
                 per = np.bincount(unit, minlength=len(one))
@@ -319,40 +333,29 @@ def _marked(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int, commo
                     place, run = place[earlier], run[earlier]
                 np.add.at(removed, block.at[place] + a[run], 1)
                 np.add.at(removed, block.at[place] + b[run] + shape.window - 1, -1)
-            yield output(block, np.cumsum(removed[:-1]) > 0)
-
-
-def without_repeats(docs: DataFrame, shape: Shape, judge: Judge, output: Callable[[Block, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
-    """output of each block and of which of its symbols are in a window that judge gives a value under the document's doc_id."""
-    spark = docs.sparkSession
-    blocks = written(texts(docs).mapInArrow(lambda batches: _blocks(batches, shape.words), "block long, ids binary, offsets binary, body binary"), "blocks")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # rows are large from here on
-    size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
-
-    def anchors(batch: pa.RecordBatch) -> np.ndarray:
-        return np.concatenate([(Block(row, shape).anchor >> np.uint64(64 - SKETCH_BITS)).astype(np.int64) for row in batch.to_pylist()] or [np.zeros(0, np.int64)])
-
-    counts = summed(blocks, anchors, SKETCH_BITS)
-    common = counts > COMMON + int(np.median(counts))
-    sent = blocks.mapInArrow(lambda batches: _sent(batches, shape, buckets, common), "bucket int, block long, text binary, sizes binary, windows binary, least binary, many binary, parts binary")
+            yield output(block, np.cumsum(removed[:-1], dtype=np.int32) > 0, row)
+
+
+def without_repeats(docs: DataFrame, shape: Shape, judge: Judge, output: Callable[[Block, np.ndarray, dict], pa.RecordBatch], schema: str, *more: str) -> DataFrame:
+    """output of each block, of which of its symbols are in a window that judge gives a value under the document's doc_id, and of its row, with the columns more."""
+    blocks, size = in_blocks(docs, *more)
+    ranges, buckets = (max(LEAST, -(-size // n)) for n in (RANGE_BYTES, BUCKET_BYTES))
+    asked = blocks.drop("more").mapInArrow(lambda batches: _asked(batches, shape, ranges), "range int, block long, anchors binary, many binary, count binary")
+    told = asked.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(lambda batches: _states(batches, shape.common), "block long, range int, state binary")
+    # a few bits for each anchor; blocks are joined where they are, as their table is bucketed
+    states = written(told.groupBy("block").agg(F.collect_list(F.struct("range", "state")).alias("states")), "states")
+    sent = blocks.drop("more").join(states.hint("shuffle_hash"), "block", "left").mapInArrow(lambda batches: _sent(batches, shape, buckets), "bucket int, block long, text binary, sizes binary, windows binary, least binary, many binary, parts binary")
     found = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _answers(batches, judge, not shape.words), "block long, bucket int, unit binary, a binary, b binary, value binary")
     answers = found.groupBy("block").agg(F.collect_list(F.struct("bucket", "unit", "a", "b", "value")).alias("answers"))
-    return blocks.join(answers, "block", "left").mapInArrow(lambda batches: _marked(batches, shape, buckets, common, output), schema)
+    both = blocks.join(states.hint("shuffle_hash"), "block", "left").join(answers.hint("shuffle_hash"), "block", "left")
+    return both.mapInArrow(lambda batches: _marked(batches, shape, buckets, output), schema)
 
 
-def together(chosen: np.ndarray, anchor: np.ndarray, size: np.ndarray, most: int) -> list[np.ndarray]:
-    """The chosen units in parts of about most in size; units of one anchor are in one part."""
+def together(anchor: np.ndarray, size: np.ndarray, most: int) -> list[np.ndarray]:
+    """The units in parts of about most in size; units of one anchor are in one part."""
     order = np.argsort(anchor, kind="stable")
-    chosen, anchor, ends = chosen[order], anchor[order], np.cumsum(size[order])
+    anchor, ends = anchor[order], np.cumsum(size[order])
     lead = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
     part = (ends[lead] - size[order][lead]) // most
     cuts = lead[np.append(True, part[1:] != part[:-1])]
-    return np.split(chosen, cuts[1:])
-
-
-def shared_windows(hashes: np.ndarray, unit: np.ndarray, n: int) -> np.ndarray:
-    """Which of n units have a window whose hash comes twice: only these can share a window with another, or hold one twice."""
-    out = np.zeros(n, bool)
-    out[unit[repeats(hashes)]] = True
-    return out
+    return np.split(order, cuts[1:])

@@ -1,7 +1,6 @@
 """Suffix-array dedup: removes each byte that a window of bytes covers which also starts in a document of smaller doc_id.
 
-In each bucket of units the distinct units that share a window by hash are laid one after another and their suffixes
-sorted in two stages, as deep as a window: those not greater than their successors by first character are sorted
+In each bucket of units the distinct units are laid one after another and their suffixes sorted in two stages, as deep as a window: those not greater than their successors by first character are sorted
 directly, eight bytes at a time; all others are induced from these by one scan over the buckets of first characters.
 Adjacent suffixes' common prefixes then tell equal windows: those between which none is shorter than a window.
 
@@ -17,11 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import byte_hashes, runs
-from .repeats import NO_ID, Block, Shape, byte_grams, shared_windows, together, without_repeats
+from .blocks import NO_ID, rest_of
+from .common import binary_array, gather
+from .repeats import Block, Shape, byte_grams, together, without_repeats
 
-WINDOW, GRAM = 50, 12  # byte_grams has 12
-NO_HASH = np.uint64(2**64 - 1)
+WINDOW, GRAM = 50, 16  # byte_grams has 16
+SHAPE = Shape(WINDOW, GRAM, False, 16)
+#: Anchors are told apart by the hash's leading bits, as the units are.
+ANCHOR_BITS, NO_HASH = np.uint64(31), np.uint64(2**64 - 1)
 #: Bytes that are sorted together.
 SORTED_BYTES = 2 << 20
 
@@ -97,25 +99,19 @@ def common_prefixes(words: np.ndarray, order: np.ndarray, depth: int) -> np.ndar
 
 def least_ids(text: np.ndarray, offsets: np.ndarray, windows: np.ndarray, least: np.ndarray, _: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """For each window of each unit the least doc_id of the units that have it."""
-    unit = np.repeat(np.arange(len(windows)), windows)
     first = np.cumsum(windows) - windows
-    at = offsets[unit] + np.arange(len(unit)) - first[unit]
-    value = least[unit]
-    shared = np.flatnonzero(shared_windows(byte_hashes(text, at, at + window), unit, len(windows)))
-    if not len(shared):
-        return value
+    value = np.repeat(least, windows)
     # units that share a window have its anchor in common: they are sorted together
-    begin = offsets[shared]
-    anchor = np.minimum.reduceat(np.append(byte_grams(text), NO_HASH), np.stack([begin, begin + window - GRAM + 1], 1).ravel())[::2]
-    for part in together(shared, anchor, offsets[shared + 1] - begin, SORTED_BYTES):
-        size = offsets[part + 1] - offsets[part]
-        ends = np.cumsum(size)
-        body = text[np.repeat(offsets[part] - ends + size, size) + np.arange(ends[-1])]
+    begin = offsets[:-1]
+    grams = np.append(byte_grams(text) >> ANCHOR_BITS, NO_HASH)
+    anchor = np.minimum.reduceat(grams, np.stack([begin, begin + window - GRAM + 1], 1).ravel())[::2]
+    for part in together(anchor, np.diff(offsets), SORTED_BYTES):
+        body, ends = gather(text, begin[part], offsets[part + 1] - begin[part])
         n = windows[part]
         own = np.repeat(np.arange(len(part)), n)
-        place = (ends - size)[own] + np.arange(len(own)) - (np.cumsum(n) - n)[own]
+        within = np.arange(len(own)) - (np.cumsum(n) - n)[own]
         slot = np.full(len(body), -1)
-        slot[place] = first[part][own] + np.arange(len(own)) - (np.cumsum(n) - n)[own]
+        slot[ends[own] + within] = first[part][own] + within
         words = packed(body, window + 8)
         order = two_stage(body, window, words)
         order = order[slot[order] >= 0]
@@ -125,33 +121,53 @@ def least_ids(text: np.ndarray, offsets: np.ndarray, windows: np.ndarray, least:
     return value
 
 
-def _cut(block: Block, removed: np.ndarray) -> pa.RecordBatch:
-    kept = [block.body[a:b][~removed[a:b]] for a, b in zip(block.offsets[:-1], block.offsets[1:], strict=True)]
-    spans = [len(runs(removed[a:b])[0]) for a, b in zip(block.offsets[:-1], block.offsets[1:], strict=True)]
-    size = np.diff(block.offsets)
-    columns = [pa.array(block.ids, mask=block.ids == NO_ID), pa.array(size), pa.array(size - np.array([len(k) for k in kept], np.int64)), pa.array(spans, pa.int64()), pa.array([k.tobytes() for k in kept], pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+def _kept(block: Block, removed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes left, and their documents' offsets in them."""
+    return block.body[~removed], np.concatenate([[0], np.cumsum(~removed)])[block.offsets]
 
 
-def _cut_characters(block: Block, removed: np.ndarray) -> pa.RecordBatch:
-    """As _cut, but a character (a byte and the continuation bytes after it) goes if any byte of it does."""
+def _whole_characters(block: Block, removed: np.ndarray) -> np.ndarray:
+    """removed, and with any byte of a character (a byte and the continuation bytes after it) the whole of it."""
     character = np.cumsum((block.body & 0xC0) != 0x80)
-    return _cut(block, np.bincount(character, weights=removed, minlength=1)[character] > 0 if len(removed) else removed)
+    return np.bincount(character, weights=removed, minlength=1)[character] > 0 if len(removed) else removed
+
+
+def _cut(block: Block, removed: np.ndarray, _: dict) -> pa.RecordBatch:
+    kept, ends = _kept(block, removed)
+    size = np.diff(block.offsets)
+    begins = removed & ~np.append(False, removed[:-1])
+    begins[block.offsets[:-1][block.offsets[:-1] < block.offsets[-1]]] |= removed[block.offsets[:-1][block.offsets[:-1] < block.offsets[-1]]]
+    spans = np.diff(np.concatenate([[0], np.cumsum(begins)])[block.offsets])
+    columns = [pa.array(block.ids, mask=block.ids == NO_ID), pa.array(size), pa.array(size - np.diff(ends)), pa.array(spans), binary_array(kept, ends).cast(pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def remove_passages(docs: DataFrame, whole_characters: bool = False) -> DataFrame:
+def remove_passages(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary) of each row."""
-    return without_repeats(docs, Shape(WINDOW, GRAM, False, 16), least_ids, _cut_characters if whole_characters else _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return without_repeats(docs, SHAPE, least_ids, _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def _texts(block: Block, removed: np.ndarray, row: dict) -> pa.RecordBatch:
+    kept, ends = _kept(block, _whole_characters(block, removed))
+    rest = rest_of(row)
+    return rest.append_column("text", binary_array(kept, ends).cast(pa.binary()).cast(pa.string()))
+
+
+def without_passages(docs: DataFrame) -> DataFrame:
+    """docs without the bytes that remove_passages removes, and without the rest of characters of which it removes a part. A null text becomes empty."""
+    others = [c for c in docs.columns if c != "text"]
+    schema = docs.select(*others).schema.add("text", "string")
+    return without_repeats(docs, SHAPE, least_ids, _texts, schema, *others).select(docs.columns)
 
 
-def _digest(block: Block, removed: np.ndarray) -> pa.RecordBatch:
-    cut = _cut(block, removed)
-    return cut.set_column(4, "kept_sha256", pa.array([hashlib.sha256(k.as_py()).hexdigest() for k in cut.column("kept")]))
+def _digest(block: Block, removed: np.ndarray, row: dict) -> pa.RecordBatch:
+    cut = _cut(block, removed, row)
+    return cut.set_column(4, "kept_sha256", pa.array([hashlib.sha256(k.as_buffer()).hexdigest() for k in cut.column("kept")], pa.string()))
 
 
 def op8_suffixes(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return without_repeats(docs, Shape(WINDOW, GRAM, False, 16), least_ids, _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return without_repeats(docs, SHAPE, least_ids, _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 QUERIES = {"op8_suffixes": op8_suffixes}

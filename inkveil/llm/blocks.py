@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, flat, shared_folder, texts
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Bytes of text in a bucket of the table of blocks; the number of buckets is Spark's limit at most.
 BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 32 << 20, 24, 100_000
 #: Stands for a null doc_id.

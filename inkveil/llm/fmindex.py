@@ -22,7 +22,7 @@ from .common import binary_array, byte_hashes, codes_of, gather, prefix_sums, sp
 from .repeats import Block, Shape, together, without_repeats
 
 WINDOW, GRAM = 35, 8
-SHAPE = Shape(WINDOW, GRAM, True, 4)
+SHAPE = Shape(WINDOW, GRAM, True, 16)
 #: Anchors are told apart by the hash's leading bits, as the units are.
 ANCHOR_BITS = np.uint64(31)
 #: Words in one index.

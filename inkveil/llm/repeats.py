@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from .blocks import NO_ID, in_blocks, pack, pack_ascending, unpack, unpack_ascending
 from .common import binary_array, byte_hashes, codes_of, gather, joined_slices, mixed, prefix_sums, span_hashes, word_bounds, written
 
-#: Bytes of text for each range of anchors and for each bucket.
-RANGE_BYTES, BUCKET_BYTES, LEAST = 128 << 20, 24 << 20, 24
+#: Bytes of text for each range of anchors and for each bucket: blocks send a row to each, so that there are as many rows as both make.
+RANGE_BYTES, BUCKET_BYTES, LEAST = 256 << 20, 96 << 20, 24
+#: Anchors of a range that are looked at together.
+SLICE = 1 << 18
 #: Units are found in stretches of documents of so many symbols.
 STRETCH = 1 << 18
 #: An anchor in more places than that is dealt out by window.
@@ -212,15 +214,24 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]
 
 
 def _states(batches: Iterator[pa.RecordBatch], common: int) -> Iterator[pa.RecordBatch]:
-    """For each block's anchors of a range whether they stand alone, in places that are a few, or in many."""
+    """For each block's anchors of a range whether they stand alone, in places that are a few, or in many; a slice of the range after another."""
     for rows in _grouped(batches, "range"):
         anchors = [unpack_ascending(r["anchors"]) for r in rows]
-        code = np.unique(np.concatenate(anchors), return_inverse=True)[1]
-        met = np.bincount(code, weights=np.concatenate([unpack(r["many"], np.bool_) for r in rows])) + np.bincount(code) > 1
-        state = np.where(np.bincount(code, weights=np.concatenate([unpack(r["count"], np.uint8) for r in rows])) > common, MANY, MET)
-        state = np.where(met, state, ALONE).astype(np.uint8)[code]
-        ends = np.cumsum([len(a) for a in anchors])
-        for row, own in zip(rows, np.split(state, ends[:-1]), strict=True):
+        state = [np.zeros(len(a), np.uint8) for a in anchors]
+        many, count = [unpack(r["many"], np.bool_) for r in rows], [unpack(r["count"], np.uint8) for r in rows]
+        longest = max(anchors, key=len)
+        slices = -(-sum(map(len, anchors)) // SLICE)
+        bounds = np.append(longest[(len(longest) * np.arange(1, slices)) // slices], np.uint64(2**64 - 1))
+        cuts = [np.concatenate([[0], np.searchsorted(a, bounds, "right")]) for a in anchors]
+        for k in range(slices):
+            own = [slice(c[k], c[k + 1]) for c in cuts]
+            join = lambda values, own=own: np.concatenate([v[s] for v, s in zip(values, own, strict=True)])
+            code = np.unique(join(anchors), return_inverse=True)[1]
+            met = np.bincount(code, weights=join(many)) + np.bincount(code) > 1
+            told = np.where(met, np.where(np.bincount(code, weights=join(count)) > common, MANY, MET), ALONE).astype(np.uint8)[code]
+            for one, s, part in zip(state, own, np.split(told, np.cumsum([s.stop - s.start for s in own])[:-1]), strict=True):
+                one[s] = part
+        for row, own in zip(rows, state, strict=True):
             yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([row["range"]], pa.int32()), pa.array([pack(own)], pa.binary())], ["block", "range", "state"])
 
 
@@ -251,21 +262,14 @@ Judge = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], n
 def _answers(batches: Iterator[pa.RecordBatch], judge: Judge, by_id: bool) -> Iterator[pa.RecordBatch]:
     """The answers to the rows of each bucket, judged part by part."""
     for rows in _grouped(batches, "bucket"):
-        held = []
-        for row in rows:
-            size = unpack(row["sizes"], np.uint32).astype(np.int64)
-            columns = [unpack(row["windows"], np.uint8).astype(np.int64), unpack(row["least"], np.int64), unpack(row["many"], np.bool_)]
-            cuts = np.concatenate([[0], np.cumsum(unpack(row["parts"], np.uint32).astype(np.int64))])
-            held.append((unpack(row["text"], np.uint8), np.concatenate([[0], np.cumsum(size)]), *columns, cuts))
+        cuts = [np.concatenate([[0], np.cumsum(unpack(row["parts"], np.uint32).astype(np.int64))]) for row in rows]
         answers: list[list[tuple]] = [[] for _ in rows]
-        for part in range(len(held[0][5]) - 1):
-            pieces = []
-            for text, ends, windows, least, many, cuts in held:
-                a, b = cuts[part], cuts[part + 1]
-                pieces.append((text[ends[a] : ends[b]], np.diff(ends[a : b + 1]), windows[a:b], least[a:b], many[a:b]))
-            for answer, found, at in zip(answers, _judged_part(pieces, judge, by_id), (h[5][part] for h in held), strict=True):
+        for part in range(len(cuts[0]) - 1):
+            # rows stay compressed, and are opened for each part
+            pieces = [_piece(row, cut[part], cut[part + 1]) for row, cut in zip(rows, cuts, strict=True)]
+            for answer, found, cut in zip(answers, _judged_part(pieces, judge, by_id), cuts, strict=True):
                 if len(found[0]):
-                    answer.append((found[0] + at, *found[1:]))
+                    answer.append((found[0] + cut[part], *found[1:]))
         for row, answer in zip(rows, answers, strict=True):
             if answer:
                 unit, a, b, value = (np.concatenate(x) for x in zip(*answer, strict=True))
@@ -273,6 +277,14 @@ def _answers(batches: Iterator[pa.RecordBatch], judge: Judge, by_id: bool) -> It
                 yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([row["bucket"]], pa.int32()), *(pa.array([pack(x)], pa.binary()) for x in columns)], ["block", "bucket", "unit", "a", "b", "value"])
 
 
+def _piece(row: dict, a: int, b: int) -> tuple:
+    """Of the units from a to b of a row: their text, sizes, windows, least doc_ids, and which are in more documents."""
+    sizes = unpack(row["sizes"], np.uint32).astype(np.int64)
+    begin = int(sizes[:a].sum())
+    text = unpack(row["text"], np.uint8)[begin : begin + int(sizes[a:b].sum())].copy()
+    return text, sizes[a:b], unpack(row["windows"], np.uint8)[a:b].astype(np.int64), unpack(row["least"], np.int64)[a:b].copy(), unpack(row["many"], np.bool_)[a:b].copy()
+
+
 def _judged_part(pieces: list[tuple], judge: Judge, by_id: bool) -> list[tuple]:
     """For each block's units (text, sizes, windows, least doc_ids, which are in more documents): units, runs of windows from a to b, and their values."""
     text, size, windows, least, many = (np.concatenate(x) for x in zip(*pieces, strict=True))

@@ -84,8 +84,8 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def in_blocks(docs: DataFrame, *more: str) -> tuple[DataFrame, int]:
-    """The table of blocks, with the named columns beside, and the bytes of all texts."""
+def in_blocks(docs: DataFrame, *more: str) -> tuple[DataFrame, int, int]:
+    """The table of blocks, with the named columns beside, the bytes of all texts, and the number of the table's buckets."""
     spark, size = docs.sparkSession, text_bytes(docs)
     own = [c for c in more if c != "doc_id"]
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *own)
@@ -95,7 +95,7 @@ def in_blocks(docs: DataFrame, *more: str) -> tuple[DataFrame, int]:
     buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-size // BUCKET_BYTES)))
     rows.write.option("path", path).option("compression", "uncompressed").bucketBy(buckets, "block").format("parquet").saveAsTable(name)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # rows are large from here on
-    return spark.table(name), size
+    return spark.table(name), size, buckets
 
 
 def rest_of(row: dict) -> pa.RecordBatch:

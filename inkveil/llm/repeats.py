@@ -123,7 +123,8 @@ class Block:
         whole = np.flatnonzero(first[owner + 1] - np.arange(n) >= window)
         place, owner = (low[whole] & np.uint64((1 << int(_PLACE)) - 1)).astype(np.int64), owner[whole]
         begin = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else np.zeros(0, np.int64)
-        return a + whole[begin], np.diff(np.append(begin, len(whole))), doc + owner[begin], hashes[place[begin]]
+        # hashes that were the least of many are small; hashed again they spread evenly
+        return a + whole[begin], np.diff(np.append(begin, len(whole))), doc + owner[begin], mixed(hashes[place[begin]] ^ np.uint64(0x5851F42D4C957F2D))
 
     def asked(self) -> tuple[np.ndarray, np.ndarray]:
         """Of the distinct anchors: which stand in more documents than one (words: in more places), and in how many places."""
@@ -350,7 +351,7 @@ def _marked(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int, outpu
 
 def without_repeats(docs: DataFrame, shape: Shape, judge: Judge, output: Callable[[Block, np.ndarray, dict], pa.RecordBatch], schema: str, *more: str) -> DataFrame:
     """output of each block, of which of its symbols are in a window that judge gives a value under the document's doc_id, and of its row, with the columns more."""
-    blocks, size = in_blocks(docs, *more)
+    blocks, size, tasks = in_blocks(docs, *more)
     ranges, buckets = (max(LEAST, -(-size // n)) for n in (RANGE_BYTES, BUCKET_BYTES))
     asked = blocks.drop("more").mapInArrow(lambda batches: _asked(batches, shape, ranges), "range int, block long, anchors binary, many binary, count binary")
     told = asked.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(lambda batches: _states(batches, shape.common), "block long, range int, state binary")
@@ -358,7 +359,8 @@ def without_repeats(docs: DataFrame, shape: Shape, judge: Judge, output: Callabl
     states = written(told.groupBy("block").agg(F.collect_list(F.struct("range", "state")).alias("states")), "states")
     sent = blocks.drop("more").join(states.hint("shuffle_hash"), "block", "left").mapInArrow(lambda batches: _sent(batches, shape, buckets), "bucket int, block long, text binary, sizes binary, windows binary, least binary, many binary, parts binary")
     found = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _answers(batches, judge, not shape.words), "block long, bucket int, unit binary, a binary, b binary, value binary")
-    answers = found.groupBy("block").agg(F.collect_list(F.struct("bucket", "unit", "a", "b", "value")).alias("answers"))
+    # as many partitions as the table of blocks has buckets, so that it is this side that moves
+    answers = found.repartition(tasks, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "unit", "a", "b", "value")).alias("answers"))
     both = blocks.join(states.hint("shuffle_hash"), "block", "left").join(answers.hint("shuffle_hash"), "block", "left")
     return both.mapInArrow(lambda batches: _marked(batches, shape, buckets, output), schema)
 

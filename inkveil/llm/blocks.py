@@ -65,8 +65,8 @@ def gathered(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iter
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _rows(batches: Iterator[pa.RecordBatch], more: list[str]) -> Iterator[pa.RecordBatch]:
-    for batch in gathered(batches):
+def _rows(batches: Iterator[pa.RecordBatch], more: list[str], most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    for batch in gathered(batches, most):
         body, offsets = flat(batch.column("text"))
         ids = batch.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
         rest = b""
@@ -84,14 +84,14 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def in_blocks(docs: DataFrame, *more: str) -> tuple[DataFrame, int, int]:
+def in_blocks(docs: DataFrame, *more: str, most: int = BLOCK_BYTES) -> tuple[DataFrame, int, int]:
     """The table of blocks, with the named columns beside, the bytes of all texts, and the number of the table's buckets."""
     spark, size = docs.sparkSession, text_bytes(docs)
     own = [c for c in more if c != "doc_id"]
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *own)
     texts(docs.select("doc_id", "text"))  # for its batches
     path, name = f"{shared_folder(spark)}/blocks-{uuid.uuid4().hex}", f"blocks_{uuid.uuid4().hex}"
-    rows = source.mapInArrow(lambda batches: _rows(batches, list(more)), SCHEMA)
+    rows = source.mapInArrow(lambda batches: _rows(batches, list(more), most), SCHEMA)
     buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-size // BUCKET_BYTES)))
     rows.write.option("path", path).option("compression", "uncompressed").bucketBy(buckets, "block").format("parquet").saveAsTable(name)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # rows are large from here on

@@ -1,11 +1,13 @@
 """Quality rules: word and line statistics, and perplexity bands under a modified Kneser-Ney model counted by Spark.
 
-The model is one of word trigrams for each language (the lang column; null is a language of its own), counted over
-all documents: words `[^\\x20\\x09-\\x0D]+` in lower case, each digit as one sign, two marks before a text's first word.
-Its probabilities are computed as DataFrames: for each order, discounts from the counts of counts, continuation counts
-for the lower orders, interpolation down to the uniform distribution. It grows with the input. As every trigram of a
-document has been counted (the document's own are among the counts), the table of trigrams holds all that scoring needs. Up to model_entries rows it is sent
-to the executors as a sorted array of hashes, searched in batches; beyond, documents' own counts are joined with it.
+The model is one of word bigrams, counted over all documents: words `[^\\x20\\x09-\\x0D]+` in lower case, each digit as one sign,
+a mark before a text's first word. A word carries its document's language (the lang column; null is one of its own) and stands for
+one of 2 ** CLASS_BITS classes by its hash, so that a bigram is a number of twice as many bits, without further collisions,
+and what the lower order needs are a few arrays of fixed size. The bigrams themselves grow with the input: each block of
+documents sends its distinct ones with their counts, sorted, to ranges of a hash; a range adds them up in a sorted array,
+answers each block with the counts over all documents, and sums what the model needs by class: of how many different words a
+word comes after, how many bigrams begin with it once, twice or more often, and in all. From these come the discounts and the
+interpolation with continuation counts down to the uniform distribution. Blocks then score their documents.
 
 Nulls: a null text is empty (n_words 0, base_failed, no perplexity); a null lang is a language of its own. A null or
 repeated doc_id is returned as it is, a row for each input row. Other columns of the input are not read.
@@ -13,27 +15,31 @@ repeated doc_id is returned as it is, a row for each input row. Other columns of
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, byte_hashes, chunks, codes_of, flat, mixed, repeats, texts, word_bounds, written
+from .blocks import in_blocks, pack, pack_ascending, rest_of, unpack, unpack_ascending
+from .common import SPACE, byte_hashes, codes_of, flat, mixed, repeats, word_bounds, written
 
-ORDER = 3
-#: Rows of the model that may be broadcast: 16 bytes each.
-MODEL_ENTRIES = 3_000_000
-MAX_BROADCAST_LANGUAGES = 10_000
+CLASS_BITS = 22
+#: Texts are taken together for this many bytes: the more, the fewer distinct bigrams.
+BLOCK_BYTES = 16 << 20
+#: Bytes of text for each range of the bigrams' hashes.
+RANGE_BYTES, LEAST_RANGES = 128 << 20, 24
 #: Log-perplexities are counted in steps of 1 / STEPS for the quartiles.
 STEPS = 1024
 #: A document leaves if its mean log-probability lies more than WIDTH interquartile ranges outside its language's quartiles.
-#: Of widths in steps of a quarter the least that keeps nine in ten of the clean documents of `labels` (sf0.1, even doc_ids).
+#: Of widths in steps of a quarter the least that keeps 99 in 100 of the clean documents of `labels` (sf0.1, even doc_ids).
 #: MIN_RANGE is one step, so that equal documents stay; interquartile ranges are around 200 steps.
 WIDTH, MIN_RANGE = 1.5, 1 / STEPS
+#: A document is not too predictable if other documents have this share of its bigrams too: then it is its copies that make it so.
+COPIED = 0.9
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 
 SYMBOL = np.zeros(256, bool)
@@ -80,129 +86,202 @@ def _text_stats(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     }
 
 
-def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """The batch's rows of each language, with a 24-bit key of it."""
-    codes, names = codes_of(batch.column("lang").cast(pa.string()).fill_null(""))
-    for k, name in enumerate(names.to_pylist()):
-        yield zlib.crc32(name.encode()) & 0xFFFFFF, batch.filter(pa.array(codes == k))
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_KEYS = np.uint64((1 << 2 * CLASS_BITS) - 1)
+_CLASSES = np.uint64((1 << CLASS_BITS) - 1)
+_CLASS_SHIFT = np.uint64(64 - CLASS_BITS)
+_BACK = np.uint64(pow(int(_ODD), -1, 1 << 64))
 
 
-def _grams(batch: pa.RecordBatch, lang: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each word of each text a row of ORDER hashes, of the words before it (before the first: marks) and its own; the rows' hashes; the number of words before each text (len + 1)."""
+def _tongue(name: str | None) -> int:
+    """A hash of a language; null has its own."""
+    return int.from_bytes(hashlib.sha256(b"-" if name is None else b"+" + name.encode()).digest()[:8], "little")
+
+
+def bigrams(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of each text with the word before it (at first: a mark), from which both classes can be told; the number of words before each text (len + 1)."""
     body, offsets = flat(batch.column("text"))
     starts, ends, before = word_bounds(body, offsets)
-    odd, pad, n = np.uint64(0xD6E8FEB86659FD93), ORDER - 1, batch.num_rows
-    own = mixed(byte_hashes(_LOWER[body], starts, ends) + np.uint64(lang) * odd)
-    padded = np.full(len(own) + pad * n, np.uint64(lang) + np.uint64(1))
-    inside = np.arange(len(own)) + np.repeat(pad * np.arange(1, n + 1), np.diff(before))
-    padded[inside] = own
-    words = np.stack([padded[inside - k] for k in range(pad, -1, -1)], axis=1)
-    gram = words[:, 0].copy()
-    for k in range(1, ORDER):
-        gram = mixed(gram * odd + words[:, k])
-    return words.view(np.int64), gram.view(np.int64), before
-
-
-def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One place of each distinct value, in order of values, and how often each stands."""
-    order = np.argsort(values, kind="stable")
-    ordered = values[order]
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
-    return order[first], np.diff(np.concatenate([first, [len(ordered)]]))
-
-
-def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches):
-        for lang, rows in _by_language(batch):
-            words, gram, _ = _grams(rows, lang)
-            one, n = _counted(gram)
-            columns = [pa.array(np.full(len(one), lang, np.int32)), pa.array(gram[one]), *(pa.array(words[one, k]) for k in range(ORDER)), pa.array(n.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["l", "gram", "a", "b", "c", "n"])
-
-
-class HashArrays:
-    """The model: hashes of grams in order, and their log-probabilities."""
-
-    def __init__(self, grams: np.ndarray, logp: np.ndarray):
-        order = np.argsort(grams)
-        self.hashes, self.logp = grams[order], logp[order]
-
-    def __call__(self, grams: np.ndarray) -> np.ndarray:
-        """The log-probabilities of grams, all of which the model has."""
-        wanted, place = np.unique(grams, return_inverse=True)
-        return self.logp[np.searchsorted(self.hashes, wanted)][place]
-
-
-def _discount(k: int, y: Column) -> Column:
-    """Of what has been counted k times; half a count where the counts of counts give none."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(float(k)), F.coalesce(k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")), F.lit(0.5)))).alias(f"d{k}")
-
-
-def kneser_ney(docs: DataFrame) -> DataFrame:
-    """gram long (a trigram's hash), a, b, c long (its words' hashes, each with its language), logp double: the natural logarithm of the last word's probability after the others."""
-    counted = texts(docs, "lang").mapInArrow(_count_grams, "l int, gram long, a long, b long, c long, n int")
-    # equal hashes of grams are equal grams: the other columns are carried along
-    top = written(counted.groupBy("gram").agg(*(F.first(k).alias(k) for k in ("l", "a", "b", "c")), F.sum("n").alias("n")), "grams")
-    pairs = written(top.groupBy("b", "c").agg(F.first("l").alias("l"), F.count("*").alias("n")), "pairs")
-    single = written(pairs.groupBy("c").agg(F.first("l").alias("l"), F.count("*").alias("n")), "words")
-    # a row for each language goes to all executors, unless there are very many
-    few = single.select("l").distinct().count() <= MAX_BROADCAST_LANGUAGES
-    sent = F.broadcast if few else lambda df: df
-
-    def discounted(level: DataFrame) -> DataFrame:
-        kinds = [F.sum((F.col("n") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)]
-        y = F.coalesce(F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2")), F.lit(0.0))
-        discounts = level.groupBy("l").agg(*kinds).select("l", *(_discount(k, y) for k in (1, 2, 3)))
-        return level.join(sent(discounts), "l").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))).drop("d1", "d2", "d3")
-
-    totals = (F.sum("n").alias("all_n"), F.sum("d").alias("all_d"))
-    p = ((F.col("n") - F.col("d") + F.col("all_d") * F.col("q")) / F.col("all_n")).alias("p")
-    # sums are joined with what they sum up, as a window would hold all rows of a common word or of a language in one task
-    own = discounted(single)
-    one = own.join(sent(own.groupBy("l").agg(*totals, (1 / (F.count("*") + 1)).alias("q"))), "l").select("c", p.alias("q"))
-    own = discounted(pairs)
-    two = own.join(own.groupBy("b").agg(*totals), "b").join(one, "c").select("b", "c", p.alias("q"))
-    own = discounted(top).drop("l")
-    return own.join(own.groupBy("a", "b").agg(*totals), ["a", "b"]).join(two, ["b", "c"]).select("gram", "a", "b", "c", F.log(p).alias("logp"))
-
-
-def _stats(batches: Iterator[pa.RecordBatch], model: HashArrays | None) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches):
-        for lang, rows in _by_language(batch):
-            columns = {c: rows.column(c) for c in rows.schema.names if c != "text"} | {k: pa.array(v.astype(np.int64)) for k, v in _text_stats(rows).items()}
-            if model is not None:
-                _, gram, before = _grams(rows, lang)
-                sizes = np.diff(before)
-                total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=model(gram), minlength=len(sizes)) if len(gram) else np.zeros(len(sizes))
-                columns["log_perplexity"] = pa.array(-total / np.maximum(sizes, 1), mask=sizes == 0)
+    column = batch.column("lang")
+    codes, names = codes_of(column.fill_null(""))
+    lang = np.array([_tongue(x) for x in names.to_pylist()], np.uint64)[codes]
+    lang[column.is_null().to_numpy(zero_copy_only=False)] = _tongue(None)
+    own = mixed(byte_hashes(_LOWER[body], starts, ends) + np.repeat(lang, np.diff(before))) >> _CLASS_SHIFT
+    last = np.append(np.uint64(0), own[:-1])[: len(own)]
+    full = np.diff(before) > 0
+    last[before[:-1][full]] = mixed(lang[full]) >> _CLASS_SHIFT
+    return ((last << np.uint64(CLASS_BITS) | own) * _ODD) & _KEYS, before
+
+
+def classes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of the first and of the second word of bigrams by their hashes."""
+    plain = (keys * _BACK) & _KEYS
+    return (plain >> np.uint64(CLASS_BITS)).astype(np.int64), (plain & _CLASSES).astype(np.int64)
+
+
+def _texts_of(row: dict) -> pa.RecordBatch:
+    """A block's documents: doc_id, lang and text."""
+    offsets = unpack(row["offsets"], np.int64)
+    column = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(unpack(row["body"], np.uint8))])
+    return rest_of(row).append_column("text", column)
+
+
+def _starts(ranges: int) -> np.ndarray:
+    return np.array([(k << 2 * CLASS_BITS) // ranges for k in range(ranges)], np.uint64)
+
+
+def _asked(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            keys, count = np.unique(bigrams(_texts_of(row))[0], return_counts=True)
+            cuts = np.searchsorted(keys, _starts(ranges))
+            rows = [(k, row["block"], pack_ascending(keys[a:b]), pack(count[a:b].astype(np.uint32))) for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(keys)], strict=True)) if b > a]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["range", "block", "keys", "count"])
+
+
+#: What a range sums up by class of the first word (bigrams that come once, twice, more often, and in all) and of the second (bigrams).
+SUMS = ("once", "twice", "often", "total", "before")
+
+
+class HashArray:
+    """Bigrams by their hashes, in order, and how often each stands in all documents."""
+
+    def __init__(self, keys: list[np.ndarray], counts: list[np.ndarray]):
+        """keys: of each block, in order."""
+        self.keys, self._place = np.unique(np.concatenate(keys), return_inverse=True)
+        self.count = np.bincount(self._place, weights=np.concatenate(counts), minlength=len(self.keys)).astype(np.int64)
+        self.ends = np.cumsum([len(k) for k in keys])
+
+    def answers(self) -> list[np.ndarray]:
+        """The counts of each block's bigrams."""
+        return np.split(self.count[self._place], self.ends[:-1])
+
+    def sums(self) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """For each of SUMS the classes, ascending, that have any, and the sums; counts of counts from 1 to 4 as kinds."""
+        first, second = classes(self.keys)
+        out = {}
+        for name, (of, weight) in zip(SUMS, ((first, self.count == 1), (first, self.count == 2), (first, self.count > 2), (first, self.count), (second, np.ones(len(second)))), strict=True):
+            there = weight > 0
+            used, place = np.unique(of[there], return_inverse=True)
+            out[name] = used, np.bincount(place, weights=weight[there]).astype(np.int64)
+        out["kinds"] = np.arange(1, 5), np.array([(self.count == k).sum() for k in range(1, 5)])
+        return out
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows in order of range: each block's counts over all documents, and for each range a row for each of its sums."""
+    held: list[dict] = []
+
+    def told() -> Iterator[pa.RecordBatch]:
+        array = HashArray([unpack_ascending(r["keys"]) for r in held], [unpack(r["count"], np.uint32) for r in held])
+        at = held[0]["range"]
+        rows = [(r["block"], at, None, pack(a.astype(np.uint64)), None) for r, a in zip(held, array.answers(), strict=True)]
+        for row in rows:
+            yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, (pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.binary()), strict=True)], ["block", "range", "name", "count", "used"])
+        for name, (used, sums) in array.sums().items():
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([at], pa.int32()), pa.array([name]), pa.array([pack(sums.astype(np.uint64))], pa.binary()), pa.array([pack_ascending(used.astype(np.uint64))], pa.binary())], ["block", "range", "name", "count", "used"])
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and row["range"] != held[0]["range"]:
+                yield from told()
+                held = []
+            held.append(row)
+    if held:
+        yield from told()
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of one name added up, as far as they come together in a task."""
+    totals: dict[tuple, np.ndarray] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            total = totals.setdefault((row["name"], row["part"]), np.zeros(1 << CLASS_BITS, np.int64))
+            total[unpack_ascending(row["used"]).astype(np.int64)] += unpack(row["count"], np.uint64).astype(np.int64)
+    for (name, part), total in totals.items():
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([pack(total[used].astype(np.uint64))], pa.binary()), pa.array([pack_ascending(used.astype(np.uint64))], pa.binary())], ["name", "part", "count", "used"])
+
+
+def _all_sums(sums: DataFrame, ranges: int) -> dict[str, np.ndarray]:
+    """Arrays of 2 ** CLASS_BITS: the ranges' sums added up in two steps, each of at most the root of their number in a task."""
+    schema = "name string, part int, count binary, used binary"
+    root = max(1, int(ranges**0.5))
+    parted = sums.select("name", (F.col("range") % root).alias("part"), "count", "used")
+    some = parted.repartition(len(SUMS) * root, "name", "part").mapInArrow(_merged, schema)
+    whole = some.withColumn("part", F.lit(0)).repartition(len(SUMS) + 1, "name").mapInArrow(_merged, schema)
+    out = {name: np.zeros(1 << CLASS_BITS, np.int64) for name in (*SUMS, "kinds")}
+    for row in whole.toArrow().to_pylist():  # six rows
+        out[row["name"]][unpack_ascending(row["used"]).astype(np.int64)] = unpack(row["count"], np.uint64).astype(np.int64)
+    return out
+
+
+def discounts(kinds: np.ndarray) -> np.ndarray:
+    """What is taken off counts of 0, 1, 2, and more: from how many have a count of 1, 2, 3 and 4; half a count where these give none."""
+    n = [0, *map(float, kinds)]
+    y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.0
+    return np.array([0.0, *(max(0.0, min(k, k - (k + 1) * y * n[k + 1] / n[k])) if n[k] else 0.5 for k in (1, 2, 3))])
+
+
+class KneserNey:
+    """By class: one over its bigrams in all, the weight of the lower order after it, and its probability in the lower order."""
+
+    def __init__(self, sums: dict[str, np.ndarray]):
+        self.off = discounts(sums["kinds"][1:5])
+        total = np.maximum(sums["total"], 1)
+        self.per = (1 / total).astype(np.float32)
+        self.weight = ((self.off[1] * sums["once"] + self.off[2] * sums["twice"] + self.off[3] * sums["often"]) / total).astype(np.float32)
+        before = sums["before"]
+        off = discounts([(before == k).sum() for k in range(1, 5)])[np.minimum(before, 3)]
+        seen, every = int((before > 0).sum()), max(1, int(before.sum()))
+        self.lower = ((before - off + off.sum() / (seen + 1)) / every).astype(np.float32)
+
+    def log_probabilities(self, keys: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Of bigrams that the documents have so often."""
+        first, second = classes(keys)
+        p = (count - self.off[np.minimum(count, 3)]) * self.per[first] + self.weight[first].astype(np.float64) * self.lower[second]
+        return np.log(p)
+
+
+def _own_counts(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """For each bigram of each document how often the document has it."""
+    _, at, count = np.unique(doc.astype(np.int64) << 40 | place, return_inverse=True, return_counts=True)
+    return count[at]
+
+
+def _scored(batches: Iterator[pa.RecordBatch], model: KneserNey) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            docs = _texts_of(row)
+            keys, before = bigrams(docs)
+            keys, place = np.unique(keys, return_inverse=True)
+            found = sorted(row["answers"] or [], key=lambda x: x["range"])
+            count = np.concatenate([*(unpack(x["count"], np.uint64).astype(np.int64) for x in found), np.zeros(0, np.int64)])
+            sizes = np.diff(before)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            total = np.bincount(doc, weights=model.log_probabilities(keys, count)[place], minlength=len(sizes))
+            columns = {c: docs.column(c) for c in ("doc_id", "lang")} | {k: pa.array(v.astype(np.int64)) for k, v in _text_stats(docs).items()}
+            columns["log_perplexity"] = pa.array(-total / np.maximum(sizes, 1), mask=sizes == 0)
+            columns["shared"] = pa.array(np.bincount(doc, weights=count[place] > _own_counts(doc, place), minlength=len(sizes)) / np.maximum(sizes, 1), mask=sizes == 0)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
-def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each row and each of its grams the number of times."""
-    for batch in chunks(batches):
-        for lang, rows in _by_language(batch):
-            _, gram, before = _grams(rows, lang)
-            doc = np.repeat(np.arange(rows.num_rows), np.diff(before))
-            order = np.lexsort((gram, doc))
-            doc, gram = doc[order], gram[order]
-            first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1])])) if len(gram) else np.zeros(0, np.int64)
-            n = np.diff(np.append(first, len(gram)))
-            yield pa.RecordBatch.from_arrays([rows.column("row").take(pa.array(doc[first])), pa.array(gram[first]), pa.array(n.astype(np.int32))], ["row", "gram", "n"])
-
-
-def document_stats(docs: DataFrame, model_entries: int = MODEL_ENTRIES) -> DataFrame:
-    """For each row of docs: doc_id, lang, the five counts, and log_perplexity double (per word; null for a text without words)."""
-    model = written(kneser_ney(docs).select("gram", "logp"), "model")
-    if model.count() <= model_entries:
-        table = model.toArrow()
-        sent = docs.sparkSession.sparkContext.broadcast(HashArrays(table["gram"].to_numpy(), table["logp"].to_numpy()))
-        return texts(docs, "lang").mapInArrow(lambda batches: _stats(batches, sent.value), f"{STATS}, log_perplexity double")
-    # rows of one key are equal in doc_id, text and lang, and so in perplexity: their sums give the same mean
-    rows = docs.select("doc_id", "text", "lang", F.xxhash64("doc_id", "text", "lang").alias("row"))
-    scored = texts(rows, "lang", "row").mapInArrow(_gram_counts, "row long, gram long, n int").join(model, "gram").groupBy("row").agg((-F.sum(F.col("n") * F.col("logp")) / F.sum("n")).alias("log_perplexity"))
-    counted = texts(rows, "lang", "row").mapInArrow(lambda batches: _stats(batches, None), STATS.replace("lang string", "lang string, row long"))
-    return counted.join(scored, "row", "left").drop("row")
+def model_of(blocks: DataFrame, size: int) -> tuple[DataFrame, dict[str, np.ndarray]]:
+    """The counts of each block's bigrams over all documents (a written table of block, range and count), and the model's sums by class."""
+    ranges = max(LEAST_RANGES, -(-size // RANGE_BYTES))
+    asked = blocks.mapInArrow(lambda batches: _asked(batches, ranges), "range int, block long, keys binary, count binary")
+    counted = written(asked.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(_counted, "block long, range int, name string, count binary, used binary"), "bigrams")
+    return counted.where("block is not null").select("block", "range", "count"), _all_sums(counted.where("name is not null"), ranges)
+
+
+def document_stats(docs: DataFrame) -> DataFrame:
+    """For each row of docs: doc_id, lang, the five counts, and log_perplexity double (per word) and shared double (of its bigrams, the share that other documents have too); both null for a text without words."""
+    plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
+    blocks, size, tasks = in_blocks(plain, "doc_id", "lang", most=BLOCK_BYTES)
+    answers, sums = model_of(blocks, size)
+    sent = docs.sparkSession.sparkContext.broadcast(KneserNey(sums))
+    answers = answers.repartition(tasks, "block").groupBy("block").agg(F.collect_list(F.struct("range", "count")).alias("answers"))
+    return blocks.join(answers.hint("shuffle_hash"), "block", "left").mapInArrow(lambda batches: _scored(batches, sent.value), f"{STATS}, log_perplexity double, shared double")
 
 
 def bands(stats: DataFrame, width: float = WIDTH) -> DataFrame:
@@ -216,22 +295,23 @@ def bands(stats: DataFrame, width: float = WIDTH) -> DataFrame:
     return got.select("lang", (F.col("q1") - width * F.col("range")).alias("low"), (F.col("q3") + width * F.col("range")).alias("high"))
 
 
-def quality(docs: DataFrame, width: float = WIDTH, model_entries: int = MODEL_ENTRIES) -> DataFrame:
-    """Each document's statistics, log_perplexity, its language's band low and high, base_failed and kept.
+def quality(docs: DataFrame, width: float = WIDTH) -> DataFrame:
+    """Each document's statistics, log_perplexity, shared, its language's band low and high, base_failed and kept.
 
     base_failed: under 50 words, or over half of the words in repeated three-word windows. kept: not base_failed, and
-    the perplexity within the language's band (a language all of whose documents fail has no band; nothing is kept).
+    the perplexity within the language's band, or under it with COPIED or more shared with other documents (a language all of
+    whose documents fail has no band; nothing is kept).
     """
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    stats = written(document_stats(docs, model_entries).withColumn("base_failed", failed), "quality")
+    stats = written(document_stats(docs).withColumn("base_failed", failed), "quality")
     limits = bands(stats, width).withColumnRenamed("lang", "band_lang")
-    inside = F.col("log_perplexity").between(F.col("low"), F.col("high"))
+    inside = (F.col("log_perplexity") <= F.col("high")) & ((F.col("log_perplexity") >= F.col("low")) | (F.col("shared") >= COPIED))
     return stats.join(limits, F.col("lang").eqNullSafe(F.col("band_lang")), "left").drop("band_lang").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
     out = quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "log_perplexity")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "log_perplexity", "shared")
 
 
 #: The base columns can be told in SQL, the model's verdict cannot: the tests compare with a plain version.

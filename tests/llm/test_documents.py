@@ -24,15 +24,6 @@ def test_quality(docs, folder, spark):
     assert any(r["kept"] for r in got)
 
 
-def test_kneser_ney_probabilities_and_both_paths(docs):
-    model = quality.kneser_ney(docs).toPandas()
-    sums = np.exp(model["logp"]).groupby(model["gram"] // 256).sum()
-    assert (sums < 1 + 1e-9).all() and (sums > 0).all()  # the rest is for grams that no document has
-    one = quality.quality(docs).orderBy("doc_id", "n_words").select("doc_id", "log_perplexity", "kept").toPandas()
-    two = quality.quality(docs, model_entries=0).orderBy("doc_id", "n_words").select("doc_id", "log_perplexity", "kept").toPandas()
-    assert np.allclose(one["log_perplexity"], two["log_perplexity"], equal_nan=True) and (one["kept"] == two["kept"]).all()
-
-
 def test_languages(docs, folder, spark):
     got = {(r["doc_id"], r["lang_pred"]): r for r in langid.op5_language(spark, folder).collect()}
     found = {d: lang for d, lang in got}
@@ -215,36 +206,3 @@ def test_empty_tables(empty):
     assert licenses.scan(empty).count() == 0
     assert jaccard.near_duplicates(empty).count() == 0
     assert suffixes.remove_passages(empty).count() == 0 and fmindex.remove_windows(empty).count() == 0
-
-
-def test_word_trigrams_have_kneser_ney_probabilities(spark):
-    said = {"en": ["A b a c", "a b a b d", "b a 12 e"], "fr": ["a b x", "y x\ta b"]}
-    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, all_ in said.items() for t in all_)], "doc_id long, text string, lang string")
-    expected = {}
-    for lang, all_ in said.items():
-        grams = collections.Counter(g for t in all_ for w in [["<", "<", *t.lower().replace("12", "00").split()]] for g in zip(w, w[1:], w[2:], strict=False))
-        levels = [grams]
-        for _ in range(2):
-            levels.append(collections.Counter(g[1:] for g in levels[-1]))
-        lower = {(): 1 / (len(levels[-1]) + 1)}
-        for level in reversed(levels):
-            n = [sum(v == k for v in level.values()) for k in range(5)]
-            y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.0
-            cut = {k: max(0.0, min(k, k - (k + 1) * y * n[k + 1] / n[k])) if n[k] else 0.5 for k in (1, 2, 3)}
-            d = {g: cut[min(v, 3)] for g, v in level.items()}
-            lower = {g: (v - d[g] + sum(d[h] for h in level if h[:-1] == g[:-1]) * lower[g[1:]]) / sum(level[h] for h in level if h[:-1] == g[:-1]) for g, v in level.items()}
-        for t in all_:
-            w = ["<", "<", *t.lower().replace("12", "00").split()]
-            expected[t] = -np.mean([np.log(lower[g]) for g in zip(w, w[1:], w[2:], strict=False)])
-        assert sum(v for g, v in lower.items() if g[:2] == ("a", "b")) < 1
-    for entries in (quality.MODEL_ENTRIES, 0):
-        got = {r["doc_id"]: r["log_perplexity"] for r in quality.document_stats(docs, entries).collect()}
-        assert np.allclose([got[r["doc_id"]] for r in docs.collect()], [expected[r["text"]] for r in docs.collect()])
-
-
-def test_the_model_grows_with_the_input(spark):
-    """Texts of few byte 4-grams have ever more word trigrams."""
-    r = np.random.default_rng(5)
-    text = lambda n: " ".join("".join(r.choice(list("ab"), 3)) for _ in range(n))
-    sizes = [quality.kneser_ney(spark.createDataFrame([(1, text(n), "en")], "doc_id long, text string, lang string")).count() for n in (50, 1000)]
-    assert sizes[1] > 5 * sizes[0]

@@ -29,7 +29,7 @@ from .common import SPACE, byte_hashes, codes_of, flat, mixed, repeats, word_bou
 
 CLASS_BITS = 22
 #: Texts are taken together for this many bytes: the more, the fewer distinct bigrams.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 10 << 20
 #: Bytes of text for each range of the bigrams' hashes.
 RANGE_BYTES, LEAST_RANGES = 128 << 20, 24
 #: Log-perplexities are counted in steps of 1 / STEPS for the quartiles.

@@ -21,7 +21,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once into a Parquet table and read from there."""
+    """df, computed once into a Parquet table and read from there; a lost executor costs no more than a reread."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._inkveil_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes what written() wrote for these, once nothing that is still to be computed reads them; other frames stay as they are."""
+    for df in tables:
+        if path := getattr(df, "_inkveil_path", None):
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -19,9 +19,9 @@ from inkveil.llm.common import written
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules and their language's perplexity band keep."""
-    named = docs.where("doc_id is not null")
-    kept = quality.quality(named).where("kept").select("doc_id")
-    return named.join(kept, "doc_id", "left_semi").select(docs.columns)
+    named = docs.where("doc_id is not null").withColumn("__row", F.xxhash64("doc_id", "text", "lang"))  # rows of one doc_id are judged by themselves
+    kept = quality.quality(named, "__row").where("kept").select("doc_id", "__row")
+    return named.join(kept, ["doc_id", "__row"], "left_semi").select(docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +31,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of least doc_id."""
+    """Of each group of linked documents the one of least doc_id; of rows that share it, the one of least text (then of least other columns, as JSON)."""
     groups = jaccard.near_duplicates(docs)
     kept = groups.where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    first = F.min_by(F.struct(*(F.col(c) for c in docs.columns)), F.struct("text", *([F.to_json(F.struct(*others))] if others else [])))
+    return docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(first.alias("row")).select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

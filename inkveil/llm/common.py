@@ -1,17 +1,17 @@
-"""What the training-data operators share: Arrow text as flat bytes, and tables in the shared folder."""
+"""What the training-data operators share: Arrow text as flat bytes, hashes of its parts, and (from elsewhere) tables in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkveil.functions.tables import dropped, shared_folder, written  # noqa: F401  for the operators
+
 #: Bytes of text that an Arrow function works on at once; a longer text comes alone.
 CHUNK_BYTES = 2 << 20
 STRETCH = 1 << 19
@@ -20,24 +20,6 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where a local session sets none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="inkveil-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame, computed once into a Parquet table in the shared folder and read from there; lost executors cost no more than a reread."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text (null: empty) and the named columns, and none of the table's others; small Arrow batches, as texts can be long."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -31,9 +31,12 @@ def components(links: DataFrame) -> DataFrame:
     print_of = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = print_of(edges)
     while before[0]:
-        edges = written(_small(_large(edges)), "links")
+        last, edges = edges, written(_small(_large(edges)), "links")
+        dropped(last)
         now = print_of(edges)
         if now == before:
             break
         before = now
-    return edges.select("a", F.col("b").alias("component"))
+    out = edges.select("a", F.col("b").alias("component"))
+    out._inkveil_path = edges._inkveil_path  # so that it can be dropped
+    return out

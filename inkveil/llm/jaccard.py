@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_hashes, chunks, flat, mixed, prefix_sums, span_hashes, texts, word_bounds, written
+from .common import byte_hashes, chunks, dropped, flat, mixed, prefix_sums, span_hashes, texts, word_bounds, written
 from .components import components
 from .sketches import summed
 
@@ -235,15 +235,15 @@ def _alike(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Itera
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of the pairs a, b of classes, those whose sets are alike enough."""
+def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of the pairs a, b of classes, those whose sets are alike enough; and the table of texts that they are read from."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     wanted = summed(ends, lambda batch: batch.column("cls").to_numpy() & ((1 << FILTER_BITS) - 1), FILTER_BITS) > 0
     sent = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
     fetched = texts(docs).mapInArrow(lambda batches: _wanted(batches, words, np.unpackbits(sent.value)), "cls long, packed binary")
     fetched = written(fetched.groupBy("cls").agg(F.first("packed").alias("packed")), "sets")
     both = pairs.join(fetched.select(F.col("cls").alias("a"), F.col("packed").alias("pa")), "a").join(fetched.select(F.col("cls").alias("b"), F.col("packed").alias("pb")), "b")
-    return both.mapInArrow(lambda batches: _alike(batches, words, percent), "a long, b long")
+    return both.mapInArrow(lambda batches: _alike(batches, words, percent), "a long, b long"), fetched
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -264,14 +264,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     met = written(posted.repartition("shingle").sortWithinPartitions("shingle", "n", "cls").mapInArrow(_met, posted.schema), "met")
     links = spark.createDataFrame([], "a long, b long")
     for turn, pick in enumerate((*[partial(_trials, turn=k) for k in TURNS], _across)):
-        of = components(links).select(F.col("a").alias("cls"), "component")
+        joined = components(links)
+        of = joined.select(F.col("a").alias("cls"), "component")
         placed = met.join(of, "cls", "left").withColumn("component", F.coalesce("component", "cls")).select("shingle", "n", "cls", "m", "at", "rare", "component")
         # groups all of one component need no trial; what is left is written, as it is read twice
         open_ = placed.groupBy("shingle").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("shingle")
         left = placed.join(open_, "shingle", "left_semi") if turn else placed
         pairs = left.repartition("shingle").sortWithinPartitions("shingle", "n", "cls").mapInArrow(partial(pick, percent=percent), PAIRS)
-        found = _verified(docs, written(_candidates(pairs, percent), "candidates"), words, percent)
-        links = written(links.unionByName(found), "near")
+        tried = written(_candidates(pairs, percent), "candidates")
+        found, fetched = _verified(docs, tried, words, percent)
+        before, links = links, written(links.unionByName(found), "near")
+        dropped(before, tried, fetched, joined)
+    dropped(met)
     nodes = named.select("cls", "node")
     edges = links.join(nodes.select(F.col("cls").alias("a"), F.col("node").alias("na")), "a").join(nodes.select(F.col("cls").alias("b"), F.col("node").alias("nb")), "b")
     parts = components(edges.select(F.col("na").alias("a"), F.col("nb").alias("b")))

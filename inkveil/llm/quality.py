@@ -23,6 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .blocks import in_blocks, pack, pack_ascending, rest_of, unpack, unpack_ascending
 from .common import SPACE, byte_hashes, codes_of, flat, mixed, repeats, word_bounds, written
@@ -249,7 +250,7 @@ def _own_counts(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
     return count[at]
 
 
-def _scored(batches: Iterator[pa.RecordBatch], model: KneserNey) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], model: KneserNey, more: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             docs = _texts_of(row)
@@ -263,6 +264,7 @@ def _scored(batches: Iterator[pa.RecordBatch], model: KneserNey) -> Iterator[pa.
             columns = {c: docs.column(c) for c in ("doc_id", "lang")} | {k: pa.array(v.astype(np.int64)) for k, v in _text_stats(docs).items()}
             columns["log_perplexity"] = pa.array(-total / np.maximum(sizes, 1), mask=sizes == 0)
             columns["shared"] = pa.array(np.bincount(doc, weights=count[place] > _own_counts(doc, place), minlength=len(sizes)) / np.maximum(sizes, 1), mask=sizes == 0)
+            columns |= {c: docs.column(c) for c in more}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
@@ -274,14 +276,15 @@ def model_of(blocks: DataFrame, size: int) -> tuple[DataFrame, dict[str, np.ndar
     return counted.where("block is not null").select("block", "range", "count"), _all_sums(counted.where("name is not null"), ranges)
 
 
-def document_stats(docs: DataFrame) -> DataFrame:
-    """For each row of docs: doc_id, lang, the five counts, and log_perplexity double (per word) and shared double (of its bigrams, the share that other documents have too); both null for a text without words."""
-    plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
-    blocks, size, tasks = in_blocks(plain, "doc_id", "lang", most=BLOCK_BYTES)
+def document_stats(docs: DataFrame, *more: str) -> DataFrame:
+    """For each row of docs: doc_id, lang, the five counts, and log_perplexity double (per word) and shared double (of its bigrams, the share that other documents have too); both null for a text without words. The columns more are passed on."""
+    plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), *more)
+    blocks, size, tasks = in_blocks(plain, "doc_id", "lang", *more, most=BLOCK_BYTES)
     answers, sums = model_of(blocks, size)
     sent = docs.sparkSession.sparkContext.broadcast(KneserNey(sums))
     answers = answers.repartition(tasks, "block").groupBy("block").agg(F.collect_list(F.struct("range", "count")).alias("answers"))
-    return blocks.join(answers.hint("shuffle_hash"), "block", "left").mapInArrow(lambda batches: _scored(batches, sent.value), f"{STATS}, log_perplexity double, shared double")
+    schema = StructType([*StructType.fromDDL(f"{STATS}, log_perplexity double, shared double"), *docs.select(*more).schema])
+    return blocks.join(answers.hint("shuffle_hash"), "block", "left").mapInArrow(lambda batches: _scored(batches, sent.value, more), schema)
 
 
 def bands(stats: DataFrame, width: float = WIDTH) -> DataFrame:
@@ -295,15 +298,15 @@ def bands(stats: DataFrame, width: float = WIDTH) -> DataFrame:
     return got.select("lang", (F.col("q1") - width * F.col("range")).alias("low"), (F.col("q3") + width * F.col("range")).alias("high"))
 
 
-def quality(docs: DataFrame, width: float = WIDTH) -> DataFrame:
-    """Each document's statistics, log_perplexity, shared, its language's band low and high, base_failed and kept.
+def quality(docs: DataFrame, *more: str, width: float = WIDTH) -> DataFrame:
+    """Each document's statistics, log_perplexity, shared, the columns more, its language's band low and high, base_failed and kept.
 
     base_failed: under 50 words, or over half of the words in repeated three-word windows. kept: not base_failed, and
     the perplexity within the language's band, or under it with COPIED or more shared with other documents (a language all of
     whose documents fail has no band; nothing is kept).
     """
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    stats = written(document_stats(docs).withColumn("base_failed", failed), "quality")
+    stats = written(document_stats(docs, *more).withColumn("base_failed", failed), "quality")
     limits = bands(stats, width).withColumnRenamed("lang", "band_lang")
     inside = (F.col("log_perplexity") <= F.col("high")) & ((F.col("log_perplexity") >= F.col("low")) | (F.col("shared") >= COPIED))
     return stats.join(limits, F.col("lang").eqNullSafe(F.col("band_lang")), "left").drop("band_lang").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))

@@ -94,7 +94,7 @@ def in_blocks(docs: DataFrame, *more: str, most: int = BLOCK_BYTES) -> tuple[Dat
     rows = source.mapInArrow(lambda batches: _rows(batches, list(more), most), SCHEMA)
     buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-size // BUCKET_BYTES)))
     rows.write.option("path", path).option("compression", "uncompressed").bucketBy(buckets, "block").format("parquet").saveAsTable(name)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # rows are large from here on
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # rows are large from here on
     return spark.table(name), size, buckets
 
 

@@ -163,7 +163,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of true flags."""
-    edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
+    edge = np.diff(np.concatenate([[False], flags, [False]]).view(np.int8))
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 

@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .blocks import in_blocks, pack, pack_ascending, rest_of, unpack, unpack_ascending
-from .common import SPACE, byte_hashes, codes_of, flat, mixed, repeats, word_bounds, written
+from .common import SPACE, byte_hashes, chunks, codes_of, flat, mixed, repeats, word_bounds, written
 
 CLASS_BITS = 22
 #: Texts are taken together for this many bytes: the more, the fewer distinct bigrams.
-BLOCK_BYTES = 10 << 20
+BLOCK_BYTES = 6 << 20
 #: Bytes of text for each range of the bigrams' hashes.
 RANGE_BYTES, LEAST_RANGES = 128 << 20, 24
 #: Log-perplexities are counted in steps of 1 / STEPS for the quartiles.
@@ -244,6 +244,11 @@ class KneserNey:
         return np.log(p)
 
 
+def _stats_in_parts(docs: pa.RecordBatch) -> dict[str, np.ndarray]:
+    parts = [_text_stats(part) for part in chunks(iter([docs]))]
+    return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+
+
 def _own_counts(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
     """For each bigram of each document how often the document has it."""
     _, at, count = np.unique(doc.astype(np.int64) << 40 | place, return_inverse=True, return_counts=True)
@@ -261,7 +266,7 @@ def _scored(batches: Iterator[pa.RecordBatch], model: KneserNey, more: tuple[str
             sizes = np.diff(before)
             doc = np.repeat(np.arange(len(sizes)), sizes)
             total = np.bincount(doc, weights=model.log_probabilities(keys, count)[place], minlength=len(sizes))
-            columns = {c: docs.column(c) for c in ("doc_id", "lang")} | {k: pa.array(v.astype(np.int64)) for k, v in _text_stats(docs).items()}
+            columns = {c: docs.column(c) for c in ("doc_id", "lang")} | {k: pa.array(v.astype(np.int64)) for k, v in _stats_in_parts(docs).items()}
             columns["log_perplexity"] = pa.array(-total / np.maximum(sizes, 1), mask=sizes == 0)
             columns["shared"] = pa.array(np.bincount(doc, weights=count[place] > _own_counts(doc, place), minlength=len(sizes)) / np.maximum(sizes, 1), mask=sizes == 0)
             columns |= {c: docs.column(c) for c in more}

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .blocks import NO_ID, rest_of
-from .common import binary_array, gather
+from .common import binary_array, gather, runs
 from .repeats import Block, Shape, byte_grams, together, without_repeats
 
 WINDOW, GRAM = 50, 16  # byte_grams has 16
@@ -123,13 +123,20 @@ def least_ids(text: np.ndarray, offsets: np.ndarray, windows: np.ndarray, least:
 
 def _kept(block: Block, removed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes left, and their documents' offsets in them."""
-    return block.body[~removed], np.concatenate([[0], np.cumsum(~removed)])[block.offsets]
+    before = np.zeros(len(removed) + 1, np.int32)
+    np.cumsum(~removed, out=before[1:])
+    return block.body[~removed], before[block.offsets].astype(np.int64)
 
 
 def _whole_characters(block: Block, removed: np.ndarray) -> np.ndarray:
     """removed, and with any byte of a character (a byte and the continuation bytes after it) the whole of it."""
-    character = np.cumsum((block.body & 0xC0) != 0x80)
-    return np.bincount(character, weights=removed, minlength=1)[character] > 0 if len(removed) else removed
+    first, stop = runs(removed)
+    inside = lambda at: (block.body[np.minimum(at, len(removed) - 1)] & 0xC0 == 0x80) & (at < len(removed))
+    removed = removed.copy()
+    for _ in range(3):  # a character has four bytes at most; texts begin with whole ones
+        first, stop = first - inside(first), stop + inside(stop)
+        removed[first], removed[stop - 1] = True, True
+    return removed
 
 
 def _cut(block: Block, removed: np.ndarray, _: dict) -> pa.RecordBatch:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,20 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
+#: What a worker keeps from one task for the next: called, these forget it.
+FORGET: list[Callable[[], None]] = []
+
+
+def with_room(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, after the worker has given back what earlier tasks left to it: tasks that take whole blocks have room then."""
+    for forget in FORGET:
+        forget()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only of the GNU library
+        ctypes.CDLL(None).malloc_trim(0)
+    return batches
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, none empty, cut so that the column holds at most so many bytes; a single longer value comes alone."""
     for batch in batches:

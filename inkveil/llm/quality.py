@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .blocks import in_blocks, pack, pack_ascending, rest_of, unpack, unpack_ascending
-from .common import SPACE, byte_hashes, chunks, codes_of, flat, mixed, repeats, word_bounds, written
+from .common import SPACE, byte_hashes, chunks, codes_of, flat, mixed, repeats, with_room, word_bounds, written
 
 CLASS_BITS = 22
 #: Texts are taken together for this many bytes: the more, the fewer distinct bigrams.
@@ -276,8 +276,8 @@ def _scored(batches: Iterator[pa.RecordBatch], model: KneserNey, more: tuple[str
 def model_of(blocks: DataFrame, size: int) -> tuple[DataFrame, dict[str, np.ndarray]]:
     """The counts of each block's bigrams over all documents (a written table of block, range and count), and the model's sums by class."""
     ranges = max(LEAST_RANGES, -(-size // RANGE_BYTES))
-    asked = blocks.mapInArrow(lambda batches: _asked(batches, ranges), "range int, block long, keys binary, count binary")
-    counted = written(asked.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(_counted, "block long, range int, name string, count binary, used binary"), "bigrams")
+    asked = blocks.mapInArrow(lambda batches: _asked(with_room(batches), ranges), "range int, block long, keys binary, count binary")
+    counted = written(asked.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(lambda batches: _counted(with_room(batches)), "block long, range int, name string, count binary, used binary"), "bigrams")
     return counted.where("block is not null").select("block", "range", "count"), _all_sums(counted.where("name is not null"), ranges)
 
 
@@ -289,7 +289,7 @@ def document_stats(docs: DataFrame, *more: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(KneserNey(sums))
     answers = answers.repartition(tasks, "block").groupBy("block").agg(F.collect_list(F.struct("range", "count")).alias("answers"))
     schema = StructType([*StructType.fromDDL(f"{STATS}, log_perplexity double, shared double"), *docs.select(*more).schema])
-    return blocks.join(answers.hint("shuffle_hash"), "block", "left").mapInArrow(lambda batches: _scored(batches, sent.value, more), schema)
+    return blocks.join(answers.hint("shuffle_hash"), "block", "left").mapInArrow(lambda batches: _scored(with_room(batches), sent.value, more), schema)
 
 
 def bands(stats: DataFrame, width: float = WIDTH) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import NO_ID, in_blocks, pack, pack_ascending, unpack, unpack_ascending
-from .common import binary_array, byte_hashes, codes_of, gather, joined_slices, mixed, prefix_sums, span_hashes, word_bounds, written
+from .common import binary_array, byte_hashes, codes_of, gather, joined_slices, mixed, prefix_sums, span_hashes, with_room, word_bounds, written
 
 #: Bytes of text for each range of anchors and for each bucket: blocks send a row to each, so that there are as many rows as both make.
 RANGE_BYTES, BUCKET_BYTES, LEAST = 256 << 20, 96 << 20, 24
@@ -353,16 +353,16 @@ def without_repeats(docs: DataFrame, shape: Shape, judge: Judge, output: Callabl
     """output of each block, of which of its symbols are in a window that judge gives a value under the document's doc_id, and of its row, with the columns more."""
     blocks, size, tasks = in_blocks(docs, *more)
     ranges, buckets = (max(LEAST, -(-size // n)) for n in (RANGE_BYTES, BUCKET_BYTES))
-    asked = blocks.drop("more").mapInArrow(lambda batches: _asked(batches, shape, ranges), "range int, block long, anchors binary, many binary, count binary")
-    told = asked.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(lambda batches: _states(batches, shape.common), "block long, range int, state binary")
+    asked = blocks.drop("more").mapInArrow(lambda batches: _asked(with_room(batches), shape, ranges), "range int, block long, anchors binary, many binary, count binary")
+    told = asked.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(lambda batches: _states(with_room(batches), shape.common), "block long, range int, state binary")
     # a few bits for each anchor; blocks are joined where they are, as their table is bucketed
     states = written(told.groupBy("block").agg(F.collect_list(F.struct("range", "state")).alias("states")), "states")
-    sent = blocks.drop("more").join(states.hint("shuffle_hash"), "block", "left").mapInArrow(lambda batches: _sent(batches, shape, buckets), "bucket int, block long, text binary, sizes binary, windows binary, least binary, many binary, parts binary")
-    found = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _answers(batches, judge, not shape.words), "block long, bucket int, unit binary, a binary, b binary, value binary")
+    sent = blocks.drop("more").join(states.hint("shuffle_hash"), "block", "left").mapInArrow(lambda batches: _sent(with_room(batches), shape, buckets), "bucket int, block long, text binary, sizes binary, windows binary, least binary, many binary, parts binary")
+    found = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _answers(with_room(batches), judge, not shape.words), "block long, bucket int, unit binary, a binary, b binary, value binary")
     # as many partitions as the table of blocks has buckets, so that it is this side that moves
     answers = found.repartition(tasks, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "unit", "a", "b", "value")).alias("answers"))
     both = blocks.join(states.hint("shuffle_hash"), "block", "left").join(answers.hint("shuffle_hash"), "block", "left")
-    return both.mapInArrow(lambda batches: _marked(batches, shape, buckets, output), schema)
+    return both.mapInArrow(lambda batches: _marked(with_room(batches), shape, buckets, output), schema)
 
 
 def together(anchor: np.ndarray, size: np.ndarray, most: int) -> list[np.ndarray]:

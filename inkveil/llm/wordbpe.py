@@ -14,7 +14,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 
-from .common import TokenPool, binary_array, codes_of, flat
+from .common import FORGET, TokenPool, binary_array, codes_of, flat
 
 VOCABULARY = "word_bpe_49k.json"
 KEPT_PIECES, KEPT_LENGTH = 400_000, 64
@@ -115,6 +115,7 @@ class WordBPE:
 
 
 _CODERS: dict[str, WordBPE] = {}
+FORGET.append(_CODERS.clear)
 
 
 def coder(name: str = VOCABULARY) -> WordBPE:

@@ -92,7 +92,8 @@ def mask_rows(found: DataFrame, text: str = "text") -> DataFrame:
 def ranked(df: DataFrame, groups: list[str], order: list[str], name: str) -> DataFrame:
     """df with the row's place (from 0) in its group by order: rows are dealt out by range, so that a large group is in many tasks; the offsets come from the counts of (part, group)."""
     columns = [*groups, *order]
-    parts = df.repartitionByRange(*columns).withColumn("__part", F.spark_partition_id())
+    # written, as its part numbers are used twice and another run may cut the ranges elsewhere
+    parts = written(df.repartitionByRange(*columns).withColumn("__part", F.spark_partition_id()), "ranked")
     counts = parts.groupBy("__part", *groups).agg(F.count("*").alias("__n"))
     before = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy(*groups).orderBy("__part")) - F.col("__n")).drop("__n")
     within = parts.withColumn("__own", F.row_number().over(Window.partitionBy("__part", *groups).orderBy(*order)) - 1)
@@ -121,19 +122,20 @@ def label_events(events: DataFrame, mapping: DataFrame | None = None) -> DataFra
 def mask(df: DataFrame, key: str, text: str = "text", session: Column | None = None, order: list[str] | None = None, mapping: DataFrame | None = None, **detection) -> tuple[DataFrame, DataFrame]:
     """(df with masked, mapping of session, category, original, md5, label) over shared sessions.
 
-    key: a column with another value in each row; order: columns by which rows come in their session (default: key);
-    session: whose labels a row shares (default: one for all). mapping: what earlier runs have labelled.
+    order: columns by which rows come in their session (default: the column key, then the text); session: whose labels a row shares (default: one for
+    all; null: that of ""). mapping: what earlier runs have labelled. Keys may be null or repeated: each row is masked by itself.
     """
-    # read three times: written once
-    found = written(detect(df.withColumn("__session", session if session is not None else F.lit("")), text, **detection).drop(_RAW), "found")
+    # read three times: written once, with a number for each row
+    source = df.withColumn("__session", F.coalesce(session, F.lit("")) if session is not None else F.lit(""))
+    found = written(detect(source, text, **detection).drop(_RAW).withColumn("__row", F.monotonically_increasing_id()), "found")
     some = found.where(F.size("__events") > 0)
-    where = F.struct(*[F.col(c) for c in order or [key]], F.col("__i").alias("__i"))
+    where = F.struct(*[F.col(c) for c in order or [key, text]], F.col("__i").alias("__i"))
     events = some.select("*", F.posexplode("__events").alias("__i", "__event")).select(F.col("__session").alias("session"), F.col("__event.cat").alias("category"), F.col("__event.raw").alias("original"), where.alias("ord"))
     labels = label_events(events, mapping)
-    pairs = some.select(F.col(key).alias("__key"), F.col("__session").alias("session"), F.explode(F.array_distinct(F.transform("__events", lambda e: F.struct(e["cat"].alias("category"), md5_8(e["raw"]).alias("md5"))))).alias("x")).select("__key", "session", "x.*")
+    pairs = some.select("__row", F.col("__session").alias("session"), F.explode(F.array_distinct(F.transform("__events", lambda e: F.struct(e["cat"].alias("category"), md5_8(e["raw"]).alias("md5"))))).alias("x")).select("__row", "session", "x.*")
     short = labels.groupBy("session", "category", "md5").agg(F.max("label").alias("label"))
-    maps = pairs.join(short, ["session", "category", "md5"]).groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("category", F.lit("\0"), "md5"), F.col("label")))).alias("__labels"))
-    joined = found.join(maps, found[key] == maps["__key"], "left").drop("__key").withColumn(_RAW, F.coalesce(F.col(text), F.lit("")))
+    maps = pairs.join(short, ["session", "category", "md5"]).groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("category", F.lit("\0"), "md5"), F.col("label")))).alias("__labels"))
+    joined = found.join(maps, "__row", "left").drop("__row").withColumn(_RAW, F.coalesce(F.col(text), F.lit("")))
     nothing = F.expr("map_from_entries(cast(array() as array<struct<key:string,value:string>>))")
     masked = F.when(F.col(text).isNotNull(), _rewritten(F.coalesce("__labels", nothing)))
     return joined.withColumn("masked", masked).drop("__labels", "__pieces", "__events", "__session", _RAW), labels
@@ -162,13 +164,17 @@ def restored(text: Column, values: Column, plain: bool = False) -> Column:
 
 
 def restore(df: DataFrame, key: str, mapping: DataFrame, text: str = "masked", session: Column | None = None, plain: bool = False) -> DataFrame:
-    """df with restored. mapping: session, category, original, md5, label. Only the tokens that a row holds are joined to it, and those in their originals."""
-    source = df.withColumn("__session", session if session is not None else F.lit(""))
+    """df with restored. mapping: session, category, original, md5, label. Only the tokens that a text holds are joined to it, and those in their originals.
+
+    What comes back depends on session and text alone, which is what they are joined by: key may be null or repeated, and is not needed.
+    """
+    source = df.withColumn("__session", F.coalesce(session, F.lit("")) if session is not None else F.lit("")).withColumn("__text", F.sha2(text, 256))
     held = mapping.groupBy("session", token(F.col("category"), F.col("label")).alias("token")).agg(F.max_by("original", F.struct("md5", "original")).alias("original"))
-    asked = source.where(F.col(text).contains("【")).select(F.col(key).alias("__key"), F.col("__session").alias("session"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit("【[^【】]+】"), F.lit(0)))).alias("token"))
-    first = asked.join(held, ["session", "token"])
-    nested = first.where(F.col("original").contains("【")).select("__key", "session", F.explode(F.array_distinct(F.regexp_extract_all("original", F.lit("【[^【】]+】"), F.lit(0)))).alias("token")).join(held, ["session", "token"])
-    maps = first.unionByName(nested).select("__key", "token", "original").distinct().groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("token", "original"))).alias("__values"))
-    joined = source.join(maps, source[key] == maps["__key"], "left").drop("__key", "__session")
+    texts = source.where(F.col(text).contains("【")).select("__text", F.col("__session").alias("session"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit("【[^【】]+】"), F.lit(0)))).alias("token"))
+    first = texts.distinct().join(held, ["session", "token"])
+    nested = first.where(F.col("original").contains("【")).select("__text", "session", F.explode(F.array_distinct(F.regexp_extract_all("original", F.lit("【[^【】]+】"), F.lit(0)))).alias("token")).join(held, ["session", "token"])
+    values = F.map_from_entries(F.collect_list(F.struct("token", "original"))).alias("__values")
+    maps = first.unionByName(nested).select("__text", F.col("session").alias("__session"), "token", "original").distinct().groupBy("__text", "__session").agg(values)
+    joined = source.join(maps, ["__text", "__session"], "left").drop("__text", "__session")
     nothing = F.expr("map_from_entries(cast(array() as array<struct<key:string,value:string>>))")
     return joined.withColumn("restored", F.when(F.col(text).isNotNull(), restored(F.col(text), F.coalesce("__values", nothing), plain))).drop("__values")

@@ -46,20 +46,25 @@ def mask_files(files: DataFrame, mapping: DataFrame | None = None, **detection)
 
 
 def restore_files(files: DataFrame, mapping: DataFrame, plain: bool = False) -> DataFrame:
-    """path, ext and content with tokens restored. Office files are restored member by member, each token alike; their mapping comes to the workers as a map."""
+    """path, ext and content with tokens restored. Office files are restored member by member, each token alike; only the tokens that a file holds come to it."""
     office = F.col("ext").isin(".docx", ".pptx", ".xlsx")
     flat = files.where(~office).withColumn("text", F.decode("content", "UTF-8"))
     texts = masking.restore(flat, "path", mapping, text="text", plain=plain).select("path", "ext", F.encode("restored", "UTF-8").alias("content"))
     zipped = files.where(office)
     if zipped.isEmpty():
         return texts
-    known = {f"【{r['category']}{r['label']}】": r["original"] for r in mapping.select("category", "label", "original").toLocalIterator()}
 
-    def rebuild(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
+    def tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            said = [sorted(formats.zip_tokens(bytes(c))) for c in frame["content"]]
+            yield pd.DataFrame({"path": frame["path"], "token": said}).explode("token").dropna()
 
+    named = mapping.groupBy(masking.token(F.col("category"), F.col("label")).alias("token")).agg(F.max_by("original", F.struct("session", "md5", "original")).alias("original"))
+    known = zipped.mapInPandas(tokens, "path string, token string").join(named, "token").groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("token", "original"))).alias("known"))
+
+    def rebuild(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            put = lambda text: re.sub(r"【[^【】]+】", lambda m: known.get(m[0], m[0]), text)
-            yield frame.assign(content=[formats.restored_zip(bytes(c), put) for c in frame["content"]])[["path", "ext", "content"]]
+            content = [formats.restored_zip(bytes(c), dict(k or {})) for c, k in zip(frame["content"], frame["known"], strict=True)]
+            yield frame.assign(content=content)[["path", "ext", "content"]]
 
-    return texts.unionByName(zipped.mapInPandas(rebuild, "path string, ext string, content binary"))
+    return texts.unionByName(zipped.join(known, "path", "left").mapInPandas(rebuild, "path string, ext string, content binary"))

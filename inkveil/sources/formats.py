@@ -11,6 +11,7 @@ import re
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree as ET
+from xml.sax.saxutils import escape
 
 BOM = "﻿".encode()
 _W, _A = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}", "{http://schemas.openxmlformats.org/drawingml/2006/main}"
@@ -219,11 +220,27 @@ def rebuilt(extension: str, content: bytes, texts: list[str]) -> bytes:
     return FORMATS[extension][0](content, lambda _: next(rest))
 
 
-def restored_zip(content: bytes, restore: Mask) -> bytes:
-    """An office file whose XML members have their tokens restored."""
+_TOKEN = re.compile(r"【[^【】]+】")
+
+
+def _members(content: bytes) -> Iterator[tuple[zipfile.ZipInfo, bytes, str | None]]:
+    """The members of an office file, and their text if they are XML."""
+    with zipfile.ZipFile(io.BytesIO(content)) as file:
+        for item in file.infolist():
+            data = file.read(item)
+            yield item, data, data.decode() if item.filename.endswith((".xml", ".rels")) else None
+
+
+def zip_tokens(content: bytes) -> set[str]:
+    """The tokens in an office file's XML members."""
+    return {t for _, _, text in _members(content) if text is not None for t in _TOKEN.findall(text)}
+
+
+def restored_zip(content: bytes, known: dict[str, str]) -> bytes:
+    """An office file with the tokens in its XML members replaced by what is known of them, escaped as XML wants it."""
     out = io.BytesIO()
-    with zipfile.ZipFile(io.BytesIO(content)) as old, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
-        for item in old.infolist():
-            data = old.read(item)
-            new.writestr(item, restore(data.decode()).encode() if item.filename.endswith((".xml", ".rels")) else data)
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
+        for item, data, text in _members(content):
+            put = lambda m: escape(known[m[0]], {'"': "&quot;", "'": "&apos;"}) if m[0] in known else m[0]
+            new.writestr(item, data if text is None else _TOKEN.sub(put, text).encode())
     return out.getvalue()

@@ -59,3 +59,30 @@ def test_custom_names_come_first(spark):
     found = masking.mask_rows(masking.detect(df, custom=[("人物", "アルファ"), ("組織", "ベータ")], today=TODAY)).first()
     assert found["masked"] == "【人物A】と社内【組織A】"
     assert [tuple(m)[:2] for m in found["mapping"]] == [("人物", "アルファ"), ("組織", "ベータ")]
+
+
+def test_null_and_repeated_keys(spark):
+    rows = [(None, "連絡先はtaro@example.co.jpです"), (None, "連絡先はhanako@example.co.jpです"), (1, "連絡先はtaro@example.co.jpです"), (1, "連絡先はjiro@example.co.jpです"), (1, "連絡先はtaro@example.co.jpです"), (2, None), (None, "なし")]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    out, mapping = masking.mask(docs, key="id")
+    said = out.select("id", "text", "masked").collect()
+    assert sorted(((r[0], r[1]) for r in said), key=repr) == sorted(rows, key=repr)
+    assert all("@" not in (r["masked"] or "") and (r["masked"] is None) == (r["text"] is None) for r in said)
+    assert mapping.count() == 3 and len({r["masked"] for r in said if r["text"] and "@" in r["text"]}) == 3
+    back = masking.restore(out, "id", mapping).collect()
+    assert len(back) == len(rows) and all(r["restored"] == r["text"] for r in back)
+
+
+def test_office_files_are_restored_as_xml(spark):
+    import io
+    import zipfile
+
+    from inkveil.sources import formats
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as file:
+        file.writestr("word/document.xml", "<a b='【組織A】'>【組織A】と【人物Z】</a>")
+        file.writestr("media/x.png", b"\xff\xfe")
+    assert formats.zip_tokens(out.getvalue()) == {"【組織A】", "【人物Z】"}
+    with zipfile.ZipFile(io.BytesIO(formats.restored_zip(out.getvalue(), {"【組織A】": "R&D<株>"}))) as file:
+        assert file.read("word/document.xml").decode() == "<a b='R&amp;D&lt;株&gt;'>R&amp;D&lt;株&gt;と【人物Z】</a>" and file.read("media/x.png") == b"\xff\xfe"

@@ -8,7 +8,8 @@ distance tables rank all codes, the best of them (RERANKED, RERANKED_SHARE) are
 the nearest of all parts are merged. Ties go to the smaller vec_id at each step.
 
 Vectors that are null, all zero, of another than the commonest length, or that hold null or non-finite components take no
-part, nor do rows with a null vec_id. Rows of one vec_id are all candidates, but never for that vec_id. Other columns are not
+part, nor do rows with a null vec_id. Rows of one vec_id are all candidates, but never for that vec_id; equal rows
+of a query are asked once. Other columns are not
 read. Fewer candidates than asked for: all of them (a small table is searched whole).
 """
 
@@ -65,7 +66,8 @@ class Quantiser:
         return cls(centroids, np.stack([kmeans(np.ascontiguousarray(parts[:, p]), 256) for p in range(pieces)]), pad)
 
     def encode(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lists and codes."""
+        """Lists and codes, found in single precision."""
+        vectors = vectors.astype(np.float32)
         near = nearest(vectors, self.centroids)
         parts = np.pad(vectors - self.centroids[near], ((0, 0), (0, self.pad))).reshape(len(vectors), len(self.codebooks), -1)
         return near, np.stack([nearest(np.ascontiguousarray(parts[:, p]), book) for p, book in enumerate(self.codebooks)], 1).astype(np.uint8)
@@ -78,11 +80,11 @@ class Quantiser:
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """The vectors of a column of binary values of equal length."""
-    return np.frombuffer(b"".join(column.to_pylist()), "<f4").reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.float32)
+    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
 def _floats(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def _usable(length: int) -> Column:
@@ -96,7 +98,7 @@ def _rows(batches: Iterator[pa.RecordBatch], quantiser: Quantiser) -> Iterator[p
         if batch.num_rows:
             vectors = _floats(batch.column("embedding"))
             near, codes = quantiser.encode(vectors)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(near.astype(np.int32)), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (codes, vectors.astype("<f4")))], ["vec_id", "list", "codes", "vector"])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(near.astype(np.int32)), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (codes, vectors.astype("<f8")))], ["vec_id", "list", "codes", "vector"])
 
 
 def _probes(batches: Iterator[pa.RecordBatch], quantiser: Quantiser, counts: np.ndarray, parts: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -126,10 +128,15 @@ def best(ids: np.ndarray, scores: np.ndarray, n: int) -> np.ndarray:
     return chosen[np.lexsort((ids[chosen], -scores[chosen]))]
 
 
-def distinct_enough(vectors: np.ndarray, n: int) -> np.ndarray:
-    """The places of the first n of each group of equal vectors: the others of a group can't be among any query's n - 1 nearest, as ties go by place."""
-    rows = pd.Series(np.ascontiguousarray(vectors).view(f"V{vectors.shape[1] * 4}").ravel().tolist())
-    return np.flatnonzero(rows.groupby(rows, sort=False).cumcount().to_numpy() < n)
+def distinct_enough(vectors: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """The places of the rows of the first n vec_ids of each group of equal vectors, and of n rows of each at most: the others can't be among any query's n - 1 nearest, as ties go by vec_id. ids are in order."""
+    rows = pd.Series(np.ascontiguousarray(vectors).view(f"V{vectors.shape[1] * 8}").ravel().tolist())
+    group = pd.factorize(rows)[0]
+    both = pd.DataFrame({"group": group, "id": ids})
+    again = both.groupby(["group", "id"], sort=False).cumcount().to_numpy()
+    fresh = pd.Series((again == 0).astype(np.int64))
+    rank = fresh.groupby(group, sort=False).cumsum().to_numpy() - 1
+    return np.flatnonzero((rank < n) & (again < n))
 
 
 def _searched(batches: Iterator[pa.RecordBatch], quantiser: Quantiser, n: int) -> Iterator[pa.RecordBatch]:
@@ -149,7 +156,7 @@ def _searched(batches: Iterator[pa.RecordBatch], quantiser: Quantiser, n: int) -
             elif ids:
                 if vectors[0] is not None:  # the part's first queries
                     merged = np.concatenate(ids), np.concatenate(codes), np.concatenate(vectors)
-                    kept = distinct_enough(merged[2], n + 1)
+                    kept = distinct_enough(merged[2], merged[0], n + 1)
                     ids, codes, vectors, whole = [merged[0][kept]], [merged[1][kept]], [None], merged[2][kept]
                 yield _nearest_in(rows, int(key >> 32), ids[0], codes[0], whole, quantiser, n)
 
@@ -163,7 +170,7 @@ def _nearest_in(rows: pa.RecordBatch, home: int, ids: np.ndarray, codes: np.ndar
         estimate = np.where(ids == name, -np.inf, estimate)
         near = best(ids, estimate, max(RERANKED, int(RERANKED_SHARE * len(ids))))
         near = near[ids[near] != name]
-        exact = (vectors[near].astype(np.float64) * query.astype(np.float64)).sum(1)  # by row: equal vectors have equal scores
+        exact = (vectors[near] * query).sum(1)  # by row: equal vectors have equal scores
         top = best(ids[near], exact, n)
         of.append(np.full(len(top), name))
         found.append(ids[near][top])
@@ -183,7 +190,7 @@ def search(table: DataFrame, queries: Column, n: int = NEAREST) -> DataFrame:
     if not total:
         return spark.createDataFrame([], schema)
     sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
-    quantiser = Quantiser.fit(_floats(sample["embedding"].combine_chunks()), int(min(MOST_LISTS, max(1, total**0.5 / 2))))
+    quantiser = Quantiser.fit(_floats(sample["embedding"].combine_chunks()).astype(np.float32), int(min(MOST_LISTS, max(1, total**0.5 / 2))))
     sent = spark.sparkContext.broadcast(quantiser)
     index = good.mapInArrow(lambda batches: _rows(batches, sent.value), "vec_id long, list int, codes binary, vector binary")
     counts = np.zeros(len(quantiser.centroids), np.int64)
@@ -192,7 +199,7 @@ def search(table: DataFrame, queries: Column, n: int = NEAREST) -> DataFrame:
     parts = -(-counts // PART)
     n_parts = F.element_at(F.array(*(F.lit(int(p)) for p in parts)), F.col("list") + 1) if parts.max() > 1 else F.lit(1)
     stored = index.withColumn("part", F.pmod(F.xxhash64("vec_id"), n_parts).cast("int")).withColumn("query", F.lit(0))
-    asked = good.where(queries).mapInArrow(lambda batches: _rows(batches, sent.value), "vec_id long, list int, codes binary, vector binary").select("vec_id", "vector")
+    asked = good.where(queries).mapInArrow(lambda batches: _rows(batches, sent.value), "vec_id long, list int, codes binary, vector binary").select("vec_id", "vector").dropDuplicates()
     probes = asked.mapInArrow(lambda batches: _probes(batches, sent.value, counts, parts), "vec_id long, list int, part int, vector binary").withColumn("query", F.lit(1)).withColumn("codes", F.lit(None).cast("binary"))
     met = stored.unionByName(probes).repartition("list", "part").sortWithinPartitions("list", "part", "query", "vec_id")
     found = met.mapInArrow(lambda batches: _searched(batches, sent.value, n), "query_id long, vec_id long, score double")

@@ -46,6 +46,12 @@ def _any(words) -> str:
     return "|".join(map(re.escape, words))
 
 
+def first_letters(words) -> str:
+    """A lookahead that most characters of a text fail at once: what any of the words begins with, if ASCII, or any character that isn't."""
+    ascii_letters = "".join(sorted({w[0] for w in words if w[0].isascii()}))
+    return rf"(?=[^\x00-\x7F]|[{ascii_letters}])" if ascii_letters else r"(?=[^\x00-\x7F])"
+
+
 def _longest(words) -> list[str]:
     """Longest first; equal lengths in order of code points, so that results don't depend on chance."""
     return sorted(set(words), key=lambda w: (-len(w), w))
@@ -78,10 +84,10 @@ DATE_CONTEXT = (
 CONTEXT_WIDTH = 50
 
 _KANJI, _KANA = r"[一-鿿]", r"[぀-ゟ゠-ヿ]"
-TITLED_NAME = rf"(?:{_KANJI}{{2,4}}(?:{_KANA}{{1,4}})?|[A-Z][a-z]{{1,14}}(?:\s[A-Z][a-z]{{1,14}})?)(?={_any(_longest(TITLES))})"
+TITLED_NAME = rf"(?:{_KANJI}{{2,4}}(?:{_KANA}{{1,4}})?|[A-Z][a-z]{{1,14}}(?:\s[A-Z][a-z]{{1,14}})?)(?={first_letters(TITLES)}(?:{_any(_longest(TITLES))}))"
 GIVEN_NAME = rf"{_KANJI}{{1,3}}(?:{_KANA}{{1,4}})?"
 _BODY = r"[一-鿿a-zA-Z0-9゠-ヿ\-・]{2,30}"
-COMPANY = rf"(?:(?:{_any(LEADING_FORMS)})\s*{_BODY}|{_BODY}(?:{_any(_longest(COMPANY_FORMS))}))"
+COMPANY = rf"(?:(?:{_any(LEADING_FORMS)})\s*{_BODY}|{_BODY}{first_letters(COMPANY_FORMS)}(?:{_any(_longest(COMPANY_FORMS))}))"
 ORDERED_SURNAMES = tuple(_longest(SURNAMES))
 
 
@@ -148,3 +154,8 @@ def java(pattern: str) -> str:
             continue
         i += 2
     return "(?U)" + "".join(out)
+
+
+def gate(pattern: str) -> str:
+    """java(pattern), without a flag where it has no class that needs one."""
+    return java(pattern) if "\\" in pattern else pattern

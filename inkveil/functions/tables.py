@@ -29,6 +29,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores, dealt out over all of them; a larger one as it is. For costly work on each row."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(4 * cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes what written() wrote for these, once nothing that is still to be computed reads them; other frames stay as they are."""
     for df in tables:

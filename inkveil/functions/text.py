@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -21,6 +22,21 @@ def empty(kind: str) -> Column:
     return F.expr(f"cast(array() as array<{kind}>)")
 
 
+def holds(text: Column, gate: str) -> Column:
+    """Whether a text has a match of gate; words and sets of characters are looked for as bytes, which is several times as fast as a pattern."""
+    plain = r"[^\\\[\](){}|?*+.^$]"
+    if re.fullmatch(rf"{plain}+(\|{plain}+)*", gate):
+        words = gate.split("|")
+    elif re.fullmatch(r"\[[^\]\\^\-]+\]", gate):
+        words = list(gate[1:-1])
+    else:
+        return text.rlike(gate)
+    found = F.contains(text, F.lit(words[0]))
+    for word in words[1:]:
+        found |= F.contains(text, F.lit(word))
+    return found
+
+
 def spans(text: Column, pattern: str | Column, gate: str | None = None) -> Column:
     """array<struct<s, e, raw>>: the non-overlapping matches of a pattern (none empty) in order; offsets in code points, e excluded.
 
@@ -37,10 +53,12 @@ def spans(text: Column, pattern: str | Column, gate: str | None = None) -> Colum
 
     def found(t: Column) -> Column:
         matches, gaps = F.regexp_extract_all(t, regex, F.lit(0)), F.split(t, regex, -1)
-        return let(matches, lambda m: F.aggregate(F.zip_with(m, F.slice(gaps, 1, F.size(m)), lambda raw, gap: F.struct(raw.alias("raw"), gap.alias("gap"))), start, step, lambda acc: acc["all"]))
+        # the gaps are searched only where there is a match
+        placed = lambda m: F.aggregate(F.zip_with(m, F.slice(gaps, 1, F.size(m)), lambda raw, gap: F.struct(raw.alias("raw"), gap.alias("gap"))), start, step, lambda acc: acc["all"])
+        return let(matches, lambda m: F.when(F.size(m) > 0, placed(m)).otherwise(empty(SPAN)))
 
     every = let(text, found)
-    return every if gate is None else F.when(text.rlike(gate), every).otherwise(empty(SPAN))
+    return every if gate is None else F.when(holds(text, gate), every).otherwise(empty(SPAN))
 
 
 def overlaps(a: Column, b: Column) -> Column:

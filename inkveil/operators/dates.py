@@ -53,7 +53,7 @@ def date_candidates(text: Column) -> Column:
     """array<span>: all candidates by form and place; the short form only near a word that speaks of time."""
     found = []
     for _, pattern, needs_context, gate in patterns.DATE_FORMS:
-        every = spans(text, patterns.java(pattern), patterns.java(gate))
+        every = spans(text, patterns.java(pattern), patterns.gate(gate))
         if needs_context:
             wide = patterns.CONTEXT_WIDTH
             context = "(?i)" + patterns.java(patterns.DATE_CONTEXT).replace("(?U)", "(?U)", 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,18 +40,16 @@ def entities(text: Column, custom: list[tuple[str, str]] | None = None) -> Colum
         if names:
             found.append(_as(category, _literal(text, names)))
     titles = F.array(*map(F.lit, patterns.TITLES))
-    titled = spans(text, patterns.java(patterns.TITLED_NAME), patterns.java("|".join(map(_quoted, patterns.TITLES))))
+    titled = spans(text, patterns.java(patterns.TITLED_NAME), _gate(patterns.TITLES))
     found.append(_as(PERSON, F.filter(titled, lambda x: ~F.array_contains(titles, x["raw"]))))
-    forms = "|".join(map(_quoted, patterns.COMPANY_FORMS + patterns.LEADING_FORMS))
-    found.append(_as(ORGANISATION, spans(text, patterns.java(patterns.COMPANY), patterns.java(forms))))
+    found.append(_as(ORGANISATION, spans(text, patterns.java(patterns.COMPANY), _gate(patterns.COMPANY_FORMS + patterns.LEADING_FORMS))))
     surnames = _literal(text, list(patterns.ORDERED_SURNAMES), patterns.GIVEN_NAME)
-    any_surname = f"(?:{'|'.join(patterns.ORDERED_SURNAMES)})[\\u4E00-\\u9FFF]"
+    any_surname = f"{patterns.first_letters(patterns.SURNAMES)}(?:{'|'.join(patterns.ORDERED_SURNAMES)})[\\u4E00-\\u9FFF]"
     found.append(_as(PERSON, F.when(text.rlike(any_surname), surnames).otherwise(empty("struct<s:int,e:int,raw:string>"))))
     sound = F.filter(F.concat(*found), lambda x: (F.length(x["raw"]) > 1) & x["raw"].rlike(r"[\p{L}_]|(?!\p{Nd})\p{N}"))
     return F.array_sort(accepted(sound, ENTITY))
 
 
-def _quoted(word: str) -> str:
-    import re
-
-    return re.escape(word)
+def _gate(words: tuple[str, ...]) -> str:
+    """Finds out whether a text holds any of the words."""
+    return patterns.java(patterns.first_letters(words) + f"(?:{'|'.join(map(re.escape, words))})")

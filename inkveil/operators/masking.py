@@ -31,7 +31,7 @@ def _piece(s, e, cat, raw, pre=None, suf=None, lit=None) -> Column:
 
 def rule_pieces(text: Column, rule: patterns.Rule) -> Column:
     """array<piece> of one rule's matches."""
-    found = spans(text, patterns.java(rule.pattern), patterns.java(rule.gate))
+    found = spans(text, patterns.java(rule.pattern), patterns.gate(rule.gate))
 
     def piece(x: Column) -> Column:
         pre = F.regexp_extract(x["raw"], patterns.java(rule.pre), 0) if rule.pre else None

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.functions import patterns, text
+from inkveil.functions.tables import spread
 from inkveil.operators import dates, entities, masking
 from inkveil.sources import mappings
 
@@ -18,7 +19,7 @@ MAIL = _RULES["mail"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns))
 
 
 def mail_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +108,7 @@ _MADE = (
 
 
 def _made(spark: SparkSession, sf_dir: str, rule: str, table: str, key: str, sentence: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key, F.expr(sentence).alias("text"))
+    rows = spread(spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key, F.expr(sentence).alias("text")))
     return masking.mask_rows(masking.detect(rows, rules=(_RULES[rule],), only_rules=True)).select(key, "masked")
 
 

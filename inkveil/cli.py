@@ -64,14 +64,19 @@ def unmask(spark: SparkSession, paths: list[str], output: str | None = None, map
 
 
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    commands = {"mask": mask, "unmask": unmask}
+    arguments = sys.argv[1:] if arguments is None else arguments
+    # a program of a command's name is that command
+    if (name := Path(sys.argv[0]).stem) in commands:
+        arguments = [name, *arguments]
     parser = argparse.ArgumentParser(prog="inkveil")
-    parser.add_argument("command", choices=["mask", "unmask"])
+    parser.add_argument("command", choices=list(commands))
     parser.add_argument("files", nargs="+")
     parser.add_argument("-o", "--output")
     parser.add_argument("-m", "--mapping")
     asked = parser.parse_args(arguments)
     session = spark or SparkSession.builder.appName("inkveil").getOrCreate()
-    return {"mask": mask, "unmask": unmask}[asked.command](session, expanded(asked.files), asked.output, asked.mapping)
+    return commands[asked.command](session, expanded(asked.files), asked.output, asked.mapping)
 
 
 if __name__ == "__main__":

@@ -98,3 +98,8 @@ def label(index: Column) -> Column:
 
 def token(category: Column, name: Column) -> Column:
     return F.concat(F.lit("【"), category, name, F.lit("】"))
+
+
+def stripped(markup: Column) -> Column:
+    """What is left of a text without its tags."""
+    return F.regexp_replace(markup, "<[^>]+>", "")

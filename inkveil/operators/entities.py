@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import re
 
 from pyspark.sql import Column
@@ -12,10 +13,18 @@ from inkveil.functions.text import accepted, empty, spans
 
 ENTITY = "struct<s:int,e:int,raw:string,cat:string>"
 PERSON, ORGANISATION = "人物", "組織"
-MODE = "辞書＋ヒューリスティック"
+MODES = {"heuristic": "辞書＋ヒューリスティック", "model": "GiNZA (NLP)"}
 _ALIASES = {"人物": PERSON, "人名": PERSON, "PER": PERSON, "組織": ORGANISATION, "ORG": ORGANISATION}
 
 
+def mode(asked: str = "heuristic") -> str:
+    """How names are found, "heuristic" or "model", as asked: the model only where its library and its data are installed."""
+    if asked not in MODES:
+        raise ValueError(f"{asked} is none of {', '.join(MODES)}")
+    there = all(importlib.util.find_spec(m) for m in ("spacy", "ja_ginza"))
+    return asked if asked == "heuristic" or there else "heuristic"
+
+
 def custom_names(lines: list[str]) -> list[tuple[str, str]]:
     """(category, name) of lines `category,name`; comments, other lines and unknown categories are passed over."""
     rows = [[p.strip() for p in line.strip().split(",", 1)] for line in lines if line.strip() and not line.strip().startswith("#")]

@@ -12,6 +12,8 @@ from inkveil.operators import masking
 
 from . import formats
 
+_TYPES = {"text/plain": ".txt", "text/html": ".html", "image/svg+xml": ".svg", "image/png": ".png", "image/jpeg": ".jpg", "application/pdf": ".pdf"}
+
 
 def read(spark: SparkSession, paths: list[str]) -> DataFrame:
     """path, ext and content of files of known formats."""
@@ -31,6 +33,19 @@ def units(files: DataFrame) -> DataFrame:
     return files.mapInPandas(each, "path string, n int, text string")
 
 
+def previews(files: DataFrame) -> DataFrame:
+    """path and the text of each file's units, line by line."""
+    ordered = F.array_sort(F.collect_list(F.struct("n", "text")))
+    return units(files).groupBy("path").agg(ordered.alias("units")).select("path", F.array_join("units.text", "\n").alias("preview"))
+
+
+def from_data_urls(df: DataFrame, column: str) -> DataFrame:
+    """df with ext and content of the base64 data URLs in a column; both are null where it holds none."""
+    kind = F.regexp_extract(column, r"^data:([\w.+/-]+);base64,", 1)
+    ext = F.element_at(F.create_map(*[F.lit(x) for pair in _TYPES.items() for x in pair]), kind)
+    return df.withColumn("ext", F.when(kind != "", ext)).withColumn("content", F.when(kind != "", F.try_to_binary(F.substring_index(column, ",", -1), F.lit("base64"))))
+
+
 def mask_files(files: DataFrame, mapping: DataFrame | None = None, **detection) -> tuple[DataFrame, DataFrame]:
     """(path, ext of what comes out, content; the mapping), all files in one session, in order of path."""
     each = units(files).withColumn("id", F.concat_ws("\0", "path", F.col("n").cast("string")))

@@ -35,12 +35,23 @@ def load(spark: SparkSession, path: str, session: str = "") -> DataFrame:
     return spark.createDataFrame([(session, r[0], unescape(r[1]), r[2], r[3]) for r in rows if len(r) == 4], SCHEMA)
 
 
+def lines(mapping: DataFrame) -> DataFrame:
+    """line, and the columns by which lines are in order, of each row of a mapping."""
+    return mapping.select(F.concat_ws("\t", "category", escaped(F.col("original")), "md5", "label").alias("line"), "category", F.length("label").alias("width"), "label", "original")
+
+
+def to_bytes(mapping: DataFrame) -> bytes:
+    """A session's mapping as the content of its file."""
+    rows = lines(mapping).orderBy("category", "width", "label", "original").select("line")
+    return "".join(f"{line}\n" for line in [HEADER, *(row["line"] for row in rows.toLocalIterator())]).encode()
+
+
 def save(mapping: DataFrame, path: str) -> None:
     """Writes beside the file and then puts it in its place; what was there is kept as .bak."""
     target = Path(path)
     if target.exists():
         shutil.copy2(target, f"{target}.bak")
-    rows = mapping.orderBy("category", F.length("label"), "label", "original").select(F.concat_ws("\t", "category", escaped(F.col("original")), "md5", "label").alias("line"))
+    rows = lines(mapping).orderBy("category", "width", "label", "original").select("line")
     handle, name = tempfile.mkstemp(dir=target.parent, suffix=".tmp")
     try:
         with os.fdopen(handle, "w", encoding="utf-8") as file:

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import chunks, flat
 
 TRAIN_BYTES, TRAIN_DOCS, PIECE = 20_000, 64, 512
-#: More languages than that would make the table too large to send out.
-MAX_LANGUAGES = 256
+#: The languages of one table; more are told apart by several tables, each in tasks of its own.
+TABLE_LANGUAGES = 64
 #: Above this entropy (bits a byte) no language explains the text; letters at random have 4.7.
 MAX_BITS = 5.5
 
@@ -114,7 +114,7 @@ class Languages:
             tables.append(table.ravel())
             base += table.size
         if base >= 1 << 30:
-            raise ValueError("too many languages, or too long samples, for one table")
+            raise ValueError("too long samples for one table: learn with fewer table_languages")
         self.table = np.concatenate(tables).astype(np.int32) if tables else np.zeros(0, np.int32)
         self.weight = np.array([np.log2(max(2, len(samples[k]))) for k in self.names])
 
@@ -151,8 +151,8 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
 
-def learn(docs: DataFrame, train_bytes: int = TRAIN_BYTES, train_docs: int = TRAIN_DOCS) -> Languages:
-    """The languages of the labelled documents that aren't held out. At most train_docs documents of a language come to the driver."""
+def learn(docs: DataFrame, train_bytes: int = TRAIN_BYTES, train_docs: int = TRAIN_DOCS, table_languages: int = TABLE_LANGUAGES) -> Languages | list[dict[str, bytes]]:
+    """The languages of the labelled documents that aren't held out; beyond table_languages, the samples of each table's languages. At most train_docs documents of a language come to the driver."""
     first = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", "doc_id", F.xxhash64("doc_id").alias("h"))
     rows = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= train_docs)
@@ -163,8 +163,9 @@ def learn(docs: DataFrame, train_bytes: int = TRAIN_BYTES, train_docs: int = TRA
         body, offsets = flat(pa.array([text]))
         have = samples.get(lang, b"")
         samples[lang] = (have + (b"\0" if have else b"") + normalised(body, offsets)[0].tobytes())[:train_bytes]
-    if len(samples) > MAX_LANGUAGES:
-        raise ValueError(f"{len(samples)} languages; at most {MAX_LANGUAGES} can be told apart")
+    if len(samples) > table_languages:
+        names = sorted(samples)
+        return [{k: samples[k] for k in names[i : i + table_languages]} for i in range(0, len(names), table_languages)]
     return Languages(samples)
 
 
@@ -183,8 +184,41 @@ def _identified(batches: Iterator[pa.RecordBatch], languages: Languages, carried
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), names.take(pa.array(best)), pa.array(score), pa.array(bits, mask=~known)], [*carried, "__lang_pred", "__score", "__bits"])
 
 
-def identify(docs: DataFrame, languages: Languages, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def _costs(batches: Iterator[pa.RecordBatch], samples: dict[str, bytes]) -> Iterator[pa.RecordBatch]:
+    """key of each text, the best of the sampled languages, its cost, the next one's (null if there is none) and the normalised size."""
+    languages = Languages(samples)
+    names = pa.array(languages.names)
+    for batch in chunks(batches):
+        body, offsets = normalised(*flat(batch.column("text")))
+        cost = languages.phrases(body, offsets) * languages.weight[:, None]
+        two = np.sort(cost, axis=0)[:2]
+        after = pa.array(two[1]) if len(two) > 1 else pa.nulls(batch.num_rows, pa.float64())
+        yield pa.RecordBatch.from_arrays([batch.column("key"), names.take(pa.array(np.argmin(cost, axis=0))), pa.array(two[0]), after, pa.array(np.diff(offsets))], ["key", "name", "cost", "after", "size"])
+
+
+def _identified_by_tables(docs: DataFrame, tables: list[dict[str, bytes]], carried: list[str]) -> DataFrame:
+    """As identify: each text's costs by each table, of which the least counts (ties: the first by name). A prediction is a text's, so texts are joined by their hashes."""
+    rows = docs.select(*dict.fromkeys([*carried, "text"]), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__has_letter"))
+    key = F.sha2(F.col("text"), 256)
+    texts = rows.where("__has_letter").select(key.alias("key"), "text")
+    costs = [texts.mapInArrow(lambda batches, samples=samples: _costs(batches, samples), "key string, name string, cost double, after double, size long") for samples in tables]
+    every = costs[0]
+    for more in costs[1:]:
+        every = every.unionByName(more)
+    # copies of a text first become one row for each table
+    once = every.groupBy("key", "name").agg(F.first("cost").alias("cost"), F.first("after").alias("after"), F.first("size").alias("size"))
+    both = F.array_sort(F.flatten(F.collect_list(F.array_compact(F.array("cost", "after")))))
+    best = once.groupBy("key").agg(F.min(F.struct("cost", "name")).alias("best"), F.element_at(both, 2).alias("next"), F.first("size").alias("size"))
+    best = best.select(F.col("key").alias("__key"), F.col("best.name").alias("__lang_pred"), (1 - F.col("best.cost") / F.col("next")).alias("__score"), (F.col("best.cost") / F.greatest("size", F.lit(1))).alias("__bits"))
+    known = rows.where("__has_letter").withColumn("__key", key).join(best, "__key").select(*carried, "__lang_pred", "__score", "__bits")
+    return known.unionByName(rows.where("NOT __has_letter").select(*carried, F.lit("und").alias("__lang_pred"), F.lit(0.0).alias("__score"), F.lit(None).cast("double").alias("__bits")))
+
+
+def identify(docs: DataFrame, languages: Languages | list[dict[str, bytes]], carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The carried columns of each row, with __lang_pred, __score (0 to 1: how far the best is from the next) and __bits (entropy a byte; null for und)."""
+    if isinstance(languages, list):
+        docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
+        return _identified_by_tables(docs, languages, list(carried))
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
     sent = docs.sparkSession.sparkContext.broadcast(languages)
     rows = docs.select(*dict.fromkeys([*carried, "text"]), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__has_letter"))

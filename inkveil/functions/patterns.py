@@ -159,3 +159,15 @@ def java(pattern: str) -> str:
 def gate(pattern: str) -> str:
     """java(pattern), without a flag where it has no class that needs one."""
     return java(pattern) if "\\" in pattern else pattern
+
+
+#: Between these characters no match of DATE_FORMS, of the names' patterns or of RULES can go on, and none looks beyond: after a full stop or comma that no form, place or word has a part of,
+#: and before a blank between two small letters (what goes on after a blank is a digit, a capital, a sign or no ASCII character at all).
+_AFTER_STOP, _BETWEEN_WORDS = "(?<=[。、])", r"(?<=[a-z;!?])(?=\s[a-z])"
+
+
+def cuts(rules: tuple[Rule, ...] = RULES, custom: tuple[str, ...] = ()) -> str | None:
+    """A pattern of the (empty) places where a text can be cut without changing what is found in its parts, for Spark; None if there is none that is sure for these rules and custom names."""
+    if not set(rules) <= set(RULES) or any(re.search("[。、]", name) for name in custom):
+        return None
+    return _AFTER_STOP if any(re.search(r"\s", name) for name in custom) else f"{_AFTER_STOP}|{_BETWEEN_WORDS}"

@@ -9,8 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "struct<s:int,e:int,raw:string>"
-#: A span that would be replaced: its place, category and text, what stays before and after the token, and a fixed replacement instead of one.
-PIECE = "struct<s:int,e:int,cat:string,raw:string,pre:string,suf:string,lit:string>"
+#: A span that would be replaced: its place, category and text, what stays before and after the token, a fixed replacement instead of one, and which of the row's events it is.
+PIECE = "struct<s:int,e:int,cat:string,raw:string,pre:string,suf:string,lit:string,ev:int>"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -37,28 +37,80 @@ def holds(text: Column, gate: str) -> Column:
     return found
 
 
-def spans(text: Column, pattern: str | Column, gate: str | None = None) -> Column:
-    """array<struct<s, e, raw>>: the non-overlapping matches of a pattern (none empty) in order; offsets in code points, e excluded.
+#: Elements that a fold appends to one array: appending copies what is there already, so that longer arrays are made part by part.
+STRIDE = 256
+#: Candidates that are compared each with all others; of more, only those that touch.
+FEW = 32
+
+
+def _parts(values: Column) -> Column:
+    """values in slices of STRIDE."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / STRIDE).cast("int")), lambda k: F.slice(values, k * STRIDE + 1, STRIDE))
+
+
+def scanned(values: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """array<kind>: what step(state, value) puts out beside the next state, for one value after another; linear in their number."""
+
+    def inner(state: Column, part: Column) -> Column:
+        def one(acc: Column, x: Column) -> Column:
+            after, out = step(acc["state"], x)
+            return F.struct(after.alias("state"), F.concat(acc["all"], F.array(out)).alias("all"))
+
+        return F.aggregate(part, F.struct(state.alias("state"), empty(kind).alias("all")), one)
+
+    def outer(acc: Column, part: Column) -> Column:
+        return let(inner(acc["state"], part), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["all"], F.array(r["all"])).alias("all")))
 
-    Matches and the gaps between them come from the same pattern; the running sum of their lengths gives the offsets.
-    A text in which the cheap pattern gate has no match isn't searched.
+    return F.aggregate(F.filter(_parts(values), lambda part: F.size(part) > 0), F.struct(start.alias("state"), empty(f"array<{kind}>").alias("all")), outer, lambda acc: F.flatten(acc["all"]))
+
+
+def found(text: Column, pattern: str | Column, gate: str | None = None) -> Column:
+    """struct<m, g>: the non-overlapping matches of a pattern (none empty) in order and the gaps between them, or null if there are none.
+
+    A text in which the cheap pattern gate has no match isn't searched; gaps are searched only where there is a match.
     """
     regex = F.lit(pattern) if isinstance(pattern, str) else pattern
-    start = F.struct(F.lit(0).alias("at"), empty(SPAN).alias("all"))
+    both = lambda t: let(F.regexp_extract_all(t, regex, F.lit(0)), lambda m: F.when(F.size(m) > 0, F.struct(m.alias("m"), F.split(t, regex, -1).alias("g"))))
+    every = let(text, both)
+    return every if gate is None else F.when(holds(text, gate), every)
+
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["gap"])
+def placed(pair: Column) -> Column:
+    """array<struct<s, e, raw>> of what found() gives: offsets in code points, e excluded, by the running sum of the lengths."""
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        s = at + F.length(x["gap"])
         e = s + F.length(x["raw"])
-        return F.struct(e.alias("at"), F.concat(acc["all"], F.array(F.struct(s.alias("s"), e.alias("e"), x["raw"].alias("raw")))).alias("all"))
+        return e, F.struct(s.alias("s"), e.alias("e"), x["raw"].alias("raw"))
+
+    pairs = F.zip_with(pair["m"], F.slice(pair["g"], 1, F.size(pair["m"])), lambda raw, gap: F.struct(raw.alias("raw"), gap.alias("gap")))
+    return F.when(pair.isNull(), empty(SPAN)).otherwise(let(pairs, lambda p: scanned(p, F.lit(0), step, SPAN)))
+
+
+def spans(text: Column, pattern: str | Column, gate: str | None = None) -> Column:
+    """array<struct<s, e, raw>>: the non-overlapping matches of a pattern (none empty) in order; offsets in code points, e excluded."""
+    return let(found(text, pattern, gate), placed)
+
+
+def spans_of(text: Column, searches: list[tuple[str, str | None]]) -> Column:
+    """array of such arrays, for each pattern and gate; one expression places the matches of all."""
+    return F.transform(F.array(*(found(text, pattern, gate) for pattern, gate in searches)), placed)
 
-    def found(t: Column) -> Column:
-        matches, gaps = F.regexp_extract_all(t, regex, F.lit(0)), F.split(t, regex, -1)
-        # the gaps are searched only where there is a match
-        placed = lambda m: F.aggregate(F.zip_with(m, F.slice(gaps, 1, F.size(m)), lambda raw, gap: F.struct(raw.alias("raw"), gap.alias("gap"))), start, step, lambda acc: acc["all"])
-        return let(matches, lambda m: F.when(F.size(m) > 0, placed(m)).otherwise(empty(SPAN)))
 
-    every = let(text, found)
-    return every if gate is None else F.when(holds(text, gate), every).otherwise(empty(SPAN))
+def parts(text: Column, chars: int, cut: str) -> Column:
+    """array<string>: text in parts of about so many characters, cut at places (empty matches of the pattern cut) only; where a stretch of so many characters has none, a part is longer."""
+
+    def place(k: Column) -> Column:
+        """The first place of a stretch, or null. A place needs the characters beside it, so the stretch goes on for two more."""
+        window = F.substring(text, k * chars, F.lit(chars + 2))
+        # of what a zero-width split leaves, the first piece ends at the place
+        first = F.length(F.element_at(F.split(window, cut, 2), 1))
+        return F.when(first < F.length(window), k * chars - 1 + first)
+
+    places = F.array_distinct(F.array_compact(F.transform(F.sequence(F.lit(1), F.floor(F.length(text) / chars).cast("int")), place)))
+    bounds = F.concat(F.array(F.lit(0)), places, F.array(F.length(text)))
+    pieces = lambda b: F.transform(F.slice(b, 2, F.size(b)), lambda end, k: F.substring(text, F.element_at(b, k + 1) + 1, end - F.element_at(b, k + 1)))
+    return F.when(F.length(text) <= chars, F.array(text)).otherwise(let(bounds, pieces))
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -66,16 +118,47 @@ def overlaps(a: Column, b: Column) -> Column:
 
 
 def accepted(candidates: Column, kind: str, taken: Column | None = None) -> Column:
-    """Of candidates in order those that overlap none accepted before, after what is taken already."""
+    """Of candidates in order those that overlap none accepted before, after what is taken already (whose spans are disjoint; no span is empty).
+
+    Only spans of one cluster, a stretch of text that spans cover without a gap, can keep each other out: where there are many candidates they are
+    sorted by place, cut into clusters in one pass, and chosen cluster by cluster.
+    """
     start = empty(kind) if taken is None else taken
-    return F.aggregate(candidates, start, lambda acc, c: F.when(F.exists(acc, lambda a: overlaps(a, c)), acc).otherwise(F.concat(acc, F.array(c))))
+    free = lambda acc, c: F.when(F.exists(acc, lambda a: overlaps(a, c)), acc).otherwise(F.concat(acc, F.array(c)))
+
+    def clustered(every: Column) -> Column:
+        by_place = F.array_sort(F.transform(every, lambda c, i: F.struct(c["s"].alias("s"), c["e"].alias("e"), i.alias("i"))))
+
+        def chosen(spans: Column) -> Column:
+            begins = scanned(spans, F.lit(-1), lambda end, x: (F.greatest(end, x["e"]), x["s"] >= end), "boolean")
+            firsts = let(begins, lambda b: F.filter(F.sequence(F.lit(1), F.size(b)), lambda j: F.element_at(b, j)))
+            slices = let(firsts, lambda f: F.transform(f, lambda at, k: F.slice(spans, at, F.coalesce(F.try_element_at(f, k + 2), F.size(spans) + 1) - at)))
+            in_order = lambda c: F.array_sort(F.transform(c, lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s"), x["e"].alias("e"))))
+            greedy = lambda c: F.transform(F.aggregate(in_order(c), empty("struct<i:int,s:int,e:int>"), free), lambda x: x["i"])
+            return F.array_sort(F.flatten(F.transform(slices, lambda c: F.when(F.size(c) == 1, F.transform(c, lambda x: x["i"])).otherwise(greedy(c)))))
+
+        return F.transform(let(by_place, chosen), lambda i: F.element_at(every, i + 1))
+
+    return F.when(F.size(candidates) + F.size(start) <= FEW, F.aggregate(candidates, start, free)).otherwise(let(F.concat(start, candidates), clustered))
 
 
 def spliced(text: Column, pieces: Column) -> Column:
     """text with each piece's span (s, e) replaced by its rep; pieces don't overlap."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    step = lambda acc, p: F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, p["s"] - acc["at"]), p["rep"]).alias("out"), p["e"].alias("at"))
-    return F.aggregate(F.array_sort(pieces), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+    def part(body: Column, from_: Column, some: Column) -> Column:
+        """What becomes of body, which is the text from from_ to the end of the last of some pieces."""
+        start = F.struct(F.lit("").alias("out"), from_.alias("at"))
+        step = lambda acc, p: F.struct(F.concat(acc["out"], F.substring(body, acc["at"] - from_ + 1, p["s"] - acc["at"]), p["rep"]).alias("out"), p["e"].alias("at"))
+        return F.aggregate(some, start, step, lambda acc: acc["out"])
+
+    def step(acc: Column, some: Column) -> Column:
+        end = F.element_at(some, -1)["e"]
+        done = let(F.substring(text, acc["at"] + 1, end - acc["at"]), lambda body: part(body, acc["at"], some))
+        return F.struct(F.concat(acc["out"], F.array(done)).alias("out"), end.alias("at"))
+
+    start = F.struct(empty("string").alias("out"), F.lit(0).alias("at"))
+    whole = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
+    return F.when(F.size(pieces) == 0, text).otherwise(let(F.array_sort(pieces), lambda p: F.aggregate(_parts(p), start, step, whole)))
 
 
 def md5_8(text: Column) -> Column:

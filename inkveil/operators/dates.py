@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inkveil.functions import patterns
-from inkveil.functions.text import SPAN, accepted, spans
+from inkveil.functions.text import SPAN, accepted, let, spans_of
 
 _DIGITS = str.maketrans("０１２３４５６７８９／－．　〇一二三四五六七八九", "0123456789/-. 0123456789")
 
@@ -49,17 +49,22 @@ def _valid(today: datetime.date):
     return valid
 
 
-def date_candidates(text: Column) -> Column:
-    """array<span>: all candidates by form and place; the short form only near a word that speaks of time."""
-    found = []
-    for _, pattern, needs_context, gate in patterns.DATE_FORMS:
-        every = spans(text, patterns.java(pattern), patterns.gate(gate))
-        if needs_context:
-            wide = patterns.CONTEXT_WIDTH
-            context = "(?i)" + patterns.java(patterns.DATE_CONTEXT).replace("(?U)", "(?U)", 1)
-            every = F.filter(every, lambda x: F.substring(text, F.greatest(x["s"] - wide, F.lit(0)) + 1, x["e"] + wide - F.greatest(x["s"] - wide, F.lit(0))).rlike(context))
-        found.append(every)
-    return F.concat(*found)
+def date_candidates(text: Column, beside: tuple[Column, Column] | None = None) -> Column:
+    """array<span>: all candidates by form and place; the short form only near a word that speaks of time, also in what stands beside (before and after) the text."""
+    wide = patterns.CONTEXT_WIDTH
+    context = "(?i)" + patterns.java(patterns.DATE_CONTEXT).replace("(?U)", "(?U)", 1)
+    before, after = beside or (F.lit(""), F.lit(""))
+    around = F.concat(before, text, after) if beside else text
+
+    def near(x: Column, t: Column) -> Column:
+        ahead = x["s"] + F.length(before) if beside else x["s"]
+        first = F.greatest(ahead - wide, F.lit(0))
+        return F.substring(t, first + 1, ahead + x["e"] - x["s"] + wide - first).rlike(context)
+
+    unsure = F.array(*(F.lit(needs_context) for _, _, needs_context, _ in patterns.DATE_FORMS))
+    every = spans_of(text, [(patterns.java(pattern), patterns.gate(gate)) for _, pattern, _, gate in patterns.DATE_FORMS])
+    kept = lambda t: F.transform(every, lambda some, k: F.filter(some, lambda x: ~F.element_at(unsure, k + 1) | near(x, t)))
+    return F.flatten(let(around, kept))
 
 
 def valid_dates(candidates: Column, today: datetime.date) -> Column:

@@ -4,7 +4,10 @@ Dates come first, then persons and organisations, then the rules in order; whate
 whole. A value's label is its category's next letter when it first appears; dates and names take one even where they are
 dropped. With session "row", each row is a session of its own: labels are found within the row, and nothing is shuffled.
 With a session column (or one session for all), first appearances are aggregated by value, ranked without putting a
-session into one task, and joined back to the rows that hold them; rows without any finding pass by.
+session into one task, and joined back to the findings; rows without any pass by. A long text is cut where no match can lie
+(see patterns.cuts), and its parts are masked like rows of their own, by all tasks.
+
+The cost of a row is near linear in its findings: choice goes by clusters of overlapping spans, labels by sorting, splicing part by part.
 """
 
 from __future__ import annotations
@@ -16,77 +19,123 @@ from pyspark.sql import functions as F
 
 from inkveil.functions import patterns
 from inkveil.functions.tables import written
-from inkveil.functions.text import PIECE, accepted, empty, label, let, md5_8, overlaps, spans, spliced, token
+from inkveil.functions.text import PIECE, accepted, empty, label, let, md5_8, parts, scanned, spans, spans_of, spliced, token
 
 from . import dates, entities
 
 MAPPING = "category string, original string, md5 string, label string"
+#: Texts of more characters are cut into parts of about so many.
+PART_CHARS = 1 << 16
 _RAW = "__text"
 
 
-def _piece(s, e, cat, raw, pre=None, suf=None, lit=None) -> Column:
+def _piece(s, e, cat, raw, pre=None, suf=None, lit=None, ev=None) -> Column:
     text = lambda c: F.lit(None).cast("string") if c is None else c
-    return F.struct(s.alias("s"), e.alias("e"), cat.alias("cat"), raw.alias("raw"), text(pre).alias("pre"), text(suf).alias("suf"), text(lit).alias("lit"))
+    event = F.lit(None) if ev is None else ev
+    return F.struct(s.alias("s"), e.alias("e"), cat.alias("cat"), raw.alias("raw"), text(pre).alias("pre"), text(suf).alias("suf"), text(lit).alias("lit"), event.cast("int").alias("ev"))
+
 
+def rule_pieces(text: Column, rules: tuple[patterns.Rule, ...]) -> Column:
+    """array<struct<k, p>>: the pieces (p) of the rules' matches, rule by rule (k, from 0) and by place."""
 
-def rule_pieces(text: Column, rule: patterns.Rule) -> Column:
-    """array<piece> of one rule's matches."""
-    found = spans(text, patterns.java(rule.pattern), patterns.gate(rule.gate))
+    def kept(x: Column, k: Column, side: str) -> Column:
+        """What stays before (pre) or after (suf) the token."""
+        out = F.lit(None).cast("string")
+        for i, rule in enumerate(rules):
+            if pattern := getattr(rule, side):
+                own = F.regexp_extract(x["raw"], patterns.java(pattern), 0)
+                if rule.name == "patent" and side == "suf":
+                    own = F.when(x["raw"].startswith("US") | x["raw"].startswith("EP") | x["raw"].startswith("JP") | x["raw"].startswith("WO"), F.lit("")).otherwise(own)
+                out = F.when(k == i, own).otherwise(out)
+        return out
 
-    def piece(x: Column) -> Column:
-        pre = F.regexp_extract(x["raw"], patterns.java(rule.pre), 0) if rule.pre else None
-        suf = F.regexp_extract(x["raw"], patterns.java(rule.suf), 0) if rule.suf else None
-        if rule.name == "patent":
-            suf = F.when(x["raw"].startswith("US") | x["raw"].startswith("EP") | x["raw"].startswith("JP") | x["raw"].startswith("WO"), F.lit("")).otherwise(suf)
-        age = None
-        if rule.category == "年齢":
-            digits = F.translate(F.regexp_replace(x["raw"], "歳", ""), "０１２３４５６７８９", "0123456789")
-            age = F.concat((F.floor(F.expr("1") * digits.cast("int") / 10) * 10).cast("string"), F.lit("代"))
-        return _piece(x["s"], x["e"], F.lit(rule.category), x["raw"], pre, suf, age)
+    def piece(x: Column, k: Column) -> Column:
+        category = F.element_at(F.array(*(F.lit(r.category) for r in rules)), k + 1)
+        digits = F.translate(F.regexp_replace(x["raw"], "歳", ""), "０１２３４５６７８９", "0123456789")
+        age = F.when(category == "年齢", F.concat((F.floor(digits.try_cast("int") / 10) * 10).cast("string"), F.lit("代")))
+        return F.struct(k.alias("k"), _piece(x["s"], x["e"], category, x["raw"], kept(x, k, "pre"), kept(x, k, "suf"), age).alias("p"))
 
-    return F.transform(found, piece)
+    every = spans_of(text, [(patterns.java(r.pattern), patterns.gate(r.gate)) for r in rules])
+    return F.flatten(F.transform(every, lambda some, k: F.transform(some, lambda x: piece(x, k))))
 
 
-def detect(df: DataFrame, text: str = "text", today: datetime.date | None = None, custom: list[tuple[str, str]] | None = None, rules: tuple[patterns.Rule, ...] = patterns.RULES, only_rules: bool = False) -> DataFrame:
-    """df with __pieces (array<piece>: what is replaced) and __events (array<struct<cat, raw>>: what takes labels, in order). A null text has none."""
+def detect(df: DataFrame, text: str = "text", today: datetime.date | None = None, custom: list[tuple[str, str]] | None = None, rules: tuple[patterns.Rule, ...] = patterns.RULES, only_rules: bool = False, beside: tuple[str, str] | None = None) -> DataFrame:
+    """df with __pieces (array<piece>: what is replaced) and __events (array<struct<k, cat, raw>>: what takes labels, in order; k is the stage: dates, names, then each rule).
+
+    A null text has none. An event without a category takes no label (its piece has a fixed replacement). beside: columns of the text before and after this one, in which words may stand that make a short form a date.
+    """
     source = df.withColumn(_RAW, F.coalesce(F.col(text), F.lit("")))
     col = F.col(_RAW)
     if only_rules:
         source = source.withColumn("__dates", empty("struct<s:int,e:int,raw:string>")).withColumn("__names", empty(entities.ENTITY))
     else:
-        source = source.withColumn("__candidates", dates.date_candidates(col)).withColumn("__valid", dates.valid_dates(F.col("__candidates"), today or datetime.date.today()))
+        around = tuple(F.coalesce(F.col(c), F.lit("")) for c in beside) if beside else None
+        source = source.withColumn("__candidates", dates.date_candidates(col, around)).withColumn("__valid", dates.valid_dates(F.col("__candidates"), today or datetime.date.today()))
         source = source.withColumn("__dates", dates.chosen_dates(F.col("__candidates"), F.col("__valid"))).withColumn("__names", entities.entities(col, custom))
-    source = source.withColumn("__ruled", F.concat(*(rule_pieces(col, r) for r in rules)))
-    taken = F.transform("__dates", lambda x: _piece(x["s"], x["e"], F.lit("日付"), x["raw"]))
-    named = F.transform("__names", lambda x: _piece(x["s"], x["e"], x["cat"], x["raw"]))
-    source = source.withColumn("__first", accepted(named, PIECE, taken)).withColumn("__pieces", accepted(F.col("__ruled"), PIECE, F.col("__first")))
-    events = F.concat(taken, named, F.filter(F.slice("__pieces", F.size("__first") + 1, F.size("__pieces")), lambda p: p["lit"].isNull()))
-    source = source.withColumn("__events", F.transform(events, lambda p: F.struct(p["cat"].alias("cat"), p["raw"].alias("raw"))))
-    return source.drop("__candidates", "__valid", "__dates", "__names", "__ruled", "__first")
+    source = source.withColumn("__ruled", rule_pieces(col, rules))
+    taken = F.transform("__dates", lambda x, i: _piece(x["s"], x["e"], F.lit("日付"), x["raw"], ev=i))
+    named = F.transform("__names", lambda x, i: _piece(x["s"], x["e"], x["cat"], x["raw"], ev=F.size("__dates") + i))
+    # of the rules' pieces, ev is the place among all of them until it is known which stay
+    numbered = F.transform("__ruled", lambda x, i: x["p"].withField("ev", i))
+    source = source.withColumn("__first", accepted(named, PIECE, taken)).withColumn("__pieces", accepted(numbered, PIECE, F.col("__first")))
+    source = source.withColumn("__later", F.slice("__pieces", F.size("__first") + 1, F.size("__pieces")))
+    event = lambda k, cat, raw: F.struct(F.lit(k).alias("k"), cat.alias("cat"), raw.alias("raw"))
+    by_rule = F.transform("__later", lambda p: F.struct((F.element_at(F.col("__ruled"), p["ev"] + 1)["k"] + 2).alias("k"), F.when(p["lit"].isNull(), p["cat"]).alias("cat"), p["raw"].alias("raw")))
+    events = F.concat(F.transform(taken, lambda p: event(0, p["cat"], p["raw"])), F.transform(named, lambda p: event(1, p["cat"], p["raw"])), by_rule)
+    before = F.size("__dates") + F.size("__names")
+    source = source.withColumn("__events", events).withColumn("__pieces", F.concat("__first", F.transform("__later", lambda p, i: p.withField("ev", before + i))))
+    return source.drop("__candidates", "__valid", "__dates", "__names", "__ruled", "__first", "__later")
 
 
-def _rewritten(labels: Column) -> Column:
-    """labels: map of 'category\\0md5' to label."""
-    def rep(p: Column) -> Column:
-        name = F.element_at(labels, F.concat(p["cat"], F.lit("\0"), md5_8(p["raw"])))
-        return F.struct(p["s"].alias("s"), p["e"].alias("e"), F.coalesce(p["lit"], F.concat(F.coalesce(p["pre"], F.lit("")), token(p["cat"], name), F.coalesce(p["suf"], F.lit("")))).alias("rep"))
+def _replacement(p: Column, name: Column) -> Column:
+    """struct<s, e, rep> of a piece whose label is name."""
+    shown = F.concat(F.coalesce(p["pre"], F.lit("")), token(p["cat"], name), F.coalesce(p["suf"], F.lit("")))
+    return F.struct(p["s"].alias("s"), p["e"].alias("e"), F.coalesce(p["lit"], shown).alias("rep"))
 
-    return spliced(F.col(_RAW), F.transform("__pieces", rep))
 
+def row_labels(events: Column) -> Column:
+    """array<struct<i, cat, raw, md5, label>>: the events that take labels, by place (i, from 0), each value's label by its first place in its category; by sorting, in the row alone."""
 
-def mask_rows(found: DataFrame, text: str = "text") -> DataFrame:
-    """found (of detect) with masked and mapping (array<struct<category, original, md5, label>>), each row a session of its own."""
-    keyed = F.transform("__events", lambda e: F.struct(e["cat"].alias("cat"), md5_8(e["raw"]).alias("md5"), e["raw"].alias("raw")))
-    out = found.withColumn("__keyed", keyed).withColumn("__distinct", F.array_distinct(F.transform("__keyed", lambda k: F.struct(k["cat"], k["md5"]))))
+    def labelled(keyed: Column) -> Column:
+        """keyed: in order of cat, md5, i."""
+        same = lambda x, j: (j > 0) & F.coalesce(F.try_element_at(keyed, F.greatest(j, F.lit(1)))["md5"] == x["md5"], F.lit(False)) & F.coalesce(F.try_element_at(keyed, F.greatest(j, F.lit(1)))["cat"] == x["cat"], F.lit(False))
+        marked = F.transform(keyed, lambda x, j: F.struct(x.alias("x"), (~same(x, j)).alias("first")))
+
+        def named(m: Column) -> Column:
+            # values in order of cat and first place, with r, their place by cat and md5
+            runs = F.transform(F.filter(m, lambda y: y["first"]), lambda y, r: F.struct(y["x"]["cat"].alias("cat"), y["x"]["i"].alias("i"), r.alias("r")))
+
+            def given(values: Column) -> Column:
+                cats = F.transform(values, lambda v: v["cat"])
+                start = F.transform(F.array_distinct(cats), lambda c: F.struct(c.alias("cat"), (F.array_position(cats, c) - 1).alias("at")))
+                names = lambda s: F.transform(values, lambda v, g: F.struct(v["r"].alias("r"), label(g - F.element_at(F.filter(s, lambda y: y["cat"] == v["cat"]), 1)["at"]).alias("name")))
+                return F.transform(F.array_sort(let(start, names)), lambda v: v["name"])
 
-    def named(k: Column, i: Column) -> Column:
-        rank = F.size(F.filter(F.slice("__distinct", 1, i), lambda d: d["cat"] == k["cat"]))
-        return F.struct(F.concat(k["cat"], F.lit("\0"), k["md5"]).alias("key"), label(rank).alias("value"))
+            number = scanned(m, F.lit(-1), lambda at, y: (at + F.when(y["first"], 1).otherwise(0), at + F.when(y["first"], 1).otherwise(0)), "int")
+            row = lambda y, name: F.struct(y["x"]["i"].alias("i"), y["x"]["cat"].alias("cat"), y["x"]["raw"].alias("raw"), y["x"]["md5"].alias("md5"), name.alias("label"))
+            return let(let(F.array_sort(runs), given), lambda names: F.array_sort(F.zip_with(m, number, lambda y, n: row(y, F.element_at(names, n + 1)))))
 
-    out = out.withColumn("__labels", F.map_from_entries(F.transform("__distinct", named)))
-    rows = F.transform(F.array_distinct("__keyed"), lambda k: F.struct(k["cat"].alias("category"), k["raw"].alias("original"), k["md5"].alias("md5"), F.element_at(F.col("__labels"), F.concat(k["cat"], F.lit("\0"), k["md5"])).alias("label")))
-    masked = F.when(F.col(text).isNotNull(), _rewritten(F.col("__labels")))
-    return out.withColumn("masked", masked).withColumn("mapping", rows).drop("__keyed", "__distinct", "__labels", "__pieces", "__events", _RAW)
+        return let(marked, named)
+
+    keyed = F.transform(events, lambda e, i: F.struct(e["cat"].alias("cat"), md5_8(e["raw"]).alias("md5"), i.alias("i"), e["raw"].alias("raw")))
+    return let(F.array_sort(F.filter(keyed, lambda k: k["cat"].isNotNull())), labelled)
+
+
+def mask_rows(found: DataFrame, text: str = "text") -> DataFrame:
+    """found (of detect) with masked and mapping (array<struct<category, original, md5, label>>), each row a session of its own."""
+    kind = "struct<i:int,cat:string,raw:string,md5:string,label:string>"
+    out = found.withColumn("__labels", F.when(F.size("__events") > 0, row_labels(F.col("__events"))).otherwise(empty(kind)))
+    # events without a label leave gaps, so that a piece's label is found by the number of such before it: as many as the place it has lost
+    named = F.transform("__labels", lambda x: F.struct(x["i"].alias("i"), x["label"].alias("label")))
+    nothing = F.transform(F.filter(F.transform("__events", lambda e, i: F.struct(i.alias("i"), e["cat"].alias("cat"))), lambda e: e["cat"].isNull()), lambda e: F.struct(e["i"].alias("i"), F.lit(None).cast("string").alias("label")))
+    out = out.withColumn("__by_event", F.transform(F.array_sort(F.concat(named, nothing)), lambda x: x["label"]))
+    shown = F.transform("__pieces", lambda p: _replacement(p, F.element_at("__by_event", p["ev"] + 1)))
+    # originals by their first place, each once
+    distinct = F.transform(F.array_sort(F.transform(F.col("__labels"), lambda x: F.struct(x["cat"].alias("cat"), x["raw"].alias("raw"), x["i"].alias("i"), x["md5"].alias("md5"), x["label"].alias("label")))), lambda x: x)
+    first = let(distinct, lambda d: F.filter(F.transform(d, lambda x, j: F.when((j > 0) & (F.try_element_at(d, F.greatest(j, F.lit(1)))["raw"] == x["raw"]) & (F.try_element_at(d, F.greatest(j, F.lit(1)))["cat"] == x["cat"]), F.lit(None)).otherwise(x)), lambda x: x.isNotNull()))
+    rows = F.transform(F.array_sort(F.transform(first, lambda x: F.struct(x["i"].alias("i"), x["cat"].alias("cat"), x["raw"].alias("raw"), x["md5"].alias("md5"), x["label"].alias("label")))), lambda x: F.struct(x["cat"].alias("category"), x["raw"].alias("original"), x["md5"].alias("md5"), x["label"].alias("label")))
+    masked = F.when(F.col(text).isNotNull(), spliced(F.col(_RAW), shown))
+    return out.withColumn("masked", masked).withColumn("mapping", rows).drop("__labels", "__by_event", "__pieces", "__events", _RAW)
 
 
 def ranked(df: DataFrame, groups: list[str], order: list[str], name: str) -> DataFrame:
@@ -119,26 +168,58 @@ def label_events(events: DataFrame, mapping: DataFrame | None = None) -> DataFra
     return rows.unionByName(old.join(rows, ["session", "category", "original"], "left_anti").select(rows.columns))
 
 
-def mask(df: DataFrame, key: str, text: str = "text", session: Column | None = None, order: list[str] | None = None, mapping: DataFrame | None = None, **detection) -> tuple[DataFrame, DataFrame]:
+def in_parts(df: DataFrame, text: str, chars: int, cut: str | None) -> DataFrame:
+    """df, rows of long texts cut into parts: __doc (null for texts in one part), __part (from 0), __own (the part's text), __before and __after (the ends of the parts beside it).
+
+    The other columns are null in all parts but the first. The parts of long texts are dealt out over all tasks.
+    """
+    whole = df.select("*", F.lit(None).cast("long").alias("__doc"), F.lit(0).alias("__part"), F.col(text).alias("__own"), F.lit("").alias("__before"), F.lit("").alias("__after"))
+    if cut is None:
+        return whole
+    some = df.where(F.length(text) > chars).withColumn("__doc", F.monotonically_increasing_id()).withColumn("__parts", parts(F.col(text), chars, cut))
+    side = lambda at, body: F.coalesce(body(F.try_element_at("__parts", at)), F.lit(""))
+    row = lambda x, k: F.struct(
+        x.alias("own"), side(F.when(k > 0, k), lambda t: F.right(t, F.lit(patterns.CONTEXT_WIDTH))).alias("before"), side(k + 2, lambda t: F.left(t, F.lit(patterns.CONTEXT_WIDTH))).alias("after")
+    )
+    rows = some.withColumn("__parts", F.transform("__parts", row)).select("*", F.posexplode("__parts").alias("__part", "__x"))
+    carried = ("__session", "__order")  # what every part needs
+    columns = [F.col(c) if c in carried else F.when(F.col("__part") == 0, F.col(c)).alias(c) for c in df.columns]
+    rows = rows.select(*columns, "__doc", "__part", F.col("__x.own").alias("__own"), F.col("__x.before").alias("__before"), F.col("__x.after").alias("__after"))
+    tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
+    return whole.where(F.length(text).isNull() | (F.length(text) <= chars)).unionByName(rows.repartition(tasks, "__doc", "__part"))
+
+
+def mask(df: DataFrame, key: str, text: str = "text", session: Column | None = None, order: list[str] | None = None, mapping: DataFrame | None = None, part_chars: int = PART_CHARS, **detection) -> tuple[DataFrame, DataFrame]:
     """(df with masked, mapping of session, category, original, md5, label) over shared sessions.
 
-    order: columns by which rows come in their session (default: the column key, then the text); session: whose labels a row shares (default: one for
+    order: columns by which rows come in their session (default: the column key, then the text's hash); session: whose labels a row shares (default: one for
     all; null: that of ""). mapping: what earlier runs have labelled. Keys may be null or repeated: each row is masked by itself.
+    Texts of more than part_chars characters are masked in parts, with the same result.
     """
-    # read three times: written once, with a number for each row
-    source = df.withColumn("__session", F.coalesce(session, F.lit("")) if session is not None else F.lit(""))
-    found = written(detect(source, text, **detection).drop(_RAW).withColumn("__row", F.monotonically_increasing_id()), "found")
+    by = [F.col(c) for c in order] if order else [F.col(key), F.md5(F.col(text).cast("binary"))]
+    source = df.withColumn("__session", F.coalesce(session, F.lit("")) if session is not None else F.lit("")).withColumn("__order", F.struct(*(c.alias(f"o{i}") for i, c in enumerate(by))))
+    cut = patterns.cuts(detection.get("rules", patterns.RULES), tuple(n for _, n in detection.get("custom") or ()))
+    # read more than once: written, with a number for each row
+    found = written(detect(in_parts(source, text, part_chars, cut), "__own", beside=("__before", "__after"), **detection).drop(_RAW, "__before", "__after").withColumn("__row", F.monotonically_increasing_id()), "found")
     some = found.where(F.size("__events") > 0)
-    where = F.struct(*[F.col(c) for c in order or [key, text]], F.col("__i").alias("__i"))
-    events = some.select("*", F.posexplode("__events").alias("__i", "__event")).select(F.col("__session").alias("session"), F.col("__event.cat").alias("category"), F.col("__event.raw").alias("original"), where.alias("ord"))
+    # the order of a text's events is by stage, then by place: in parts, by the part's number
+    where = F.struct(F.col("__order"), F.col("__event.k").alias("__k"), F.col("__part"), F.col("__i").alias("__i"))
+    events = some.select("__session", "__order", "__part", F.posexplode("__events").alias("__i", "__event")).where("__event.cat is not null")
+    events = events.select(F.col("__session").alias("session"), F.col("__event.cat").alias("category"), F.col("__event.raw").alias("original"), where.alias("ord"))
     labels = label_events(events, mapping)
-    pairs = some.select("__row", F.col("__session").alias("session"), F.explode(F.array_distinct(F.transform("__events", lambda e: F.struct(e["cat"].alias("category"), md5_8(e["raw"]).alias("md5"))))).alias("x")).select("__row", "session", "x.*")
     short = labels.groupBy("session", "category", "md5").agg(F.max("label").alias("label"))
-    maps = pairs.join(short, ["session", "category", "md5"]).groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("category", F.lit("\0"), "md5"), F.col("label")))).alias("__labels"))
-    joined = found.join(maps, "__row", "left").drop("__row").withColumn(_RAW, F.coalesce(F.col(text), F.lit("")))
-    nothing = F.expr("map_from_entries(cast(array() as array<struct<key:string,value:string>>))")
-    masked = F.when(F.col(text).isNotNull(), _rewritten(F.coalesce("__labels", nothing)))
-    return joined.withColumn("masked", masked).drop("__labels", "__pieces", "__events", "__session", _RAW), labels
+    uses = found.where(F.size("__pieces") > 0).select("__row", F.col("__session").alias("session"), F.explode("__pieces").alias("p")).select("__row", "session", F.col("p.cat").alias("category"), F.when(F.col("p.lit").isNull(), md5_8(F.col("p.raw"))).alias("md5"), F.struct("p.s", "p.e", "p.cat", "p.pre", "p.suf", "p.lit").alias("p"))
+    shown = uses.join(short, ["session", "category", "md5"], "left").groupBy("__row").agg(F.collect_list(_replacement(F.col("p"), F.col("label"))).alias("__shown"))
+    joined = found.join(shown, "__row", "left")
+    masked = F.when(F.col("__own").isNotNull(), spliced(F.col("__own"), F.coalesce("__shown", empty("struct<s:int,e:int,rep:string>"))))
+    joined = joined.withColumn("masked", masked).select(*df.columns, "masked", "__doc", "__part")
+    if cut is None:
+        return joined.select(*df.columns, "masked"), labels
+    # texts in parts: the parts' masked texts, joined, beside the first part's columns
+    columns = F.struct(*(F.col(c) for c in df.columns))
+    again = joined.where("__doc is not null").groupBy("__doc").agg(F.min_by(columns, "__part").alias("__row"), F.array_sort(F.collect_list(F.struct("__part", "masked"))).alias("__masked"))
+    again = again.select("__row.*", F.array_join(F.transform("__masked", lambda x: x["masked"]), "").alias("masked"))
+    return joined.where("__doc is null").select(*df.columns, "masked").unionByName(again), labels
 
 
 _ADDRESS = rf"(〒|(?:{patterns._any(patterns.PREFECTURES)}))?(【住所[A-Z]+】)({patterns._any(patterns.OFFICES)})?"

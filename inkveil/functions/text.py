@@ -103,9 +103,8 @@ def parts(text: Column, chars: int, cut: str) -> Column:
     def place(k: Column) -> Column:
         """The first place of a stretch, or null. A place needs the characters beside it, so the stretch goes on for two more."""
         window = F.substring(text, k * chars, F.lit(chars + 2))
-        # of what a zero-width split leaves, the first piece ends at the place
-        first = F.length(F.element_at(F.split(window, cut, 2), 1))
-        return F.when(first < F.length(window), k * chars - 1 + first)
+        first = F.length(F.regexp_extract(window, f"(?s)^.*?(?:{cut})", 0))
+        return let(first, lambda n: F.when(n > 0, k * chars - 1 + n))
 
     places = F.array_distinct(F.array_compact(F.transform(F.sequence(F.lit(1), F.floor(F.length(text) / chars).cast("int")), place)))
     bounds = F.concat(F.array(F.lit(0)), places, F.array(F.length(text)))

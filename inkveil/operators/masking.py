@@ -176,12 +176,15 @@ def in_parts(df: DataFrame, text: str, chars: int, cut: str | None) -> DataFrame
     whole = df.select("*", F.lit(None).cast("long").alias("__doc"), F.lit(0).alias("__part"), F.col(text).alias("__own"), F.lit("").alias("__before"), F.lit("").alias("__after"))
     if cut is None:
         return whole
-    some = df.where(F.length(text) > chars).withColumn("__doc", F.monotonically_increasing_id()).withColumn("__parts", parts(F.col(text), chars, cut))
-    side = lambda at, body: F.coalesce(body(F.try_element_at("__parts", at)), F.lit(""))
-    row = lambda x, k: F.struct(
-        x.alias("own"), side(F.when(k > 0, k), lambda t: F.right(t, F.lit(patterns.CONTEXT_WIDTH))).alias("before"), side(k + 2, lambda t: F.left(t, F.lit(patterns.CONTEXT_WIDTH))).alias("after")
-    )
-    rows = some.withColumn("__parts", F.transform("__parts", row)).select("*", F.posexplode("__parts").alias("__part", "__x"))
+    some = df.where(F.length(text) > chars).withColumn("__doc", F.monotonically_increasing_id())
+
+    def rows_of(p: Column) -> Column:
+        side = lambda at, body: F.coalesce(body(F.try_element_at(p, at)), F.lit(""))
+        before = lambda k: side(F.when(k > 0, k), lambda t: F.right(t, F.lit(patterns.CONTEXT_WIDTH)))
+        after = lambda k: side(k + 2, lambda t: F.left(t, F.lit(patterns.CONTEXT_WIDTH)))
+        return F.transform(p, lambda x, k: F.struct(x.alias("own"), before(k).alias("before"), after(k).alias("after")))
+
+    rows = some.select("*", F.posexplode(let(parts(F.col(text), chars, cut), rows_of)).alias("__part", "__x"))
     carried = ("__session", "__order")  # what every part needs
     columns = [F.col(c) if c in carried else F.when(F.col("__part") == 0, F.col(c)).alias(c) for c in df.columns]
     rows = rows.select(*columns, "__doc", "__part", F.col("__x.own").alias("__own"), F.col("__x.before").alias("__before"), F.col("__x.after").alias("__after"))

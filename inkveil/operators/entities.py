@@ -14,7 +14,7 @@ from inkveil.functions.text import accepted, empty, spans
 ENTITY = "struct<s:int,e:int,raw:string,cat:string>"
 PERSON, ORGANISATION = "人物", "組織"
 MODES = {"heuristic": "辞書＋ヒューリスティック", "model": "GiNZA (NLP)"}
-_ALIASES = {"人物": PERSON, "人名": PERSON, "PER": PERSON, "組織": ORGANISATION, "ORG": ORGANISATION}
+ALIASES = {"人物": PERSON, "人名": PERSON, "PER": PERSON, "組織": ORGANISATION, "ORG": ORGANISATION}
 
 
 def mode(asked: str = "heuristic") -> str:
@@ -28,7 +28,7 @@ def mode(asked: str = "heuristic") -> str:
 def custom_names(lines: list[str]) -> list[tuple[str, str]]:
     """(category, name) of lines `category,name`; comments, other lines and unknown categories are passed over."""
     rows = [[p.strip() for p in line.strip().split(",", 1)] for line in lines if line.strip() and not line.strip().startswith("#")]
-    return sorted({(_ALIASES[r[0]], r[1]) for r in rows if len(r) == 2 and r[0] in _ALIASES and r[1]})
+    return sorted({(ALIASES[r[0]], r[1]) for r in rows if len(r) == 2 and r[0] in ALIASES and r[1]})
 
 
 def _as(category: str, found: Column) -> Column:
@@ -41,9 +41,9 @@ def _literal(text: Column, words: list[str], suffix: str = "") -> Column:
     return F.flatten(F.transform(held, lambda w: spans(text, F.concat(F.lit("(?U)\\Q"), w, F.lit("\\E" + suffix)))))
 
 
-def entities(text: Column, custom: list[tuple[str, str]] | None = None) -> Column:
-    """array<struct<s, e, raw, cat>> by place. Custom persons come first, then custom organisations, names before titles, organisations by form, surnames; what overlaps an earlier one is passed over."""
-    found = []
+def entities(text: Column, custom: list[tuple[str, str]] | None = None, listed: Column | None = None) -> Column:
+    """array<struct<s, e, raw, cat>> by place. Names of a table (listed: where they are, see gazetteer) come first, then custom persons, custom organisations, names before titles, organisations by form, surnames; what overlaps an earlier one is passed over."""
+    found = [] if listed is None else [listed]
     for category in (PERSON, ORGANISATION):
         names = sorted({n for c, n in custom or [] if c == category}, key=lambda n: (-len(n), n))
         if names:

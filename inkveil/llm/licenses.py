@@ -149,17 +149,29 @@ def _count_words(joined: Column) -> Column:
     return F.regexp_count(joined, F.lit("[^ ]+"))
 
 
-def _detections(joined: Column, rule: Column) -> Column:
+def _searches(rules: tuple[Rule, ...]) -> Column:
+    """array<struct<rule, np, m, g>>: of the columns held (keywords) and joined, the rules that match, with their matches and the gaps between these.
+
+    Each pattern is a constant of its own, so that it is compiled once and not for each document; in SQL's text, as there are hundreds.
+    """
+    by_keyword: dict[str, list[str]] = {}
+    for i, r in enumerate(rules):
+        both = f"'m', regexp_extract_all(j, '{r.regex}', 0), 'g', split(j, '{r.regex}', -1)"
+        by_keyword.setdefault(r.keyword, []).append(f"CASE WHEN j RLIKE '{r.regex}' THEN named_struct('rule', {i}, 'np', {-r.priority}, {both}) END")
+    groups = ", ".join(f"CASE WHEN array_contains(held, '{k}') THEN array({', '.join(some)}) END" for k, some in by_keyword.items())
+    return F.expr(f"element_at(transform(array(joined), j -> filter(flatten(filter(array({groups}), x -> x IS NOT NULL)), x -> x IS NOT NULL)), 1)")
+
+
+def _detections(search: Column) -> Column:
     """Of one rule: structs of s and e, in words, ordered as suppression needs them."""
-    found = F.transform(F.regexp_extract_all(joined, rule["regex"], F.lit(0)), _count_words)
-    gaps = F.transform(F.split(joined, rule["regex"], -1), _count_words)
+    found, gaps = F.transform(search["m"], _count_words), F.transform(search["g"], _count_words)
     steps = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda gap, n: F.struct(gap.alias("gap"), n.alias("n")))
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s:int,ne:int,np:int,rule:int>>)").alias("all"))
 
     def one(acc: Column, step: Column) -> Column:
         s = acc["at"] + step["gap"]
         e = s + step["n"]
-        return F.struct(e.alias("at"), F.concat(acc["all"], F.array(F.struct(s.alias("s"), (-e).alias("ne"), (-rule["priority"]).alias("np"), rule["rule"].alias("rule")))).alias("all"))
+        return F.struct(e.alias("at"), F.concat(acc["all"], F.array(F.struct(s.alias("s"), (-e).alias("ne"), search["np"].alias("np"), search["rule"].alias("rule")))).alias("all"))
 
     return F.aggregate(steps, start, one, lambda acc: acc["all"])
 
@@ -175,9 +187,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     rows = rows.select("doc_id", F.regexp_count("lower", F.lit(WORD)).cast("long").alias("n_words"), F.when(F.col("lower").rlike(gate), F.col("lower")).alias("lower"))
     rows = rows.withColumn("joined", F.concat(F.lit(" "), F.array_join(F.regexp_extract_all("lower", F.lit(WORD), F.lit(0)), "  "), F.lit(" "))).drop("lower")
     rows = rows.withColumn("held", F.array_distinct(F.regexp_extract_all("joined", F.lit(f" ({'|'.join(keywords)}) "), F.lit(1))))
-    tried = _let(F.col("held"), lambda held: F.filter(table, lambda r: F.array_contains(held, r["keyword"])))
-    rows = rows.withColumn("found", _let(F.col("joined"), lambda joined: F.array_sort(F.flatten(F.transform(tried, lambda r: _detections(joined, r))))))
-    rows = rows.withColumn("found", F.when(F.col("joined").isNotNull(), F.col("found")))
+    rows = rows.withColumn("searches", F.when(F.size("held") > 0, _searches(rules)))
+    rows = rows.withColumn("found", F.array_sort(F.flatten(F.transform("searches", _detections)))).drop("held", "searches")
     state = F.struct(*(F.lit(0).alias(f"m{k}") for k in levels), F.expr("cast(array() as array<struct<s:int,ne:int,np:int,rule:int>>)").alias("kept"))
 
     def sift(acc: Column, x: Column) -> Column:

@@ -8,6 +8,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from . import factors
+
 # They must be these for masked texts to be the expected ones.
 PREFECTURES = (
     "北海道", "青森県", "岩手県", "宮城県", "秋田県", "山形県", "福島県", "茨城県", "栃木県", "群馬県", "埼玉県", "千葉県", "東京都", "神奈川県",
@@ -93,12 +95,12 @@ ORDERED_SURNAMES = tuple(_longest(SURNAMES))
 
 @dataclass(frozen=True)
 class Rule:
-    """pattern, with groups pre and suf for what stays before and after the token; gate: what a text must hold for a match."""
+    """pattern; pre and suf: patterns of what stays before and after the token; gate: what a text must hold for a match (none: derived from the pattern, see factors)."""
 
     name: str
     category: str
     pattern: str
-    gate: str
+    gate: str | None = None
     pre: str | None = None
     suf: str | None = None
 
@@ -161,6 +163,11 @@ def gate(pattern: str) -> str:
     return java(pattern) if "\\" in pattern else pattern
 
 
+def gate_of(rule: Rule) -> str | tuple[str, ...] | None:
+    """A rule's own gate, or the strings of which a text with a match has one; None if there are none."""
+    return factors.factors(rule.pattern) if rule.gate is None else gate(rule.gate)
+
+
 #: Between these characters no match of DATE_FORMS, of the names' patterns or of RULES can go on, and none looks beyond: after a full stop or comma that no form, place or word has a part of,
 #: and before a blank between two small letters (what goes on after a blank is a digit, a capital, a sign or no ASCII character at all).
 _AFTER_STOP, _BETWEEN_WORDS = "(?<=[。、])", r"(?<=[a-z;!?])(?=\s[a-z])"

@@ -22,10 +22,12 @@ def empty(kind: str) -> Column:
     return F.expr(f"cast(array() as array<{kind}>)")
 
 
-def holds(text: Column, gate: str) -> Column:
-    """Whether a text has a match of gate; words and sets of characters are looked for as bytes, which is several times as fast as a pattern."""
+def holds(text: Column, gate: str | tuple[str, ...]) -> Column:
+    """Whether a text has a match of gate, or one of some strings; words and sets of characters are looked for as bytes, which is several times as fast as a pattern."""
     plain = r"[^\\\[\](){}|?*+.^$]"
-    if re.fullmatch(rf"{plain}+(\|{plain}+)*", gate):
+    if isinstance(gate, tuple):
+        words = gate
+    elif re.fullmatch(rf"{plain}+(\|{plain}+)*", gate):
         words = gate.split("|")
     elif re.fullmatch(r"\[[^\]\\^\-]+\]", gate):
         words = list(gate[1:-1])
@@ -64,7 +66,7 @@ def scanned(values: Column, start: Column, step: Callable[[Column, Column], tupl
     return F.aggregate(F.filter(_parts(values), lambda part: F.size(part) > 0), F.struct(start.alias("state"), empty(f"array<{kind}>").alias("all")), outer, lambda acc: F.flatten(acc["all"]))
 
 
-def found(text: Column, pattern: str | Column, gate: str | None = None) -> Column:
+def found(text: Column, pattern: str | Column, gate: str | tuple[str, ...] | None = None) -> Column:
     """struct<m, g>: the non-overlapping matches of a pattern (none empty) in order and the gaps between them, or null if there are none.
 
     A text in which the cheap pattern gate has no match isn't searched; gaps are searched only where there is a match.
@@ -87,12 +89,12 @@ def placed(pair: Column) -> Column:
     return F.when(pair.isNull(), empty(SPAN)).otherwise(let(pairs, lambda p: scanned(p, F.lit(0), step, SPAN)))
 
 
-def spans(text: Column, pattern: str | Column, gate: str | None = None) -> Column:
+def spans(text: Column, pattern: str | Column, gate: str | tuple[str, ...] | None = None) -> Column:
     """array<struct<s, e, raw>>: the non-overlapping matches of a pattern (none empty) in order; offsets in code points, e excluded."""
     return let(found(text, pattern, gate), placed)
 
 
-def spans_of(text: Column, searches: list[tuple[str, str | None]]) -> Column:
+def spans_of(text: Column, searches: list[tuple[str, str | tuple[str, ...] | None]]) -> Column:
     """array of such arrays, for each pattern and gate; one expression places the matches of all."""
     return F.transform(F.array(*(found(text, pattern, gate) for pattern, gate in searches)), placed)
 

@@ -56,7 +56,7 @@ def rule_pieces(text: Column, rules: tuple[patterns.Rule, ...]) -> Column:
         age = F.when(category == "年齢", F.concat((F.floor(digits.try_cast("int") / 10) * 10).cast("string"), F.lit("代")))
         return F.struct(k.alias("k"), _piece(x["s"], x["e"], category, x["raw"], kept(x, k, "pre"), kept(x, k, "suf"), age).alias("p"))
 
-    every = spans_of(text, [(patterns.java(r.pattern), patterns.gate(r.gate)) for r in rules])
+    every = spans_of(text, [(patterns.java(r.pattern), patterns.gate_of(r)) for r in rules])
     return F.flatten(F.transform(every, lambda some, k: F.transform(some, lambda x: piece(x, k))))
 
 

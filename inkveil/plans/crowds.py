@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.functions import text
+from inkveil.functions import patterns, text
 from inkveil.functions.tables import spread
 from inkveil.operators import entities, gazetteer, masking
 
-from .catalogue import MAIL, TODAY, _masked
+from .catalogue import _P, MAIL, TODAY, _masked
 
 #: Two patterns whose matches stand close and cut into each other.
 _FIRST, _THEN = "[aeiou][a-z]{1,3} ", "[a-z]+ [a-z]+"
@@ -61,7 +61,16 @@ def mask_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("o_orderkey", "masked")
 
 
-QUERIES = {f.__name__: f for f in (crowded_spans, mask_mail_parts, gazetteer_names, gazetteer_places, mask_gazetteer)}
+#: A rule as users add them: its gate is derived from the pattern.
+USER_RULE = patterns.Rule("said", "数値", "[A-Z][a-z]+ (?:the|of|and) [a-z]+")
+
+
+def mask_user_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents by a user's rule, each a session of its own."""
+    return masking.mask_rows(masking.detect(_documents(spark, sf_dir), rules=(USER_RULE,), only_rules=True)).select("doc_id", "masked")
+
+
+QUERIES = {f.__name__: f for f in (crowded_spans, mask_mail_parts, mask_user_rule, gazetteer_names, gazetteer_places, mask_gazetteer)}
 
 _PLACED = """{k} AS (SELECT doc_id, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{p}') AS ms, string_split_regex(coalesce(text, ''), '{p}') AS gs FROM documents)),
 {k}a AS (SELECT doc_id, i, length(gs[i]) AS g, length(ms[i]) AS m FROM {k}),
@@ -76,6 +85,7 @@ near AS (SELECT b.doc_id, b.s, b.e, x.e AS last FROM ends b ASOF LEFT JOIN (SELE
 k AS (SELECT doc_id, e - m AS s, e FROM ps UNION ALL SELECT doc_id, s, e FROM near WHERE last IS NULL OR last <= s)
 SELECT d.doc_id, count(k.s)::BIGINT AS n, coalesce(sum(k.s * (k.e - k.s)), 0)::BIGINT AS places FROM documents d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id""",
     "mask_mail_parts": _masked("", ""),
+    "mask_user_rule": _masked("PARTITION BY doc_id", "").replace(_P, USER_RULE.pattern).replace("メール", USER_RULE.category),
     "gazetteer_names": f"""SELECT o_orderkey, concat_ws('|', '人物:' || CASE WHEN c_name IS NULL THEN 'Customer#' ELSE 'Customer#' || lpad(o_custkey::VARCHAR, 9, '0') END, '組織:' || s_name, '人物:Customer#') AS names
 FROM orders LEFT JOIN customer ON c_name = 'Customer#' || lpad(o_custkey::VARCHAR, 9, '0') LEFT JOIN supplier ON s_name = {_SUPPLIER}""",
     "gazetteer_places": """WITH n AS (SELECT DISTINCT regexp_extract(text, '^[^ ]+ [^ ]+ [^ ]+') AS name FROM benchmark)

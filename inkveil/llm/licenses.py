@@ -12,7 +12,6 @@ of the input are not read.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 
@@ -140,9 +139,16 @@ def _literal(rules: tuple[Rule, ...]) -> Column:
     return F.array(*(F.struct(F.lit(i).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.regex).alias("regex"), F.lit(r.keyword).alias("keyword"), F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence")) for i, r in enumerate(rules)))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of value, which is computed once, however often a lambda function in body uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+#: No word goes on here: what WORD doesn't hold, or an end.
+_BEFORE, _AFTER = r"(?<![0-9a-z\x{80}-\x{10FFFF}])", r"(?![0-9a-z\x{80}-\x{10FFFF}])"
+
+
+def _one_of(words: list[str]) -> str:
+    """A pattern of the words that tries only those of a first letter."""
+    by_letter: dict[str, list[str]] = {}
+    for w in words:
+        by_letter.setdefault(w[0], []).append(w[1:])
+    return "(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_letter.items()) + ")"
 
 
 def _count_words(joined: Column) -> Column:
@@ -182,11 +188,11 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     keywords = _keywords(rules)
     table = _literal(rules)
     text = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
-    gate = "(?:" + "|".join(k if len(k) > 3 else f"{k}(?![a-z0-9])" for k in keywords) + ")"
+    gate = f"{_BEFORE}{_one_of(keywords)}{_AFTER}"
     rows = docs.select("doc_id", text.alias("lower"))
     rows = rows.select("doc_id", F.regexp_count("lower", F.lit(WORD)).cast("long").alias("n_words"), F.when(F.col("lower").rlike(gate), F.col("lower")).alias("lower"))
     rows = rows.withColumn("joined", F.concat(F.lit(" "), F.array_join(F.regexp_extract_all("lower", F.lit(WORD), F.lit(0)), "  "), F.lit(" "))).drop("lower")
-    rows = rows.withColumn("held", F.array_distinct(F.regexp_extract_all("joined", F.lit(f" ({'|'.join(keywords)}) "), F.lit(1))))
+    rows = rows.withColumn("held", F.array_distinct(F.regexp_extract_all("joined", F.lit(f" ({_one_of(keywords)}) "), F.lit(1))))
     rows = rows.withColumn("searches", F.when(F.size("held") > 0, _searches(rules)))
     rows = rows.withColumn("found", F.array_sort(F.flatten(F.transform("searches", _detections)))).drop("held", "searches")
     state = F.struct(*(F.lit(0).alias(f"m{k}") for k in levels), F.expr("cast(array() as array<struct<s:int,ne:int,np:int,rule:int>>)").alias("kept"))

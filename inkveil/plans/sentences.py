@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.functions import patterns, registered, text
-from inkveil.functions.tables import spread
+from inkveil.functions.tables import shared_folder, spread
 from inkveil.operators import dates, entities, masking
-from inkveil.sources import files, mappings
+from inkveil.sources import files, mappings, store
 
 from .catalogue import _LABEL, TODAY
 
@@ -129,6 +130,16 @@ def mapping_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("category", "original", "md5", "label")
 
 
+def mapping_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same two runs, which hand the mapping on through a store of versions."""
+    rows = _rows(spark, sf_dir, "customer", "c_custkey", _CALL)
+    kept = store.MappingStore(spark, f"{shared_folder(spark)}/mapping-{uuid.uuid4().hex}")
+    for rest in (0, 1):
+        since = kept.version()
+        kept.add(masking.mask(rows.where(F.col("c_custkey") % 2 == rest), "c_custkey", mapping=kept.read(since), today=TODAY)[1], since)
+    return kept.read().select("category", "original", "md5", "label")
+
+
 def mapping_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mapping of a session as the lines of its file."""
     return mappings.lines(masking.mask(_rows(spark, sf_dir, "customer", "c_custkey", _CALL), "c_custkey", today=TODAY)[1]).select("line")
@@ -172,7 +183,7 @@ QUERIES = (
     {f"date_{form}": partial(_dates, sentence=sentence) for form, sentence, _ in _DATES}
     | {f"names_{kind}": partial(_names, sentence=sentence, custom=custom) for kind, sentence, _, custom in _NAMES}
     | {f"alternatives_{rule}": partial(_alternatives, rule=rule, texts=texts) for rule, texts, _ in _ALTERNATIVES}
-    | {"made_session": made_session, "made_sessions": made_sessions, "made_rows": made_rows, "mapping_upsert": mapping_upsert, "mapping_lines": mapping_lines}
+    | {"made_session": made_session, "made_sessions": made_sessions, "made_rows": made_rows, "mapping_upsert": mapping_upsert, "mapping_store": mapping_store, "mapping_lines": mapping_lines}
     | {"restore_addresses": partial(_restored, plain=False), "restore_plain": partial(_restored, plain=True)}
     | {"html_units": partial(_units, ext=".html", content="html"), "svg_units": partial(_units, ext=".svg", content="concat('<svg xmlns=\"http://www.w3.org/2000/svg\"><title>k', page_id, '</title><g><text>', length(html), '<tspan>a</tspan>b</text></g></svg>')")}
     | {"txt_units": partial(_units, ext=".txt", content="html"), "page_previews": page_previews, "data_urls": data_urls, "sql_functions": sql_functions}
@@ -205,6 +216,7 @@ SQL = (
         "made_sessions": _session("c_nationkey"),
         "made_rows": "SELECT c_custkey, '【人物A】部長、40代、【電話A】、【電話B】、【組織A】、【金額A】万円' AS masked FROM customer",
         "mapping_upsert": _mapping("(1 - c_custkey % 2 = 0)::INT * 1000000000000 + c_custkey"),
+        "mapping_store": _mapping("(1 - c_custkey % 2 = 0)::INT * 1000000000000 + c_custkey"),
         "mapping_lines": f"SELECT category || chr(9) || original || chr(9) || md5 || chr(9) || label AS line FROM ({_mapping('c_custkey')})",
         "restore_addresses": f"SELECT c_custkey, {_cases('c_custkey', _PLACES, 'VARCHAR')} AS restored FROM customer",
         # the original has what stands beside the token already

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
 import re
 
 from pyspark.sql import Column
@@ -13,16 +12,13 @@ from inkveil.functions.text import accepted, empty, spans
 
 ENTITY = "struct<s:int,e:int,raw:string,cat:string>"
 PERSON, ORGANISATION = "人物", "組織"
-MODES = {"heuristic": "辞書＋ヒューリスティック", "model": "GiNZA (NLP)"}
+MODES = {"heuristic": "辞書＋ヒューリスティック", "model": "系列モデル"}
 ALIASES = {"人物": PERSON, "人名": PERSON, "PER": PERSON, "組織": ORGANISATION, "ORG": ORGANISATION}
 
 
-def mode(asked: str = "heuristic") -> str:
-    """How names are found, "heuristic" or "model", as asked: the model only where its library and its data are installed."""
-    if asked not in MODES:
-        raise ValueError(f"{asked} is none of {', '.join(MODES)}")
-    there = all(importlib.util.find_spec(m) for m in ("spacy", "ja_ginza"))
-    return asked if asked == "heuristic" or there else "heuristic"
+def mode(model=None) -> str:
+    """How names are found, as shown to users: by the model that detect is given (see tagger), or else by dictionaries and forms."""
+    return MODES["heuristic" if model is None else "model"]
 
 
 def custom_names(lines: list[str]) -> list[tuple[str, str]]:

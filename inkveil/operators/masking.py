@@ -60,12 +60,15 @@ def rule_pieces(text: Column, rules: tuple[patterns.Rule, ...]) -> Column:
     return F.flatten(F.transform(every, lambda some, k: F.transform(some, lambda x: piece(x, k))))
 
 
-def detect(df: DataFrame, text: str = "text", today: datetime.date | None = None, custom: list[tuple[str, str]] | None = None, rules: tuple[patterns.Rule, ...] = patterns.RULES, only_rules: bool = False, beside: tuple[str, str] | None = None, gazetteer: DataFrame | None = None) -> DataFrame:
+def detect(df: DataFrame, text: str = "text", today: datetime.date | None = None, custom: list[tuple[str, str]] | None = None, rules: tuple[patterns.Rule, ...] = patterns.RULES, only_rules: bool = False, beside: tuple[str, str] | None = None, gazetteer: DataFrame | None = None, model=None) -> DataFrame:
     """df with __pieces (array<piece>: what is replaced) and __events (array<struct<k, cat, raw>>: what takes labels, in order; k is the stage: dates, names, then each rule).
 
     A null text has none. An event without a category takes no label (its piece has a fixed replacement). beside: columns of the text before and after this one, in which words may stand that make a short form a date.
     custom: some names (category, name), looked for one by one; gazetteer: a table of category and name, of any size.
+    model: a tagger.Tagger, which then finds names in place of all of these.
     """
+    if model is not None and (custom or gazetteer is not None):
+        raise ValueError("names are found by a model or by dictionaries, not by both")
     df = df if gazetteer is None or only_rules else names_of_table.listed(df, gazetteer, text)
     source = df.withColumn(_RAW, F.coalesce(F.col(text), F.lit("")))
     col = F.col(_RAW)
@@ -74,7 +77,7 @@ def detect(df: DataFrame, text: str = "text", today: datetime.date | None = None
     else:
         around = tuple(F.coalesce(F.col(c), F.lit("")) for c in beside) if beside else None
         source = source.withColumn("__candidates", dates.date_candidates(col, around)).withColumn("__valid", dates.valid_dates(F.col("__candidates"), today or datetime.date.today()))
-        source = source.withColumn("__dates", dates.chosen_dates(F.col("__candidates"), F.col("__valid"))).withColumn("__names", entities.entities(col, custom, None if gazetteer is None else F.col("__listed")))
+        source = source.withColumn("__dates", dates.chosen_dates(F.col("__candidates"), F.col("__valid"))).withColumn("__names", model.entities(col) if model is not None else entities.entities(col, custom, None if gazetteer is None else F.col("__listed")))
     source = source.withColumn("__ruled", rule_pieces(col, rules))
     taken = F.transform("__dates", lambda x, i: _piece(x["s"], x["e"], F.lit("日付"), x["raw"], ev=i))
     named = F.transform("__names", lambda x, i: _piece(x["s"], x["e"], x["cat"], x["raw"], ev=F.size("__dates") + i))
@@ -204,7 +207,7 @@ def mask(df: DataFrame, key: str, text: str = "text", session: Column | None = N
     """
     by = [F.col(c) for c in order] if order else [F.col(key), F.md5(F.col(text).cast("binary"))]
     source = df.withColumn("__session", F.coalesce(session, F.lit("")) if session is not None else F.lit("")).withColumn("__order", F.struct(*(c.alias(f"o{i}") for i, c in enumerate(by))))
-    cut = patterns.cuts(detection.get("rules", patterns.RULES), tuple(n for _, n in detection.get("custom") or ()))
+    cut = None if detection.get("model") is not None else patterns.cuts(detection.get("rules", patterns.RULES), tuple(n for _, n in detection.get("custom") or ()))
     if cut and detection.get("gazetteer") is not None:  # what stands for its names: one with a stop, one with a blank
         odd = detection["gazetteer"].agg(F.max(F.col("name").rlike("[。、]")), F.max(F.col("name").rlike(r"(?U)[\s\x1c-\x1f]"))).first()
         cut = patterns.cuts(custom=("。" * bool(odd[0]), " " * bool(odd[1])))

@@ -43,6 +43,4 @@ def test_previews_and_data_urls(spark):
 
 
 def test_modes():
-    assert entities.mode() == "heuristic" and entities.mode("model") in entities.MODES
-    with pytest.raises(ValueError):
-        entities.mode("guess")
+    assert entities.mode() == "辞書＋ヒューリスティック" and entities.mode(object()) == "系列モデル"

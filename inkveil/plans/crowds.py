@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from inkveil.functions import patterns, text
 from inkveil.functions.tables import spread
-from inkveil.operators import entities, gazetteer, masking
+from inkveil.operators import entities, gazetteer, masking, tagger
 
-from .catalogue import _P, MAIL, TODAY, _masked
+from .catalogue import _P, MAIL, TODAY, _masked, _sentence
+from .catalogue import SQL as _CATALOGUE
 
 #: Two patterns whose matches stand close and cut into each other.
 _FIRST, _THEN = "[aeiou][a-z]{1,3} ", "[a-z]+ [a-z]+"
@@ -70,7 +71,14 @@ def mask_user_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masking.mask_rows(masking.detect(_documents(spark, sf_dir), rules=(USER_RULE,), only_rules=True)).select("doc_id", "masked")
 
 
-QUERIES = {f.__name__: f for f in (crowded_spans, mask_mail_parts, mask_user_rule, gazetteer_names, gazetteer_places, mask_gazetteer)}
+def model_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in sentences about orders by a model that was counted from what dictionaries and forms find in all of them."""
+    rows = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", _sentence().alias("text")))
+    found = tagger.learn(rows).entities(F.col("text"))
+    return rows.select("o_orderkey", F.array_join(F.transform(found, lambda x: F.concat(x["cat"], F.lit(":"), x["raw"])), "|").alias("names"))
+
+
+QUERIES = {f.__name__: f for f in (crowded_spans, mask_mail_parts, mask_user_rule, model_names, gazetteer_names, gazetteer_places, mask_gazetteer)}
 
 _PLACED = """{k} AS (SELECT doc_id, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{p}') AS ms, string_split_regex(coalesce(text, ''), '{p}') AS gs FROM documents)),
 {k}a AS (SELECT doc_id, i, length(gs[i]) AS g, length(ms[i]) AS m FROM {k}),
@@ -86,6 +94,7 @@ k AS (SELECT doc_id, e - m AS s, e FROM ps UNION ALL SELECT doc_id, s, e FROM ne
 SELECT d.doc_id, count(k.s)::BIGINT AS n, coalesce(sum(k.s * (k.e - k.s)), 0)::BIGINT AS places FROM documents d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id""",
     "mask_mail_parts": _masked("", ""),
     "mask_user_rule": _masked("PARTITION BY doc_id", "").replace(_P, USER_RULE.pattern).replace("メール", USER_RULE.category),
+    "model_names": _CATALOGUE["made_names"],
     "gazetteer_names": f"""SELECT o_orderkey, concat_ws('|', '人物:' || CASE WHEN c_name IS NULL THEN 'Customer#' ELSE 'Customer#' || lpad(o_custkey::VARCHAR, 9, '0') END, '組織:' || s_name, '人物:Customer#') AS names
 FROM orders LEFT JOIN customer ON c_name = 'Customer#' || lpad(o_custkey::VARCHAR, 9, '0') LEFT JOIN supplier ON s_name = {_SUPPLIER}""",
     "gazetteer_places": """WITH n AS (SELECT DISTINCT regexp_extract(text, '^[^ ]+ [^ ]+ [^ ]+') AS name FROM benchmark)

@@ -13,6 +13,7 @@ from inkveil.functions import patterns
 from inkveil.functions.text import SPAN, accepted, let, spans_of
 
 _DIGITS = str.maketrans("０１２３４５６７８９／－．　〇一二三四五六七八九", "0123456789/-. 0123456789")
+_EIGHT_DIGITS = re.compile(next(pattern for name, pattern, *_ in patterns.DATE_FORMS if name == "digits"))
 
 
 def normalised(raw: str) -> str:
@@ -28,8 +29,8 @@ def is_date(raw: str, today: datetime.date) -> bool:
     from dateutil import parser
 
     text = normalised(raw)
-    if re.fullmatch(r"20[2-9]\d[01]\d[0-3]\d", text):
-        return 1 <= int(text[4:6]) <= 12 and 1 <= int(text[6:8]) <= 31
+    if _EIGHT_DIGITS.fullmatch(text):  # months and days by their range alone
+        return int(text[4:6]) in range(1, 13) and int(text[6:]) in range(1, 32)
     # dateutil takes years of two digits near its own year; that is today's
     info = parser.parserinfo(dayfirst=False, yearfirst=True)
     info._year, info._century = today.year, today.year // 100 * 100

@@ -84,18 +84,24 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
+def bucketed(rows: DataFrame, buckets: int, name: str) -> DataFrame:
+    """Rows with large compressed columns, written in the shared folder in buckets by block."""
+    spark, own = rows.sparkSession, uuid.uuid4().hex
+    rows.write.option("path", f"{shared_folder(spark)}/{name}-{own}").option("compression", "uncompressed").bucketBy(buckets, "block").format("parquet").saveAsTable(f"{name}_{own}")
+    return spark.table(f"{name}_{own}")
+
+
 def in_blocks(docs: DataFrame, *more: str, most: int = BLOCK_BYTES) -> tuple[DataFrame, int, int]:
     """The table of blocks, with the named columns beside, the bytes of all texts, and the number of the table's buckets."""
     spark, size = docs.sparkSession, text_bytes(docs)
     own = [c for c in more if c != "doc_id"]
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *own)
     texts(docs.select("doc_id", "text"))  # for its batches
-    path, name = f"{shared_folder(spark)}/blocks-{uuid.uuid4().hex}", f"blocks_{uuid.uuid4().hex}"
     rows = source.mapInArrow(lambda batches: _rows(batches, list(more), most), SCHEMA)
     buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-size // BUCKET_BYTES)))
-    rows.write.option("path", path).option("compression", "uncompressed").bucketBy(buckets, "block").format("parquet").saveAsTable(name)
+    table = bucketed(rows, buckets, "blocks")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # rows are large from here on
-    return spark.table(name), size, buckets
+    return table, size, buckets
 
 
 def rest_of(row: dict) -> pa.RecordBatch:

@@ -1,13 +1,14 @@
 """Quality rules: word and line statistics, and perplexity bands under a modified Kneser-Ney model counted by Spark.
 
 The model is one of word bigrams, counted over all documents: words `[^\\x20\\x09-\\x0D]+` in lower case, each digit as one sign,
-a mark before a text's first word. A word carries its document's language (the lang column; null is one of its own) and stands for
-one of 2 ** CLASS_BITS classes by its hash, so that a bigram is a number of twice as many bits, without further collisions,
-and what the lower order needs are a few arrays of fixed size. The bigrams themselves grow with the input: each block of
-documents sends its distinct ones with their counts, sorted, to ranges of a hash; a range adds them up in a sorted array,
-answers each block with the counts over all documents, and sums what the model needs by class: of how many different words a
-word comes after, how many bigrams begin with it once, twice or more often, and in all. From these come the discounts and the
-interpolation with continuation counts down to the uniform distribution. Blocks then score their documents.
+a mark before a text's first word. A word carries its document's language (the lang column; null is one of its own). Words and
+bigrams are hashes of 64 bits, and both grow with the input: neither has a table of fixed size. Each block of documents sends
+its distinct bigrams with their counts, sorted, to ranges of the hash; a range adds them up in a sorted array and answers each
+block with the counts over all documents. Of the blocks that hold a bigram, the one of the least number has it as its own. What
+the lower order needs by word (how many bigrams begin with it once, twice or more often, and in all; of how many different words
+it comes after) goes the same way: blocks sum it up over their own bigrams, ranges of words add up, and answer the blocks. From
+these come the discounts and the interpolation with continuation counts down to the uniform distribution. Blocks then score
+their documents. The driver sees sums alone.
 
 Nulls: a null text is empty (n_words 0, base_failed, no perplexity); a null lang is a language of its own. A null or
 repeated doc_id is returned as it is, a row for each input row. Other columns of the input are not read.
@@ -25,10 +26,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .blocks import in_blocks, pack, pack_ascending, rest_of, unpack, unpack_ascending
+from .blocks import bucketed, in_blocks, pack, pack_ascending, rest_of, unpack, unpack_ascending
 from .common import SPACE, byte_hashes, chunks, codes_of, flat, mixed, repeats, with_room, word_bounds, written
 
-CLASS_BITS = 22
 #: Texts are taken together for this many bytes: the more, the fewer distinct bigrams.
 BLOCK_BYTES = 6 << 20
 #: Bytes of text for each range of the bigrams' hashes.
@@ -88,10 +88,6 @@ def _text_stats(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
 
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_KEYS = np.uint64((1 << 2 * CLASS_BITS) - 1)
-_CLASSES = np.uint64((1 << CLASS_BITS) - 1)
-_CLASS_SHIFT = np.uint64(64 - CLASS_BITS)
-_BACK = np.uint64(pow(int(_ODD), -1, 1 << 64))
 
 
 def _tongue(name: str | None) -> int:
@@ -99,25 +95,23 @@ def _tongue(name: str | None) -> int:
     return int.from_bytes(hashlib.sha256(b"-" if name is None else b"+" + name.encode()).digest()[:8], "little")
 
 
-def bigrams(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word of each text with the word before it (at first: a mark), from which both classes can be told; the number of words before each text (len + 1)."""
+def words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words before (at first: a mark) and of the words of each text, in its language; the number of words before each text (len + 1)."""
     body, offsets = flat(batch.column("text"))
     starts, ends, before = word_bounds(body, offsets)
     column = batch.column("lang")
     codes, names = codes_of(column.fill_null(""))
     lang = np.array([_tongue(x) for x in names.to_pylist()], np.uint64)[codes]
     lang[column.is_null().to_numpy(zero_copy_only=False)] = _tongue(None)
-    own = mixed(byte_hashes(_LOWER[body], starts, ends) + np.repeat(lang, np.diff(before))) >> _CLASS_SHIFT
+    own = mixed(byte_hashes(_LOWER[body], starts, ends) + np.repeat(lang, np.diff(before)))
     last = np.append(np.uint64(0), own[:-1])[: len(own)]
     full = np.diff(before) > 0
-    last[before[:-1][full]] = mixed(lang[full]) >> _CLASS_SHIFT
-    return ((last << np.uint64(CLASS_BITS) | own) * _ODD) & _KEYS, before
+    last[before[:-1][full]] = mixed(lang[full])
+    return last, own, before
 
 
-def classes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The classes of the first and of the second word of bigrams by their hashes."""
-    plain = (keys * _BACK) & _KEYS
-    return (plain >> np.uint64(CLASS_BITS)).astype(np.int64), (plain & _CLASSES).astype(np.int64)
+def bigrams(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mixed(first * _ODD + second)
 
 
 def _texts_of(row: dict) -> pa.RecordBatch:
@@ -127,94 +121,115 @@ def _texts_of(row: dict) -> pa.RecordBatch:
     return rest_of(row).append_column("text", column)
 
 
-def _starts(ranges: int) -> np.ndarray:
-    return np.array([(k << 2 * CLASS_BITS) // ranges for k in range(ranges)], np.uint64)
+def _dealt(block: int, keys: np.ndarray, values: list[np.ndarray], ranges: int) -> pa.RecordBatch:
+    """A block's keys (ascending) and what belongs to them, a row for each range."""
+    cuts = np.searchsorted(keys, np.array([(k << 64) // ranges for k in range(ranges)], np.uint64))
+    rows = [(k, block, pack_ascending(keys[a:b]), _packed([v[a:b] for v in values])) for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(keys)], strict=True)) if b > a]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["range", "block", "keys", "values"])
+
+
+_DEALT = "range int, block long, keys binary, values binary"
+#: Answers to a block, or (without one) a range's kinds.
+_ANSWERS = "block long, range int, values binary, kinds array<long>"
+
+
+def _packed(values: list[np.ndarray]) -> bytes:
+    """Whole numbers of the same keys."""
+    return pack(np.concatenate(values).astype(np.uint64))
+
+
+def _unpacked(data: bytes, kinds: int) -> np.ndarray:
+    return unpack(data, np.uint64).astype(np.int64).reshape(kinds, -1)
+
+
+def _answered(answers: list | None, kinds: int) -> np.ndarray:
+    """What all ranges have answered to a block, in order of its keys."""
+    found = sorted(answers or [], key=lambda x: x["range"])
+    return np.concatenate([np.zeros((kinds, 0), np.int64), *(_unpacked(x["values"], kinds) for x in found)], axis=1)
 
 
 def _asked(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            keys, count = np.unique(bigrams(_texts_of(row))[0], return_counts=True)
-            cuts = np.searchsorted(keys, _starts(ranges))
-            rows = [(k, row["block"], pack_ascending(keys[a:b]), pack(count[a:b].astype(np.uint32))) for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(keys)], strict=True)) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["range", "block", "keys", "count"])
-
-
-#: What a range sums up by class of the first word (bigrams that come once, twice, more often, and in all) and of the second (bigrams).
-SUMS = ("once", "twice", "often", "total", "before")
+            keys, count = np.unique(bigrams(*words(_texts_of(row))[:2]), return_counts=True)
+            yield _dealt(row["block"], keys, [count], ranges)
 
 
 class HashArray:
-    """Bigrams by their hashes, in order, and how often each stands in all documents."""
+    """Hashes in order, and what the blocks say of them, added up."""
 
-    def __init__(self, keys: list[np.ndarray], counts: list[np.ndarray]):
-        """keys: of each block, in order."""
-        self.keys, self._place = np.unique(np.concatenate(keys), return_inverse=True)
-        self.count = np.bincount(self._place, weights=np.concatenate(counts), minlength=len(self.keys)).astype(np.int64)
-        self.ends = np.cumsum([len(k) for k in keys])
+    def __init__(self, keys: list[np.ndarray], values: list[np.ndarray]):
+        """keys: of each block, in order; values: of each block, a row for each kind of number."""
+        self.keys, self._at, self._place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        self.sums = np.stack([np.bincount(self._place, weights=kind, minlength=len(self.keys)).astype(np.int64) for kind in np.concatenate(values, axis=1)])
+        self._ends = np.cumsum([len(k) for k in keys])[:-1]
 
     def answers(self) -> list[np.ndarray]:
-        """The counts of each block's bigrams."""
-        return np.split(self.count[self._place], self.ends[:-1])
+        """The sums of each block's keys."""
+        return np.split(self.sums[:, self._place], self._ends, axis=1)
 
-    def sums(self) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-        """For each of SUMS the classes, ascending, that have any, and the sums; counts of counts from 1 to 4 as kinds."""
-        first, second = classes(self.keys)
-        out = {}
-        for name, (of, weight) in zip(SUMS, ((first, self.count == 1), (first, self.count == 2), (first, self.count > 2), (first, self.count), (second, np.ones(len(second)))), strict=True):
-            there = weight > 0
-            used, place = np.unique(of[there], return_inverse=True)
-            out[name] = used, np.bincount(place, weights=weight[there]).astype(np.int64)
-        out["kinds"] = np.arange(1, 5), np.array([(self.count == k).sum() for k in range(1, 5)])
-        return out
+    def owned(self) -> list[np.ndarray]:
+        """For each block's keys whether it is the first to have them."""
+        first = np.zeros(len(self._place), np.int64)
+        first[self._at] = 1
+        return np.split(first, self._ends)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of range: each block's counts over all documents, and for each range a row for each of its sums."""
+def _by_range(batches: Iterator[pa.RecordBatch], kinds: int) -> Iterator[tuple[list[dict], HashArray]]:
+    """From rows in order of range: those of each range, and their array."""
     held: list[dict] = []
-
-    def told() -> Iterator[pa.RecordBatch]:
-        array = HashArray([unpack_ascending(r["keys"]) for r in held], [unpack(r["count"], np.uint32) for r in held])
-        at = held[0]["range"]
-        rows = [(r["block"], at, None, pack(a.astype(np.uint64)), None) for r, a in zip(held, array.answers(), strict=True)]
-        for row in rows:
-            yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, (pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.binary()), strict=True)], ["block", "range", "name", "count", "used"])
-        for name, (used, sums) in array.sums().items():
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([at], pa.int32()), pa.array([name]), pa.array([pack(sums.astype(np.uint64))], pa.binary()), pa.array([pack_ascending(used.astype(np.uint64))], pa.binary())], ["block", "range", "name", "count", "used"])
-
+    array = lambda: HashArray([unpack_ascending(r["keys"]) for r in held], [_unpacked(r["values"], kinds) for r in held])
     for batch in batches:
         for row in batch.to_pylist():
             if held and row["range"] != held[0]["range"]:
-                yield from told()
+                yield held, array()
                 held = []
             held.append(row)
     if held:
-        yield from told()
+        yield held, array()
+
+
+def _answer(block: int | None, at: int, values: bytes | None, kinds: list[int] | None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([at], pa.int32()), pa.array([values], pa.binary()), pa.array([kinds], pa.list_(pa.int64()))], ["block", "range", "values", "kinds"])
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of one name added up, as far as they come together in a task."""
-    totals: dict[tuple, np.ndarray] = {}
+def _kinds(counts: np.ndarray) -> list[int]:
+    """How many counts are 1, 2, 3 and 4, how many there are, and their sum."""
+    return [*(int((counts == k).sum()) for k in range(1, 5)), int((counts > 0).sum()), int(counts.sum())]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each block's bigrams over all documents: twice the count, and one if the block has it as its own."""
+    for held, array in _by_range(batches, 1):
+        for row, (count,), own in zip(held, array.answers(), array.owned(), strict=True):
+            yield _answer(row["block"], row["range"], _packed([count << 1 | own]), None)
+        yield _answer(None, held[0]["range"], None, _kinds(array.sums[0]))
+
+
+#: What is summed up by word: bigrams that begin with it once, twice, more often, and in all; bigrams that end with it.
+SUMS = ("once", "twice", "often", "total", "before")
+
+
+def _told(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
+    """The words of each block, with SUMS over the bigrams that it has as its own."""
     for batch in batches:
         for row in batch.to_pylist():
-            total = totals.setdefault((row["name"], row["part"]), np.zeros(1 << CLASS_BITS, np.int64))
-            total[unpack_ascending(row["used"]).astype(np.int64)] += unpack(row["count"], np.uint64).astype(np.int64)
-    for (name, part), total in totals.items():
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([pack(total[used].astype(np.uint64))], pa.binary()), pa.array([pack_ascending(used.astype(np.uint64))], pa.binary())], ["name", "part", "count", "used"])
-
-
-def _all_sums(sums: DataFrame, ranges: int) -> dict[str, np.ndarray]:
-    """Arrays of 2 ** CLASS_BITS: the ranges' sums added up in two steps, each of at most the root of their number in a task."""
-    schema = "name string, part int, count binary, used binary"
-    root = max(1, int(ranges**0.5))
-    parted = sums.select("name", (F.col("range") % root).alias("part"), "count", "used")
-    some = parted.repartition(len(SUMS) * root, "name", "part").mapInArrow(_merged, schema)
-    whole = some.withColumn("part", F.lit(0)).repartition(len(SUMS) + 1, "name").mapInArrow(_merged, schema)
-    out = {name: np.zeros(1 << CLASS_BITS, np.int64) for name in (*SUMS, "kinds")}
-    for row in whole.toArrow().to_pylist():  # six rows
-        out[row["name"]][unpack_ascending(row["used"]).astype(np.int64)] = unpack(row["count"], np.uint64).astype(np.int64)
-    return out
+            first, second, _ = words(_texts_of(row))
+            at = np.unique(bigrams(first, second), return_index=True)[1]
+            (answer,) = _answered(row["bigrams"], 1)
+            count, own = answer >> 1, answer & 1
+            names, place = np.unique(np.concatenate([first[at], second[at]]), return_inverse=True)
+            a, b = np.split(place, 2)
+            summed = lambda of, weight: np.bincount(of, weights=weight * own, minlength=len(names)).astype(np.int64)  # noqa: E731, B023
+            yield _dealt(row["block"], names, [summed(a, count == 1), summed(a, count == 2), summed(a, count > 2), summed(a, count), summed(b, np.ones(len(b)))], ranges)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SUMS of each block's words over all documents."""
+    for held, array in _by_range(batches, len(SUMS)):
+        for row, sums in zip(held, array.answers(), strict=True):
+            yield _answer(row["block"], row["range"], _packed(list(sums)), None)
+        yield _answer(None, held[0]["range"], None, _kinds(array.sums[SUMS.index("before")]))
 
 
 def discounts(kinds: np.ndarray) -> np.ndarray:
@@ -225,23 +240,21 @@ def discounts(kinds: np.ndarray) -> np.ndarray:
 
 
 class KneserNey:
-    """By class: one over its bigrams in all, the weight of the lower order after it, and its probability in the lower order."""
+    """Of the kinds of bigrams and of words by the bigrams that end with them: the discounts, and what is left for the uniform distribution."""
 
-    def __init__(self, sums: dict[str, np.ndarray]):
-        self.off = discounts(sums["kinds"][1:5])
-        total = np.maximum(sums["total"], 1)
-        self.per = (1 / total).astype(np.float32)
-        self.weight = ((self.off[1] * sums["once"] + self.off[2] * sums["twice"] + self.off[3] * sums["often"]) / total).astype(np.float32)
-        before = sums["before"]
-        off = discounts([(before == k).sum() for k in range(1, 5)])[np.minimum(before, 3)]
-        seen, every = int((before > 0).sum()), max(1, int(before.sum()))
-        self.lower = ((before - off + off.sum() / (seen + 1)) / every).astype(np.float32)
+    def __init__(self, pairs: list[int], ends: list[int]):
+        self.off, self.lower_off = discounts(np.array(pairs[:4])), discounts(np.array(ends[:4]))
+        seen, self.every = ends[4], max(1, ends[5])
+        spare = self.lower_off[1] * ends[0] + self.lower_off[2] * ends[1] + self.lower_off[3] * (seen - ends[0] - ends[1])
+        self.uniform = spare / (seen + 1)
 
-    def log_probabilities(self, keys: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Of bigrams that the documents have so often."""
-        first, second = classes(keys)
-        p = (count - self.off[np.minimum(count, 3)]) * self.per[first] + self.weight[first].astype(np.float64) * self.lower[second]
-        return np.log(p)
+    def log_probabilities(self, count: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Of bigrams that the documents have so often; first and second: SUMS of their words."""
+        once, twice, often, total, _ = first
+        before = second[SUMS.index("before")]
+        weight = self.off[1] * once + self.off[2] * twice + self.off[3] * often
+        lower = (before - self.lower_off[np.minimum(before, 3)] + self.uniform) / self.every
+        return np.log((count - self.off[np.minimum(count, 3)] + weight * lower) / total)
 
 
 def _stats_in_parts(docs: pa.RecordBatch) -> dict[str, np.ndarray]:
@@ -259,13 +272,14 @@ def _scored(batches: Iterator[pa.RecordBatch], model: KneserNey, more: tuple[str
     for batch in batches:
         for row in batch.to_pylist():
             docs = _texts_of(row)
-            keys, before = bigrams(docs)
-            keys, place = np.unique(keys, return_inverse=True)
-            found = sorted(row["answers"] or [], key=lambda x: x["range"])
-            count = np.concatenate([*(unpack(x["count"], np.uint64).astype(np.int64) for x in found), np.zeros(0, np.int64)])
+            first, second, before = words(docs)
+            _, at, place = np.unique(bigrams(first, second), return_index=True, return_inverse=True)
+            count = _answered(row["bigrams"], 1)[0] >> 1
+            a, b = np.split(np.unique(np.concatenate([first[at], second[at]]), return_inverse=True)[1], 2)
+            sums = _answered(row["words"], len(SUMS))
             sizes = np.diff(before)
             doc = np.repeat(np.arange(len(sizes)), sizes)
-            total = np.bincount(doc, weights=model.log_probabilities(keys, count)[place], minlength=len(sizes))
+            total = np.bincount(doc, weights=model.log_probabilities(count, sums[:, a], sums[:, b])[place], minlength=len(sizes))
             columns = {c: docs.column(c) for c in ("doc_id", "lang")} | {k: pa.array(v.astype(np.int64)) for k, v in _stats_in_parts(docs).items()}
             columns["log_perplexity"] = pa.array(-total / np.maximum(sizes, 1), mask=sizes == 0)
             columns["shared"] = pa.array(np.bincount(doc, weights=count[place] > _own_counts(doc, place), minlength=len(sizes)) / np.maximum(sizes, 1), mask=sizes == 0)
@@ -273,23 +287,38 @@ def _scored(batches: Iterator[pa.RecordBatch], model: KneserNey, more: tuple[str
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
-def model_of(blocks: DataFrame, size: int) -> tuple[DataFrame, dict[str, np.ndarray]]:
-    """The counts of each block's bigrams over all documents (a written table of block, range and count), and the model's sums by class."""
+def _totals(answers: DataFrame) -> list[int]:
+    """The ranges' kinds added up."""
+    return [x or 0 for x in answers.where("block is null").select(*(F.sum(F.col("kinds")[k]) for k in range(6))).first()]
+
+
+def _of_blocks(answers: DataFrame, name: str) -> DataFrame:
+    return answers.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("range", "values")).alias(name))
+
+
+def model_of(blocks: DataFrame, size: int, buckets: int) -> tuple[DataFrame, KneserNey]:
+    """The blocks with the answers to their bigrams and words, and the model's numbers."""
     ranges = max(LEAST_RANGES, -(-size // RANGE_BYTES))
-    asked = blocks.mapInArrow(lambda batches: _asked(with_room(batches), ranges), "range int, block long, keys binary, count binary")
-    counted = written(asked.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(lambda batches: _counted(with_room(batches)), "block long, range int, name string, count binary, used binary"), "bigrams")
-    return counted.where("block is not null").select("block", "range", "count"), _all_sums(counted.where("name is not null"), ranges)
+
+    def exchanged(rows: DataFrame, task, name: str) -> DataFrame:
+        """Answers by block, written in its buckets: they are read more than once, without another shuffle."""
+        # in order of block: which of them has a bigram as its own is the same in every run of a task
+        told = rows.repartition(ranges, "range").sortWithinPartitions("range", "block").mapInArrow(lambda batches: task(with_room(batches)), _ANSWERS)
+        return bucketed(told.repartition(buckets, "block"), buckets, name)
+
+    counted = exchanged(blocks.mapInArrow(lambda batches: _asked(with_room(batches), ranges), _DEALT), _counted, "bigrams")
+    known = blocks.join(_of_blocks(counted, "bigrams").hint("shuffle_hash"), "block", "left")
+    summed = exchanged(known.mapInArrow(lambda batches: _told(with_room(batches), ranges), _DEALT), _summed, "words")
+    return known.join(_of_blocks(summed, "words").hint("shuffle_hash"), "block", "left"), KneserNey(_totals(counted), _totals(summed))
 
 
 def document_stats(docs: DataFrame, *more: str) -> DataFrame:
     """For each row of docs: doc_id, lang, the five counts, and log_perplexity double (per word) and shared double (of its bigrams, the share that other documents have too); both null for a text without words. The columns more are passed on."""
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), *more)
     blocks, size, tasks = in_blocks(plain, "doc_id", "lang", *more, most=BLOCK_BYTES)
-    answers, sums = model_of(blocks, size)
-    sent = docs.sparkSession.sparkContext.broadcast(KneserNey(sums))
-    answers = answers.repartition(tasks, "block").groupBy("block").agg(F.collect_list(F.struct("range", "count")).alias("answers"))
+    known, model = model_of(blocks, size, tasks)
     schema = StructType([*StructType.fromDDL(f"{STATS}, log_perplexity double, shared double"), *docs.select(*more).schema])
-    return blocks.join(answers.hint("shuffle_hash"), "block", "left").mapInArrow(lambda batches: _scored(with_room(batches), sent.value, more), schema)
+    return known.mapInArrow(lambda batches: _scored(with_room(batches), model, more), schema)
 
 
 def bands(stats: DataFrame, width: float = WIDTH) -> DataFrame:

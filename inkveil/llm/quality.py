@@ -29,8 +29,8 @@ from pyspark.sql.types import StructType
 from .blocks import bucketed, in_blocks, pack, pack_ascending, rest_of, unpack, unpack_ascending
 from .common import SPACE, byte_hashes, chunks, codes_of, flat, mixed, repeats, with_room, word_bounds, written
 
-#: Texts are taken together for this many bytes: the more, the fewer distinct bigrams.
-BLOCK_BYTES = 6 << 20
+#: Texts are taken together for this many bytes: the more, the fewer distinct bigrams (and rows). Workers go through them part by part.
+BLOCK_BYTES, PART_BYTES = 24 << 20, 4 << 20
 #: Bytes of text for each range of the bigrams' hashes.
 RANGE_BYTES, LEAST_RANGES = 128 << 20, 24
 #: Log-perplexities are counted in steps of 1 / STEPS for the quartiles.
@@ -121,6 +121,22 @@ def _texts_of(row: dict) -> pa.RecordBatch:
     return rest_of(row).append_column("text", column)
 
 
+def _parts(row: dict) -> Iterator[pa.RecordBatch]:
+    return chunks(iter([_texts_of(row)]), most=PART_BYTES)
+
+
+def _distinct(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's bigrams, ascending, with their first and second words, and how often it has them."""
+    found = []
+    for part in _parts(row):
+        first, second, _ = words(part)
+        keys, at, count = np.unique(bigrams(first, second), return_index=True, return_counts=True)
+        found.append((keys, first[at], second[at], count))
+    every, first, second, count = map(np.concatenate, zip(*found, strict=True))
+    keys, at, place = np.unique(every, return_index=True, return_inverse=True)
+    return keys, first[at], second[at], np.bincount(place, weights=count, minlength=len(keys)).astype(np.int64)
+
+
 def _dealt(block: int, keys: np.ndarray, values: list[np.ndarray], ranges: int) -> pa.RecordBatch:
     """A block's keys (ascending) and what belongs to them, a row for each range."""
     cuts = np.searchsorted(keys, np.array([(k << 64) // ranges for k in range(ranges)], np.uint64))
@@ -151,7 +167,7 @@ def _answered(answers: list | None, kinds: int) -> np.ndarray:
 def _asked(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            keys, count = np.unique(bigrams(*words(_texts_of(row))[:2]), return_counts=True)
+            keys, _, _, count = _distinct(row)
             yield _dealt(row["block"], keys, [count], ranges)
 
 
@@ -214,11 +230,10 @@ def _told(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordB
     """The words of each block, with SUMS over the bigrams that it has as its own."""
     for batch in batches:
         for row in batch.to_pylist():
-            first, second, _ = words(_texts_of(row))
-            at = np.unique(bigrams(first, second), return_index=True)[1]
+            _, first, second, _ = _distinct(row)
             (answer,) = _answered(row["bigrams"], 1)
             count, own = answer >> 1, answer & 1
-            names, place = np.unique(np.concatenate([first[at], second[at]]), return_inverse=True)
+            names, place = np.unique(np.concatenate([first, second]), return_inverse=True)
             a, b = np.split(place, 2)
             summed = lambda of, weight: np.bincount(of, weights=weight * own, minlength=len(names)).astype(np.int64)  # noqa: E731, B023
             yield _dealt(row["block"], names, [summed(a, count == 1), summed(a, count == 2), summed(a, count > 2), summed(a, count), summed(b, np.ones(len(b)))], ranges)
@@ -257,34 +272,37 @@ class KneserNey:
         return np.log((count - self.off[np.minimum(count, 3)] + weight * lower) / total)
 
 
-def _stats_in_parts(docs: pa.RecordBatch) -> dict[str, np.ndarray]:
-    parts = [_text_stats(part) for part in chunks(iter([docs]))]
-    return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-
-
 def _own_counts(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
     """For each bigram of each document how often the document has it."""
     _, at, count = np.unique(doc.astype(np.int64) << 40 | place, return_inverse=True, return_counts=True)
     return count[at]
 
 
+#: Bigrams whose probabilities are found at a time.
+_AT_ONCE = 1 << 17
+
+
 def _scored(batches: Iterator[pa.RecordBatch], model: KneserNey, more: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            docs = _texts_of(row)
-            first, second, before = words(docs)
-            _, at, place = np.unique(bigrams(first, second), return_index=True, return_inverse=True)
+            every, first, second, _ = _distinct(row)
             count = _answered(row["bigrams"], 1)[0] >> 1
-            a, b = np.split(np.unique(np.concatenate([first[at], second[at]]), return_inverse=True)[1], 2)
+            of_first, of_second = np.split(np.unique(np.concatenate([first, second]), return_inverse=True)[1], 2)
             sums = _answered(row["words"], len(SUMS))
-            sizes = np.diff(before)
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            total = np.bincount(doc, weights=model.log_probabilities(count, sums[:, a], sums[:, b])[place], minlength=len(sizes))
-            columns = {c: docs.column(c) for c in ("doc_id", "lang")} | {k: pa.array(v.astype(np.int64)) for k, v in _stats_in_parts(docs).items()}
-            columns["log_perplexity"] = pa.array(-total / np.maximum(sizes, 1), mask=sizes == 0)
-            columns["shared"] = pa.array(np.bincount(doc, weights=count[place] > _own_counts(doc, place), minlength=len(sizes)) / np.maximum(sizes, 1), mask=sizes == 0)
-            columns |= {c: docs.column(c) for c in more}
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+            cuts = [slice(k, k + _AT_ONCE) for k in range(0, len(every), _AT_ONCE)]
+            logs = np.concatenate([np.zeros(0), *(model.log_probabilities(count[c], sums[:, of_first[c]], sums[:, of_second[c]]) for c in cuts)])
+            for docs in _parts(row):
+                first, second, before = words(docs)
+                keys, place = np.unique(bigrams(first, second), return_inverse=True)
+                place = np.searchsorted(every, keys)[place]
+                sizes = np.diff(before)
+                doc = np.repeat(np.arange(len(sizes)), sizes)
+                total = np.bincount(doc, weights=logs[place], minlength=len(sizes))
+                columns = {c: docs.column(c) for c in ("doc_id", "lang")} | {k: pa.array(v.astype(np.int64)) for k, v in _text_stats(docs).items()}
+                columns["log_perplexity"] = pa.array(-total / np.maximum(sizes, 1), mask=sizes == 0)
+                columns["shared"] = pa.array(np.bincount(doc, weights=count[place] > _own_counts(doc, place), minlength=len(sizes)) / np.maximum(sizes, 1), mask=sizes == 0)
+                columns |= {c: docs.column(c) for c in more}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
 def _totals(answers: DataFrame) -> list[int]:

@@ -83,3 +83,13 @@ def test_copies_are_not_too_predictable(spark):
 
 def test_own_counts():
     assert quality._own_counts(np.array([0, 0, 0, 1]), np.array([5, 5, 6, 5])).tolist() == [2, 2, 1, 1]
+
+
+def test_blocks_are_worked_part_by_part(monkeypatch):
+    text = [f"w{i % 7} w{i % 5} w{i % 3}" for i in range(40)]
+    whole = pa.RecordBatch.from_pydict({"text": text, "lang": ["x", None] * 20})
+    monkeypatch.setattr(quality, "_texts_of", lambda row: whole)
+    one = quality._distinct({})
+    monkeypatch.setattr(quality, "PART_BYTES", 20)
+    assert len(list(quality._parts({}))) > 10 and all(np.array_equal(a, b) for a, b in zip(one, quality._distinct({}), strict=True))
+    assert one[3].sum() == 120

@@ -29,8 +29,8 @@ from pyspark.sql.types import StructType
 from .blocks import bucketed, in_blocks, pack, pack_ascending, rest_of, unpack, unpack_ascending
 from .common import SPACE, byte_hashes, chunks, codes_of, flat, mixed, repeats, with_room, word_bounds, written
 
-#: Texts are taken together for this many bytes: the more, the fewer distinct bigrams (and rows). Workers go through them part by part.
-BLOCK_BYTES, PART_BYTES = 24 << 20, 4 << 20
+#: Texts are taken together for this many bytes: the more, the fewer distinct bigrams. Workers go through them part by part.
+BLOCK_BYTES, PART_BYTES = 6 << 20, 2 << 20
 #: Bytes of text for each range of the bigrams' hashes.
 RANGE_BYTES, LEAST_RANGES = 128 << 20, 24
 #: Log-perplexities are counted in steps of 1 / STEPS for the quartiles.

@@ -4,7 +4,7 @@ Dates come first, then persons and organisations, then the rules in order; whate
 whole. A value's label is its category's next letter when it first appears; dates and names take one even where they are
 dropped. With session "row", each row is a session of its own: labels are found within the row, and nothing is shuffled.
 With a session column (or one session for all), first appearances are aggregated by value, ranked without putting a
-session into one task, and joined back to the findings; rows without any pass by. A long text is cut where no match can lie
+session into one task, and joined back to the findings, those of frequent values without a shuffle (see joins); rows without any pass by. A long text is cut where no match can lie
 (see patterns.cuts), and its parts are masked like rows of their own, by all tasks.
 
 The cost of a row is near linear in its findings: choice goes by clusters of overlapping spans, labels by sorting, splicing part by part.
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkveil.functions import patterns
+from inkveil.functions.joins import join_unique
 from inkveil.functions.tables import written
 from inkveil.functions.text import PIECE, accepted, empty, label, let, md5_8, parts, scanned, spans, spans_of, spliced, token
 
@@ -221,7 +222,7 @@ def mask(df: DataFrame, key: str, text: str = "text", session: Column | None = N
     labels = label_events(events, mapping)
     short = labels.groupBy("session", "category", "md5").agg(F.max("label").alias("label"))
     uses = found.where(F.size("__pieces") > 0).select("__row", F.col("__session").alias("session"), F.explode("__pieces").alias("p")).select("__row", "session", F.col("p.cat").alias("category"), F.when(F.col("p.lit").isNull(), md5_8(F.col("p.raw"))).alias("md5"), F.struct("p.s", "p.e", "p.cat", "p.pre", "p.suf", "p.lit").alias("p"))
-    shown = uses.join(short, ["session", "category", "md5"], "left").groupBy("__row").agg(F.collect_list(_replacement(F.col("p"), F.col("label"))).alias("__shown"))
+    shown = join_unique(uses, short, ["session", "category", "md5"]).groupBy("__row").agg(F.collect_list(_replacement(F.col("p"), F.col("label"))).alias("__shown"))
     joined = found.join(shown, "__row", "left")
     masked = F.when(F.col("__own").isNotNull(), spliced(F.col("__own"), F.coalesce("__shown", empty("struct<s:int,e:int,rep:string>"))))
     joined = joined.withColumn("masked", masked).select(*df.columns, "masked", "__doc", "__part")
@@ -264,7 +265,7 @@ def restore(df: DataFrame, key: str, mapping: DataFrame, text: str = "masked", s
     source = df.withColumn("__session", F.coalesce(session, F.lit("")) if session is not None else F.lit("")).withColumn("__text", F.sha2(text, 256))
     held = mapping.groupBy("session", token(F.col("category"), F.col("label")).alias("token")).agg(F.max_by("original", F.struct("md5", "original")).alias("original"))
     texts = source.where(F.col(text).contains("【")).select("__text", F.col("__session").alias("session"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit("【[^【】]+】"), F.lit(0)))).alias("token"))
-    first = texts.distinct().join(held, ["session", "token"])
+    first = join_unique(texts.distinct(), held, ["session", "token"], "inner")
     nested = first.where(F.col("original").contains("【")).select("__text", "session", F.explode(F.array_distinct(F.regexp_extract_all("original", F.lit("【[^【】]+】"), F.lit(0)))).alias("token")).join(held, ["session", "token"])
     values = F.map_from_entries(F.collect_list(F.struct("token", "original"))).alias("__values")
     maps = first.unionByName(nested).select("__text", F.col("session").alias("__session"), "token", "original").distinct().groupBy("__text", "__session").agg(values)

@@ -9,7 +9,7 @@ from inkveil.functions import patterns, text
 from inkveil.functions.tables import spread
 from inkveil.operators import entities, gazetteer, masking, tagger
 
-from .catalogue import _P, MAIL, TODAY, _masked, _sentence
+from .catalogue import _LABEL, _P, MAIL, TODAY, _masked, _sentence
 from .catalogue import SQL as _CATALOGUE
 
 #: Two patterns whose matches stand close and cut into each other.
@@ -78,11 +78,32 @@ def model_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", F.array_join(F.transform(found, lambda x: F.concat(x["cat"], F.lit(":"), x["raw"])), "|").alias("names"))
 
 
-QUERIES = {f.__name__: f for f in (crowded_spans, mask_mail_parts, mask_user_rule, model_names, gazetteer_names, gazetteer_places, mask_gazetteer)}
+#: One value in half of all rows (and a session in a fifth of them).
+_DESK = "concat('k', cast(o_orderkey as string), ' from ', if(o_orderkey % 2 = 0, 'desk', concat('c', cast(o_custkey as string))), '@shop.example')"
+
+
+def _hot(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderpriority", F.expr(_DESK).alias("text")))
+    return masking.mask(rows, "o_orderkey", session=F.col("o_orderpriority"), rules=(MAIL,), only_rules=True)
+
+
+def mask_hot_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of which half have one address, in sessions by priority."""
+    return _hot(spark, sf_dir)[0].select("o_orderkey", "masked")
+
+
+def restore_hot_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, restored."""
+    out, mapping = _hot(spark, sf_dir)
+    return masking.restore(out, "o_orderkey", mapping, session=F.col("o_orderpriority")).select("o_orderkey", "restored")
+
+
+QUERIES = {f.__name__: f for f in (crowded_spans, mask_mail_parts, mask_user_rule, model_names, gazetteer_names, gazetteer_places, mask_gazetteer, mask_hot_value, restore_hot_value)}
 
 _PLACED = """{k} AS (SELECT doc_id, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{p}') AS ms, string_split_regex(coalesce(text, ''), '{p}') AS gs FROM documents)),
 {k}a AS (SELECT doc_id, i, length(gs[i]) AS g, length(ms[i]) AS m FROM {k}),
 {k}s AS (SELECT doc_id, (sum(g + m) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS e, m::BIGINT AS m FROM {k}a)"""
+_HOT = "CASE WHEN o_orderkey % 2 = 0 THEN 'desk' ELSE 'c' || o_custkey END || '@shop.example'"
 _SUPPLIER = "'Supplier#' || lpad((o_orderkey % 60)::VARCHAR, 9, '0')"
 
 SQL = {
@@ -94,6 +115,10 @@ k AS (SELECT doc_id, e - m AS s, e FROM ps UNION ALL SELECT doc_id, s, e FROM ne
 SELECT d.doc_id, count(k.s)::BIGINT AS n, coalesce(sum(k.s * (k.e - k.s)), 0)::BIGINT AS places FROM documents d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id""",
     "mask_mail_parts": _masked("", ""),
     "mask_user_rule": _masked("PARTITION BY doc_id", "").replace(_P, USER_RULE.pattern).replace("メール", USER_RULE.category),
+    "mask_hot_value": f"""WITH t AS (SELECT o_orderkey, o_orderpriority AS g, {_HOT} AS m FROM orders),
+l AS (SELECT g, m, row_number() OVER (PARTITION BY g ORDER BY min(o_orderkey)) - 1 AS k FROM t GROUP BY g, m)
+SELECT o_orderkey, 'k' || o_orderkey || ' from 【メール' || {_LABEL.format("k")} || '】' AS masked FROM t JOIN l USING (g, m)""",
+    "restore_hot_value": f"SELECT o_orderkey, 'k' || o_orderkey || ' from ' || {_HOT} AS restored FROM orders",
     "model_names": _CATALOGUE["made_names"],
     "gazetteer_names": f"""SELECT o_orderkey, concat_ws('|', '人物:' || CASE WHEN c_name IS NULL THEN 'Customer#' ELSE 'Customer#' || lpad(o_custkey::VARCHAR, 9, '0') END, '組織:' || s_name, '人物:Customer#') AS names
 FROM orders LEFT JOIN customer ON c_name = 'Customer#' || lpad(o_custkey::VARCHAR, 9, '0') LEFT JOIN supplier ON s_name = {_SUPPLIER}""",

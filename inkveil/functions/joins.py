@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: So many keys are taken for frequent, out of so many that the sketch follows: a key of more than one in TOP rows is sure to be among them.
+#: So many keys are taken for frequent, out of so many that the sketch follows: a key of more than two in TOP rows is among them, whatever the sketch's error.
 TOP, FOLLOWED = 256, 8192
 
 
@@ -27,7 +27,7 @@ def join_unique(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "
 
     What belongs to frequent keys, at most TOP rows of the table (and those whose numbers are equal by chance), is sent to all tasks;
     their rows stay where they are, and so do rows with a null in a key, which match nothing. All others are shuffled by key, where none can take more than
-    one in TOP of all rows. rows are read three times.
+    two in TOP of all rows. rows are read three times.
     """
     hot = frequent(rows, keys)
     known = _number(keys).isin(hot) if hot else F.lit(False)

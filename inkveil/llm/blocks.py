@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, flat, shared_folder, texts
+from .common import chunks, dropped, flat, shared_folder, texts
 
 BLOCK_BYTES = 6 << 20
 #: Bytes of text in a bucket of the table of blocks; the number of buckets is Spark's limit at most.
@@ -87,8 +87,18 @@ def text_bytes(docs: DataFrame) -> int:
 def bucketed(rows: DataFrame, buckets: int, name: str) -> DataFrame:
     """Rows with large compressed columns, written in the shared folder in buckets by block."""
     spark, own = rows.sparkSession, uuid.uuid4().hex
-    rows.write.option("path", f"{shared_folder(spark)}/{name}-{own}").option("compression", "uncompressed").bucketBy(buckets, "block").format("parquet").saveAsTable(f"{name}_{own}")
-    return spark.table(f"{name}_{own}")
+    path = f"{shared_folder(spark)}/{name}-{own}"
+    rows.write.option("path", path).option("compression", "uncompressed").bucketBy(buckets, "block").format("parquet").saveAsTable(f"{name}_{own}")
+    out = spark.table(f"{name}_{own}")
+    out._inkveil_table, out._inkveil_path = f"{name}_{own}", path
+    return out
+
+
+def forgotten(*tables: DataFrame) -> None:
+    """Takes tables of bucketed() from the catalogue and deletes them, once nothing that is still to be computed reads them."""
+    for df in tables:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._inkveil_table}")
+    dropped(*tables)
 
 
 def in_blocks(docs: DataFrame, *more: str, most: int = BLOCK_BYTES) -> tuple[DataFrame, int, int]:

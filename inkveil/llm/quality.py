@@ -2,9 +2,10 @@
 
 The model is one of word bigrams, counted over all documents: words `[^\\x20\\x09-\\x0D]+` in lower case, each digit as one sign,
 a mark before a text's first word. A word carries its document's language (the lang column; null is one of its own). Words and
-bigrams are hashes of 64 bits, and both grow with the input: neither has a table of fixed size. Each block of documents sends
+bigrams are hashes, and both grow with the input: neither has a table of fixed size. For the exchange a hash has as many bits
+as keep its chance to be another's too under 2^-SPARE_BITS at every size of the input. Each block of documents sends
 its distinct bigrams with their counts, sorted, to ranges of the hash; a range adds them up in a sorted array and answers each
-block with the counts over all documents. Of the blocks that hold a bigram, the one of the least number has it as its own. What
+block with what the others have. Of the blocks that hold a bigram, the one of the least number has it as its own. What
 the lower order needs by word (how many bigrams begin with it once, twice or more often, and in all; of how many different words
 it comes after) goes the same way: blocks sum it up over their own bigrams, ranges of words add up, and answer the blocks. From
 these come the discounts and the interpolation with continuation counts down to the uniform distribution. Blocks then score
@@ -26,13 +27,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .blocks import bucketed, in_blocks, pack, pack_ascending, rest_of, unpack, unpack_ascending
+from .blocks import bucketed, forgotten, in_blocks, pack, pack_ascending, rest_of, unpack, unpack_ascending
 from .common import SPACE, byte_hashes, chunks, codes_of, flat, mixed, repeats, with_room, word_bounds, written
 
 #: Texts are taken together for this many bytes: the more, the fewer distinct bigrams. Workers go through them part by part.
 BLOCK_BYTES, PART_BYTES = 6 << 20, 2 << 20
 #: Bytes of text for each range of the bigrams' hashes.
 RANGE_BYTES, LEAST_RANGES = 128 << 20, 24
+#: Bits of a hash beyond those of the number of words that the texts can have at most (a half of their bytes); 64 in all at most.
+SPARE_BITS = 20
 #: Log-perplexities are counted in steps of 1 / STEPS for the quartiles.
 STEPS = 1024
 #: A document leaves if its mean log-probability lies more than WIDTH interquartile ranges outside its language's quartiles.
@@ -110,8 +113,13 @@ def words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return last, own, before
 
 
-def bigrams(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mixed(first * _ODD + second)
+def bigrams(first: np.ndarray, second: np.ndarray, bits: int = 64) -> np.ndarray:
+    return mixed(first * _ODD + second) >> np.uint64(64 - bits)
+
+
+def bits_for(size: int) -> int:
+    """Bits of the hashes of texts of so many bytes."""
+    return min(64, (size // 2).bit_length() + SPARE_BITS)
 
 
 def _texts_of(row: dict) -> pa.RecordBatch:
@@ -125,21 +133,21 @@ def _parts(row: dict) -> Iterator[pa.RecordBatch]:
     return chunks(iter([_texts_of(row)]), most=PART_BYTES)
 
 
-def _distinct(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A block's bigrams, ascending, with their first and second words, and how often it has them."""
+def _distinct(row: dict, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's bigrams, ascending, with their first and second words, and how often it has them; hashes of so many bits."""
     found = []
     for part in _parts(row):
         first, second, _ = words(part)
-        keys, at, count = np.unique(bigrams(first, second), return_index=True, return_counts=True)
-        found.append((keys, first[at], second[at], count))
+        keys, at, count = np.unique(bigrams(first, second, bits), return_index=True, return_counts=True)
+        found.append((keys, first[at] >> np.uint64(64 - bits), second[at] >> np.uint64(64 - bits), count))
     every, first, second, count = map(np.concatenate, zip(*found, strict=True))
     keys, at, place = np.unique(every, return_index=True, return_inverse=True)
     return keys, first[at], second[at], np.bincount(place, weights=count, minlength=len(keys)).astype(np.int64)
 
 
-def _dealt(block: int, keys: np.ndarray, values: list[np.ndarray], ranges: int) -> pa.RecordBatch:
+def _dealt(block: int, keys: np.ndarray, values: list[np.ndarray], ranges: int, bits: int) -> pa.RecordBatch:
     """A block's keys (ascending) and what belongs to them, a row for each range."""
-    cuts = np.searchsorted(keys, np.array([(k << 64) // ranges for k in range(ranges)], np.uint64))
+    cuts = np.searchsorted(keys, np.array([(k << bits) // ranges for k in range(ranges)], np.uint64))
     rows = [(k, block, pack_ascending(keys[a:b]), _packed([v[a:b] for v in values])) for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(keys)], strict=True)) if b > a]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["range", "block", "keys", "values"])
 
@@ -164,11 +172,11 @@ def _answered(answers: list | None, kinds: int) -> np.ndarray:
     return np.concatenate([np.zeros((kinds, 0), np.int64), *(_unpacked(x["values"], kinds) for x in found)], axis=1)
 
 
-def _asked(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
+def _asked(batches: Iterator[pa.RecordBatch], ranges: int, bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            keys, _, _, count = _distinct(row)
-            yield _dealt(row["block"], keys, [count], ranges)
+            keys, _, _, count = _distinct(row, bits)
+            yield _dealt(row["block"], keys, [count], ranges, bits)
 
 
 class HashArray:
@@ -215,10 +223,11 @@ def _kinds(counts: np.ndarray) -> list[int]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each block's bigrams over all documents: twice the count, and one if the block has it as its own."""
+    """Each block's bigrams in the other blocks: twice the count, and one if the block has it as its own."""
     for held, array in _by_range(batches, 1):
-        for row, (count,), own in zip(held, array.answers(), array.owned(), strict=True):
-            yield _answer(row["block"], row["range"], _packed([count << 1 | own]), None)
+        for row, count, own in zip(held, array.answers(), array.owned(), strict=True):
+            others = count - _unpacked(row["values"], 1)
+            yield _answer(row["block"], row["range"], _packed([others[0] << 1 | own]), None)
         yield _answer(None, held[0]["range"], None, _kinds(array.sums[0]))
 
 
@@ -226,24 +235,30 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SUMS = ("once", "twice", "often", "total", "before")
 
 
-def _told(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
+def _known(row: dict, bits: int) -> tuple[np.ndarray, ...]:
+    """Of a block whose bigrams are answered: these, their counts over all documents, the places of their first and second words in the block's words, these words, and their SUMS over the bigrams that the block has as its own."""
+    keys, first, second, inside = _distinct(row, bits)
+    (answer,) = _answered(row["bigrams"], 1)
+    count, own = (answer >> 1) + inside, answer & 1
+    names, place = np.unique(np.concatenate([first, second]), return_inverse=True)
+    a, b = np.split(place, 2)
+    summed = lambda of, weight: np.bincount(of, weights=weight * own, minlength=len(names)).astype(np.int64)
+    return keys, count, a, b, names, np.stack([summed(a, count == 1), summed(a, count == 2), summed(a, count > 2), summed(a, count), summed(b, np.ones(len(b)))])
+
+
+def _told(batches: Iterator[pa.RecordBatch], ranges: int, bits: int) -> Iterator[pa.RecordBatch]:
     """The words of each block, with SUMS over the bigrams that it has as its own."""
     for batch in batches:
         for row in batch.to_pylist():
-            _, first, second, _ = _distinct(row)
-            (answer,) = _answered(row["bigrams"], 1)
-            count, own = answer >> 1, answer & 1
-            names, place = np.unique(np.concatenate([first, second]), return_inverse=True)
-            a, b = np.split(place, 2)
-            summed = lambda of, weight: np.bincount(of, weights=weight * own, minlength=len(names)).astype(np.int64)  # noqa: E731, B023
-            yield _dealt(row["block"], names, [summed(a, count == 1), summed(a, count == 2), summed(a, count > 2), summed(a, count), summed(b, np.ones(len(b)))], ranges)
+            *_, names, sums = _known(row, bits)
+            yield _dealt(row["block"], names, list(sums), ranges, bits)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """SUMS of each block's words over all documents."""
+    """SUMS of each block's words in the other blocks."""
     for held, array in _by_range(batches, len(SUMS)):
         for row, sums in zip(held, array.answers(), strict=True):
-            yield _answer(row["block"], row["range"], _packed(list(sums)), None)
+            yield _answer(row["block"], row["range"], _packed(list(sums - _unpacked(row["values"], len(SUMS)))), None)
         yield _answer(None, held[0]["range"], None, _kinds(array.sums[SUMS.index("before")]))
 
 
@@ -282,18 +297,16 @@ def _own_counts(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
 _AT_ONCE = 1 << 17
 
 
-def _scored(batches: Iterator[pa.RecordBatch], model: KneserNey, more: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], model: KneserNey, more: tuple[str, ...], bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            every, first, second, _ = _distinct(row)
-            count = _answered(row["bigrams"], 1)[0] >> 1
-            of_first, of_second = np.split(np.unique(np.concatenate([first, second]), return_inverse=True)[1], 2)
-            sums = _answered(row["words"], len(SUMS))
+            every, count, of_first, of_second, _, sums = _known(row, bits)
+            sums += _answered(row["words"], len(SUMS))
             cuts = [slice(k, k + _AT_ONCE) for k in range(0, len(every), _AT_ONCE)]
             logs = np.concatenate([np.zeros(0), *(model.log_probabilities(count[c], sums[:, of_first[c]], sums[:, of_second[c]]) for c in cuts)])
             for docs in _parts(row):
                 first, second, before = words(docs)
-                keys, place = np.unique(bigrams(first, second), return_inverse=True)
+                keys, place = np.unique(bigrams(first, second, bits), return_inverse=True)
                 place = np.searchsorted(every, keys)[place]
                 sizes = np.diff(before)
                 doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -314,9 +327,9 @@ def _of_blocks(answers: DataFrame, name: str) -> DataFrame:
     return answers.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("range", "values")).alias(name))
 
 
-def model_of(blocks: DataFrame, size: int, buckets: int) -> tuple[DataFrame, KneserNey]:
-    """The blocks with the answers to their bigrams and words, and the model's numbers."""
-    ranges = max(LEAST_RANGES, -(-size // RANGE_BYTES))
+def model_of(blocks: DataFrame, size: int, buckets: int) -> tuple[DataFrame, KneserNey, list[DataFrame]]:
+    """The blocks with the answers to their bigrams and words, the model's numbers, and the tables that were written."""
+    ranges, bits = max(LEAST_RANGES, -(-size // RANGE_BYTES)), bits_for(size)
 
     def exchanged(rows: DataFrame, task, name: str) -> DataFrame:
         """Answers by block, written in its buckets: they are read more than once, without another shuffle."""
@@ -324,19 +337,24 @@ def model_of(blocks: DataFrame, size: int, buckets: int) -> tuple[DataFrame, Kne
         told = rows.repartition(ranges, "range").sortWithinPartitions("range", "block").mapInArrow(lambda batches: task(with_room(batches)), _ANSWERS)
         return bucketed(told.repartition(buckets, "block"), buckets, name)
 
-    counted = exchanged(blocks.mapInArrow(lambda batches: _asked(with_room(batches), ranges), _DEALT), _counted, "bigrams")
+    counted = exchanged(blocks.mapInArrow(lambda batches: _asked(with_room(batches), ranges, bits), _DEALT), _counted, "bigrams")
     known = blocks.join(_of_blocks(counted, "bigrams").hint("shuffle_hash"), "block", "left")
-    summed = exchanged(known.mapInArrow(lambda batches: _told(with_room(batches), ranges), _DEALT), _summed, "words")
-    return known.join(_of_blocks(summed, "words").hint("shuffle_hash"), "block", "left"), KneserNey(_totals(counted), _totals(summed))
+    summed = exchanged(known.mapInArrow(lambda batches: _told(with_room(batches), ranges, bits), _DEALT), _summed, "words")
+    return known.join(_of_blocks(summed, "words").hint("shuffle_hash"), "block", "left"), KneserNey(_totals(counted), _totals(summed)), [counted, summed]
 
 
-def document_stats(docs: DataFrame, *more: str) -> DataFrame:
-    """For each row of docs: doc_id, lang, the five counts, and log_perplexity double (per word) and shared double (of its bigrams, the share that other documents have too); both null for a text without words. The columns more are passed on."""
+def _stats(docs: DataFrame, *more: str) -> tuple[DataFrame, list[DataFrame]]:
+    """document_stats(), and the tables that it reads."""
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), *more)
     blocks, size, tasks = in_blocks(plain, "doc_id", "lang", *more, most=BLOCK_BYTES)
-    known, model = model_of(blocks, size, tasks)
-    schema = StructType([*StructType.fromDDL(f"{STATS}, log_perplexity double, shared double"), *docs.select(*more).schema])
-    return known.mapInArrow(lambda batches: _scored(with_room(batches), model, more), schema)
+    known, model, tables = model_of(blocks, size, tasks)
+    schema, bits = StructType([*StructType.fromDDL(f"{STATS}, log_perplexity double, shared double"), *docs.select(*more).schema]), bits_for(size)
+    return known.mapInArrow(lambda batches: _scored(with_room(batches), model, more, bits), schema), [blocks, *tables]
+
+
+def document_stats(docs: DataFrame, *more: str) -> DataFrame:
+    """For each row of docs: doc_id, lang, the five counts, and log_perplexity double (per word) and shared double (of its bigrams, the share that other documents have too); both null for a text without words. The columns more are passed on."""
+    return _stats(docs, *more)[0]
 
 
 def bands(stats: DataFrame, width: float = WIDTH) -> DataFrame:
@@ -358,7 +376,9 @@ def quality(docs: DataFrame, *more: str, width: float = WIDTH) -> DataFrame:
     whose documents fail has no band; nothing is kept).
     """
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    stats = written(document_stats(docs, *more).withColumn("base_failed", failed), "quality")
+    found, tables = _stats(docs, *more)
+    stats = written(found.withColumn("base_failed", failed), "quality")
+    forgotten(*tables)
     limits = bands(stats, width).withColumnRenamed("lang", "band_lang")
     inside = (F.col("log_perplexity") <= F.col("high")) & ((F.col("log_perplexity") >= F.col("low")) | (F.col("shared") >= COPIED))
     return stats.join(limits, F.col("lang").eqNullSafe(F.col("band_lang")), "left").drop("band_lang").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))

@@ -93,3 +93,20 @@ def test_blocks_are_worked_part_by_part(monkeypatch):
     monkeypatch.setattr(quality, "PART_BYTES", 20)
     assert len(list(quality._parts({}))) > 10 and all(np.array_equal(a, b) for a, b in zip(one, quality._distinct({}), strict=True))
     assert one[3].sum() == 120
+
+
+def test_bits_grow_with_the_texts():
+    """Fewer than one of 2 ** SPARE_BITS words or bigrams shares a hash, however long the texts are."""
+    for size in (0, 1, 1000, 10**9, 10**12, 10**15):
+        bits = quality.bits_for(size)
+        assert bits == 64 or 2**bits >= (size // 2) << quality.SPARE_BITS
+    first, second = np.arange(10**5, dtype=np.uint64), np.arange(10**5, dtype=np.uint64)[::-1]
+    keys = quality.bigrams(first, second, quality.bits_for(2 * 10**5))
+    assert len(np.unique(keys)) == 10**5 and keys.max() < 1 << quality.bits_for(2 * 10**5)
+
+
+def test_tables_go_when_they_are_read(spark, docs):
+    names = lambda: {t.name for t in spark.catalog.listTables()}
+    before = names()
+    kept = quality.quality(docs)
+    assert names() == before and kept.count() == docs.count()

@@ -6,6 +6,7 @@ and the other columns that were asked for as an Arrow stream. Blocks end with th
 
 from __future__ import annotations
 
+import contextlib
 import os
 import uuid
 from collections.abc import Iterator
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, dropped, flat, shared_folder, texts
@@ -84,11 +85,27 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
+#: Spark's setting by which a query's shuffle files go when it is done.
+_REMOVED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is written in here is in the shared folder when it is done, and its shuffle files go at once. The session's setting is put back."""
+    before = spark.conf.get(_REMOVED, "false")
+    spark.conf.set(_REMOVED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_REMOVED, before)
+
+
 def bucketed(rows: DataFrame, buckets: int, name: str) -> DataFrame:
     """Rows with large compressed columns, written in the shared folder in buckets by block."""
     spark, own = rows.sparkSession, uuid.uuid4().hex
     path = f"{shared_folder(spark)}/{name}-{own}"
-    rows.write.option("path", path).option("compression", "uncompressed").bucketBy(buckets, "block").format("parquet").saveAsTable(f"{name}_{own}")
+    with _shuffles_removed(spark):
+        rows.write.option("path", path).option("compression", "uncompressed").bucketBy(buckets, "block").format("parquet").saveAsTable(f"{name}_{own}")
     out = spark.table(f"{name}_{own}")
     out._inkveil_table, out._inkveil_path = f"{name}_{own}", path
     return out

@@ -110,3 +110,22 @@ def test_tables_go_when_they_are_read(spark, docs):
     before = names()
     kept = quality.quality(docs)
     assert names() == before and kept.count() == docs.count()
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    import pathlib
+    import time
+
+    from inkveil.llm import blocks
+
+    before = spark.conf.get(blocks._REMOVED, "false")
+    folder = pathlib.Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    files = lambda: {p for p in folder.rglob("shuffle_*.data") if p.stat().st_size}
+    old = files()
+    table = blocks.bucketed(spark.range(1000).selectExpr("id", "id % 7 AS block").repartition(5, "block"), 3, "few")
+    for _ in range(50):
+        if not files() - old:
+            break
+        time.sleep(0.1)
+    assert not files() - old and table.count() == 1000 and spark.conf.get(blocks._REMOVED, "false") == before
+    blocks.forgotten(table)

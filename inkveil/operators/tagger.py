@@ -27,6 +27,8 @@ _CATEGORY = {1: entities.PERSON, 3: entities.ORGANISATION}
 AROUND = (-1, 0, 1)
 #: What stands before the first and after the last character.
 EDGE = "\0"
+#: Characters that are worked on together.
+BLOCK = 1 << 16
 #: Weight of the characters beside the own one.
 BESIDE = 0.7
 
@@ -55,6 +57,18 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32()), pa.array([total[r] for r in rows], pa.int64())], ["kind", "what", "tag", "n"])
 
 
+def _spans(text: str, tags: np.ndarray) -> list[dict]:
+    """What tags say are names."""
+    found, every = [], tags.tolist()
+    for s in np.flatnonzero((tags == 1) | (tags == 3)).tolist():
+        e = s + 1
+        while e < len(text) and every[e] == every[s] + 1:
+            e += 1
+        if e - s > 1:
+            found.append({"s": s, "e": e, "raw": text[s:e], "cat": _CATEGORY[every[s]]})
+    return found
+
+
 @dataclass
 class Tagger:
     """Log-probabilities: of characters by place and tag (unseen ones: the last row), and of a tag after another."""
@@ -64,6 +78,12 @@ class Tagger:
     moves: np.ndarray
     weights: np.ndarray = field(default_factory=lambda: np.array([BESIDE, 1.0, BESIDE]))
 
+    def _rows(self, points: np.ndarray, place: dict[str, int]) -> np.ndarray:
+        """The rows of a place's table for code points; -1 for unseen ones."""
+        known = np.array([ord(c) for c in place] or [0], np.int64)  # in order, as place is
+        at = np.minimum(np.searchsorted(known, points), len(known) - 1)
+        return np.where((known[at] == points) & bool(place), at, -1)
+
     def scores(self, text: str) -> np.ndarray:
         """len x tags: how well the characters at and around each place go with a tag."""
         padded = EDGE + text + EDGE
@@ -74,40 +94,60 @@ class Tagger:
         return out
 
     def tags(self, text: str) -> np.ndarray:
-        """The likeliest tags, by Viterbi; a name doesn't go on without having begun."""
-        scores = self.scores(text)
-        back = np.zeros(scores.shape, np.int8)
-        best = scores[0] + self.moves[0]
-        for i in range(1, len(text)):
-            paths = best[:, None] + self.moves
-            back[i] = paths.argmax(0)
-            best = paths[back[i], np.arange(len(TAGS))] + scores[i]
-        out = np.empty(len(text), np.int8)
-        out[-1] = best.argmax()
-        for i in range(len(text) - 1, 0, -1):
-            out[i - 1] = back[i][out[i]]
-        return out
+        """The likeliest tags of a text."""
+        return self.likeliest([text])[0]
+
+    def likeliest(self, texts: list[str]) -> list[np.ndarray]:
+        """The likeliest tags of each text (none empty), by Viterbi over all of them at once; a name doesn't go on without having begun. Memory goes with the longest text times their number."""
+        lengths = np.array([len(t) for t in texts])
+        longest = int(lengths.max())
+        points = np.full((len(texts), longest + 2), ord(EDGE), np.int64)
+        for row, t in zip(points, texts, strict=True):
+            row[1 : 1 + len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+        rows = [self._rows(points, place) for place in self.places]
+
+        def scores(i: int) -> np.ndarray:
+            """How well the characters at and around place i of each text go with a tag."""
+            out = np.zeros((len(texts), len(TAGS)))
+            for row, given, off, weight in zip(rows, self.given, AROUND, self.weights, strict=True):
+                out += weight * given[row[:, 1 + off + i]]
+            return out
+
+        back = np.zeros((longest, len(texts), len(TAGS)), np.int8)
+        best = scores(0) + self.moves[0]
+        for i in range(1, longest):
+            paths = best[:, :, None] + self.moves
+            back[i] = paths.argmax(1)
+            after = np.take_along_axis(paths, back[i][:, None].astype(np.intp), 1)[:, 0] + scores(i)
+            best = np.where((i < lengths)[:, None], after, best)
+        out = np.empty((longest, len(texts)), np.int8)
+        last, every = best.argmax(1), np.arange(len(texts))
+        for i in range(longest - 1, -1, -1):
+            out[i] = last
+            last = np.where(i < lengths, back[i][every, last], last)
+        return [out[:n, k] for k, n in enumerate(lengths)]
 
     def names(self, text: str | None) -> list[dict]:
         """s, e, raw and cat of each name, of two characters or more, in order."""
-        if not text:
-            return []
-        tags = self.tags(text)
-        found = []
-        for s in np.flatnonzero((tags == 1) | (tags == 3)).tolist():
-            e = s + 1
-            while e < len(text) and tags[e] == tags[s] + 1:
-                e += 1
-            if e - s > 1:
-                found.append({"s": s, "e": e, "raw": text[s:e], "cat": _CATEGORY[int(tags[s])]})
-        return found
+        return self.names_of([text])[0]
+
+    def names_of(self, texts: list[str | None]) -> list[list[dict]]:
+        """The names of each text; those of about equal length are worked on together."""
+        out: list[list[dict]] = [[] for _ in texts]
+        order = sorted((k for k, t in enumerate(texts) if t), key=lambda k: len(texts[k]))
+        while order:
+            width = max(1, BLOCK // len(texts[order[-1]]))
+            some, order = order[-width:], order[:-width]
+            for k, tags in zip(some, self.likeliest([texts[k] for k in some]), strict=True):
+                out[k] = _spans(texts[k], tags)
+        return out
 
     def entities(self, text: Column) -> Column:
         """array<struct<s, e, raw, cat>> by place, as entities.entities gives them."""
 
         @F.pandas_udf(f"array<{entities.ENTITY}>")
         def found(texts: pd.Series) -> pd.Series:
-            return texts.map(self.names)
+            return pd.Series(self.names_of(texts.tolist()), texts.index, object)
 
         return found(text)
 

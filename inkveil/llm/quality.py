@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .blocks import bucketed, forgotten, in_blocks, pack, pack_ascending, rest_of, unpack, unpack_ascending
+from .blocks import forgotten, in_blocks, pack, pack_ascending, rest_of, shuffles_removed, unpack, unpack_ascending
 from .common import SPACE, byte_hashes, chunks, codes_of, flat, mixed, repeats, with_room, word_bounds, written
 
 #: Texts are taken together for this many bytes: the more, the fewer distinct bigrams. Workers go through them part by part.
@@ -323,8 +323,9 @@ def _totals(answers: DataFrame) -> list[int]:
     return [x or 0 for x in answers.where("block is null").select(*(F.sum(F.col("kinds")[k]) for k in range(6))).first()]
 
 
-def _of_blocks(answers: DataFrame, name: str) -> DataFrame:
-    return answers.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("range", "values")).alias(name))
+def _of_blocks(answers: DataFrame, buckets: int, name: str) -> DataFrame:
+    """The answers to each block, brought to where the table of blocks has it."""
+    return answers.where("block is not null").repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("range", "values")).alias(name))
 
 
 def model_of(blocks: DataFrame, size: int, buckets: int) -> tuple[DataFrame, KneserNey, list[DataFrame]]:
@@ -332,15 +333,16 @@ def model_of(blocks: DataFrame, size: int, buckets: int) -> tuple[DataFrame, Kne
     ranges, bits = max(LEAST_RANGES, -(-size // RANGE_BYTES)), bits_for(size)
 
     def exchanged(rows: DataFrame, task, name: str) -> DataFrame:
-        """Answers by block, written in its buckets: they are read more than once, without another shuffle."""
+        """The ranges' answers, written by the ranges' tasks: what they were asked is still on disk then, and goes before the answers are brought to the blocks."""
         # in order of block: which of them has a bigram as its own is the same in every run of a task
         told = rows.repartition(ranges, "range").sortWithinPartitions("range", "block").mapInArrow(lambda batches: task(with_room(batches)), _ANSWERS)
-        return bucketed(told.repartition(buckets, "block"), buckets, name)
+        with shuffles_removed(rows.sparkSession):
+            return written(told, name)
 
     counted = exchanged(blocks.mapInArrow(lambda batches: _asked(with_room(batches), ranges, bits), _DEALT), _counted, "bigrams")
-    known = blocks.join(_of_blocks(counted, "bigrams").hint("shuffle_hash"), "block", "left")
+    known = blocks.join(_of_blocks(counted, buckets, "bigrams").hint("shuffle_hash"), "block", "left")
     summed = exchanged(known.mapInArrow(lambda batches: _told(with_room(batches), ranges, bits), _DEALT), _summed, "words")
-    return known.join(_of_blocks(summed, "words").hint("shuffle_hash"), "block", "left"), KneserNey(_totals(counted), _totals(summed)), [counted, summed]
+    return known.join(_of_blocks(summed, buckets, "words").hint("shuffle_hash"), "block", "left"), KneserNey(_totals(counted), _totals(summed)), [counted, summed]
 
 
 def _stats(docs: DataFrame, *more: str) -> tuple[DataFrame, list[DataFrame]]:

@@ -129,3 +129,12 @@ def test_shuffle_files_go_when_a_table_is_written(spark):
         time.sleep(0.1)
     assert not files() - old and table.count() == 1000 and spark.conf.get(blocks._REMOVED, "false") == before
     blocks.forgotten(table)
+
+
+def test_answers_are_written_once(spark, docs):
+    """By the tasks that give them, not shuffled first; only they are brought to the blocks, whose texts stay."""
+    table, size, buckets = quality.in_blocks(docs.select("doc_id", "text", "lang"), "doc_id", "lang")
+    known, _, tables = quality.model_of(table, size, buckets)
+    assert not any(hasattr(t, "_inkveil_table") for t in tables)
+    assert known._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    quality.forgotten(table, *tables)

@@ -36,10 +36,20 @@ def with_room(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches, after the worker has given back what earlier tasks left to it: tasks that take whole blocks have room then."""
     for forget in FORGET:
         forget()
+    _give_back()
+    return batches
+
+
+def left_clean(out: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a task gives; when it is done, its memory is given back, as its worker may wait long for another one."""
+    yield from out
+    _give_back()
+
+
+def _give_back() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError):  # only of the GNU library
         ctypes.CDLL(None).malloc_trim(0)
-    return batches
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

@@ -4,8 +4,8 @@ The model is one of word bigrams, counted over all documents: words `[^\\x20\\x0
 a mark before a text's first word. A word carries its document's language (the lang column; null is one of its own). Words and
 bigrams are hashes, and both grow with the input: neither has a table of fixed size. For the exchange a hash has as many bits
 as keep its chance to be another's too under 2^-SPARE_BITS at every size of the input. Each block of documents sends
-its distinct bigrams with their counts, sorted, to ranges of the hash; a range adds them up in a sorted array and answers each
-block with what the others have. Of the blocks that hold a bigram, the one of the least number has it as its own. What
+its distinct bigrams with their counts, sorted, to ranges of the hash, in PASSES over the hashes, so that only a share of them is
+under way at a time; a range adds them up in sorted arrays and answers each block with what the others have. Of the blocks that hold a bigram, the one of the least number has it as its own. What
 the lower order needs by word (how many bigrams begin with it once, twice or more often, and in all; of how many different words
 it comes after) goes the same way: blocks sum it up over their own bigrams, ranges of words add up, and answer the blocks. From
 these come the discounts and the interpolation with continuation counts down to the uniform distribution. Blocks then score
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,12 +29,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .blocks import forgotten, in_blocks, pack, pack_ascending, rest_of, shuffles_removed, unpack, unpack_ascending
-from .common import SPACE, byte_hashes, chunks, codes_of, flat, mixed, repeats, with_room, word_bounds, written
+from .common import SPACE, byte_hashes, chunks, codes_of, flat, left_clean, mixed, repeats, with_room, word_bounds, written
 
 #: Texts are taken together for this many bytes: the more, the fewer distinct bigrams. Workers go through them part by part.
 BLOCK_BYTES, PART_BYTES = 6 << 20, 2 << 20
-#: Bytes of text for each range of the bigrams' hashes.
-RANGE_BYTES, LEAST_RANGES = 128 << 20, 24
+#: Bytes of text for each range of the bigrams' hashes; of a range so many hashes are added up at a time.
+RANGE_BYTES, LEAST_RANGES, ADDED_AT_ONCE = 64 << 20, 24, 1 << 19
+#: Bigrams and words are asked for in so many passes, each of its share of the hashes, and blocks are scored in as many, each of
+#: its share of the blocks: what a pass has shuffled goes before the next begins.
+PASSES = 2
 #: Bits of a hash beyond those of the number of words that the texts can have at most (a half of their bytes); 64 in all at most.
 SPARE_BITS = 20
 #: Log-perplexities are counted in steps of 1 / STEPS for the quartiles.
@@ -145,9 +149,14 @@ def _distinct(row: dict, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.nda
     return keys, first[at], second[at], np.bincount(place, weights=count, minlength=len(keys)).astype(np.int64)
 
 
+def _bound(k: int, ranges: int, bits: int) -> int:
+    """The least hash of a range."""
+    return -(-(k << bits) // ranges)
+
+
 def _dealt(block: int, keys: np.ndarray, values: list[np.ndarray], ranges: int, bits: int) -> pa.RecordBatch:
     """A block's keys (ascending) and what belongs to them, a row for each range."""
-    cuts = np.searchsorted(keys, np.array([(k << bits) // ranges for k in range(ranges)], np.uint64))
+    cuts = np.searchsorted(keys, np.array([_bound(k, ranges, bits) for k in range(ranges)], np.uint64))
     rows = [(k, block, pack_ascending(keys[a:b]), _packed([v[a:b] for v in values])) for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(keys)], strict=True)) if b > a]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["range", "block", "keys", "values"])
 
@@ -172,31 +181,67 @@ def _answered(answers: list | None, kinds: int) -> np.ndarray:
     return np.concatenate([np.zeros((kinds, 0), np.int64), *(_unpacked(x["values"], kinds) for x in found)], axis=1)
 
 
-def _asked(batches: Iterator[pa.RecordBatch], ranges: int, bits: int) -> Iterator[pa.RecordBatch]:
+def _within(row: dict, bits: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a block's bigrams, ascending, those from low to under high, and how often it has them."""
+    found = []
+    for part in _parts(row):
+        first, second, _ = words(part)
+        keys = bigrams(first, second, bits)
+        found.append(np.unique(keys[(keys >= np.uint64(low)) & (keys <= np.uint64(high - 1))], return_counts=True))
+    every, count = map(np.concatenate, zip(*found, strict=True))
+    keys, place = np.unique(every, return_inverse=True)
+    return keys, np.bincount(place, weights=count, minlength=len(keys)).astype(np.int64)
+
+
+def _asked(batches: Iterator[pa.RecordBatch], ranges: int, bits: int, turn: int, turns: int) -> Iterator[pa.RecordBatch]:
+    """The bigrams of each block in a pass's share of all ranges."""
+    low, high = (_bound(k * ranges // turns, ranges, bits) for k in (turn, turn + 1))
     for batch in batches:
         for row in batch.to_pylist():
-            keys, _, _, count = _distinct(row, bits)
+            keys, count = _within(row, bits, low, high)
             yield _dealt(row["block"], keys, [count], ranges, bits)
 
 
 class HashArray:
-    """Hashes in order, and what the blocks say of them, added up."""
+    """Hashes in order, and what the blocks say of them, added up; a stretch of hashes at a time, as sorting takes several times their room."""
 
     def __init__(self, keys: list[np.ndarray], values: list[np.ndarray]):
         """keys: of each block, in order; values: of each block, a row for each kind of number."""
-        self.keys, self._at, self._place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        self.sums = np.stack([np.bincount(self._place, weights=kind, minlength=len(self.keys)).astype(np.int64) for kind in np.concatenate(values, axis=1)])
-        self._ends = np.cumsum([len(k) for k in keys])[:-1]
+        self._answers, self._owned = [np.empty(v.shape, np.int64) for v in values], [np.zeros(len(k), np.int8) for k in keys]
+        #: Of each kind of number, what _kinds() says of its sums.
+        self.kinds = np.zeros((len(values[0]), 6), np.int64)
+        held = [k for k in keys if len(k)]
+        low, high = min((int(k[0]) for k in held), default=0), max((int(k[-1]) for k in held), default=0)
+        parts = sum(map(len, keys)) // ADDED_AT_ONCE + 1
+        bounds = np.array([low + (high - low) * k // parts for k in range(1, parts)], np.uint64)
+        cuts = np.array([[0, *np.searchsorted(k, bounds), len(k)] for k in keys])
+        for a, b in zip(cuts.T[:-1], cuts.T[1:], strict=True):
+            self._add(keys, values, a, b)
+
+    def _add(self, keys: list[np.ndarray], values: list[np.ndarray], begin: np.ndarray, end: np.ndarray) -> None:
+        """The blocks' keys from begin to end."""
+        own = [(i, slice(a, b)) for i, (a, b) in enumerate(zip(begin.tolist(), end.tolist(), strict=True)) if b > a]
+        if not own:
+            return
+        every, at, place = np.unique(np.concatenate([keys[i][c] for i, c in own]), return_index=True, return_inverse=True)
+        first = np.zeros(len(place), np.int8)
+        first[at] = 1
+        ends = np.cumsum([c.stop - c.start for _, c in own])[:-1]
+        for (i, c), x in zip(own, np.split(first, ends), strict=True):
+            self._owned[i][c] = x
+        for k in range(len(self.kinds)):
+            sums = np.bincount(place, weights=np.concatenate([values[i][k, c] for i, c in own]), minlength=len(every)).astype(np.int64)
+            self.kinds[k] += _kinds(sums)
+            for (i, c), x in zip(own, np.split(sums[place], ends), strict=True):
+                self._answers[i][k, c] = x
 
     def answers(self) -> list[np.ndarray]:
         """The sums of each block's keys."""
-        return np.split(self.sums[:, self._place], self._ends, axis=1)
+        return self._answers
 
     def owned(self) -> list[np.ndarray]:
         """For each block's keys whether it is the first to have them."""
-        first = np.zeros(len(self._place), np.int64)
-        first[self._at] = 1
-        return np.split(first, self._ends)
+        return self._owned
 
 
 def _by_range(batches: Iterator[pa.RecordBatch], kinds: int) -> Iterator[tuple[list[dict], HashArray]]:
@@ -228,7 +273,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, count, own in zip(held, array.answers(), array.owned(), strict=True):
             others = count - _unpacked(row["values"], 1)
             yield _answer(row["block"], row["range"], _packed([others[0] << 1 | own]), None)
-        yield _answer(None, held[0]["range"], None, _kinds(array.sums[0]))
+        yield _answer(None, held[0]["range"], None, array.kinds[0].tolist())
 
 
 #: What is summed up by word: bigrams that begin with it once, twice, more often, and in all; bigrams that end with it.
@@ -246,12 +291,14 @@ def _known(row: dict, bits: int) -> tuple[np.ndarray, ...]:
     return keys, count, a, b, names, np.stack([summed(a, count == 1), summed(a, count == 2), summed(a, count > 2), summed(a, count), summed(b, np.ones(len(b)))])
 
 
-def _told(batches: Iterator[pa.RecordBatch], ranges: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """The words of each block, with SUMS over the bigrams that it has as its own."""
+def _told(batches: Iterator[pa.RecordBatch], ranges: int, bits: int, turn: int, turns: int) -> Iterator[pa.RecordBatch]:
+    """The words of each block in a pass's share of all ranges, with SUMS over the bigrams that it has as its own."""
+    low, high = (_bound(k * ranges // turns, ranges, bits) for k in (turn, turn + 1))
     for batch in batches:
         for row in batch.to_pylist():
             *_, names, sums = _known(row, bits)
-            yield _dealt(row["block"], names, list(sums), ranges, bits)
+            own = (names >= np.uint64(low)) & (names <= np.uint64(high - 1))
+            yield _dealt(row["block"], names[own], list(sums[:, own]), ranges, bits)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +306,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for held, array in _by_range(batches, len(SUMS)):
         for row, sums in zip(held, array.answers(), strict=True):
             yield _answer(row["block"], row["range"], _packed(list(sums - _unpacked(row["values"], len(SUMS)))), None)
-        yield _answer(None, held[0]["range"], None, _kinds(array.sums[SUMS.index("before")]))
+        yield _answer(None, held[0]["range"], None, array.kinds[SUMS.index("before")].tolist())
 
 
 def discounts(kinds: np.ndarray) -> np.ndarray:
@@ -330,33 +377,41 @@ def _of_blocks(answers: DataFrame, buckets: int, name: str) -> DataFrame:
 
 def model_of(blocks: DataFrame, size: int, buckets: int) -> tuple[DataFrame, KneserNey, list[DataFrame]]:
     """The blocks with the answers to their bigrams and words, the model's numbers, and the tables that were written."""
-    ranges, bits = max(LEAST_RANGES, -(-size // RANGE_BYTES)), bits_for(size)
+    bits, share = bits_for(size), max(LEAST_RANGES, -(-size // (RANGE_BYTES * PASSES)))
+    tables = []
 
-    def exchanged(rows: DataFrame, task, name: str) -> DataFrame:
+    def exchanged(rows: DataFrame, ask, task, name: str) -> DataFrame:
         """The ranges' answers, written by the ranges' tasks: what they were asked is still on disk then, and goes before the answers are brought to the blocks."""
-        # in order of block: which of them has a bigram as its own is the same in every run of a task
-        told = rows.repartition(ranges, "range").sortWithinPartitions("range", "block").mapInArrow(lambda batches: task(with_room(batches)), _ANSWERS)
-        with shuffles_removed(rows.sparkSession):
-            return written(told, name)
-
-    counted = exchanged(blocks.mapInArrow(lambda batches: _asked(with_room(batches), ranges, bits), _DEALT), _counted, "bigrams")
+        own = []
+        for turn in range(PASSES):
+            asked = rows.mapInArrow(lambda batches, turn=turn: left_clean(ask(with_room(batches), share * PASSES, bits, turn, PASSES)), _DEALT)
+            # in order of block: which of them has a bigram as its own is the same in every run of a task
+            told = asked.repartition(share, "range").sortWithinPartitions("range", "block").mapInArrow(lambda batches: left_clean(task(with_room(batches))), _ANSWERS)
+            with shuffles_removed(rows.sparkSession):
+                own.append(written(told, name))
+        tables.extend(own)
+        return reduce(DataFrame.union, own)
+
+    counted = exchanged(blocks, _asked, _counted, "bigrams")
     known = blocks.join(_of_blocks(counted, buckets, "bigrams").hint("shuffle_hash"), "block", "left")
-    summed = exchanged(known.mapInArrow(lambda batches: _told(with_room(batches), ranges, bits), _DEALT), _summed, "words")
-    return known.join(_of_blocks(summed, buckets, "words").hint("shuffle_hash"), "block", "left"), KneserNey(_totals(counted), _totals(summed)), [counted, summed]
+    summed = exchanged(known, _told, _summed, "words")
+    return known.join(_of_blocks(summed, buckets, "words").hint("shuffle_hash"), "block", "left"), KneserNey(_totals(counted), _totals(summed)), tables
 
 
-def _stats(docs: DataFrame, *more: str) -> tuple[DataFrame, list[DataFrame]]:
-    """document_stats(), and the tables that it reads."""
+def _stats(docs: DataFrame, *more: str) -> tuple[list[DataFrame], list[DataFrame]]:
+    """document_stats() in PASSES parts, and the tables that these read."""
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), *more)
     blocks, size, tasks = in_blocks(plain, "doc_id", "lang", *more, most=BLOCK_BYTES)
     known, model, tables = model_of(blocks, size, tasks)
     schema, bits = StructType([*StructType.fromDDL(f"{STATS}, log_perplexity double, shared double"), *docs.select(*more).schema]), bits_for(size)
-    return known.mapInArrow(lambda batches: _scored(with_room(batches), model, more, bits), schema), [blocks, *tables]
+    # by high bits of the random numbers of blocks; both sides of a join are filtered before the answers are shuffled
+    parts = [known.where(F.shiftright("block", 40) % PASSES == turn) for turn in range(PASSES)]
+    return [part.mapInArrow(lambda batches: left_clean(_scored(with_room(batches), model, more, bits)), schema) for part in parts], [blocks, *tables]
 
 
 def document_stats(docs: DataFrame, *more: str) -> DataFrame:
     """For each row of docs: doc_id, lang, the five counts, and log_perplexity double (per word) and shared double (of its bigrams, the share that other documents have too); both null for a text without words. The columns more are passed on."""
-    return _stats(docs, *more)[0]
+    return reduce(DataFrame.union, _stats(docs, *more)[0])
 
 
 def bands(stats: DataFrame, width: float = WIDTH) -> DataFrame:
@@ -379,7 +434,11 @@ def quality(docs: DataFrame, *more: str, width: float = WIDTH) -> DataFrame:
     """
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     found, tables = _stats(docs, *more)
-    stats = written(found.withColumn("base_failed", failed), "quality")
+    parts = []
+    for part in found:
+        with shuffles_removed(docs.sparkSession):
+            parts.append(written(part.withColumn("base_failed", failed), "quality"))
+    stats = reduce(DataFrame.union, parts)
     forgotten(*tables)
     limits = bands(stats, width).withColumnRenamed("lang", "band_lang")
     inside = (F.col("log_perplexity") <= F.col("high")) & ((F.col("log_perplexity") >= F.col("low")) | (F.col("shared") >= COPIED))

@@ -138,3 +138,33 @@ def test_answers_are_written_once(spark, docs):
     assert not any(hasattr(t, "_inkveil_table") for t in tables)
     assert known._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
     quality.forgotten(table, *tables)
+
+
+def test_hashes_are_added_up_a_stretch_at_a_time(monkeypatch):
+    """With the same sums, owners and kinds, however few hashes are taken at once."""
+    r = np.random.default_rng(7)
+    keys = [np.unique(r.integers(0, 400, n).astype(np.uint64) << np.uint64(55)) for n in (200, 0, 90, 300)]
+    values = [r.integers(1, 4, (2, len(k))) for k in keys]
+    one = quality.HashArray(keys, values)
+    monkeypatch.setattr(quality, "ADDED_AT_ONCE", 16)
+    two = quality.HashArray(keys, values)
+    every = collections.Counter()
+    for k, v in zip(keys, values, strict=True):
+        every.update(dict(zip(k.tolist(), v[1].tolist(), strict=True)))
+    for array in (one, two):
+        assert [a[1].tolist() for a in array.answers()] == [[every[x] for x in k.tolist()] for k in keys]
+        assert array.kinds[1].tolist() == quality._kinds(np.array(list(every.values()))) and sum(o.sum() for o in array.owned()) == len(every)
+    assert all(np.array_equal(a, b) for a, b in zip(one.owned(), two.owned(), strict=True))
+
+
+def test_passes_ask_each_bigram_once(spark, docs):
+    """A pass asks for its share of the bigrams, and all passes together for each of them once."""
+    table, size, _ = quality.in_blocks(docs.select("doc_id", "text", "lang"), "doc_id", "lang")
+    row, bits = table.first().asDict(), quality.bits_for(size)
+    block = pa.RecordBatch.from_pylist([{k: row[k] for k in ("block", "ids", "offsets", "body", "more")}])
+    passes = [next(quality._asked(iter([block]), 2 * 5, bits, turn, 2)).to_pylist() for turn in range(2)]
+    assert [{x["range"] for x in rows} for rows in passes] == [set(range(5)), set(range(5, 10))]
+    keys, _, _, count = quality._distinct(row, bits)
+    asked = [(quality.unpack_ascending(x["keys"]), quality._unpacked(x["values"], 1)[0]) for rows in passes for x in rows]
+    assert np.array_equal(np.concatenate([k for k, _ in asked]), keys) and np.array_equal(np.concatenate([c for _, c in asked]), count)
+    quality.forgotten(table)
